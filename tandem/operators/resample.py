@@ -10,7 +10,7 @@ from tandem.functions.timeline import bin_start, col, epoch_micros, epoch_second
 def sequence_key(ts: str | Column, tie: str | Column) -> Column:
     """Orderable number for (ts, tie): a fixed-width buffer keeps hash aggregation."""
     micros = epoch_micros(ts).cast("decimal(17,0)")
-    return micros * F.lit(10 ** 18).cast("decimal(19,0)") + col(tie).cast("decimal(19,0)")
+    return micros * F.lit("1" + "0" * 20).cast("decimal(21,0)") + col(tie).cast("decimal(20,0)")
 
 
 def resample_ticks(ticks: DataFrame, rule: str, price: str = "price", size: str = "size",

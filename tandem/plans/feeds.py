@@ -88,7 +88,8 @@ def trades(spark: SparkSession, sf_dir: str, symbol: str) -> DataFrame:
     return (li.join(part, li.l_partkey == part.p_partkey)
             .select("symbol", F.col("l_shipdate").alias("ts"), F.col("l_quantity").alias("size"),
                     (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"),
-                    (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("event_id")))
+                    ((F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("decimal(12,0)") * 100_000_000
+                     + F.round(F.col("l_extendedprice") * 100).cast("decimal(8,0)")).alias("event_id")))
 
 
 def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,13 +113,14 @@ def weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored(spark, sf_dir, "weekly", build)
 
 
-def quotes(spark: SparkSession, sf_dir: str, as_of: str | None = None) -> DataFrame:
+def quotes(spark: SparkSession, sf_dir: str, as_of: str | None = None, half_spread: float = 0.001) -> DataFrame:
     """Latest quote per symbol at a time (default: the last tick)."""
     p = price_path(spark, sf_dir)
     if as_of is not None:
         p = p.where(F.col("ts") <= F.lit(as_of).cast("timestamp_ntz"))
     last = p.groupBy("symbol").agg(F.max_by("price", sequence_key("ts", "event_id")).alias("LAST"))
-    return last.select("symbol", (F.col("LAST") * 0.999).alias("BID"), (F.col("LAST") * 1.001).alias("ASK"),
+    return last.select("symbol", (F.col("LAST") * (1 - half_spread)).alias("BID"),
+                       (F.col("LAST") * (1 + half_spread)).alias("ASK"),
                        "LAST", F.col("LAST").alias("CLOSE"))
 
 
@@ -177,19 +179,20 @@ panel AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS r
 def trades_sql(symbol: str) -> str:
     return f"""
 trades AS (SELECT {symbol} AS symbol, l_shipdate AS ts, l_quantity AS size, l_extendedprice / l_quantity AS price,
-  l_orderkey * 100 + l_linenumber AS event_id FROM lineitem JOIN part ON l_partkey = p_partkey)"""
+  CAST(l_orderkey * 10 + l_linenumber AS HUGEINT) * 100000000 + CAST(round(l_extendedprice * 100) AS HUGEINT) AS event_id FROM lineitem JOIN part ON l_partkey = p_partkey)"""
 
 
 DAILY_SQL = trades_sql("p_type") + """,
-daily AS (SELECT symbol, date_trunc('day', ts) AS ts, arg_min(price, ROW(ts, event_id)) AS open,
+daily0 AS (SELECT symbol, CAST(date_trunc('day', ts) AS TIMESTAMP) AS day, arg_min(price, ROW(ts, event_id)) AS open,
   max(price) AS high, min(price) AS low, arg_max(price, ROW(ts, event_id)) AS close, sum(size) AS volume,
-  sum(price * size) / sum(size) AS wap,
-  row_number() OVER (PARTITION BY symbol ORDER BY date_trunc('day', ts)) - 1 AS rn FROM trades GROUP BY 1, 2)"""
+  sum(price * size) / sum(size) AS wap FROM trades GROUP BY 1, 2),
+daily AS (SELECT * RENAME (day AS ts), row_number() OVER (PARTITION BY symbol ORDER BY day) - 1 AS rn FROM daily0)"""
 
 WEEKLY_SQL = trades_sql("p_brand") + """,
-weekly AS (SELECT symbol, CAST(date_trunc('week', ts) AS TIMESTAMP) AS ts, arg_min(price, ROW(ts, event_id)) AS open,
-  max(price) AS high, min(price) AS low, arg_max(price, ROW(ts, event_id)) AS close, sum(size) AS volume,
-  row_number() OVER (PARTITION BY symbol ORDER BY date_trunc('week', ts)) - 1 AS rn FROM trades GROUP BY 1, 2)"""
+weekly0 AS (SELECT symbol, CAST(date_trunc('week', ts) AS TIMESTAMP) AS week, arg_min(price, ROW(ts, event_id)) AS open,
+  max(price) AS high, min(price) AS low, arg_max(price, ROW(ts, event_id)) AS close, sum(size) AS volume
+  FROM trades GROUP BY 1, 2),
+weekly AS (SELECT * RENAME (week AS ts), row_number() OVER (PARTITION BY symbol ORDER BY week) - 1 AS rn FROM weekly0)"""
 
 QUOTES_SQL = PATH_SQL + """,
 quotes AS (SELECT symbol, last * 0.999e0 AS BID, last * 1.001e0 AS ASK, last AS LAST, last AS CLOSE

@@ -72,7 +72,7 @@ def same(a, b, tol):
     if isinstance(a, tuple) and isinstance(b, tuple):
         return len(a) == len(b) and all(same(x, y, tol) for x, y in zip(a, b))
     if isinstance(a, float) and isinstance(b, (float, int)):
-        return a == b or (tol and math.isclose(a, b, rel_tol=tol, abs_tol=tol))
+        return (a == b and math.copysign(1, a) == math.copysign(1, b)) or (tol and math.isclose(a, b, rel_tol=tol, abs_tol=tol))
     return a == b
 
 
