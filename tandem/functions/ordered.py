@@ -128,3 +128,35 @@ def ema_terms(df: DataFrame, keys: Sequence[str], value: Column, weight: float,
     return (base.join(ends, [*keys, "_b"], "left")
             .withColumn(out, F.col("_s") + F.coalesce(F.col("_carry"), F.lit(0.0)) * F.pow(F.lit(decay), k + 1))
             .drop("_t", "_b", "_k", "_x", "_s", "_carry"))
+
+
+def prefix_frames(df: DataFrame, keys: Sequence[str], values: dict[str, Column], back: int,
+                  finish: Callable[[Callable[[str, int, int], Column]], dict[str, Column]],
+                  rn: str = "rn", offsets: dict[str, Column] | None = None) -> DataFrame:
+    """Long row frames as differences of running sums.
+
+    A sliding frame of W rows costs W updates per row; a difference of two
+    running sums costs one.  ``finish`` gets ``total(name, lo, hi)``, the sum of
+    ``values[name]`` over rows t-lo .. t-hi, and returns the output columns.
+    ``offsets`` are levels taken from each chunk's first row, to be subtracted
+    inside ``values`` so that squares keep their precision.
+    """
+    def build(d, w):
+        running = w.rowsBetween(Window.unboundedPreceding, 0)
+        if offsets:
+            whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+            d = d.withColumns({n: F.first(c, ignorenulls=True).over(whole) for n, c in offsets.items()})
+        d = d.withColumns({f"_p_{n}": F.sum(F.coalesce(c, F.lit(0.0))).over(running) for n, c in values.items()})
+        cache: dict[tuple[str, int], str] = {}
+
+        def prefix(name: str, k: int) -> Column:
+            cache[(name, k)] = f"_l_{name}_{k}"
+            return F.col(f"_l_{name}_{k}")
+
+        outs = finish(lambda name, lo, hi: prefix(name, hi) - prefix(name, lo + 1))
+        d = d.withColumns({alias: F.coalesce(F.lag(f"_p_{n}", k).over(w), F.lit(0.0)) if k
+                           else F.col(f"_p_{n}") for (n, k), alias in cache.items()})
+        d = d.withColumns(outs)
+        return d.drop(*[f"_p_{n}" for n in values], *cache.values(), *(offsets or {}))
+
+    return chunked(df, keys, rn, back + 1, 0, build)

@@ -13,7 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window, functions as F
 
 ACCURACY = 2000
-MARGIN = 2.0 / ACCURACY
+MARGIN = 2.0 / ACCURACY  # twice the sketch's rank error
+SMALL = 20_000  # groups up to this size are ranked whole; beyond it a bracket spans at least 20 ranks a side
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, qs: Sequence[float]) -> DataFrame:
@@ -25,10 +26,11 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, qs: Sequence
         F.count("_v").alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"),
         F.percentile_approx("_v", [float(q) for q in lo_q], ACCURACY).alias("_lo"),
         F.percentile_approx("_v", [float(q) for q in hi_q], ACCURACY).alias("_hi"))
+    small = F.col("_n") <= SMALL
     wanted = sketch.select(*keys, "_n", F.explode(F.array(*[
         F.struct(F.lit(float(q)).alias("q"),
-                 (F.col("_min") if q <= MARGIN else F.col("_lo")[i]).alias("_a"),
-                 (F.col("_max") if q >= 1 - MARGIN else F.col("_hi")[i]).alias("_z"))
+                 (F.col("_min") if q <= MARGIN else F.when(small, F.col("_min")).otherwise(F.col("_lo")[i])).alias("_a"),
+                 (F.col("_max") if q >= 1 - MARGIN else F.when(small, F.col("_max")).otherwise(F.col("_hi")[i])).alias("_z"))
         for i, q in enumerate(qs)])).alias("_w")).select(*keys, "_n", "_w.*")
     values = d.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
     joined = values.join(wanted, list(keys))

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tandem.functions.ordered import carry_forward, chunked, ema_terms
+from tandem.functions.ordered import chunked, ema_terms, prefix_frames
 
 KEY = ("symbol",)
 
@@ -88,19 +88,39 @@ def atr(bars: DataFrame, n: int = 14, out: str = "atr") -> DataFrame:
     return ema_terms(d, ["symbol"], F.col("_tr"), 1.0 / n, n, out, F.col("_seed")).drop("_seed", "_tr", "_pc")
 
 
+def _pair_moments(rows: DataFrame, keys: Sequence[str], window: int, outs) -> DataFrame:
+    """Frames over the rows before each row from running sums of centred moments."""
+    x, y = F.col("x_close") - F.col("_x0"), F.col("y_close") - F.col("_y0")
+    values = {"n": F.lit(1.0), "x": x, "y": y, "xx": x * x, "yy": y * y, "xy": x * y}
+
+    def finish(total):
+        t = {k: total(k, window - 1, 1) for k in values}
+        sxx = t["xx"] - t["x"] * t["x"] / t["n"]
+        syy = t["yy"] - t["y"] * t["y"] / t["n"]
+        sxy = t["xy"] - t["x"] * t["y"] / t["n"]
+        return outs(t, sxx, syy, sxy)
+
+    return prefix_frames(rows, keys, values, window, finish,
+                         offsets={"_x0": F.col("x_close"), "_y0": F.col("y_close")})
+
+
 def rolling_corr(pair_rows: DataFrame, n: int, keys: Sequence[str] = ("n1", "n2")) -> DataFrame:
     """Correlation over the n-1 rows before each row, from row n on."""
-    return framed(pair_rows, {"corr": F.corr("x_close", "y_close")}, n - 1, exclude_current=True,
-                  min_rows=n, keys=keys)
+    return _pair_moments(pair_rows, keys, n, lambda t, sxx, syy, sxy: {
+        "corr": F.when((F.col("rn") >= n - 1) & (sxx > 0) & (syy > 0), sxy / F.sqrt(sxx * syy))})
 
 
 def rolling_linreg(pair_rows: DataFrame, window: int = 780, min_rows: int = 100,
                    keys: Sequence[str] = ("n1", "n2")) -> DataFrame:
     """Slope and intercept per bar from the rows before it, and the spread they give."""
-    y, x = F.col("y_close"), F.col("x_close")
-    d = framed(pair_rows, {"slope": F.regr_slope(y, x), "intercept": F.regr_intercept(y, x)}, window - 1,
-               exclude_current=True, min_rows=min_rows, keys=keys)
-    return d.withColumn("diff", F.col("intercept") + F.col("slope") * x - y)
+    def outs(t, sxx, syy, sxy):
+        slope = sxy / sxx
+        level = F.col("_y0") + t["y"] / t["n"] - slope * (F.col("_x0") + t["x"] / t["n"])
+        ready = (F.col("rn") >= min_rows - 1) & (sxx > 0)
+        return {"slope": F.when(ready, slope), "intercept": F.when(ready, level)}
+
+    d = _pair_moments(pair_rows, keys, window, outs)
+    return d.withColumn("diff", F.col("intercept") + F.col("slope") * F.col("x_close") - F.col("y_close"))
 
 
 def linreg_summary(rows: DataFrame, keys: Sequence[str] = ("n1", "n2")) -> DataFrame:
