@@ -187,8 +187,11 @@ long AS (SELECT symbol, rn, regexp_extract(name, '^(.*)_[^_]+$', 1) AS estimator
 
 
 def cone_long(spark, sf):
-    wide = vol.rolling_volatility(feeds.panel(spark, sf), CONE, SCALE_10M, EST)
-    return vol.volatility_long(wide, CONE, EST)
+    """Read several times by the quantile steps, so it is written once."""
+    def build():
+        wide = vol.rolling_volatility(feeds.panel(spark, sf), CONE, SCALE_10M, EST)
+        return vol.volatility_long(wide, CONE, EST)
+    return feeds.stored(spark, sf, "cone", build)
 
 
 @query("w13_vol_cone", with_(_cone_long_sql(), """
