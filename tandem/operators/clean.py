@@ -100,12 +100,24 @@ def _with_calendar(days: DataFrame, models: DataFrame, value: str) -> DataFrame:
     return marks.withColumn(value, F.min(value).over(w)).where("model_date is not null").select("model_date", value)
 
 
-def test_window(bars: DataFrame, models: DataFrame) -> DataFrame:
-    """Rows of the trading day after each ``model_date`` (second day at or after it)."""
-    days = trading_days(bars)
-    nexts = days.withColumn("second", F.lead("day").over(Window.partitionBy(F.lit(0)).orderBy("day")))
+def test_window(bars: DataFrame, models: DataFrame, next_open: bool = False) -> DataFrame:
+    """Rows of the trading day after each ``model_date`` (second day at or after it).
+
+    With ``next_open`` the first bar of the day after is added, at which a
+    position that is still open gets closed.
+    """
+    days = bars.groupBy(F.to_date("ts").alias("day")).agg(F.min("ts").alias("_open"))
+    cal = Window.partitionBy(F.lit(0)).orderBy("day")
+    nexts = days.select("day", F.lead("day").over(cal).alias("second"))
     second = _with_calendar(nexts, models, "second").where("second is not null")
-    return (bars.withColumn("second", F.to_date("ts")).join(second, "second").drop("second"))
+    opens = days.select(F.col("day").alias("second"), F.lead("_open").over(cal).alias("next_open_ts"))
+    second = second.join(opens, "second")
+    day_rows = bars.withColumn("second", F.to_date("ts")).join(second, "second").drop("second", "next_open_ts")
+    if not next_open:
+        return day_rows
+    following = (bars.join(second.select("model_date", F.col("next_open_ts").alias("ts")).where("ts is not null"), "ts")
+                 .select(*day_rows.columns))
+    return day_rows.unionByName(following)
 
 
 def bt_range(bars: DataFrame, models: DataFrame, days: float = 1.5, session_hours: float = 6.5) -> DataFrame:

@@ -130,16 +130,44 @@ def regress_all(panel: DataFrame, keys: Sequence[str] = ("n1", "n2"), hurst: boo
     return pair_regressions(rows, list(keys), hurst)
 
 
+def rn_at_or_after(panel: DataFrame, targets: DataFrame, at: str, out: str) -> DataFrame:
+    """Row number of the first panel time at or after each distinct ``at``.
+
+    Looked up inside the day first, then at the next day with rows, so only the
+    calendar (one row per day) meets an unpartitioned window.
+    """
+    times = panel.groupBy("ts").agg(F.first("rn").alias("rn")).withColumn("day", F.to_date("ts"))
+    want = targets.select(at).distinct().withColumn("day", F.to_date(at))
+    same = (want.join(times, "day").where(F.col("ts") >= F.col(at)).groupBy(at).agg(F.min("rn").alias("_same")))
+    days = times.groupBy("day").agg(F.min("rn").alias("_first"))
+    marks = days.unionByName(want, allowMissingColumns=True)
+    later = Window.partitionBy(F.lit(0)).orderBy("day").rangeBetween(1, Window.unboundedFollowing)
+    marks = marks.withColumn("day", F.datediff("day", F.lit("1970-01-01").cast("date")))
+    nexts = marks.withColumn("_next", F.min("_first").over(later)).where(F.col(at).isNotNull()).select(at, "_next")
+    return nexts.join(same, at, "left").select(at, F.coalesce("_same", "_next").alias(out))
+
+
 def ols_models(panel: DataFrame, candidates: DataFrame) -> DataFrame:
     """Model row per candidate over the bars since ``start_of_pmin``."""
-    times = panel.groupBy("ts").agg(F.first("rn").alias("rn"))
-    starts = candidates.select("start_of_pmin").distinct()
-    # Ranges of one column of times against the few distinct starts: rank by as-of order.
-    marks = times.unionByName(starts.select(F.col("start_of_pmin").alias("ts"), "start_of_pmin"), allowMissingColumns=True)
-    w = Window.partitionBy(F.lit(0)).orderBy("ts").rangeBetween(Window.currentRow, Window.unboundedFollowing)
-    first_rn = marks.withColumn("start_rn", F.min("rn").over(w)).where("start_of_pmin is not null").select("start_of_pmin", "start_rn")
-    windows = candidates.join(first_rn, "start_of_pmin").withColumn("n1", F.split("pair", "_")[0]).withColumn(
-        "n2", F.split("pair", "_")[1])
+    first_rn = rn_at_or_after(panel, candidates, "start_of_pmin", "start_rn")
+    windows = (candidates.join(first_rn, "start_of_pmin").withColumn("n1", F.split("pair", "_")[0])
+               .withColumn("n2", F.split("pair", "_")[1]))
     got = regress_windows(leg_features(panel), windows, ["n1", "n2"])
     keep = got.select(F.concat_ws("_", "n1", "n2").alias("pair"), "s", "i", "m", "st", "halflife", F.col("he").alias("HE"))
     return keep.join(candidates, "pair")
+
+
+def dated_models(panel: DataFrame, model_dates: DataFrame, days: int = 14) -> DataFrame:
+    """Regression of every pair over the trailing ``days`` of every model date.
+
+    The per-date loop of a study becomes a column: all dates are fitted in one
+    aggregation over (pair, model_date).
+    """
+    ends = (panel.groupBy(F.to_date("ts").alias("day")).agg(F.max("ts").alias("end_ts"), F.max("rn").alias("end_rn"))
+            .join(model_dates.select(F.col("model_date").alias("day")).distinct(), "day")
+            .withColumn("_from", minus_days("end_ts", days)))
+    starts = ends.join(rn_at_or_after(panel, ends, "_from", "start_rn"), "_from")
+    rows = leg_pairs(leg_features(panel)).join(
+        F.broadcast(starts.select(F.col("day").alias("model_date"), "start_rn", "end_rn", "end_ts")),  # one row per model date
+        F.expr("rn between start_rn and end_rn"))
+    return pair_regressions(rows, ["n1", "n2", "model_date", "start_rn", "end_rn", "end_ts"])
