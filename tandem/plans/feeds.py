@@ -208,5 +208,5 @@ chain AS (SELECT p_partkey || '-' || k AS contract, p_partkey, k AS option_type,
   0.1e0 + 0.01e0 * (p_partkey % 40) AS v FROM part, (VALUES ('c'), ('p')) o(k))"""
 
 
-def with_(ctes: str, body: str) -> str:
+def with_(ctes: str, body: str = "") -> str:
     return "WITH " + ctes.strip() + "\n" + body.strip()
