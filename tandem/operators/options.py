@@ -113,11 +113,17 @@ def date_range(as_of: Column, days: int) -> tuple[Column, Column]:
     return fmt(F.date_sub(as_of, days)), fmt(F.date_add(as_of, 1))
 
 
-def iv_hv_report(prices: DataFrame, hv: DataFrame, iv: DataFrame) -> DataFrame:
-    """Price with the latest historical and implied volatility, their ratio, and the ratio's rank."""
+def iv_hv_rows(prices: DataFrame, hv: DataFrame, iv: DataFrame) -> DataFrame:
+    """Price with the latest historical and implied volatility and their ratio."""
     from tandem.operators.asof import asof_join
+    d = asof_join(asof_join(prices, hv, ["symbol"], ["hv"]), iv, ["symbol"], ["iv"])
+    return d.where("hv > 0 and iv is not null").withColumn("iv_hv", F.col("iv") / F.col("hv"))
+
+
+def iv_hv_report(rows: DataFrame) -> DataFrame:
+    """Rank of the implied volatility and of the ratio within the symbol's history.
+
+    ``rows`` are read several times by the quantile steps: hand in a written table.
+    """
     from tandem.operators.volatility import quantile_rank_series
-    d = asof_join(prices, hv, ["symbol"], ["hv"])
-    d = asof_join(d, iv, ["symbol"], ["iv"]).where("hv > 0 and iv is not null").withColumn("iv_hv", F.col("iv") / F.col("hv"))
-    d = quantile_rank_series(d, ["symbol"], "iv", "iv_rank")
-    return quantile_rank_series(d, ["symbol"], "iv_hv", "iv_hv_rank")
+    return quantile_rank_series(quantile_rank_series(rows, ["symbol"], "iv", "iv_rank"), ["symbol"], "iv_hv", "iv_hv_rank")

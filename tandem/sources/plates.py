@@ -18,9 +18,9 @@ def invert_plates(rows: DataFrame, weight: float = 1.0) -> DataFrame:
     return clean.groupBy("symbol").agg(F.map_from_entries(F.collect_list(entry)).alias("plates"))
 
 
-def read_plates(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(stocks, plate names) of a plates document; one document per line or file."""
-    doc = spark.read.schema(schemas.PLATES).option("multiLine", True).json(path)
+def read_plates(spark: SparkSession, path: str, pretty: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(stocks, plate names) of plates documents, one per line (one per file when ``pretty``)."""
+    doc = spark.read.schema(schemas.PLATES).option("multiLine", pretty).json(path)
     stocks = doc.select(F.explode("stocks").alias("symbol", "_s")).select("symbol", "_s.*")
     names = doc.select(F.explode("plateCodeToCnName").alias("code", "name"))
     return stocks, names
