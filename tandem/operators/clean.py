@@ -41,8 +41,8 @@ def drop_incomplete_symbols(bars: DataFrame, cols: Sequence[str]) -> DataFrame:
     for c in cols:
         whole = whole & F.col(c).isNotNull()
     per_symbol = bars.groupBy("symbol").agg(F.count(F.when(whole, 1)).alias("_n"))
-    times = bars.select("ts").distinct().agg(F.count("ts").alias("_t"))
-    keep = per_symbol.join(F.broadcast(times), F.col("_n") == F.col("_t")).select("symbol")
+    times = bars.agg(F.count_distinct("ts"))
+    keep = per_symbol.where(F.col("_n") == times.scalar()).select("symbol")
     return bars.join(keep, "symbol", "left_semi")
 
 
@@ -66,8 +66,8 @@ def slice_until(bars: DataFrame, end_date: str) -> DataFrame:
 
 def trailing(bars: DataFrame, days: int) -> DataFrame:
     """Rows of the last ``days`` calendar days before the latest time, inclusive."""
-    last = bars.agg(F.max("ts").alias("_max"))  # one row
-    return bars.join(F.broadcast(last), F.col("ts") >= minus_days("_max", days)).drop("_max")
+    last = bars.agg(F.max("ts"))
+    return bars.where(F.col("ts") >= minus_days(last.scalar(), days))
 
 
 def tail(bars: DataFrame, n: int, rn: str = "rn") -> DataFrame:
@@ -81,8 +81,8 @@ def assert_span(bars: DataFrame, days: int) -> DataFrame:
     span = bars.agg(F.min("ts").alias("_a"), F.max("ts").alias("_z"))
     ok = minus_days("_z", days) > F.col("_a")
     checked = span.select(F.when(ok, F.lit(True)).otherwise(
-        F.raise_error(F.lit(f"bars span no more than {days} days"))).alias("_ok"))
-    return bars.join(F.broadcast(checked), F.col("_ok")).drop("_ok")
+        F.raise_error(F.lit(f"bars span no more than {days} days")).cast("boolean")))
+    return bars.where(checked.scalar())
 
 
 def trading_days(bars: DataFrame) -> DataFrame:
@@ -143,8 +143,8 @@ def bt_range(bars: DataFrame, models: DataFrame, days: float = 1.5, session_hour
 
 def trading_dates(bars: DataFrame, skip_days: int = 28) -> DataFrame:
     """Day after each trading day, once ``skip_days`` have passed since the first bar."""
-    first = bars.agg(F.min("ts").alias("_a"))
-    late = bars.select("ts").join(F.broadcast(first), minus_days("ts", skip_days) >= F.col("_a"))
+    first = bars.agg(F.min("ts"))
+    late = bars.where(minus_days("ts", skip_days) >= first.scalar())
     return late.select(F.date_add(F.to_date("ts"), 1).alias("model_date")).distinct()
 
 

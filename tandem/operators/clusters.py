@@ -96,7 +96,7 @@ def centroid_scores(assigned: DataFrame, features: DataFrame) -> DataFrame:
              .join(per.select(F.col("cluster").alias("j"), F.col("s").alias("sj")), "j")
              .withColumn("r", (F.col("si") + F.col("sj")) / F.col("m")))
     db = ratio.groupBy("i").agg(F.max("r").alias("r")).agg(F.avg("r").alias("davies_bouldin"))
-    return ch.join(F.broadcast(db))  # two single rows
+    return ch.withColumn("davies_bouldin", db.scalar())
 
 
 def size_ratio(assigned: DataFrame) -> DataFrame:
@@ -110,8 +110,8 @@ def size_ratio(assigned: DataFrame) -> DataFrame:
 
 def cluster_scores(assigned: DataFrame, features: DataFrame, distances: DataFrame) -> DataFrame:
     """All scores of one clustering: a single row."""
-    return (centroid_scores(assigned, features).join(F.broadcast(silhouette(assigned, distances)))
-            .join(F.broadcast(size_ratio(assigned))))
+    return centroid_scores(assigned, features).withColumns({
+        "silhouette": silhouette(assigned, distances).scalar(), "size_ratio": size_ratio(assigned).scalar()})
 
 
 def best_k(features: DataFrame, distances: DataFrame, ks: Iterable[int], gamma: float) -> DataFrame:

@@ -90,9 +90,9 @@ def johansen_from_moments(m: DataFrame) -> DataFrame:
 
 def johansen(panel: DataFrame, days: Sequence[int], legs: DataFrame | None = None) -> DataFrame:
     """One-lag Johansen test of every pair over trailing windows of ``days``."""
-    starts = horizon_starts(panel, days).select("days", "start_rn", "start_ts", "end_ts")
+    starts = horizon_starts(panel, days).agg(F.collect_list(F.struct("days", "start_rn", "start_ts", "end_ts")))  # one entry per horizon
     rows = leg_pairs(legs if legs is not None else leg_features(panel, hurst=False))
-    rows = rows.join(F.broadcast(starts), F.col("rn") >= F.col("start_rn"))  # one row per horizon
+    rows = rows.withColumn("_h", F.explode(starts.scalar())).select(*rows.columns, "_h.*").where("rn >= start_rn")
     return johansen_from_moments(johansen_moments(rows, ["n1", "n2", "days", "start_rn", "start_ts", "end_ts"]))
 
 
@@ -112,9 +112,9 @@ def js_candidates(panel: DataFrame, days: Sequence[int] = (14, 28, 42), max_hurs
                      std_rate().alias("std_rate"), F.col("he").alias("he_0"), F.col("halflife").alias("hl_bars_0"),
                      F.col("st").alias("std0"), F.col("i").alias("mean0"), "x_last", "y_last", "start", "end")
     good = one.where("hl_bars_0 > 0")
-    total = panel.agg((F.max("rn") + 1).alias("_n"))
-    windows = good.join(F.broadcast(total)).select(
-        "n1", "n2", F.greatest(F.col("_n") - F.bround("hl_bars_0", 0).cast("bigint"), F.lit(0)).alias("start_rn"))
+    total = panel.agg(F.max("rn") + 1)
+    windows = good.select(
+        "n1", "n2", F.greatest(total.scalar() - F.bround("hl_bars_0", 0).cast("bigint"), F.lit(0)).alias("start_rn"))
     two = regress_windows(leg_features(panel, hurst=False), windows, ["n1", "n2"], hurst=False).select(
         "n1", "n2", F.col("s").alias("s_hllr"), F.col("fast_s").alias("s_hlfast"))
     rows = (good.join(two, ["n1", "n2"]).withColumn("interval_secs", F.lit(float(interval_secs)))
@@ -231,8 +231,7 @@ def coint_candidates(panel: DataFrame, days: Sequence[int] = (14, 28, 42)) -> Da
 
     A group is one pair over the longest horizon; the shorter ones are its tails.
     """
-    longest = panel.join(F.broadcast(panel.agg(F.max("ts").alias("_max"))),
-                         F.expr(f"ts >= _max - INTERVAL {int(max(days))} DAYS")).drop("_max")
+    longest = clean.trailing(panel, int(max(days)))
     horizons = list(days)
     fields = ", ".join(f"p_{d} double" for d in horizons)
 
@@ -261,8 +260,8 @@ def top_pairs(candidates: DataFrame, n: int = 100) -> DataFrame:
     return candidates.orderBy("p", "pair").limit(n)
 
 
-def pair_tests(panel: DataFrame) -> DataFrame:
-    """Stationarity of each leg, correlation with p, and cointegration, per pair."""
+def pair_tests(panel: DataFrame, days: int = 60) -> DataFrame:
+    """Stationarity of each leg, correlation with p, and cointegration, per pair over the last ``days``."""
     def test(keys, g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("rn")
         x, y = g["x"].to_numpy(), g["y"].to_numpy()
@@ -270,7 +269,7 @@ def pair_tests(panel: DataFrame) -> DataFrame:
         return pd.DataFrame([{"n1": keys[0], "n2": keys[1], "p_x": adf_p(x), "p_y": adf_p(y), "corr": r,
                               "p_corr": pearson_p(r, len(x)), "p_coint": engle_granger_p(x, y)}])
 
-    return _pair_series(panel).groupBy("n1", "n2").applyInPandas(
+    return _pair_series(clean.trailing(panel, days)).groupBy("n1", "n2").applyInPandas(
         test, "n1 string, n2 string, p_x double, p_y double, corr double, p_corr double, p_coint double")
 
 
@@ -289,8 +288,8 @@ def _window_groups(series: DataFrame, chunk_days: int, reach_days: int) -> DataF
     neighbouring end days shares its rows, so the repeat is reach/chunk + 1.
     """
     day = F.floor(epoch_seconds("ts") / 86_400)
-    last = series.agg(F.max(day).alias("_last"), F.min(day).alias("_first"))
-    d = series.withColumn("_day", day).join(F.broadcast(last))
+    edge = lambda fn: series.agg(fn(day)).scalar()
+    d = series.withColumns({"_day": day, "_last": edge(F.max), "_first": edge(F.min)})
     top = F.least(F.col("_day") + reach_days, F.col("_last") + 1)
     chunks = F.sequence(F.floor(F.col("_day") / chunk_days), F.floor(top / chunk_days))
     return d.withColumn("chunk", F.explode(chunks))

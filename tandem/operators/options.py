@@ -96,8 +96,8 @@ def business_year_fraction(spans: DataFrame, calendar: DataFrame, start: str = "
     A running count per calendar day turns the range into two equi-joins.
     """
     edge = calendar.agg(F.min("day").alias("_a"), F.max("day").alias("_z"))
-    ends = spans.agg(F.min(start).alias("_s"), F.max(end).alias("_e"))
-    every = (edge.join(F.broadcast(ends)).select(F.explode(F.sequence(F.least("_a", "_s"), F.greatest("_z", "_e"))).alias("day")))
+    low, high = spans.agg(F.min(start)).scalar(), spans.agg(F.max(end)).scalar()
+    every = edge.select(F.explode(F.sequence(F.least(F.col("_a"), low), F.greatest(F.col("_z"), high))).alias("day"))
     w = Window.partitionBy(F.lit(0)).orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
     counted = (every.join(calendar.select("day").distinct().withColumn("_open", F.lit(1)), "day", "left")
                .withColumn("_before", F.coalesce(F.sum("_open").over(w), F.lit(0))).select("day", "_before"))

@@ -44,12 +44,11 @@ def leg_pairs(legs: DataFrame) -> DataFrame:
 
 def horizon_starts(panel: DataFrame, days: Sequence[int]) -> DataFrame:
     """(days, start_ts, start_rn, end_ts, end_rn) of the trailing windows of the panel."""
-    times = panel.groupBy("ts").agg(F.first("rn").alias("rn"))
-    end = times.agg(F.max("ts").alias("end_ts"), F.max("rn").alias("end_rn"))
-    want = end.select("*", F.explode(F.array(*[F.lit(d) for d in days])).alias("days"))
-    want = want.withColumn("_from", minus_days("end_ts", F.col("days")))
-    hit = times.join(F.broadcast(want), F.col("ts") >= F.col("_from"))
-    return hit.groupBy("days", "end_ts", "end_rn").agg(F.min("ts").alias("start_ts"), F.min("rn").alias("start_rn"))
+    end = panel.agg(F.max("ts")).scalar()
+    parts = [F.struct(F.lit(d).alias("days"), F.min(F.when(F.col("ts") >= minus_days(end, d), F.col("ts"))).alias("start_ts"),
+                      F.min(F.when(F.col("ts") >= minus_days(end, d), F.col("rn"))).alias("start_rn")) for d in days]
+    row = panel.agg(F.max("ts").alias("end_ts"), F.max("rn").alias("end_rn"), F.array(*parts).alias("_h"))
+    return row.select("end_ts", "end_rn", F.explode("_h").alias("_h")).select("_h.*", "end_ts", "end_rn")
 
 
 def _spread_var(slope: Column, vx: str, cxy: str, vy: str) -> Column:
@@ -167,7 +166,9 @@ def dated_models(panel: DataFrame, model_dates: DataFrame, days: int = 14) -> Da
             .join(model_dates.select(F.col("model_date").alias("day")).distinct(), "day")
             .withColumn("_from", minus_days("end_ts", days)))
     starts = ends.join(rn_at_or_after(panel, ends, "_from", "start_rn"), "_from")
-    rows = leg_pairs(leg_features(panel)).join(
-        F.broadcast(starts.select(F.col("day").alias("model_date"), "start_rn", "end_rn", "end_ts")),  # one row per model date
-        F.expr("rn between start_rn and end_rn"))
+    # Every day of a window names its model date, so rows meet windows by day.
+    windows = starts.select(F.col("day").alias("model_date"), "start_rn", "end_rn", "end_ts",
+                            F.explode(F.sequence(F.to_date("_from"), F.col("day"))).alias("day"))
+    rows = (leg_pairs(leg_features(panel)).withColumn("day", F.to_date("ts")).join(windows, "day").drop("day")
+            .where("rn between start_rn and end_rn"))
     return pair_regressions(rows, ["n1", "n2", "model_date", "start_rn", "end_rn", "end_ts"])

@@ -183,8 +183,8 @@ _PAIR_SQL = """
 SELECT pair FROM pairs WHERE n1 IN (SELECT symbol FROM inc) AND n2 IN (SELECT symbol FROM inc)"""))
 def _(spark, sf):
     b = feeds.bars(spark, sf, "1 hour")
-    total = b.agg((F.sum("volume") / 5.5).alias("_t"))
-    inc = b.groupBy("symbol").agg(F.sum("volume").alias("_v")).join(F.broadcast(total), F.col("_v") > F.col("_t"))
+    share = b.agg(F.sum("volume") / 5.5)
+    inc = b.groupBy("symbol").agg(F.sum("volume").alias("_v")).where(F.col("_v") > share.scalar())
     return clean.filter_pairs(pairs.enumerate_pairs(b), include=inc, available=b).select("pair")
 
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tandem import schemas
 from tandem.operators.asof import universe_list
 from tandem.plans import feeds
 from tandem.plans.feeds import bars_sql, with_
@@ -61,18 +60,15 @@ def _(spark, sf):
     for s in universe_list(b):  # one file per symbol is the layout this reader exists for
         one = b.where(F.col("symbol") == s).select(F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("time_key"), F.col("symbol").alias("code"),
                                                    "open", "close", "high", "low", "volume", (F.col("close") * F.col("volume")).alias("turnover"))
-        one.coalesce(1).write.option("header", True).csv(f"{root}/{s}.K1M.csv")
-    d = spark.read.schema(schemas.KLINE).option("header", True).option("recursiveFileLookup", True).csv(root)
-    name = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+\.K[^/]*\.csv)/", 1)
-    return d.select(F.regexp_extract(name, r"^(.*)\.K[0-9A-Z]+\.csv$", 1).alias("symbol"), F.regexp_extract(name, r"\.(K[0-9A-Z]+)\.csv$", 1).alias("ktype"),
-                    F.col("time_key").alias("ts"), "open", "high", "low", "close", "volume")
+        one.write.option("header", True).csv(f"{root}/{s}.K1M.csv")
+    return sb.read_kline(spark, root).drop("turnover")
 
 
 @query("s04_file_inventory", """
 WITH n AS (SELECT o_orderkey, c_name AS symbol, strftime(o_orderdate, '%Y%m%d') AS start, strftime(o_orderdate + INTERVAL '30 days', '%Y%m%d') AS "end" FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 10 <> 0)
-SELECT start, "end", string_agg(DISTINCT symbol, ',' ORDER BY symbol) AS symbols FROM n GROUP BY 1, 2""")
+SELECT CAST(o_orderkey AS VARCHAR) AS seq, symbol, start, "end", '5m' AS interval, count(*) OVER (PARTITION BY start, "end") AS files FROM n""")
 def _(spark, sf):
-    return sb.group_inventory(inventory(spark, sf)).select("start", "end", F.array_join("symbols", ",").alias("symbols"))
+    return sb.group_inventory(inventory(spark, sf))
 
 
 def inventory(spark, sf):

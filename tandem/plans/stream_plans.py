@@ -122,7 +122,7 @@ def _(spark, sf):
 
 
 @query("r06_book_top", """
-WITH l AS (SELECT l_orderkey, round(l_extendedprice / l_quantity, 2) AS price, CAST(sum(l_quantity) AS BIGINT) AS volume, l_linestatus AS side FROM lineitem GROUP BY ALL),
+WITH l AS (SELECT l_orderkey, floor(l_extendedprice / l_quantity) AS price, CAST(sum(l_quantity) AS BIGINT) AS volume, l_linestatus AS side FROM lineitem GROUP BY ALL),
 s AS (SELECT l_orderkey, min(CASE WHEN side = 'O' THEN price END) AS best_ask, max(CASE WHEN side <> 'O' THEN price END) AS best_bid,
   CAST(coalesce(sum(CASE WHEN side = 'O' THEN volume END), 0) AS BIGINT) AS ask_depth, CAST(coalesce(sum(CASE WHEN side <> 'O' THEN volume END), 0) AS BIGINT) AS bid_depth,
   CAST(greatest(count(*) FILTER (side = 'O'), count(*) FILTER (side <> 'O')) AS INTEGER) AS levels FROM l GROUP BY 1)
@@ -135,7 +135,7 @@ def _(spark, sf):
 def books(spark, sf):
     """Order books out of orders: each order's lines are the levels (an order has a handful)."""
     li = feeds.table(spark, sf, "lineitem")
-    levels = li.groupBy("l_orderkey", "l_linestatus", F.round(F.col("l_extendedprice") / F.col("l_quantity"), 2).alias("price")).agg(
+    levels = li.groupBy("l_orderkey", "l_linestatus", F.floor(F.col("l_extendedprice") / F.col("l_quantity")).cast("double").alias("price")).agg(
         F.sum("l_quantity").cast("bigint").alias("volume"), F.count(F.lit(1)).cast("int").alias("order_num"))
     level = F.struct("price", "volume", "order_num")
     side = lambda o, asc: F.sort_array(F.collect_list(F.when((F.col("l_linestatus") == "O") == o, level)), asc=asc)

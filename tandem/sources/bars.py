@@ -68,10 +68,10 @@ def write_bars_wide(bars: DataFrame, symbols: Sequence[str], path: str,
 
 
 def read_kline(spark: SparkSession, folder: str) -> DataFrame:
-    """One CSV per symbol and interval, named ``CODE.KTYPE.csv`` (codes may contain dots)."""
+    """One CSV (file or folder of parts) per symbol and interval, named ``CODE.KTYPE.csv``; codes may contain dots."""
     d = spark.read.schema(schemas.KLINE).option("header", True).option("recursiveFileLookup", True).csv(folder)
-    name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
-    pattern = r"^(.*)\.(K1M|K5M|K30M|KD|KW|KMON|KY)\.csv"
+    name = F.col("_metadata.file_path")
+    pattern = r"/([^/]+)\.(K1M|K5M|K30M|KD|KW|KMON|KY)\.csv(?:/[^/]*)?$"
     return d.select(F.regexp_extract(name, pattern, 1).alias("symbol"), F.regexp_extract(name, pattern, 2).alias("ktype"),
                     F.col("time_key").alias("ts"), "open", "high", "low", "close", "volume", "turnover")
 
@@ -91,8 +91,9 @@ def scan_file_inventory(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def group_inventory(inventory: DataFrame) -> DataFrame:
-    """Symbols per (start, end); a download group is as large as the symbol universe."""
-    return inventory.groupBy("start", "end").agg(F.array_sort(F.collect_set("symbol")).alias("symbols"))
+    """Each file with the number of files of its (start, end) group: rows, not lists, so a large group stays spread out."""
+    sizes = inventory.groupBy("start", "end").agg(F.count(F.lit(1)).alias("files"))
+    return inventory.join(sizes, ["start", "end"])
 
 
 def shard_of(symbol: Column, shards: int = 20) -> Column:
