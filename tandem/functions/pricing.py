@@ -88,7 +88,7 @@ def reject_reason(model: str = "merton") -> Column:
     return reason
 
 
-def implied_vol_european(chain: DataFrame, price: str = "price", model: str = "merton", steps: int = 60,
+def implied_vol_european(chain: DataFrame, price: str = "price", model: str = "merton", steps: int = 40,
                          precision: float = 1e-5) -> DataFrame:
     """Volatility that reproduces ``price``: bisection over the allowed range; NULL when none does."""
     side = F.when(F.col("option_type") == "c", 1.0).otherwise(-1.0)

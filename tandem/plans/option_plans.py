@@ -124,9 +124,14 @@ def _(spark, sf):
     return pr.price_spread_option(c).select("contract", F.round("value", 6).alias("value"))
 
 
+def spread_out(df):
+    """Pricing costs far more than moving a row: use every core whatever the input's file layout."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
 def american_chain(spark, sf):
     """The chain with dividends, so that early exercise matters on both sides."""
-    return feeds.option_chain(spark, sf).withColumns({"r": F.lit(0.04), "q": 0.002 * (F.col("p_partkey") % 40)})
+    return spread_out(feeds.option_chain(spark, sf)).withColumns({"r": F.lit(0.04), "q": 0.002 * (F.col("p_partkey") % 40)})
 
 
 @query("c04_price_american")
@@ -144,7 +149,7 @@ def _(spark, sf):
 @query("c05_implied_vol_european", with_(CHAIN_SQL + gbs_sql("chain", "r - q"), """
 SELECT contract, round(value, 5) + 0 AS value, CASE WHEN vega > 2 THEN round(v, 5) END AS iv FROM priced"""))
 def _(spark, sf):
-    c = pr.price_european(feeds.option_chain(spark, sf)).withColumnRenamed("value", "price").drop("delta", "gamma", "theta", "rho")
+    c = pr.price_european(spread_out(feeds.option_chain(spark, sf))).withColumnRenamed("value", "price").drop("delta", "gamma", "theta", "rho")
     d = pr.implied_vol_european(c)
     again = pr.price_european(d.withColumn("v", F.col("iv")).withColumnRenamed("vega", "_vega"))
     return again.select("contract", F.round("value", 5).alias("value"), F.when(F.col("_vega") > 2, F.round("iv", 5)).alias("iv"))
@@ -158,7 +163,7 @@ def _(spark, sf):
 
 @query("c06_mc_price_chain")
 def _(spark, sf):
-    return op.mc_price_chain(feeds.option_chain(spark, sf), paths=500)
+    return op.mc_price_chain(spread_out(feeds.option_chain(spark, sf)), paths=500)
 
 
 STRUCT_SQL = """
@@ -187,13 +192,13 @@ grid AS (SELECT p_partkey, structure, option_type, x, sign, kept, stock, r, q, v
 SELECT p_partkey, structure, CAST(step AS INTEGER) AS step, CAST(point AS INTEGER) AS point, round(sum(sign * (value - v0) + kept * v0 + stock * (fs - fs0)), 6) + 0 AS pnl
 FROM priced GROUP BY 1, 2, 3, 4"""))
 def _(spark, sf):
-    d = op.scenario_grid(structures(spark, sf), ["p_partkey", "structure"], points=11)
+    d = op.scenario_grid(spread_out(structures(spark, sf)), ["p_partkey", "structure"], points=11)
     return d.select("p_partkey", "structure", "step", "point", F.round("pnl", 6).alias("pnl"))
 
 
 @query("c07_scenario_grid_american")
 def _(spark, sf):
-    d = op.scenario_grid(structures(spark, sf), ["p_partkey", "structure"], points=5, american=True)
+    d = op.scenario_grid(spread_out(structures(spark, sf)), ["p_partkey", "structure"], points=5, american=True)
     return d.select("p_partkey", "structure", "step", "point", F.round("pnl", 6).alias("pnl"))
 
 
@@ -201,7 +206,7 @@ def _(spark, sf):
 curve AS (SELECT contract, option_type, fs, fs * 0.7e0 + (fs * 1.3e0 - fs * 0.7e0) * point / 20 AS x, t, r, q, v, point FROM chain, generate_series(0, 20) g(point))""" + gbs_sql("curve", "r - q") + """
 SELECT contract, CAST(point AS INTEGER) AS point, round(value, 6) + 0 AS value, round(delta, 6) + 0 AS delta FROM priced"""))
 def _(spark, sf):
-    d = op.premium_curve(feeds.option_chain(spark, sf), "x", F.col("fs") * 0.7, F.col("fs") * 1.3, 21)
+    d = op.premium_curve(spread_out(feeds.option_chain(spark, sf)), "x", F.col("fs") * 0.7, F.col("fs") * 1.3, 21)
     return d.select("contract", "point", F.round("value", 6).alias("value"), F.round("delta", 6).alias("delta"))
 
 
@@ -209,7 +214,7 @@ def _(spark, sf):
 curve AS (SELECT contract, option_type, fs, x, t, r, q, 0.01e0 + (0.5e0 - 0.01e0) * point / 10 AS v, point FROM chain, generate_series(0, 10) g(point))""" + gbs_sql("curve", "r - q") + """
 SELECT contract, CAST(point AS INTEGER) AS point, round(value, 6) + 0 AS value FROM priced"""))
 def _(spark, sf):
-    d = op.premium_curve(feeds.option_chain(spark, sf), "v", F.lit(0.01), F.lit(0.5), 11)
+    d = op.premium_curve(spread_out(feeds.option_chain(spark, sf)), "v", F.lit(0.01), F.lit(0.5), 11)
     return d.select("contract", "point", F.round("value", 6).alias("value"))
 
 

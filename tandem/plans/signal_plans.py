@@ -284,10 +284,9 @@ def _(spark, sf):
     return leg_trades(spark, sf).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "pos_x", "pos_y")
 
 
-@query("e08_pair_pnl", with_(LEG_SQL, "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(profit, 5) + 0 AS profit, round(rt, 7) + 0 AS rt FROM pnl"))
+@query("e08_pair_pnl", with_(LEG_SQL, "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, profit, rt FROM pnl"))
 def _(spark, sf):
-    return leg_trades(spark, sf).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round("profit", 5).alias("profit"),
-                                        F.round("rt", 7).alias("rt"))
+    return leg_trades(spark, sf).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "profit", "rt")
 
 
 @query("e09_profit_cap", with_(RANGE_SQL, """

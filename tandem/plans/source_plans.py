@@ -107,8 +107,8 @@ def _(spark, sf):
 
 
 @query("s09_models_round_trip", with_(LEG_SQL, """
-SELECT n1 || '_' || n2 AS pair, CAST(l_quantity AS INTEGER) AS coint_days, round(slope, 5) AS s_0, round(x1, 5) AS s_dayslr, CAST(epoch_ms(tm_o) AS BIGINT) AS start,
-  '2024-01-12' AS model_date, 'cn' AS grp FROM legs JOIN (SELECT l_orderkey AS o, l_linenumber AS l, l_partkey AS p, l_suppkey AS s, l_quantity FROM lineitem) ON o = l_orderkey AND l = l_linenumber AND p = l_partkey AND s = l_suppkey"""))
+SELECT n1 || '_' || n2 AS pair, CAST(round((slope - 0.2e0) * 20) AS INTEGER) AS coint_days, round(slope, 5) AS s_0, round(x1, 5) AS s_dayslr, CAST(epoch_ms(tm_o) AS BIGINT) AS start,
+  '2024-01-12' AS model_date, 'cn' AS grp FROM legs"""))
 def _(spark, sf):
     t = leg_trades(spark, sf)
     root = fresh_path(spark, "models") + "/2024-01-12.cn/js_coint_v2.json"
