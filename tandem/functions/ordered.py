@@ -9,6 +9,7 @@ rows they need.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -108,9 +109,8 @@ def ema_terms(df: DataFrame, keys: Sequence[str], value: Column, weight: float,
     what earlier blocks contribute decays by (1-w)**B, and B is chosen so that
     four blocks back the contribution is below double precision.
     """
-    import math
     decay = 1.0 - weight
-    block = max(1, min(CHUNK_ROWS, int(30.0 / -math.log(decay)) if 0 < decay < 1 else 1))
+    block = max(1, int(30.0 / -math.log(decay))) if 0 < decay < 1 else 1
     first = seed if seed is not None else value
     k = F.col("_k")
     base = (df.withColumn("_t", F.col(rn) - F.lit(seed_rn))
