@@ -186,7 +186,10 @@ def _(spark, sf):
 
 
 def plate_rows(spark, sf):
-    """(plate code, stock) membership: part types as plates of brands, the large parts only."""
+    """(stock, plate) membership: a brand is on the plate of a type when it makes it in a large size.
+
+    Without the size every brand would be on every plate.
+    """
     p = feeds.table(spark, sf, "part").where("p_size >= 48")
     return p.select(F.concat(F.lit("US."), F.col("p_brand")).alias("code"), F.col("p_type").alias("plate")).distinct()
 

@@ -8,15 +8,20 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_local: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """Folder named by ``spark.checkpoint.dir``; set here only where unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """Folder the cluster names in ``spark.checkpoint.dir``.
+
+    Only where a session names none (local tests) a temporary one is made.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        folder = tempfile.mkdtemp(prefix="spark-")
-        try:
-            spark.conf.set("spark.checkpoint.dir", folder)
-        except Exception:  # a static setting in some deployments
-            pass
+        app = spark.sparkContext.applicationId
+        folder = _local.get(app)
+        if folder is None:
+            folder = _local[app] = tempfile.mkdtemp(prefix="spark-")
     return folder.rstrip("/")
 
 
