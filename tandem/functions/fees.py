@@ -60,4 +60,4 @@ def hk_fee(quantity: Column, price: Column, stamp_rate: float = HK_STAMP_BEFORE_
 def breakeven(positions: DataFrame, fee: Column) -> DataFrame:
     """Fee of a round trip (shown doubled) and the lowest price without a loss."""
     both = fee * 2
-    return positions.withColumns({"fee": both * 2, "low_price": both / F.col("qty") + F.col("cost_price")})
+    return positions.withColumns({"fee": both * 2, "low_price": F.try_divide(both, F.col("qty")) + F.col("cost_price")})

@@ -100,6 +100,28 @@ def chunked(df: DataFrame, keys: Sequence[str], position: str | Column, back: in
     return build(spread, w).where("_own = _chunk").drop("_pos", "_own", "_chunk")
 
 
+def range_totals(df: DataFrame, keys: Sequence[str], position: str, reach: int, values: dict[str, Column],
+                 finish: Callable[[dict[str, Column]], dict[str, Column]], size: int | None = None,
+                 offsets: dict[str, Column] | None = None) -> DataFrame:
+    """Sums over rows whose ``position`` lies within ``reach`` before the current one, peers included.
+
+    A sliding range frame is recomputed for every row.  Here both ends are
+    growing frames, which advance once per row, and their difference is the
+    window; chunks of positions keep the tasks small.
+    """
+    def build(d, w):
+        whole = w.rangeBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        if offsets:
+            d = d.withColumns({n: F.first(c, ignorenulls=True).over(whole) for n, c in offsets.items()})
+        now, gone = w.rangeBetween(Window.unboundedPreceding, 0), w.rangeBetween(Window.unboundedPreceding, -reach - 1)
+        total = lambda c, frame: F.coalesce(F.sum(c).over(frame), F.lit(0))
+        d = d.withColumns({f"_r_{n}": total(c, now) - total(c, gone) for n, c in values.items()})
+        d = d.withColumns(finish({n: F.col(f"_r_{n}") for n in values}))
+        return d.drop(*[f"_r_{n}" for n in values], *(offsets or {}))
+
+    return chunked(df, keys, position, reach, 0, build, size=size or reach)
+
+
 def ema_terms(df: DataFrame, keys: Sequence[str], value: Column, weight: float, seed_rn: int,
               out: str, seed: Column | None = None, rn: str = "rn") -> DataFrame:
     """Exponential average e[t] = w*x[t] + (1-w)*e[t-1] as plain window sums.

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tandem.functions.ordered import chunked
+from tandem.functions.ordered import chunked, range_totals
 from tandem.functions.quantiles import exact_quantiles
 from tandem.functions.timeline import epoch_micros
 
@@ -40,7 +40,7 @@ def price_histogram(bars: DataFrame, bins: int = 100) -> DataFrame:
     p = bars.select("symbol", F.round((F.col("open") + F.col("high") + F.col("low") + F.col("close")) / 4, 3).alias("p"))
     counted = p.groupBy("symbol", "p").agg(F.count(F.lit(1)).alias("_c"))
     span = counted.groupBy("symbol").agg(F.min("p").alias("lo"), F.max("p").alias("hi"))
-    b = F.least(F.floor((F.col("p") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins), F.lit(bins - 1))
+    b = F.least(F.floor(F.try_divide(F.col("p") - F.col("lo"), F.col("hi") - F.col("lo")) * bins), F.lit(bins - 1))
     return (counted.join(span, "symbol").withColumn("bin", F.coalesce(b, F.lit(0)).cast("bigint"))
             .groupBy("symbol", "bin").agg(F.sum("_c").alias("n")))
 
@@ -60,7 +60,7 @@ def backtest_summary(trades: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Mean, sample deviation and their ratio over trade returns."""
     d = trades.groupBy(*keys).agg(F.avg("rt").alias("mean"), F.stddev_samp("rt").alias("std"),
                                   F.count("rt").alias("trades"))
-    return d.withColumn("sharpe", F.col("mean") / F.col("std"))
+    return d.withColumn("sharpe", F.try_divide(F.col("mean"), F.col("std")))
 
 
 def contract_profit(trades: DataFrame, keys: Sequence[str], name: str = "pair") -> DataFrame:
@@ -143,15 +143,13 @@ def call_rate_audit(calls: DataFrame, global_span: int = GLOBAL_SPAN, global_cal
                     symbol_calls: int = SAME_CALL_SYMBOL_CALLS) -> DataFrame:
     """Earlier calls inside each window before a call, and whether it was allowed.
 
-    Range frames are cut by time chunks with copied borders, so the window over
-    the whole log runs in as many tasks as there are chunks.
+    Windows are cut into time chunks with copied borders, so the one over the
+    whole log runs in as many tasks as there are chunks.
     """
     us = 1_000_000
 
     def counted(df, keys, span, out):
-        def build(d, w):
-            return d.withColumn(out, F.count(F.lit(1)).over(w.rangeBetween(-span * us, 0)))
-        return chunked(df, keys, "_us", span * us, 0, build, size=max(3600 * us, 2 * span * us))
+        return range_totals(df, keys, "_us", span * us, {"n": F.lit(1)}, lambda t: {out: t["n"]}, size=max(60, span) * us)
 
     d = calls.withColumn("_us", epoch_micros("ts"))
     d = counted(d, [], global_span, "_total")

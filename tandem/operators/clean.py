@@ -181,7 +181,7 @@ JS_MIN_SLOPE = 0.01
 
 def v1_slope() -> Column:
     """Slope a v1 model trades with; NULL when the model is not usable."""
-    rate = F.abs((F.col("s_0") - F.col("s_dayslr")) / F.col("s_dayslr"))
+    rate = F.abs(F.try_divide(F.col("s_0") - F.col("s_dayslr"), F.col("s_dayslr")))
     secs = F.floor(F.col("hl_bars_0") * F.col("interval_secs"))
     ok = ((rate <= MAX_SLOPE_DIFF_RATE) & (secs >= MIN_HALFLIFE_SECS)
           & (F.col("pxy") <= MAX_PVALUE) & (F.col("pyx") <= MAX_PVALUE) & (F.col("s_dayslr") != 0))

@@ -22,7 +22,7 @@ FIELDS = ("open", "high", "low", "close")
 def return_features(bars: DataFrame) -> DataFrame:
     """(symbol, ts, r_open, r_high, r_low, r_close), gaps as zero."""
     def build(d, w):
-        return d.withColumns({f"r_{f}": clean_returns(F.log(F.col(f) / F.lag(f, 1).over(w))) for f in FIELDS})
+        return d.withColumns({f"r_{f}": clean_returns(F.log(F.try_divide(F.col(f), F.lag(f, 1).over(w)))) for f in FIELDS})
 
     return chunked(bars.select("symbol", "ts", "rn", *FIELDS), ["symbol"], "rn", 1, 0, build).drop(*FIELDS, "rn")
 

@@ -186,7 +186,7 @@ def engle_granger_p(dependent: np.ndarray, other: np.ndarray) -> float:
     beta, *_ = np.linalg.lstsq(x, dependent, rcond=None)
     resid = dependent - x @ beta
     spread = dependent - dependent.mean()
-    if resid @ resid <= 1e-6 * 1.49e-2 * (spread @ spread):
+    if resid @ resid <= 100 * math.sqrt(np.finfo(float).eps) * (spread @ spread):  # collinear legs
         return 0.0
     return mackinnon_p(adf_t(resid, constant=False), 2)
 

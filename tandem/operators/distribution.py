@@ -12,7 +12,7 @@ VALUE_SLICES = 4096
 
 
 def laplace_cdf(x: Column, loc: Column, scale: Column) -> Column:
-    z = (x - loc) / scale
+    z = F.try_divide(x - loc, scale)
     return F.when(z < 0, F.exp(z) / 2).otherwise(1 - F.exp(-z) / 2)
 
 
@@ -50,9 +50,9 @@ def return_distribution(returns: DataFrame, key: str = "symbol", value: str = "r
     spread = r.join(median, key).groupBy(key).agg(F.avg(F.abs(F.col("_r") - F.col("loc"))).alias("scale"))
     fits = stats.join(median, key).join(spread, key)
     counts = r.groupBy(key, "_r").agg(F.count(F.lit(1)).alias("_c")).join(fits, key)
-    counts = counts.withColumn("_slice", F.floor((F.col("_r") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * VALUE_SLICES))
+    counts = counts.withColumn("_slice", F.coalesce(F.floor(F.try_divide(F.col("_r") - F.col("_lo"), F.col("_hi") - F.col("_lo")) * VALUE_SLICES), F.lit(0)))
     ranked = running_sum(counts, [key], ["_r"], "_slice", "_c", "_cum")
-    ranked = ranked.withColumn("_z", (F.col("_r") - F.col("mean")) / F.col("std"))
+    ranked = ranked.withColumn("_z", F.try_divide(F.col("_r") - F.col("mean"), F.col("std")))
     above, below = F.col("_cum") / F.col("n"), (F.col("_cum") - F.col("_c")) / F.col("n")
     gap = lambda cdf: F.max(let(cdf, lambda f: F.greatest(above - f, f - below)))
     ks = ranked.groupBy(key).agg(gap(norm_cdf(F.col("_z"))).alias("ks_normal"),

@@ -38,7 +38,7 @@ def framed(df: DataFrame, exprs: dict[str, Column], back: int, ahead: int = 0, e
 
 def log_return(bars: DataFrame, price: Column, out: str = "r") -> DataFrame:
     d = lagged(bars, price, 1, "_prev")
-    return d.withColumn(out, F.log(price / F.col("_prev"))).drop("_prev")
+    return d.withColumn(out, F.log(F.try_divide(price, F.col("_prev")))).drop("_prev")
 
 
 def ohlc4() -> Column:
@@ -53,7 +53,7 @@ def cumulative(df: DataFrame, value: str, out: str, slice_rows: int = 10_000) ->
 
 def fwd_return(bars: DataFrame, price: Column, out: str = "r") -> DataFrame:
     d = lagged(bars, price, -1, "_next")
-    return d.withColumn(out, F.col("_next") / price).drop("_next")
+    return d.withColumn(out, F.try_divide(F.col("_next"), price)).drop("_next")
 
 
 def sma(bars: DataFrame, windows: Sequence[int], value: str = "close") -> DataFrame:
@@ -131,7 +131,7 @@ def linreg_summary(rows: DataFrame, keys: Sequence[str] = ("n1", "n2")) -> DataF
         F.max_by("x_close", "rn").alias("x"), F.max_by("y_close", "rn").alias("y"))
     side = (F.when(F.col("_d") > F.col("m") + 2 * F.col("std"), 1)
             .when(F.col("_d") < F.col("m") - 2 * F.col("std"), -1).otherwise(0))
-    return d.withColumn("z", (F.col("_d") - F.col("m")) / F.col("std")).withColumn("side", side).drop("_d")
+    return d.withColumn("z", F.try_divide(F.col("_d") - F.col("m"), F.col("std"))).withColumn("side", side).drop("_d")
 
 
 def sma_cross_signal(bars: DataFrame, fast: int = 5, slow: int = 15) -> DataFrame:

@@ -117,7 +117,7 @@ def iv_hv_rows(prices: DataFrame, hv: DataFrame, iv: DataFrame) -> DataFrame:
     """Price with the latest historical and implied volatility and their ratio."""
     from tandem.operators.asof import asof_join
     d = asof_join(asof_join(prices, hv, ["symbol"], ["hv"]), iv, ["symbol"], ["iv"])
-    return d.where("hv > 0 and iv is not null").withColumn("iv_hv", F.col("iv") / F.col("hv"))
+    return d.where("hv > 0 and iv is not null").withColumn("iv_hv", F.try_divide(F.col("iv"), F.col("hv")))
 
 
 def iv_hv_report(rows: DataFrame) -> DataFrame:

@@ -58,8 +58,9 @@ def watch_pairs(models: DataFrame, quotes: DataFrame, threshold: float = 1.8, li
     """
     d = _leg_quotes(models.where("s > 0"), quotes)
     s, i, m, st = (F.col(c) for c in ("s", "i", "m", "st"))
-    d = (d.withColumn("z1", (F.col("bid_n1") * s + i - F.col("ask_n2") - m) / st)
-         .withColumn("z2", (F.col("ask_n1") * s + i - F.col("bid_n2") - m) / st)
+    safe = F.nullif(st, F.lit(0.0))
+    d = (d.withColumn("z1", (F.col("bid_n1") * s + i - F.col("ask_n2") - m) / safe)
+         .withColumn("z2", (F.col("ask_n1") * s + i - F.col("bid_n2") - m) / safe)
          .withColumn("y_per_x", 1 / s)
          .withColumn("st_price_pct", 100 * st / F.greatest("last_n1", "last_n2")))
     hits = d.where((F.col("z1") > threshold) | (F.col("z2") < -threshold))
@@ -70,7 +71,7 @@ def watch_pairs(models: DataFrame, quotes: DataFrame, threshold: float = 1.8, li
 def watch_mark(models: DataFrame, quotes: DataFrame, threshold: float = 1.8) -> DataFrame:
     """Variant on the last price: |z| of the mark outside the threshold."""
     d = _leg_quotes(models, quotes)
-    z = (F.col("last_n1") * F.col("s") + F.col("i") - F.col("last_n2") - F.col("m")) / F.col("st")
+    z = (F.col("last_n1") * F.col("s") + F.col("i") - F.col("last_n2") - F.col("m")) / F.nullif(F.col("st"), F.lit(0.0))
     return d.withColumn("z", z).where(F.abs("z") > threshold).select("pair", "z")
 
 
@@ -81,7 +82,7 @@ def watch_positions(positions: DataFrame, quotes: DataFrame, models: DataFrame)
     for n, p in (("n1", "x"), ("n2", "y")):
         models = models.join(held.select(F.col("symbol").alias(n), F.col("position").alias(f"{p}_pos"),
                                          F.col("price").alias(f"{p}_price")), n)
-    z = (F.col("x_price") * F.col("s") + F.col("i") - F.col("y_price") - F.col("m")) / F.col("st")
+    z = (F.col("x_price") * F.col("s") + F.col("i") - F.col("y_price") - F.col("m")) / F.nullif(F.col("st"), F.lit(0.0))
     return models.select("pair", "n1", "n2", "st", "x_price", "x_pos", "y_price", "y_pos", z.alias("z_diff"))
 
 
@@ -94,7 +95,7 @@ def insider_vs_market(insiders: DataFrame, quotes: DataFrame) -> DataFrame:
 
 
 def pct_vs_cost(mark: str, cost: str) -> Column:
-    return (F.col(mark) - F.col(cost)) / F.col(cost) * 100
+    return F.try_divide(F.col(mark) - F.col(cost), F.col(cost)) * 100
 
 
 def shared_plates(pairs: DataFrame, stocks: DataFrame, plate_names: DataFrame) -> DataFrame:

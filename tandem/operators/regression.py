@@ -88,8 +88,8 @@ def pair_regressions(rows: DataFrame, keys: Sequence[str], hurst: bool = True) -
     drift = (slope * slope * F.col("_h_xx") - slope * (F.col("_h_xy") + F.col("_h_yx")) + F.col("_h_yy"))
     g = g.withColumns({
         "r": F.col("_cxy") / F.sqrt(F.nullif(F.col("_vx") * F.col("_vy"), F.lit(0.0))),
-        "m": F.lit(0.0), "st": F.sqrt(resid * F.col("bars") / (F.col("bars") - 1)),
-        "fast_s": mean_xy / mean_xx,
+        "m": F.lit(0.0), "st": F.sqrt(F.try_divide(resid * F.col("bars"), F.col("bars") - 1)),
+        "fast_s": F.try_divide(mean_xy, mean_xx),
         "_hl_slope": drift / F.nullif(_spread_var(slope, "_l_xx", "_l_xy", "_l_yy"), F.lit(0.0))})
     g = g.withColumn("fast_i", F.col("_my") - F.col("fast_s") * F.col("_mx"))
     g = g.withColumn("halflife", half_life(F.col("_hl_slope")))
@@ -110,7 +110,7 @@ def half_life(slope: Column) -> Column:
 
 def std_rate(st: str = "st", s: str = "s") -> Column:
     """Residual deviation in percent of the combined last price."""
-    return F.col(st) / (F.col("x_last") * F.col(s) + F.col("y_last")) * 100
+    return F.try_divide(F.col(st), F.col("x_last") * F.col(s) + F.col("y_last")) * 100
 
 
 def regress_windows(legs: DataFrame, windows: DataFrame, keys: Sequence[str], hurst: bool = True) -> DataFrame:

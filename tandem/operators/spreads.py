@@ -8,9 +8,9 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from tandem.functions.ordered import chunked, prefix_frames
+from tandem.functions.ordered import chunked, range_totals, running_extremes
 from tandem.functions.timeline import epoch_seconds
 
 FEATURES = ("mean0 double, std0 double, mean double, mean_half double, ema double, ema_half double, ema_quarter double, "
@@ -118,19 +118,28 @@ def spread_features(rows: DataFrame) -> DataFrame:
 def long_window_stats(rows: DataFrame, secs: int, keys=("n1", "n2")) -> DataFrame:
     """Mean and deviation of the spread over the trailing ``secs`` seconds, inclusive.
 
-    Range frames are cut into time chunks with copied borders.
+    Sums are taken around each chunk's first spread to keep the squares small.
     """
-    d = rows.withColumn("_t", epoch_seconds("ts"))
+    x = F.col("diff") - F.col("_d0")
 
-    def build(x, w):
-        frame = w.rangeBetween(-secs, 0)
-        return x.withColumns({"mean0": F.avg("diff").over(frame), "std0": F.stddev_samp("diff").over(frame)})
+    def finish(t):
+        var = (t["xx"] - t["x"] * t["x"] / t["n"]) / (t["n"] - 1)
+        return {"mean0": F.col("_d0") + t["x"] / t["n"],
+                "std0": F.when(t["n"] > 1, F.sqrt(F.greatest(var, F.lit(0.0))))}
 
-    return chunked(d, list(keys), "_t", secs, 0, build, size=max(secs, 7 * 86_400)).drop("_t")
+    return range_totals(rows.withColumn("_t", epoch_seconds("ts")), list(keys), "_t", secs,
+                        {"n": F.lit(1), "x": x, "xx": x * x}, finish, size=max(secs, 7 * 86_400),
+                        offsets={"_d0": F.col("diff")}).drop("_t")
+
+
+def run_high_low(rows: DataFrame, value: str, keys=("symbol",), slice_rows: int = 10_000) -> DataFrame:
+    """Highest and lowest value so far, per key over its whole history."""
+    d = rows.withColumn("_slice", F.floor(F.col("rn") / slice_rows))
+    return running_extremes(d, list(keys), ["rn"], "_slice", {f"{value}H": (value, "max"), f"{value}L": (value, "min")}).drop("_slice")
 
 
 def z_simple(x: str = "x", y: str = "y") -> Column:
-    return (F.col(x) * F.col("s") + F.col("i") - F.col(y) - F.col("m")) / F.col("st")
+    return F.try_divide(F.col(x) * F.col("s") + F.col("i") - F.col(y) - F.col("m"), F.col("st"))
 
 
 def std_percent() -> Column:
@@ -176,7 +185,7 @@ def pair_pnl(x0: Column, x1: Column, pos_x: Column, y0: Column, y1: Column, pos_
 def pair_return(x0: Column, x1: Column, pos_x: Column, y0: Column, y1: Column, pos_y: Column) -> Column:
     """Profit in percent of the larger leg at entry."""
     gain = (x1 - x0) * pos_x + (y1 - y0) * pos_y
-    return gain / F.greatest(F.abs(pos_x * x0), F.abs(pos_y * y0)) * 100
+    return F.try_divide(gain, F.greatest(F.abs(pos_x * x0), F.abs(pos_y * y0))) * 100
 
 
 def profit_cap(mean: Column, z: Column, std: Column) -> Column:

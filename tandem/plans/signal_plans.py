@@ -163,22 +163,28 @@ def _(spark, sf):
     return features(spark, sf).select(*key(), *_r("stdH", "stdL", "diffH", "diffL", n=5))
 
 
+@query("w21_run_high_low_of_bars", with_(bars_sql(), """
+SELECT symbol, ts, max(close) OVER w AS "closeH", min(close) OVER w AS "closeL" FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY rn ROWS UNBOUNDED PRECEDING)"""))
+def _(spark, sf):
+    return sp.run_high_low(feeds.bars(spark, sf), "close", slice_rows=500).select("symbol", "ts", "closeH", "closeL")
+
+
 @query("w22_avg_diffdiff", with_(ROLL_SQL, f"SELECT {KEY_SQL}, {_rs('avg_diffdiff', n=5)} FROM feat WHERE role = 2"))
 def _(spark, sf):
     return features(spark, sf).select(*key(), *_r("avg_diffdiff", n=5))
 
 
 @query("w23_long_window_stats", with_(panel_sql(), """
-, pr AS (SELECT a.symbol AS n1, b.symbol AS n2, a.ts, a.rn, a.close - b.close AS diff FROM panel a JOIN panel b ON a.ts = b.ts AND a.symbol < b.symbol)
-SELECT n1, n2, ts, round(avg(diff) OVER w, 9) AS mean0, round(stddev_samp(diff) OVER w, 6) AS std0 FROM pr
+, pr AS (SELECT a.symbol AS n1, b.symbol AS n2, a.ts, a.rn, ln(a.close) - ln(b.close) AS diff FROM panel a JOIN panel b ON a.ts = b.ts AND a.symbol < b.symbol)
+SELECT n1, n2, ts, round(avg(diff) OVER w, 10) AS mean0, round(stddev_samp(diff) OVER w, 9) AS std0 FROM pr
 WINDOW w AS (PARTITION BY n1, n2 ORDER BY ts RANGE BETWEEN INTERVAL '3 days' PRECEDING AND CURRENT ROW)"""))
 def _(spark, sf):
     p = feeds.panel(spark, sf)
     x = p.select(F.col("symbol").alias("n1"), "ts", "rn", F.col("close").alias("x"))
     y = p.select(F.col("symbol").alias("n2"), "ts", F.col("close").alias("y"))
-    rows = x.join(y, "ts").where("n1 < n2").withColumn("diff", F.col("x") - F.col("y"))
+    rows = x.join(y, "ts").where("n1 < n2").withColumn("diff", F.log("x") - F.log("y"))
     d = sp.long_window_stats(rows, 3 * 86_400)
-    return d.select("n1", "n2", "ts", F.round("mean0", 9).alias("mean0"), F.round("std0", 6).alias("std0"))
+    return d.select("n1", "n2", "ts", F.round("mean0", 10).alias("mean0"), F.round("std0", 9).alias("std0"))
 
 
 @query("w24_std_percent", with_(ROLL_SQL, f"""

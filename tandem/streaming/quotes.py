@@ -43,7 +43,7 @@ def stream_pair_join(bars: DataFrame, models: DataFrame, delay: str = "1 hour")
          .join(models, "n1"))
     y = bars.withWatermark("ts", delay).select(F.col("symbol").alias("y_symbol"), F.col("ts").alias("y_ts"), F.col("close").alias("y"))
     both = x.join(y, F.expr("n2 = y_symbol AND x_ts = y_ts"))
-    z = (F.col("s") * F.col("x") + F.col("i") - F.col("y") - F.col("m")) / F.col("st")
+    z = F.try_divide(F.col("s") * F.col("x") + F.col("i") - F.col("y") - F.col("m"), F.col("st"))
     return both.select("pair", F.col("x_ts").alias("ts"), "x", "y", z.alias("z"))
 
 
