@@ -219,9 +219,36 @@ def z_trades(spark, sf):
     return sg.trades_z_trailing(_test_day(spark, sf))
 
 
-@query("k01_trades_z_trailing")
+# The scans as recursion over each model's rows: one state row per bar.
+Z_SCAN_SQL = "WITH RECURSIVE " + MODELS_SQL.strip() + """,
+tdays AS (SELECT DISTINCT CAST(ts AS DATE) AS day FROM panel),
+td AS (SELECT model_date, nth_value(day, 2) OVER (PARTITION BY model_date ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS d2,
+  nth_value(day, 3) OVER (PARTITION BY model_date ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS d3
+  FROM (SELECT DISTINCT model_date FROM models) m JOIN tdays ON day >= model_date),
+td1 AS (SELECT DISTINCT model_date, d2, (SELECT min(ts) FROM panel WHERE CAST(ts AS DATE) = d3) AS next_open FROM td WHERE d2 IS NOT NULL),
+zr AS (SELECT p.n1, p.n2, m.model_date, p.ts, p.x, p.y, m.s, m.st, (p.x * m.s + m.i - p.y) / m.st AS z, CAST(p.ts AS DATE) <> t.d2 AS new_day,
+  row_number() OVER (PARTITION BY p.n1, p.n2, m.model_date ORDER BY p.ts) AS k
+  FROM pr p JOIN models m ON p.n1 = m.n1 AND p.n2 = m.n2 JOIN td1 t ON t.model_date = m.model_date WHERE CAST(p.ts AS DATE) = t.d2 OR p.ts = t.next_open),
+scan AS (SELECT DISTINCT n1, n2, model_date, CAST(0 AS BIGINT) AS k, 0e0 AS z, false AS held, 0e0 AS z0, 0e0 AS x0, 0e0 AS y0, false AS closed, 0e0 AS tz0, 0e0 AS tx0, 0e0 AS ty0 FROM zr
+  UNION ALL SELECT n1, n2, model_date, k, z, CASE WHEN held THEN NOT shut ELSE enter END, CASE WHEN held THEN z0 ELSE z END, CASE WHEN held THEN x0 ELSE x END,
+    CASE WHEN held THEN y0 ELSE y END, held AND shut, z0, x0, y0 FROM (
+    SELECT r.n1, r.n2, r.model_date, r.k, r.z, r.x, r.y, c.held, c.z0, c.x0, c.y0,
+      r.new_day OR (r.z - c.z0) * sign(c.z0) > 1 OR (NOT (r.z - c.z) * sign(c.z0) < 0 AND (r.z - c.z0) * sign(c.z0) < -1) AS shut,
+      NOT r.new_day AND NOT ((c.z < 0 AND r.z < c.z) OR (c.z > 0 AND r.z > c.z)) AND abs(r.z) > 2 AS enter
+    FROM scan c JOIN zr r ON r.n1 = c.n1 AND r.n2 = c.n2 AND r.model_date = c.model_date AND r.k = c.k + 1)),
+ztrades AS (SELECT r.n1, r.n2, r.model_date, CASE WHEN c.tz0 < 0 THEN 1 ELSE -1 END AS side, r.x, r.y, r.s, r.st, c.tz0, c.tx0, c.ty0, r.z, r.new_day
+  FROM scan c JOIN zr r ON r.n1 = c.n1 AND r.n2 = c.n2 AND r.model_date = c.model_date AND r.k = c.k WHERE c.closed),
+ztr AS (SELECT n1, n2, model_date, ((x - tx0) * side * 100 * s - (y - ty0) * side * 100) / greatest(abs(100 * s * tx0), abs(100 * ty0)) * 100 AS rt, z - tz0 AS dz, tz0 AS z0, z,
+  100 * st / greatest(tx0, ty0) AS std_xy_percent, CAST(new_day OR (z - tz0) * sign(tz0) > 1 AS INTEGER) AS stop FROM ztrades)"""
+
+
+@query("k01_trades_z_trailing", Z_SCAN_SQL + """
+SELECT n1, n2, CAST(CAST(model_date AS DATE) AS VARCHAR) AS model_date, round(rt, 6) AS rt, round(dz, 6) AS dz, round(z0, 6) AS z0, round(z, 6) AS z,
+  round(std_xy_percent, 8) AS std_xy_percent, stop FROM ztr""")
 def _(spark, sf):
-    return z_trades(spark, sf)
+    d = z_trades(spark, sf)
+    return d.select("n1", "n2", F.col("model_date").cast("string").alias("model_date"), *_r("rt", "dz", "z0", "z"),
+                    F.round("std_xy_percent", 8).alias("std_xy_percent"), "stop")
 
 
 def _v0_rows(spark, sf):
@@ -232,18 +259,75 @@ def _v0_rows(spark, sf):
                     F.floor(F.col("halflife") * 600).alias("halflife_secs"))
 
 
-@query("k02_trades_v0")
+SIZE_SQL = """CASE WHEN round(round(10000 / y) * slope) * x > 10000 THEN round(10000 / x) ELSE round(round(10000 / y) * slope) END AS ux,
+  CASE WHEN round(round(10000 / y) * slope) * x > 10000 THEN round(round(10000 / x) / slope) ELSE round(10000 / y) END AS uy"""
+LEGS_OUT = """n1, n2, CAST(CAST(model_date AS DATE) AS VARCHAR) AS model_date, round(profit, 5) AS profit, x0, x1, pos_x, y0, y1, pos_y, tm_o, tm_c, tick_o, tick_c, reason"""
+
+
+def legs_out(d):
+    return d.withColumns({"model_date": F.col("model_date").cast("string"), "profit": F.round("profit", 5)})
+
+
+V0_SQL = "WITH RECURSIVE " + MODELS_SQL.strip() + f""",
+ranges AS (SELECT model_date, (SELECT min(ts) FROM panel WHERE ts >= model_date + INTERVAL '86399 seconds') AS start_ts FROM md),
+vr AS (SELECT p.n1, p.n2, m.model_date, p.ts, p.x, p.y, m.s AS slope, (p.x * m.s + m.i - p.y) / m.st AS z, floor(m.halflife * 600) AS hl,
+  date_diff('second', min(p.ts) OVER (PARTITION BY p.n1, p.n2, m.model_date), p.ts) AS secs, row_number() OVER (PARTITION BY p.n1, p.n2, m.model_date ORDER BY p.ts) AS k
+  FROM pr p JOIN models m ON p.n1 = m.n1 AND p.n2 = m.n2 JOIN ranges r ON r.model_date = m.model_date WHERE p.ts >= r.start_ts AND p.ts < r.start_ts + INTERVAL '36 hours'),
+sized AS (SELECT *, {SIZE_SQL} FROM vr),
+scan AS (SELECT DISTINCT n1, n2, model_date, CAST(0 AS BIGINT) AS k, 0e0 AS z, false AS held, false AS done, 0e0 AS z0, CAST(0 AS BIGINT) AS k0, 0 AS secs0, NULL::VARCHAR AS reason FROM vr
+  UNION ALL SELECT n1, n2, model_date, k, z, CASE WHEN held THEN why IS NULL ELSE enter END, done OR (held AND why IS NOT NULL), CASE WHEN held THEN z0 ELSE z END,
+    CASE WHEN held THEN k0 ELSE k END, CASE WHEN held THEN secs0 ELSE secs END, CASE WHEN held THEN why END FROM (
+    SELECT r.n1, r.n2, r.model_date, r.k, r.z, r.secs, c.held, c.done, c.z0, c.k0, c.secs0,
+      CASE WHEN r.secs > 10800 THEN 'force' WHEN r.secs - c.secs0 > r.hl THEN 'timeout' WHEN (r.z - c.z) * sign(c.z0) < 0 THEN NULL
+        WHEN (r.z - c.z0) * sign(c.z0) < 0 THEN CASE WHEN abs(c.z - c.z0) > 1.3e0 THEN 'profit' END WHEN abs(r.z - c.z0) > 1 THEN 'stop' END AS why,
+      r.secs <= 10800 AND NOT ((c.z < 0 AND r.z < c.z) OR (c.z > 0 AND r.z > c.z)) AND abs(r.z) > 2 AS enter
+    FROM scan c JOIN vr r ON r.n1 = c.n1 AND r.n2 = c.n2 AND r.model_date = c.model_date AND r.k = c.k + 1 WHERE NOT c.done)),
+tr AS (SELECT a.n1, a.n2, a.model_date, o.x AS x0, b.x AS x1, o.y AS y0, b.y AS y1, CAST(CASE WHEN o.z > 0 THEN -o.ux ELSE o.ux END AS BIGINT) AS pos_x,
+  CAST(CASE WHEN o.z > 0 THEN o.uy ELSE -o.uy END AS BIGINT) AS pos_y, o.ts AS tm_o, b.ts AS tm_c, a.k0 AS tick_o, a.k AS tick_c, a.reason FROM scan a
+  JOIN sized o ON o.n1 = a.n1 AND o.n2 = a.n2 AND o.model_date = a.model_date AND o.k = a.k0 JOIN sized b ON b.n1 = a.n1 AND b.n2 = a.n2 AND b.model_date = a.model_date AND b.k = a.k
+  WHERE a.reason IS NOT NULL),
+legs AS (SELECT *, (x1 - x0) * pos_x + (y1 - y0) * pos_y - 0.01e0 * (abs(pos_x) + abs(pos_y)) AS profit FROM tr)"""
+
+
+@query("k02_trades_v0", V0_SQL + f" SELECT {LEGS_OUT} FROM legs")
 def _(spark, sf):
-    return sg.trades_v0(_v0_rows(spark, sf))
+    return legs_out(sg.trades_v0(_v0_rows(spark, sf)))
 
 
 def v1_trades(spark, sf):
     return feeds.stored(spark, sf, "trades-v1", lambda: sg.trades_v1(spread_rows(spark, sf), {**LIMITS, "session_secs": 7 * 86_400}))
 
 
-@query("k03_trades_v1")
+V1_SQL = EMA_SQL + ROLL_SQL[len(RANGE_SQL):].replace("seq AS", "seq2 AS").replace("FROM seq ", "FROM seq2 ") + f""",
+zz AS (SELECT n1, n2, model_date, ts, k, role, em_var, CASE WHEN role = 2 THEN (ema_5bars - ema) / sqrt(em_var) ELSE 0e0 END AS z FROM e),
+zl AS (SELECT *, lag(z) OVER w AS z1, lag(z, 2) OVER w AS z2, lag(z, 3) OVER w AS z3 FROM zz WINDOW w AS (PARTITION BY n1, n2, model_date ORDER BY k)),
+f0 AS (SELECT f.n1, f.n2, f.model_date, f.ts, f.diff, f.mean, f.std, f.stdH, f.stdL, f.p1 AS x, f.p2 AS y, z.z, z.z1, z.z2, z.z3, z.em_var, m.s AS slope, floor(m.halflife * 600) AS hl
+  FROM feat f JOIN zl z ON z.n1 = f.n1 AND z.n2 = f.n2 AND z.model_date = f.model_date AND z.ts = f.ts JOIN models m ON m.n1 = f.n1 AND m.n2 = f.n2 AND m.model_date = f.model_date WHERE f.role = 2),
+fr AS (SELECT *, {SIZE_SQL}, row_number() OVER w AS t, date_diff('second', first_value(ts) OVER w, ts) AS secs, lag(diff) OVER w AS pdiff, lag(mean) OVER w AS pmean, lag(std) OVER w AS pstd
+  FROM f0 WINDOW w AS (PARTITION BY n1, n2, model_date ORDER BY ts)),
+gate AS (SELECT *, CASE WHEN sqrt(em_var) / (x * slope + y) < {LIMITS['min_std_rate']} OR hl > 604800 - secs OR secs < 900 OR (stdH > stdL AND (std - stdL) / (stdH - stdL) < {LIMITS['std_percent']}) THEN 0
+  WHEN z BETWEEN 1.7 AND 2 AND z1 > 2 AND z1 <= z2 AND z2 <= z3 THEN 1 WHEN z BETWEEN -2 AND -1.7 AND z1 < -2 AND z1 >= z2 AND z2 >= z3 THEN -1 ELSE 0 END AS dir FROM fr),
+scan AS (SELECT DISTINCT n1, n2, model_date, CAST(0 AS BIGINT) AS t, 0 AS side, 0e0 AS cap, CAST(0 AS BIGINT) AS t0, 0 AS secs0, 0e0 AS x0, 0e0 AS y0, 0e0 AS px, 0e0 AS py,
+    false AS c3, false AS c2, false AS c1, false AS c0, NULL::VARCHAR AS reason FROM gate
+  UNION ALL SELECT n1, n2, model_date, t, CASE WHEN side = 0 THEN dir WHEN why IS NULL THEN side ELSE 0 END, CASE WHEN side = 0 THEN mean + 0.25e0 * z * std ELSE cap END,
+    CASE WHEN side = 0 THEN t ELSE t0 END, CASE WHEN side = 0 THEN secs ELSE secs0 END, CASE WHEN side = 0 THEN x ELSE x0 END, CASE WHEN side = 0 THEN y ELSE y0 END,
+    CASE WHEN side = 0 THEN -dir * ux ELSE px END, CASE WHEN side = 0 THEN dir * uy ELSE py END, side <> 0 AND (c3 OR (runs AND l3 < 0)), side <> 0 AND (c2 OR (runs AND l2 < 0)),
+    side <> 0 AND (c1 OR (runs AND l1 < 0)), side <> 0 AND (c0 OR (runs AND l0 < 0)), CASE WHEN side <> 0 THEN why END
+  FROM (SELECT *, CASE WHEN side = 0 OR runs THEN NULL WHEN (x - x0) * px + (y - y0) * py - 0.01e0 * (abs(px) + abs(py)) < -300 THEN 'loss' WHEN (diff - cap) * side <= 0 THEN 'cap'
+      WHEN 2 * hl < secs - secs0 THEN 'timeout' WHEN (c3 AND l3 > 0) OR (c2 AND l2 > 0) OR (c1 AND l1 > 0) OR (c0 AND l0 > 0) THEN 'line' END AS why
+    FROM (SELECT r.*, c.side, c.cap, c.t0, c.secs0, c.x0, c.y0, c.px, c.py, c.c3, c.c2, c.c1, c.c0, (r.diff - r.pdiff) * c.side < 0 AS runs,
+      (r.pdiff - (r.pmean - 3 * c.side * r.pstd)) * c.side AS l3, (r.pdiff - (r.pmean - 2 * c.side * r.pstd)) * c.side AS l2,
+      (r.pdiff - (r.pmean - c.side * r.pstd)) * c.side AS l1, (r.pdiff - r.pmean) * c.side AS l0
+      FROM scan c JOIN gate r ON r.n1 = c.n1 AND r.n2 = c.n2 AND r.model_date = c.model_date AND r.t = c.t + 1))),
+tr AS (SELECT a.n1, a.n2, a.model_date, a.x0, b.x AS x1, CAST(a.px AS BIGINT) AS pos_x, a.y0, b.y AS y1, CAST(a.py AS BIGINT) AS pos_y, o.ts AS tm_o, b.ts AS tm_c, a.t0 AS tick_o, a.t AS tick_c, a.reason
+  FROM scan a JOIN gate o ON o.n1 = a.n1 AND o.n2 = a.n2 AND o.model_date = a.model_date AND o.t = a.t0 JOIN gate b ON b.n1 = a.n1 AND b.n2 = a.n2 AND b.model_date = a.model_date AND b.t = a.t
+  WHERE a.reason IS NOT NULL),
+legs AS (SELECT *, (x1 - x0) * pos_x + (y1 - y0) * pos_y - 0.01e0 * (abs(pos_x) + abs(pos_y)) AS profit FROM tr)"""
+
+
+@query("k03_trades_v1", V1_SQL + f" SELECT {LEGS_OUT} FROM legs")
 def _(spark, sf):
-    return v1_trades(spark, sf)
+    return legs_out(v1_trades(spark, sf))
 
 
 @query("k04_trades_sma_cross", with_(bars_sql(), """
@@ -312,9 +396,10 @@ def _(spark, sf):
     return d.select("scenario", "trades", *_r("mean", "std", "sharpe"))
 
 
-@query("a05_backtest_of_z_trades")
+@query("a05_backtest_of_z_trades", Z_SCAN_SQL + """
+SELECT count(rt) AS trades, round(avg(rt), 6) AS mean, round(stddev_samp(rt), 6) AS std, round(avg(rt) / stddev_samp(rt), 5) AS sharpe FROM ztr""")
 def _(spark, sf):
-    return agg.backtest_summary(z_trades(spark, sf))
+    return agg.backtest_summary(z_trades(spark, sf)).select("trades", *_r("mean", "std"), F.round("sharpe", 5).alias("sharpe"))
 
 
 @query("a06_contract_profit", with_(LEG_SQL, """

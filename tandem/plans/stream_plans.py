@@ -10,7 +10,7 @@ from tandem.plans import feeds
 from tandem.plans.feeds import PATH_SQL, bars_sql, panel_sql, with_
 from tandem.plans.join_plans import HELD_SQL, MODELS_SQL, QUOTE_SQL, held, models
 from tandem.plans.registry import query
-from tandem.plans.signal_plans import LIMITS, spread_rows
+from tandem.plans.signal_plans import LEGS_OUT, LIMITS, V1_SQL, legs_out, spread_rows
 from tandem.streaming import feeds as sf_, quotes as sq
 from tandem.sources.shared import fresh_path
 
@@ -105,12 +105,12 @@ def _(spark, sf):
     return _ntz(got, "ts").select("pair", "ts", F.round("z", 4).alias("z"))
 
 
-@query("r04_stream_signals")
+@query("r04_stream_signals", V1_SQL + f" SELECT {LEGS_OUT} FROM legs")
 def _(spark, sf):
     table = feeds.stored(spark, sf, "spread-rows", lambda: spread_rows(spark, sf))
     folder = table.inputFiles()[0].rsplit("/", 1)[0]
     stream = spark.readStream.schema(table.schema).parquet(folder)
-    return sf_.drain(sq.stream_signals(stream, {**LIMITS, "session_secs": 7 * 86_400}), "signals")
+    return legs_out(sf_.drain(sq.stream_signals(stream, {**LIMITS, "session_secs": 7 * 86_400}), "signals"))
 
 
 @query("r05_stream_bars", with_(bars_sql("1 hour"), """
