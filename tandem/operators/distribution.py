@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tandem.functions.ordered import running_sum
 from tandem.functions.pricing import let, norm_cdf
 from tandem.functions.quantiles import exact_quantiles
+from tandem.sources.shared import written
 
 VALUE_SLICES = 4096
 
@@ -35,29 +36,42 @@ def _kurtosis_z(excess: Column, n: Column) -> Column:
     return (1 - 2 / (9 * a) - term) / F.sqrt(2 / (9 * a))
 
 
-def return_distribution(returns: DataFrame, key: str = "symbol", value: str = "r") -> DataFrame:
-    """Per key: moments, fits, Kolmogorov-Smirnov distances and the K-squared normality test.
+def fit_returns(rows: DataFrame, key: str = "symbol") -> DataFrame:
+    """Moments, normal and Laplace fits per key of ``rows(key, r)``."""
+    stats = rows.groupBy(key).agg(F.count("r").alias("n"), F.avg("r").alias("mean"), F.stddev_pop("r").alias("std"),
+                                  F.skewness("r").alias("skew"), F.kurtosis("r").alias("kurtosis"),
+                                  F.min("r").alias("low"), F.max("r").alias("high"))
+    median = exact_quantiles(rows, [key], "r", [0.5]).select(key, F.col("quantile").alias("loc"))
+    spread = rows.join(median, key).groupBy(key).agg(
+        F.first("loc").alias("loc"), F.avg(F.abs(F.col("r") - F.col("loc"))).alias("scale"))
+    return stats.join(spread, key)
+
+
+def fit_tests(rows: DataFrame, fits: DataFrame, key: str = "symbol") -> DataFrame:
+    """Kolmogorov-Smirnov distances of both fits and the K-squared normality test.
 
-    A missing return counts as the mean.  Ranks come from value counts cut into
-    value slices, so no key is sorted whole.
+    Ranks come from value counts cut into value slices, so no key is sorted whole.
     """
-    mean = returns.groupBy(key).agg(F.avg(value).alias("_u"))
-    r = returns.select(key, value).join(mean, key).select(key, F.coalesce(value, "_u").alias("_r"))
-    stats = r.groupBy(key).agg(F.count("_r").alias("n"), F.avg("_r").alias("mean"), F.stddev_pop("_r").alias("std"),
-                               F.skewness("_r").alias("skew"), F.kurtosis("_r").alias("kurtosis"),
-                               F.min("_r").alias("_lo"), F.max("_r").alias("_hi"))
-    median = exact_quantiles(r, [key], "_r", [0.5]).select(key, F.col("quantile").alias("loc"))
-    spread = r.join(median, key).groupBy(key).agg(F.avg(F.abs(F.col("_r") - F.col("loc"))).alias("scale"))
-    fits = stats.join(median, key).join(spread, key)
-    counts = r.groupBy(key, "_r").agg(F.count(F.lit(1)).alias("_c")).join(fits, key)
-    counts = counts.withColumn("_slice", F.coalesce(F.floor(F.try_divide(F.col("_r") - F.col("_lo"), F.col("_hi") - F.col("_lo")) * VALUE_SLICES), F.lit(0)))
-    ranked = running_sum(counts, [key], ["_r"], "_slice", "_c", "_cum")
-    ranked = ranked.withColumn("_z", F.try_divide(F.col("_r") - F.col("mean"), F.col("std")))
+    counts = rows.groupBy(key, "r").agg(F.count(F.lit(1)).alias("_c")).join(fits, key)
+    part = F.floor(F.try_divide(F.col("r") - F.col("low"), F.col("high") - F.col("low")) * VALUE_SLICES)
+    ranked = running_sum(counts.withColumn("_slice", F.coalesce(part, F.lit(0))), [key], ["r"], "_slice", "_c", "_cum")
+    ranked = ranked.withColumn("_z", F.try_divide(F.col("r") - F.col("mean"), F.col("std")))
     above, below = F.col("_cum") / F.col("n"), (F.col("_cum") - F.col("_c")) / F.col("n")
     gap = lambda cdf: F.max(let(cdf, lambda f: F.greatest(above - f, f - below)))
     ks = ranked.groupBy(key).agg(gap(norm_cdf(F.col("_z"))).alias("ks_normal"),
-                                 gap(laplace_cdf(F.col("_r"), F.col("loc"), F.col("scale"))).alias("ks_laplace"))
+                                 gap(laplace_cdf(F.col("r"), F.col("loc"), F.col("scale"))).alias("ks_laplace"))
     n = F.col("n").cast("double")
     d = fits.join(ks, key).withColumns({"_zs": _skew_z(F.col("skew"), n), "_zk": _kurtosis_z(F.col("kurtosis"), n)})
     d = d.withColumn("k2", F.col("_zs") * F.col("_zs") + F.col("_zk") * F.col("_zk"))
-    return d.withColumn("p_normal", F.exp(-F.col("k2") / 2)).drop("_lo", "_hi", "_zs", "_zk")
+    return d.withColumn("p_normal", F.exp(-F.col("k2") / 2)).drop("low", "high", "_zs", "_zk")
+
+
+def return_distribution(returns: DataFrame, key: str = "symbol", value: str = "r") -> DataFrame:
+    """Fits and tests of the returns of each key; a missing return counts as the mean.
+
+    The rows and the fits are read by several later steps, so both are written
+    to the shared folder first.
+    """
+    mean = returns.groupBy(key).agg(F.avg(value).alias("_u"))
+    rows = written(returns.select(key, value).join(mean, key).select(key, F.coalesce(value, "_u").alias("r")), "returns")
+    return fit_tests(rows, written(fit_returns(rows, key), "fits"), key)

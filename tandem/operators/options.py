@@ -125,5 +125,9 @@ def iv_hv_report(rows: DataFrame) -> DataFrame:
 
     ``rows`` are read several times by the quantile steps: hand in a written table.
     """
-    from tandem.operators.volatility import quantile_rank_series
-    return quantile_rank_series(quantile_rank_series(rows, ["symbol"], "iv", "iv_rank"), ["symbol"], "iv_hv", "iv_hv_rank")
+    from tandem.operators.volatility import nearest_rank, quantile_grid
+    d = rows
+    for value in ("iv", "iv_hv"):
+        grid = quantile_grid(rows, ["symbol"], value).withColumnRenamed("_grid", f"_{value}")
+        d = d.join(grid, "symbol").withColumn(f"{value}_rank", nearest_rank(F.col(value), F.col(f"_{value}")))
+    return d.drop("_iv", "_iv_hv")

@@ -153,9 +153,13 @@ def concat_bars(*tables: DataFrame) -> DataFrame:
 
 
 def merge_big_tables(base: DataFrame, daily: DataFrame, symbols: Sequence[str], cols: Sequence[str]) -> DataFrame:
-    """Concat, drop rows with a gap per source, first duplicate wins, drop gappy symbols."""
+    """Concat, drop rows with a gap per source, first duplicate wins, drop gappy symbols.
+
+    The merged bars are counted twice before the last filter, so they are written first.
+    """
     from tandem.operators import clean
+    from tandem.sources.shared import written
     parts = [clean.drop_null_rows(t, symbols, cols).withColumn("_src", F.lit(k))
              for k, t in enumerate((base, daily))]
-    merged = clean.dedup_bars(concat_bars(*parts), "_src").drop("_src")
+    merged = written(clean.dedup_bars(concat_bars(*parts), "_src").drop("_src"), "merged")
     return clean.drop_incomplete_symbols(merged, cols)

@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from tandem.functions.ordered import carry_forward, running_sum
 from tandem.functions.timeline import epoch_seconds
-from tandem.operators.features import sma_cross_signal
+from tandem.operators.features import lagged, sma_cross_signal
+from tandem.sources.shared import written
 from tandem.operators.spreads import FEE_PER_SHARE, TRADE_AMOUNT, Z_HIGH, Z_LOW, features_of
 
 Z_TRADE = "n1 string, n2 string, model_date date, rt double, dz double, z0 double, z double, std_xy_percent double, stop int"
@@ -221,15 +222,16 @@ def trades_sma_cross(bars: DataFrame, fast: int = 5, slow: int = 15, slice_rows:
     d = sma_cross_signal(bars, fast, slow).withColumn("_slice", F.floor(F.col("rn") / slice_rows))
     d = d.withColumn("_sig", F.when(F.col("signal") != 0, F.col("signal")))
     d = carry_forward(d, ["symbol"], ["rn"], "_slice", "_sig", "_state")
-    from tandem.operators.features import lagged
     d = lagged(d, "_state", 1, "_before")
     entry = (F.col("_state") == 1) & (F.coalesce("_before", F.lit(-1)) != 1)
     leave = (F.col("_state") == -1) & (F.col("_before") == 1)
-    d = d.withColumn("_open", F.when(entry, F.struct(F.col("ts").alias("t"), F.col("close").alias("c"))))
-    d = carry_forward(d, ["symbol"], ["rn"], "_slice", "_open", "_from")
-    return d.where(leave).select("symbol", F.col("_from.t").alias("tm_o"), F.col("ts").alias("tm_c"),
-                                 F.col("_from.c").alias("price_o"), F.col("close").alias("price_c"),
-                                 (F.col("close") - F.col("_from.c")).alias("profit"))
+    # Entries and exits alternate; only these few rows go on, read twice by the carry.
+    flips = written(d.where(entry | leave).select("symbol", "ts", "rn", "_slice", "close", entry.alias("_enter")), "flips")
+    opened = flips.withColumn("_open", F.when(F.col("_enter"), F.struct(F.col("ts").alias("t"), F.col("close").alias("c"))))
+    d = carry_forward(opened, ["symbol"], ["rn"], "_slice", "_open", "_from").where(~F.col("_enter"))
+    return d.select("symbol", F.col("_from.t").alias("tm_o"), F.col("ts").alias("tm_c"),
+                    F.col("_from.c").alias("price_o"), F.col("close").alias("price_c"),
+                    (F.col("close") - F.col("_from.c")).alias("profit"))
 
 
 START_CASH = 100_000.0
