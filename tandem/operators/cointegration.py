@@ -235,7 +235,7 @@ def coint_candidates(panel: DataFrame, days: Sequence[int] = (14, 28, 42)) -> Da
     horizons = list(days)
     fields = ", ".join(f"p_{d} double" for d in horizons)
 
-    def test(keys, g: pd.DataFrame) -> pd.DataFrame:
+    def test(keys: tuple, g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("ts")
         ts = g["ts"].to_numpy()
         out = {"n1": keys[0], "n2": keys[1]}
@@ -262,7 +262,7 @@ def top_pairs(candidates: DataFrame, n: int = 100) -> DataFrame:
 
 def pair_tests(panel: DataFrame, days: int = 60) -> DataFrame:
     """Stationarity of each leg, correlation with p, and cointegration, per pair over the last ``days``."""
-    def test(keys, g: pd.DataFrame) -> pd.DataFrame:
+    def test(keys: tuple, g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("rn")
         x, y = g["x"].to_numpy(), g["y"].to_numpy()
         r = float(np.corrcoef(x, y)[0, 1]) if len(x) > 2 else math.nan
@@ -300,7 +300,7 @@ def coint_study(panel: DataFrame, days: Sequence[int] = (5, 7, 10, 14), max_p: f
     """End dates at which a pair is cointegrated over both d and 2d days."""
     spans = list(days)
 
-    def test(keys, g: pd.DataFrame) -> pd.DataFrame:
+    def test(keys: tuple, g: pd.DataFrame) -> pd.DataFrame:
         n1, n2, chunk = keys
         g = g.sort_values("ts")
         ts = g["ts"].to_numpy().astype("datetime64[us]")
@@ -357,7 +357,7 @@ def rolling_johansen(panel: DataFrame, days: Sequence[int] = (10, 20, 30), step_
     spans = list(days)
     lags = [2 ** k for k in range(int(math.log2(max_lag)) + 1)]
 
-    def test(keys, g: pd.DataFrame) -> pd.DataFrame:
+    def test(keys: tuple, g: pd.DataFrame) -> pd.DataFrame:
         n1, n2, chunk = keys
         g = g.sort_values("ts")
         ts = g["ts"].to_numpy().astype("datetime64[us]")

@@ -195,12 +195,12 @@ def plate_rows(spark, sf):
 
 
 @query("s07_invert_plates", """
-SELECT p_brand AS symbol, list(DISTINCT p_type ORDER BY p_type) AS plates, CAST(count(DISTINCT p_type) AS BIGINT) AS n,
+SELECT p_brand AS symbol, string_agg(DISTINCT p_type, ',' ORDER BY p_type) AS plates, CAST(count(DISTINCT p_type) AS BIGINT) AS n,
   CAST(count(DISTINCT p_type) AS DOUBLE) AS weight FROM part WHERE p_size >= 48 GROUP BY 1""")
 def _(spark, sf):
     from tandem.sources.plates import invert_plates
     m = invert_plates(plate_rows(spark, sf))
-    return m.select("symbol", F.array_sort(F.map_keys("plates")).alias("plates"), F.size("plates").cast("bigint").alias("n"),
+    return m.select("symbol", F.array_join(F.array_sort(F.map_keys("plates")), ",").alias("plates"), F.size("plates").cast("bigint").alias("n"),
                     F.aggregate(F.map_values("plates"), F.lit(0.0), lambda a, v: a + v).alias("weight"))
 
 

@@ -119,9 +119,10 @@ def stream_signals(rows: DataFrame, limits: dict | None = None) -> DataFrame:
         if pos:
             pos = {**pos, "tm_o": int(pos["tm_o"].as_unit("us").value)}
         state.update((store.to_json(orient="split", double_precision=15), json.dumps({"done": len(records), "pos": pos}, default=float)))
-        f = pd.DataFrame(out, columns=names[3:])
-        f["n1"], f["n2"], f["model_date"] = key
-        yield f[names]
+        if out:
+            f = pd.DataFrame(out, columns=names[3:])
+            f["n1"], f["n2"], f["model_date"] = key
+            yield f[names]
 
     need = rows.select("n1", "n2", "model_date", *_CARRIED)
     return need.groupBy("n1", "n2", "model_date").applyInPandasWithState(
