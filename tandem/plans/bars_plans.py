@@ -9,16 +9,14 @@ from tandem.plans import feeds
 from tandem.plans.feeds import HORIZONS, PRICE_COLS, bars_sql, panel_sql, with_
 from tandem.plans.registry import query
 
-OHLC = "open, high, low, close, volume, round(wap, 6) AS wap"
-
 
 def _ohlc(df, *extra):
     return df.select("symbol", "ts", "open", "high", "low", "close", "volume", F.round("wap", 6).alias("wap"), *extra)
 
 
-@query("a01_resample_ohlcv", with_(bars_sql("1 hour"), f"SELECT symbol, ts, {OHLC} FROM bars"))
+@query("a01_resample_ohlcv", with_(bars_sql("1 hour"), "SELECT symbol, ts, open, high, low, close, volume, wap FROM bars"))
 def _(spark, sf):
-    return _ohlc(resample.resample_ticks(feeds.price_path(spark, sf), "1 hour", units="units"))
+    return resample.resample_ticks(feeds.price_path(spark, sf), "1 hour", units="units")
 
 
 @query("a01_resample_bars_to_bars", with_(bars_sql(), """
