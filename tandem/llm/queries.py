@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tandem.llm import lines, private
+from tandem.llm import langid, leaks, lines, mixing, private, simhash
 from tandem.llm.storage import ship_package
 
 
@@ -16,8 +16,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": lambda spark, d: langid.op1(_table(spark, d, "documents")),
+    "op2_source_mixing": lambda spark, d: mixing.op2(_table(spark, d, "documents")),
     "op4_line_dedup": lambda spark, d: lines.op4(_table(spark, d, "documents")),
+    "op5_decontamination": lambda spark, d: leaks.op5(_table(spark, d, "documents"), _table(spark, d, "benchmark")),
+    "op6_simhash": lambda spark, d: simhash.op6(_table(spark, d, "documents")),
     "op10_private_data": lambda spark, d: private.op10(_table(spark, d, "documents")),
 }
 
-ORACLES: dict[str, str] = {"op4_line_dedup": lines.OP4_SQL}
+ORACLES: dict[str, str] = {"op2_source_mixing": mixing.OP2_SQL, "op4_line_dedup": lines.OP4_SQL}
