@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tandem.llm.storage import ship_package, stored
+from tandem.llm.storage import ready, stored
 
 GRAM = 4
 HASHES = 3
@@ -109,7 +109,7 @@ class Model:
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 3000,
           max_grams: int = 60_000, bits: int = 20, rare: float = 0.1, least: int = 3) -> Model:
     """Learn from the rows of ``docs`` (the caller leaves out what is held out)."""
-    ship_package(docs.sparkSession)
+    ready(docs.sparkSession)
     known = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("lang is not null and text is not null")
     counted = sorted(known.groupBy("lang").count().collect())
     langs, sizes = [r[0] for r in counted], [r[1] for r in counted]
@@ -177,7 +177,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", keep: list[s
     The model (a table of fixed size) goes to the workers as a broadcast variable.
     """
     spark = docs.sparkSession
-    ship_package(spark)
+    ready(spark)
     shared = spark.sparkContext.broadcast(model)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

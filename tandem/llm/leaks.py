@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tandem.llm.storage import ship_package, stored
+from tandem.llm.storage import ready, stored
 from tandem.llm.words import ALNUM, chunks, last_start, mixed, words_of
 
 #: Fixed masks: 1 = compared, 0 = any word.
@@ -170,7 +170,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, identity: float = 0.8, min
                text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """One row for each document and benchmark item that share a passage: its best stretch."""
     spark = docs.sparkSession
-    ship_package(spark)
+    ready(spark)
     items = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("text")).where("item_id is not null and text is not null").distinct()
     item_seeds = stored(items.mapInArrow(_item_seeds, "item_id long, seed long, at int").distinct(), "seeds")
     shared = spark.sparkContext.broadcast(seed_filter(item_seeds.df))

@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tandem.llm.storage import ship_package
+from tandem.llm.storage import ready
 
 KINDS = ("email", "ip", "card", "phone", "url", "secret")
 BASE = KINDS[:4]
@@ -254,7 +254,7 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def find_private(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: counts, digest of the base spans and all spans."""
-    ship_package(docs.sparkSession)
+    ready(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_rows, SCHEMA)
 
 

@@ -6,18 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tandem.llm import langid, leaks, lines, mixing, private, simhash
-from tandem.llm.storage import ship_package
+from tandem.llm import langid, leaks, lines, mixing, private, simhash, substrings
+from tandem.llm.storage import ready
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    ship_package(spark)
+    ready(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": lambda spark, d: langid.op1(_table(spark, d, "documents")),
     "op2_source_mixing": lambda spark, d: mixing.op2(_table(spark, d, "documents")),
+    "op3_substring_dedup": lambda spark, d: substrings.op3(_table(spark, d, "documents")),
     "op4_line_dedup": lambda spark, d: lines.op4(_table(spark, d, "documents")),
     "op5_decontamination": lambda spark, d: leaks.op5(_table(spark, d, "documents"), _table(spark, d, "benchmark")),
     "op6_simhash": lambda spark, d: simhash.op6(_table(spark, d, "documents")),

@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tandem.llm.storage import Stored, ship_package, stored
+from tandem.llm.storage import Stored, ready, stored
 
 SEED = 42
 SHINGLE = 4
@@ -67,7 +67,7 @@ def _fingerprints(n: int, repeats: bool):
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = SHINGLE, repeats: bool = True) -> DataFrame:
-    ship_package(docs.sparkSession)
+    ready(docs.sparkSession)
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return own.mapInArrow(_fingerprints(n, repeats), "doc_id long, fp long")
 

@@ -28,12 +28,18 @@ def freed_shuffles(spark: SparkSession):
         spark.conf.set(_CLEANUP, before)
 
 
+def ready(spark: SparkSession) -> None:
+    """The package on the workers, and Arrow batches bounded by bytes as well as by rows (texts may be very long)."""
+    ship_package(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(12 << 20))
+
+
 class Stored:
     """A written table; ``df`` reads it, ``drop`` removes its files."""
 
     def __init__(self, df: DataFrame, name: str):
         spark = df.sparkSession
-        ship_package(spark)
+        ready(spark)
         self.spark, self.path = spark, fresh_path(spark, name)
         with freed_shuffles(spark):
             df.write.option("compression", "zstd").parquet(self.path)
