@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tandem.llm.packed import planes, steps, summed, unplanes
 from tandem.llm.storage import parts_for, ready, stored
+from tandem.llm.units import NAMES, REPEATS, ROW, SPANS, SUFFIXES, UNIT, record, spans
 from tandem.llm.words import chunks, last_start, windows, words_of
 
 #: Prefix lengths before that of the window itself, hash buckets counted for each, suffixes of a group.
@@ -127,17 +128,6 @@ def by_window(hi: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.concatenate([[True], ~(same_hi & (b[1:] == b[:-1]))])[:len(hi)]
 
 
-ROW = "unit long, kind int, grp int, hi binary, lo binary, at binary, ids binary, marks binary, counts binary"
-NAMES = ["unit", "kind", "grp", "hi", "lo", "at", "ids", "marks", "counts"]
-SUFFIXES, UNIT, REPEATS = 0, 1, 2
-
-
-def _record(rows: list[tuple]) -> pa.RecordBatch:
-    cols = list(zip(*rows))
-    kinds = [pa.int64(), pa.int32(), pa.int32()] + [pa.binary()] * 6
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=NAMES)
-
-
 def _suffixes(shared, window: int):
     """The suffixes of every batch by group (the first of equal windows only), and a row about the batch itself."""
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,13 +164,13 @@ def _suffixes(shared, window: int):
             place = at[sort].astype(np.int64) - (np.cumsum(counts, dtype=np.int64) - counts)[doc]
             again = ~new & ~((ids[doc] == ids[doc[head]]) & (place == place[head]))
             settled = np.sort(at[sort[again]])
-            yield _record([(unit, UNIT, unit % groups.count, b"", b"", planes(steps(settled)), *about)])
+            yield record([(unit, UNIT, unit % groups.count, b"", b"", planes(steps(settled)), b"", *about)])
             sort = sort[new]
             sort = sort[np.argsort(grp[sort], kind="stable")]
             edges = np.searchsorted(grp[sort], np.arange(groups.count + 1))
             for g in np.flatnonzero(np.diff(edges)):
                 part = sort[edges[g]:edges[g + 1]]
-                yield _record([(unit, SUFFIXES, int(g), planes(steps(hi[part])), planes(lo[part]), planes(at[part]), about[0], b"", about[2])])
+                yield record([(unit, SUFFIXES, int(g), planes(steps(hi[part])), planes(lo[part]), planes(at[part]), b"", about[0], b"", about[2])])
     return rows
 
 
@@ -191,7 +181,7 @@ def _subtree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for r in batch.to_pylist():
             if r["kind"] == UNIT:
-                yield _record([tuple(r[n] for n in NAMES)])
+                yield record([tuple(r[n] for n in NAMES)])
                 continue
             a = unplanes(r["at"], np.uint32)
             ids, counts = summed(unplanes(r["ids"], np.int64)), unplanes(r["counts"], np.uint32)
@@ -222,52 +212,7 @@ def _subtree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     again = again[np.lexsort((at[again], unit[again]))]
     edges = np.searchsorted(unit[again], np.arange(len(units) + 1))
     for u in np.flatnonzero(np.diff(edges)):
-        yield _record([(units[u], REPEATS, 0, b"", b"", planes(steps(at[again[edges[u]:edges[u + 1]]])), b"", b"", b"")])
-
-
-def covered_spans(starts: np.ndarray, window: int, counts: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """(document, [start, end, ...] in its words) from the windows that start at the given words of a batch."""
-    total = int(counts.sum())
-    change = np.bincount(starts, minlength=total + 1)[:total + 1].astype(np.int64)
-    ends = np.bincount(np.minimum(starts + window, total), minlength=total + 1)
-    inside = np.cumsum(change - ends)[:total] > 0
-    begin = np.cumsum(counts, dtype=np.int64) - counts
-    fresh = np.zeros(total + 1, dtype=bool)
-    fresh[begin[counts > 0]] = True
-    fresh[total] = True
-    was = np.concatenate([[False], inside[:-1]])
-    first = np.flatnonzero(inside & (~was | fresh[:total]))
-    after = np.concatenate([inside[1:], [False]])
-    last = np.flatnonzero(inside & (~after | fresh[1:])) + 1
-    doc = np.searchsorted(np.cumsum(counts, dtype=np.int64), first, side="right")
-    for part in np.split(np.arange(len(doc)), np.flatnonzero(np.diff(doc)) + 1):
-        if len(part):
-            d = int(doc[part[0]])
-            yield d, np.stack([first[part] - begin[d], last[part] - begin[d]], axis=1).astype(np.int32).ravel()
-
-
-def _spans(window: int):
-    """Rows sorted by batch, its own row first: spans of every document that loses words."""
-    def done(about: dict, starts: list[np.ndarray]) -> pa.RecordBatch:
-        ids, marks = summed(unplanes(about["ids"], np.int64)), unplanes(about["marks"], np.int64)
-        got = list(covered_spans(np.concatenate(starts).astype(np.int64), window, unplanes(about["counts"], np.uint32).astype(np.int64)))
-        docs = [d for d, _ in got]
-        return pa.RecordBatch.from_arrays([pa.array(ids[docs]), pa.array(marks[docs]), pa.array([s.tobytes() for _, s in got], pa.binary())],
-                                          names=["_ss_id", "_ss_mark", "_ss_gone"])
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        about, starts = None, []
-        for batch in batches:
-            for r in batch.to_pylist():
-                if about is not None and r["unit"] != about["unit"]:
-                    yield done(about, starts)
-                    about, starts = None, []
-                if r["kind"] == UNIT:
-                    about = r
-                starts.append(summed(unplanes(r["at"], np.uint32)))
-        if about is not None:
-            yield done(about, starts)
-    return rows
+        yield record([(units[u], REPEATS, 0, b"", b"", planes(steps(at[again[edges[u]:edges[u + 1]]])), b"", b"", b"", b"")])
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -303,12 +248,11 @@ def drop_repeated_passages(docs: DataFrame, window: int = 20, id_col: str = "doc
     groups = plan_groups(counts, max(1, min(GROUP, int(counts[0].sum()) // least)))
     shared = spark.sparkContext.broadcast(groups)  # 5 x 4096 entries
     found = stored(named.mapInArrow(_suffixes(shared, window), ROW).repartitionById(groups.count, "grp")
-                   .mapInArrow(_subtree, ROW).select("unit", "kind", "at", "ids", "marks", "counts"), "repeats")
-    spans = found.df.repartition(parts_for(groups.suffixes, 4 * GROUP, least), "unit").sortWithinPartitions("unit", "kind").mapInArrow(
-        _spans(window), "_ss_id long, _ss_mark long, _ss_gone binary")
-    gone = stored(spans.dropDuplicates(["_ss_id", "_ss_mark"]), "spans")
+                   .mapInArrow(_subtree, ROW).select("unit", "kind", "at", "run", "ids", "marks", "counts"), "repeats")
+    by_unit = found.df.repartition(parts_for(groups.suffixes, 4 * GROUP, least), "unit").sortWithinPartitions("unit", "kind")
+    gone = stored(by_unit.mapInArrow(spans(window), SPANS).dropDuplicates(["id", "mark"]), "spans")
     found.drop()
-    return own.join(gone.df, ["_ss_id", "_ss_mark"], "left").select("_ss_id", "_ss_text", "_ss_gone").mapInArrow(
+    return own.join(gone.df.select(F.col("id").alias("_ss_id"), F.col("mark").alias("_ss_mark"), "gone"), ["_ss_id", "_ss_mark"], "left").select("_ss_id", "_ss_text", "gone").mapInArrow(
         _kept, "doc_id long, n_words long, n_removed long, kept string")
 
 
