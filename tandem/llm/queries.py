@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tandem.llm import bytedups, langid, leaks, lines, mixing, pages, private, simhash, substrings
+from tandem.llm import bytedups, langid, leaks, lines, mixing, pages, private, search, simhash, substrings
 from tandem.llm.storage import ready
 
 
@@ -22,9 +22,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_line_dedup": lambda spark, d: lines.op4(_table(spark, d, "documents")),
     "op5_decontamination": lambda spark, d: leaks.op5(_table(spark, d, "documents"), _table(spark, d, "benchmark")),
     "op6_simhash": lambda spark, d: simhash.op6(_table(spark, d, "documents")),
+    "op7_top_products": lambda spark, d: search.op7(_table(spark, d, "embeddings")),
     "op8_main_text": lambda spark, d: pages.op8(_table(spark, d, "pages")),
     "op9_suffix_array_dedup": lambda spark, d: bytedups.op9(_table(spark, d, "documents")),
     "op10_private_data": lambda spark, d: private.op10(_table(spark, d, "documents")),
 }
 
-ORACLES: dict[str, str] = {"op2_source_mixing": mixing.OP2_SQL, "op4_line_dedup": lines.OP4_SQL}
+ORACLES: dict[str, str] = {"op2_source_mixing": mixing.OP2_SQL, "op4_line_dedup": lines.OP4_SQL, "op7_top_products": search.OP7_SQL}
