@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tandem.llm.storage import ready, stored
+from tandem.llm.words import chunks
 
 GRAM = 4
 HASHES = 3
@@ -72,12 +73,13 @@ def slots(code: np.ndarray, bits: int) -> list[np.ndarray]:
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         langs = np.array(batch.column(0).to_pylist(), dtype=object)
-        code, ends = grams([t or "" for t in batch.column(1).to_pylist()])
-        for lang in sorted(set(langs)):
-            parts = [code[ends[i]:ends[i + 1]] for i in np.flatnonzero(langs == lang)]
-            values, counts = np.unique(np.concatenate(parts), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(values), pa.string()), pa.array(values.astype(np.int64)),
-                                              pa.array(counts.astype(np.int64))], names=["lang", "gram", "n"])
+        texts = batch.column(1).to_pylist()
+        for lo, hi in chunks(texts):
+            for lang in sorted(set(langs[lo:hi])):
+                code, _ = grams([texts[i] for i in range(lo, hi) if langs[i] == lang])
+                values, counts = np.unique(code, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(values), pa.string()), pa.array(values.astype(np.int64)),
+                                                  pa.array(counts.astype(np.int64))], names=["lang", "gram", "n"])
 
 
 def _slotted(bits: int):
@@ -139,25 +141,32 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     return Model(langs, table, bits, sizes)
 
 
-def decide(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-    """Language and score of each text."""
-    found, scores = ["und"] * len(texts), np.zeros(len(texts))
-    if not model.langs:
-        return found, scores
-    has = [i for i, t in enumerate(texts) if t and LETTER.search(t)]
-    if not has:
-        return found, scores
-    code, ends = grams([texts[i] for i in has])
+def counted_hits(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """For each text the n-grams that each language may contain, and all its n-grams."""
+    code, ends = grams(texts)
     mask = None
     for s in slots(code, model.bits):
         hit = model.table[s]
         mask = hit if mask is None else mask & hit
     one = model.table.dtype.type(1)
-    n = np.diff(ends)
-    hits = np.zeros((len(has), len(model.langs)))
+    hits = np.zeros((len(texts), len(model.langs)))
     for b in range(len(model.langs)):
         upto = np.concatenate([[0], np.cumsum(mask >> model.table.dtype.type(b) & one, dtype=np.int64)])
         hits[:, b] = upto[ends[1:]] - upto[ends[:-1]]
+    return hits, np.diff(ends)
+
+
+def decide(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+    """Language and score of each text."""
+    found, scores = ["und"] * len(texts), np.zeros(len(texts))
+    if not model.langs:
+        return found, scores
+    has = [i for i, t in enumerate(texts) if t and LETTER.search(t)]
+    if not has:
+        return found, scores
+    hits, n = np.zeros((len(has), len(model.langs))), np.zeros(len(has), dtype=np.int64)
+    for lo, hi in chunks([texts[i] for i in has]):
+        hits[lo:hi], n[lo:hi] = counted_hits(model, [texts[i] for i in has[lo:hi]])
     rate = model.false_rate
     real = np.clip((hits - n[:, None] * rate) / (1 - rate), 0, None)
     best = real.argmax(axis=1)
