@@ -180,8 +180,10 @@ def decide(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarray
     return found, scores
 
 
-def identify(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns of ``docs`` (or those in ``keep``) and ``lang_pred``, ``score``; only the text is looked at.
+def identify(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None,
+             names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The columns of ``docs`` (or those in ``keep``) and the language and score under ``names``; only the text is looked at.
+    A column of ``docs`` that has one of these names is replaced.
 
     The model (a table of fixed size) goes to the workers as a broadcast variable.
     """
@@ -193,10 +195,10 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", keep: list[s
         for batch in batches:
             langs, scores = decide(shared.value, batch.column(at).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array(langs, pa.string()), pa.array(scores)],
-                                             names=[*batch.schema.names[:width], "lang_pred", "score"])
+                                             names=[*batch.schema.names[:width], *names])
 
-    out = [f for f in docs.schema if f.name not in ("lang_pred", "score") and (keep is None or f.name in keep)]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in out), "lang_pred string, score double"])
+    out = [f for f in docs.schema if f.name not in names and (keep is None or f.name in keep)]
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in out), f"`{names[0]}` string, `{names[1]}` double"])
     # the text crosses to Python once, as a column that is kept or under a name of its own
     own = any(f.name == text_col for f in out)
     read = docs.select(*[f"`{f.name}`" for f in out], *([] if own else [F.col(text_col).alias("_li_text")]))

@@ -2,7 +2,7 @@
 
 Only DataFrame functions.  Defined cases:
 
-* a null text counts as one empty line; a document without any dropped line keeps its text as it is;
+* a null text counts as one empty line and stays null; a document without any dropped line keeps its text as it is;
 * a key shorter than ``min_chars`` code points is never dropped, whatever its count;
 * rows that repeat a ``doc_id`` are one document: the key of a line counts once for it, and a line is
   dropped from every row of a document that is not the first (smallest id) to hold it;
@@ -57,12 +57,12 @@ def drop_repeated_lines(docs: DataFrame, min_docs: int = 2, min_chars: int = 10,
                    .groupBy("_ld_id", "_ld_th").agg(F.collect_set("_ld_pos").alias("_ld_gone")), "drops")
     lines.drop()
     keys.drop()
-    own = (docs.withColumn("_ld_id", F.col(id_col)).withColumn("_ld_th", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    own = (docs.withColumn("_ld_id", F.col(id_col)).withColumn("_ld_null", F.col(text_col).isNull()).withColumn("_ld_th", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
            .withColumn("_ld_all", F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)).drop(text_col))
     joined = own.join(drops.df, ["_ld_id", "_ld_th"], "left")
     kept_at = F.array_except(F.sequence(F.lit(0), F.size("_ld_all") - 1), F.col("_ld_gone"))
     kept = F.when(F.col("_ld_gone").isNull(), F.col("_ld_all")).otherwise(F.transform(kept_at, lambda p: F.get("_ld_all", p)))
-    out = joined.withColumn(text_col, F.array_join(kept, "\n"))
+    out = joined.withColumn(text_col, F.when(~F.col("_ld_null"), F.array_join(kept, "\n")))
     return out.select(*docs.columns, F.size("_ld_all").cast("long").alias("_ld_lines"),
                       F.coalesce(F.size("_ld_gone"), F.lit(0)).cast("long").alias("_ld_dropped"))
 
@@ -70,7 +70,7 @@ def drop_repeated_lines(docs: DataFrame, min_docs: int = 2, min_chars: int = 10,
 def op4(documents: DataFrame) -> DataFrame:
     done = drop_repeated_lines(documents.select("doc_id", "text"))
     return done.select("doc_id", F.col("_ld_lines").alias("n_lines"), F.col("_ld_dropped").alias("n_dropped"),
-                       F.sha2(F.col("text"), 256).alias("kept_sha256"))
+                       F.sha2(F.coalesce(F.col("text"), F.lit("")), 256).alias("kept_sha256"))
 
 
 OP4_SQL = r"""

@@ -26,7 +26,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tandem.llm.storage import Stored, stored
+from tandem.llm.storage import stored
 
 TOKEN = r"[^\x20\x09-\x0D]+"
 STEPS = 30
@@ -100,37 +100,36 @@ def budgets(sources: DataFrame, fitted: Fitted, target: Target) -> DataFrame:
                     F.ceil(F.sqrt("_mx_docs")).cast("long").alias("_mx_blocks")))
 
 
-def mix(docs: DataFrame, target: Target = Target(), id_col: str = "doc_id", text_col: str = "text",
-        source_col: str = "source") -> tuple[DataFrame, list[Stored]]:
-    """Rows of the mixture without text: id, source, tokens, ``epoch`` from 0, ``block`` and place in the pass.
-
-    Also returns the written tables that the result reads.
-    """
-    tokens = stored(docs.select(F.col(id_col).alias("_mx_id"), F.col(source_col).alias("_mx_source"),
-                                F.coalesce(F.regexp_count(F.col(text_col), F.lit(TOKEN)), F.lit(0)).cast("long").alias("_mx_tokens")), "tokens")
-    sources = stored(source_table(tokens.df), "sources")
-    plan = stored(budgets(sources.df, bisect_exponent(sources.df, target), target), "budgets")
+def mix(docs: DataFrame, target: Target = Target(), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+        keep: list[str] | None = None) -> DataFrame:
+    """Rows of the mixture: ``keep`` (columns of ``docs``), and ``_mx_id``, ``_mx_source``, ``_mx_tokens``, ``_mx_weight``,
+    ``_mx_epoch`` (pass over the source, from 0), ``_mx_block``."""
+    keep = keep or []
+    count = F.coalesce(F.regexp_count(F.col(text_col), F.lit(TOKEN)), F.lit(0)).cast("long")
+    base = docs.select(*[f"`{c}`" for c in keep], F.col(id_col).alias("_mx_id"), F.col(source_col).alias("_mx_source"), count.alias("_mx_tokens"))
+    tokens = base if keep else stored(base, "tokens").df
+    sources = stored(source_table(tokens), "sources")
+    plan = stored(budgets(sources.df, bisect_exponent(sources.df, target), target), "budgets").df
     sources.drop()
     seed = target.seed
-    same = F.col("d._mx_source").eqNullSafe(F.col("p._mx_source"))
     # every document once for each full pass of its source, and once for the pass that the budget may cut
     block = F.conv(F.substring(draw(seed, F.col("_mx_id")), 1, 12), 16, 10).cast("long") % F.col("_mx_blocks")
-    dealt = (tokens.df.alias("d").join(plan.df.alias("p"), same).select(
-        "_mx_id", F.col("d._mx_source").alias("_mx_source"), "_mx_tokens", "_mx_weight", "_mx_full", "_mx_rest", block.alias("_mx_block")))
+    name = F.coalesce(F.concat(F.lit("s"), F.col("_mx_source")), F.lit("null"))
+    dealt = (tokens.withColumn("_mx_key", name).join(plan.withColumn("_mx_key", name).drop("_mx_source"), "_mx_key").withColumn("_mx_block", block))
     full = dealt.where("_mx_full > 0").withColumn("_mx_epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_mx_full") - 1)))
     last = dealt.where("_mx_rest > 0").withColumn("_mx_epoch", F.col("_mx_full"))
-    key = [F.coalesce(F.col("_mx_source"), F.lit("\x00")).alias("_mx_key"), "_mx_block"]
-    sums = last.groupBy(*key).agg(F.sum("_mx_tokens").alias("_mx_sum"), F.first("_mx_full").alias("_mx_full"), F.first("_mx_rest").alias("_mx_rest"))
-    order = draw(seed, F.col("_mx_full"), F.col("_mx_key"), F.col("_mx_block"))
+    sums = last.groupBy("_mx_key", "_mx_block").agg(F.sum("_mx_tokens").alias("_mx_sum"), F.first("_mx_source").alias("_mx_source"),
+                                                    F.first("_mx_full").alias("_mx_full"), F.first("_mx_rest").alias("_mx_rest"))
+    order = draw(seed, F.col("_mx_full"), F.col("_mx_source"), F.col("_mx_block"))
     before = Window.partitionBy("_mx_key").orderBy(order, "_mx_block").rowsBetween(Window.unboundedPreceding, -1)
     starts = (sums.withColumn("_mx_before", F.coalesce(F.sum("_mx_sum").over(before), F.lit(0))).where("_mx_before <= _mx_rest")
               .select("_mx_key", "_mx_block", "_mx_before"))
     inside = Window.partitionBy("_mx_key", "_mx_block").orderBy(draw(seed, F.col("_mx_epoch"), F.col("_mx_id")), "_mx_id", "_mx_tokens")
-    cut = (last.withColumn("_mx_key", key[0]).join(starts, ["_mx_key", "_mx_block"])
+    cut = (last.join(starts, ["_mx_key", "_mx_block"])
            .withColumn("_mx_upto", F.col("_mx_before") + F.sum("_mx_tokens").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
            .where("_mx_upto <= _mx_rest"))
-    names = ["_mx_id", "_mx_source", "_mx_tokens", "_mx_weight", "_mx_epoch", "_mx_block"]
-    return full.select(*names).unionByName(cut.select(*names)), [tokens, plan]
+    names = [*[f"`{c}`" for c in keep], "_mx_id", "_mx_source", "_mx_tokens", "_mx_weight", "_mx_epoch", "_mx_block"]
+    return full.select(*names).unionByName(cut.select(*names))
 
 
 def op2(documents: DataFrame) -> DataFrame:
@@ -139,8 +138,7 @@ def op2(documents: DataFrame) -> DataFrame:
     A row for every reading of a document: ``epoch`` counts the passes over its source; in a pass the documents stand
     by (md5 of seed, epoch, source, block), (md5 of seed, epoch, id).
     """
-    rows, _ = mix(documents)
-    return rows.select(F.col("_mx_id").alias("doc_id"), F.col("_mx_source").alias("source"), F.col("_mx_tokens").alias("n_tokens"),
+    return mix(documents).select(F.col("_mx_id").alias("doc_id"), F.col("_mx_source").alias("source"), F.col("_mx_tokens").alias("n_tokens"),
                        F.col("_mx_epoch").alias("epoch"), F.col("_mx_block").alias("block"), F.col("_mx_weight").alias("weight"))
 
 
