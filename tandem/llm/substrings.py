@@ -45,7 +45,7 @@ def _encoded(texts) -> list[bytes]:
 def prefix_buckets(h: np.ndarray, window: int) -> list[np.ndarray]:
     """For each prefix length the bucket of every suffix that has a whole window."""
     n = len(h) - window + 1
-    return [(windows(h, d)[:n] >> np.uint64(64 - BUCKET_BITS)).astype(np.int64) for d in (*PREFIXES, window)]
+    return [(windows(h, min(d, window))[:n] >> np.uint64(64 - BUCKET_BITS)).astype(np.int64) for d in (*PREFIXES, window)]
 
 
 def _prefix_counts(window: int):
