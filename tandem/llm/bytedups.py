@@ -286,7 +286,8 @@ def drop_repeated_bytes(docs: DataFrame, window: int = 400, id_col: str = "doc_i
     units = settled.df.repartition(parts_for(size, 64e6, least), "unit").sortWithinPartitions("unit", "kind")
     shipped = stored(units.mapInArrow(_shipped(window), "id long, mark long, runs binary, size long").dropDuplicates(["id", "mark"]), "shipped")
     shards = parts_for(shipped.df.agg(F.sum("size")).first()[0] or 0, SHARD, least)
-    sent = named.join(shipped.df, ["id", "mark"]).select("id", "mark", "text", "runs")
+    # merged at every size: what is joined grows with the corpus
+    sent = named.join(shipped.df.hint("merge"), ["id", "mark"]).select("id", "mark", "text", "runs")
     repeats = stored(sent.mapInArrow(_contexts(shards, window), ROW).repartitionById(shards, "grp").mapInArrow(_shard(window), ROW).drop("grp"), "repeats")
     shipped.drop()
     both = settled.df.where(F.col("kind") != SHIPPED).unionByName(repeats.df)
@@ -294,7 +295,7 @@ def drop_repeated_bytes(docs: DataFrame, window: int = 400, id_col: str = "doc_i
     gone = stored(places.mapInArrow(spans(window), SPANS).groupBy("id", "mark").agg(F.collect_set("gone").alias("gone")), "spans")
     settled.drop()
     repeats.drop()
-    return own.join(gone.df, ["id", "mark"], "left").select("id", "text", "gone").mapInArrow(
+    return own.join(gone.df.hint("merge"), ["id", "mark"], "left").select("id", "text", "gone").mapInArrow(
         _kept, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 

@@ -252,7 +252,9 @@ def drop_repeated_passages(docs: DataFrame, window: int = 20, id_col: str = "doc
     by_unit = found.df.repartition(parts_for(groups.suffixes, 4 * GROUP, least), "unit").sortWithinPartitions("unit", "kind")
     gone = stored(by_unit.mapInArrow(spans(window), SPANS).dropDuplicates(["id", "mark"]), "spans")
     found.drop()
-    return own.join(gone.df.select(F.col("id").alias("_ss_id"), F.col("mark").alias("_ss_mark"), "gone"), ["_ss_id", "_ss_mark"], "left").select("_ss_id", "_ss_text", "gone").mapInArrow(
+    # merged at every size: spans grow with the corpus, so they are not sent to all executors while they happen to be few
+    marked = gone.df.select(F.col("id").alias("_ss_id"), F.col("mark").alias("_ss_mark"), "gone").hint("merge")
+    return own.join(marked, ["_ss_id", "_ss_mark"], "left").select("_ss_id", "_ss_text", "gone").mapInArrow(
         _kept, "doc_id long, n_words long, n_removed long, kept string")
 
 
