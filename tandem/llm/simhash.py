@@ -58,18 +58,15 @@ def fingerprint(text: str | None, n: int = SHINGLE, repeats: bool = True) -> int
     return int.from_bytes(np.packbits(set_in * 2 > len(ones)).tobytes(), "big")
 
 
-def _fingerprints(n: int, repeats: bool):
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            got = np.fromiter((fingerprint(t.as_py(), n, repeats) for t in batch.column(1)), dtype=np.uint64, count=len(batch))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got.view(np.int64))], names=["doc_id", "fp"])
-    return rows
+def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        got = np.fromiter((fingerprint(t.as_py()) for t in batch.column(1)), dtype=np.uint64, count=len(batch))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got.view(np.int64))], names=["doc_id", "fp"])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = SHINGLE, repeats: bool = True) -> DataFrame:
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     ready(docs.sparkSession)
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return own.mapInArrow(_fingerprints(n, repeats), "doc_id long, fp long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_fingerprints, "doc_id long, fp long")
 
 
 # -- parts and thresholds -------------------------------------------------------------------------------------------
@@ -355,39 +352,80 @@ def verified(links: Stored, nodes: DataFrame, docs: DataFrame, id_col: str, text
     return out.df
 
 
-def near_duplicates(docs: DataFrame, radius: int = 4, id_col: str = "doc_id", text_col: str = "text", n: int = SHINGLE,
-                    repeats: bool = True, verify: tuple[int, float] | None = None) -> DataFrame:
-    """One row for each row of ``docs``: doc_id, fp (as a signed long), component_id.
+def named(nodes: DataFrame, roots: Stored) -> Stored:
+    """(fp, component_id): the least document of a node's component."""
+    rooted = nodes.join(roots.df.select("fp", "root"), "fp", "left").select("fp", "first_doc", F.coalesce("root", "fp").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("first_doc").alias("component_id"))
+    return stored(rooted.join(least, "root").select("fp", "component_id"), "named")
 
-    ``verify=(k, s)``: a link counts only if the two texts have a Jaccard similarity of ``s`` on k-word shingles.
-    """
+
+def near_duplicates(docs: DataFrame, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row for each row of ``docs``: doc_id, fp (as a signed long), component_id."""
     spark = docs.sparkSession
-    prints = stored(fingerprints(docs, id_col, text_col, n, repeats), "prints")
+    prints = stored(fingerprints(docs, id_col, text_col), "prints")
     nodes = stored(prints.df.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("first_doc")), "nodes")
+    roots = components(find_links(nodes.df, radius, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    names = named(nodes.df, roots)
+    roots.drop()
+    nodes.drop()
+    return prints.df.join(names.df, "fp", "left").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+
+
+def _families(sizes: tuple[int, ...]):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            words = [b" ".join((t or "").encode("utf-8").translate(LOWER).split()) for t in texts]
+            cols = [np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), dtype=np.uint64, count=len(words))]
+            cols += [np.fromiter((fingerprint(t, n, False) for t in texts), dtype=np.uint64, count=len(texts)) for n in sizes]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c.view(np.int64)) for c in cols)],
+                                             names=["doc_id", "fp", *(f"f{n}" for n in sizes)])
+    return rows
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 9, sizes: tuple[int, ...] = (2, 3),
+                   shingle: int = 5, least: float = 0.8) -> DataFrame:
+    """(doc_id, component_id) of all rows with an id, where links are texts with a Jaccard similarity of ``least`` on
+    ``shingle``-word shingles.
+
+    Nodes are texts (equal sequences of lower-cased words are one).  Candidates are pairs within ``radius`` bits in one
+    of several fingerprints, of distinct shingles of the given ``sizes``: similar texts may differ in more bits in one
+    of them, hardly in all.  Texts with the same fingerprint are compared with the first of them.
+    """
+    spark = docs.sparkSession
+    ready(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    links = find_links(nodes.df, radius, parts)
-    if verify is not None:
-        found = stored(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "found")
-        links = verified(found, nodes.df, docs, id_col, text_col, *verify)
-        found.drop()
-    roots = components(links)
-    rooted = nodes.df.join(roots.df.select("fp", "root"), "fp", "left").select("fp", "first_doc", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("first_doc").alias("component_id"))
-    named = stored(rooted.join(least, "root").select("fp", "component_id"), "named")
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
+    schema = "doc_id long, fp long" + "".join(f", f{n} long" for n in sizes)
+    prints = stored(own.mapInArrow(_families(sizes), schema), "prints")
+    nodes = stored(prints.df.groupBy("fp").agg(F.min("doc_id").alias("first_doc"), *(F.first(f"f{n}").alias(f"f{n}") for n in sizes)), "nodes")
+    links = []
+    for n in sizes:
+        reps = stored(nodes.df.groupBy(F.col(f"f{n}").alias("fp")).agg(F.min("fp").alias("node")), "family")
+        links.append(nodes.df.join(reps.df.select(F.col("fp").alias(f"f{n}"), "node"), f"f{n}").select(F.col("fp").alias("a"), F.col("node").alias("b")))
+        near = stored(find_links(reps.df.select("fp"), radius, parts), "near")
+        links.append(near.df.join(reps.df.select(F.col("fp").alias("a"), F.col("node").alias("na")), "a")
+                     .join(reps.df.select(F.col("fp").alias("b"), F.col("node").alias("nb")), "b").select(F.col("na").alias("a"), F.col("nb").alias("b")))
+    pairs = links[0]
+    for more in links[1:]:
+        pairs = pairs.unionAll(more)
+    found = stored(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "found")
+    roots = components(verified(found, nodes.df, docs, id_col, text_col, shingle, least))
+    found.drop()
+    names = named(nodes.df, roots)
     roots.drop()
     nodes.drop()
-    return prints.df.join(named.df, "fp", "left").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    return prints.df.select("doc_id", "fp").join(names.df, "fp").select("doc_id", "component_id")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the first document of each group of near-duplicates, in the given columns.
+    """``docs`` with the first document of each group of near-duplicates (``similar_groups``), in the given columns.
 
-    Two texts are near-duplicates when their sets of five-word shingles have a Jaccard similarity of 0.8.  Fingerprints
-    of distinct two-word shingles find the candidates: texts that similar differ in about five of 64 bits there, so a
-    radius of eight finds nearly all (measured: 20 of 22 pairs of 0.8 and more; none of the other kind is kept).
     Of rows that repeat a doc_id one stays (any); rows with a null doc_id all stay.
     """
-    found = near_duplicates(docs, 8, id_col, text_col, 2, False, (5, 0.8)).where("doc_id is not null")
+    found = similar_groups(docs, id_col, text_col)
     ids = stored(found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("_sh_id")).agg(F.count(F.lit(1)).alias("_sh_n")), "stay")
     own = docs.withColumn("_sh_id", F.col(id_col).cast("long"))
     kept = own.join(ids.df.where("_sh_n = 1").select("_sh_id"), "_sh_id", "left_semi")
