@@ -1,8 +1,9 @@
 """Clusters of symbols with similar returns, and scores of a clustering.
 
-A symbol's feature vector is its open/high/low/close log returns over time; it
-is never built.  Distances are sums over common times, so they are one join on
-time and one aggregation.
+A symbol's feature vector is its open/high/low/close log returns over the union
+of all bar times, zero where it has none; it is never built.  A squared distance
+is the two squared lengths less twice the products at common times, so one join
+on time and one aggregation give it, for pairs without common times as well.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tandem.functions.ordered import chunked
 from tandem.operators.clean import clean_returns
+from tandem.operators.pairs import enumerate_pairs
 
 FIELDS = ("open", "high", "low", "close")
 
@@ -28,12 +30,19 @@ def return_features(bars: DataFrame) -> DataFrame:
 
 
 def squared_distances(features: DataFrame) -> DataFrame:
-    """a < b with the squared euclidean distance of their features at common times."""
+    """a < b with the squared euclidean distance of their features."""
     cols = [f"r_{f}" for f in FIELDS]
+    own = sum((F.pow(F.col(c), 2) for c in cols), F.lit(0.0))
+    length = features.groupBy("symbol").agg(F.sum(own).alias("l2"))
+    pairs = enumerate_pairs(features.select("symbol").distinct()).select(F.col("n1").alias("a"), F.col("n2").alias("b"))
+    both = (pairs.join(length.select(F.col("symbol").alias("a"), F.col("l2").alias("la")), "a")
+            .join(length.select(F.col("symbol").alias("b"), F.col("l2").alias("lb")), "b"))
     a = features.select(F.col("symbol").alias("a"), "ts", *[F.col(c).alias(f"a_{c}") for c in cols])
     b = features.select(F.col("symbol").alias("b"), "ts", *[F.col(c).alias(f"b_{c}") for c in cols])
-    step = sum((F.pow(F.col(f"a_{c}") - F.col(f"b_{c}"), 2) for c in cols), F.lit(0.0))
-    return a.join(b, "ts").where("a < b").groupBy("a", "b").agg(F.sum(step).alias("d2"))
+    product = sum((F.col(f"a_{c}") * F.col(f"b_{c}") for c in cols), F.lit(0.0))
+    common = a.join(b, "ts").where("a < b").groupBy("a", "b").agg(F.sum(product).alias("ab"))
+    d2 = F.greatest(F.lit(0.0), F.col("la") + F.col("lb") - 2 * F.coalesce("ab", F.lit(0.0)))
+    return both.join(common, ["a", "b"], "left").select("a", "b", d2.alias("d2"))
 
 
 def affinity(distances: DataFrame, gamma: float) -> DataFrame:
@@ -49,7 +58,8 @@ def symbol_ids(distances: DataFrame) -> DataFrame:
 def cluster_symbols(distances: DataFrame, k: int, gamma: float = 1.0, iterations: int = 20) -> DataFrame:
     """(symbol, cluster) by spectral clustering of the affinity graph (power iteration)."""
     ids = symbol_ids(distances)
-    edges = (affinity(distances, gamma).where("weight > 0")
+    # a weight may underflow; its symbols still belong to some cluster
+    edges = (affinity(distances, gamma).withColumn("weight", F.greatest("weight", F.lit(1e-300)))
              .join(ids.select(F.col("symbol").alias("a"), F.col("id").alias("src")), "a")
              .join(ids.select(F.col("symbol").alias("b"), F.col("id").alias("dst")), "b").select("src", "dst", "weight"))
     pic = PowerIterationClustering(k=k, maxIter=iterations, initMode="degree", srcCol="src", dstCol="dst", weightCol="weight")

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from tandem.functions.timeline import epoch_seconds
 from tandem.operators import clean
@@ -152,7 +152,8 @@ def adf_t(series: np.ndarray, constant: bool) -> float:
     """
     n = len(series)
     fixed = 1 if constant else 0
-    top = min(int(math.ceil(12.0 * (n / 100.0) ** 0.25)), n // 2 - fixed - 1)
+    # n - 1 - lags rows and lags + 1 + fixed columns: at least two residual degrees of freedom are left
+    top = min(int(math.ceil(12.0 * (n / 100.0) ** 0.25)), n // 2 - fixed - 1, (n - 4 - fixed) // 2)
     if top < 0 or np.ptp(series) == 0:
         return math.nan
     step = np.diff(series)
@@ -244,9 +245,9 @@ def coint_candidates(panel: DataFrame, days: Sequence[int] = (14, 28, 42)) -> Da
             part = g[ts >= ts[-1] - np.timedelta64(d, "D")]
             p = engle_granger_p(part["x"].to_numpy(), part["y"].to_numpy())
             out[f"p_{d}"] = p
-            if best is None or p < best[0]:
+            if not math.isnan(p) and (best is None or p < best[0]):
                 best = (p, part["ts"].iloc[0])
-        out["start_of_pmin"] = best[1]
+        out["start_of_pmin"] = best[1] if best else pd.NaT  # no horizon long enough for a test
         return pd.DataFrame([out])
 
     got = _pair_series(longest).groupBy("n1", "n2").applyInPandas(
@@ -260,8 +261,8 @@ def top_pairs(candidates: DataFrame, n: int = 100) -> DataFrame:
     return candidates.orderBy("p", "pair").limit(n)
 
 
-def pair_tests(panel: DataFrame, days: int = 60) -> DataFrame:
-    """Stationarity of each leg, correlation with p, and cointegration, per pair over the last ``days``."""
+def pair_tests(panel: DataFrame, days: int | None = None) -> DataFrame:
+    """Stationarity of each leg, correlation with p, and cointegration, per pair; over the last ``days`` if given."""
     def test(keys: tuple, g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("rn")
         x, y = g["x"].to_numpy(), g["y"].to_numpy()
@@ -269,16 +270,26 @@ def pair_tests(panel: DataFrame, days: int = 60) -> DataFrame:
         return pd.DataFrame([{"n1": keys[0], "n2": keys[1], "p_x": adf_p(x), "p_y": adf_p(y), "corr": r,
                               "p_corr": pearson_p(r, len(x)), "p_coint": engle_granger_p(x, y)}])
 
-    return _pair_series(clean.trailing(panel, days)).groupBy("n1", "n2").applyInPandas(
+    rows = panel if days is None else clean.trailing(panel, days)
+    return _pair_series(rows).groupBy("n1", "n2").applyInPandas(
         test, "n1 string, n2 string, p_x double, p_y double, corr double, p_corr double, p_coint double")
 
 
 def coint_matrix(tests: DataFrame, symbols: Sequence[str]) -> DataFrame:
-    """Symmetric matrix of p values: one row per symbol, one column per symbol of the universe."""
+    """Symmetric matrix of p values: one row per symbol, one column per symbol of the universe.
+
+    Zero on the diagonal; NULL where a pair was not tested.
+    """
     half = tests.select("n1", "n2", "p_coint")
     whole = half.unionByName(half.select(F.col("n2").alias("n1"), F.col("n1").alias("n2"), "p_coint"))
-    cells = [F.coalesce(F.max(F.when(F.col("n2") == s, F.col("p_coint"))), F.lit(0.0)).alias(s) for s in symbols]
-    return whole.groupBy(F.col("n1").alias("symbol")).agg(*cells)
+    own = F.col("n1")
+    cells = [F.when(own == s, F.lit(0.0)).otherwise(F.max(F.when(F.col("n2") == s, F.col("p_coint")))).alias(s) for s in symbols]
+    return whole.groupBy("n1").agg(*cells).withColumnRenamed("n1", "symbol")
+
+
+def coint_pairs(tests: DataFrame, max_p: float = 0.05) -> DataFrame:
+    """Pairs that the test calls cointegrated, the surest first (ties by name)."""
+    return tests.select("n1", "n2", F.col("p_coint").alias("p")).where(F.col("p") <= max_p).orderBy("p", "n1", "n2")
 
 
 def _window_groups(series: DataFrame, chunk_days: int, reach_days: int) -> DataFrame:
@@ -297,23 +308,28 @@ def _window_groups(series: DataFrame, chunk_days: int, reach_days: int) -> DataF
 
 def coint_study(panel: DataFrame, days: Sequence[int] = (5, 7, 10, 14), max_p: float = 0.05,
                 chunk_days: int = 7) -> DataFrame:
-    """End dates at which a pair is cointegrated over both d and 2d days."""
+    """End dates at which a pair is cointegrated over both d and 2d days.
+
+    An end date is the day after a trading day of the panel; for d days the first one follows the 2d-th trading day.
+    """
     spans = list(days)
+    # the calendar: one row a day
+    day = F.floor(epoch_seconds("ts") / 86_400)
+    calendar = panel.select(day.alias("_day")).distinct().withColumn("_nth", F.row_number().over(Window.orderBy("_day")))
 
     def test(keys: tuple, g: pd.DataFrame) -> pd.DataFrame:
         n1, n2, chunk = keys
         g = g.sort_values("ts")
         ts = g["ts"].to_numpy().astype("datetime64[us]")
         x, y = g["x"].to_numpy(), g["y"].to_numpy()
-        first, last = int(g["_first"].iloc[0]), int(g["_last"].iloc[0])
-        seen = set(g["_day"].tolist())
+        nth = dict(zip(g["_day"].tolist(), g["_nth"].tolist()))
         out = []
         for end_day in range(chunk * chunk_days, (chunk + 1) * chunk_days):
-            if end_day - 1 not in seen or end_day > last + 1:
-                continue  # an end date is the day after a trading day
+            if end_day - 1 not in nth:
+                continue
             end = np.datetime64(end_day, "D").astype("datetime64[us]")
             for d in spans:
-                if end_day - 1 - first < 2 * d - 1:
+                if nth[end_day - 1] < 2 * d:
                     continue
                 p = []
                 for k in (2 * d, d):
@@ -323,7 +339,7 @@ def coint_study(panel: DataFrame, days: Sequence[int] = (5, 7, 10, 14), max_p: f
                     out.append((n1, n2, d, pd.Timestamp(end), max(p)))
         return pd.DataFrame(out, columns=["n1", "n2", "d", "end", "p"])
 
-    groups = _window_groups(_pair_series(panel), chunk_days, 2 * max(spans) + 1)
+    groups = _window_groups(_pair_series(panel), chunk_days, 2 * max(spans) + 1).join(calendar, "_day")
     return groups.groupBy("n1", "n2", "chunk").applyInPandas(
         test, "n1 string, n2 string, d int, end timestamp_ntz, p double")
 
@@ -352,7 +368,8 @@ def rolling_johansen(panel: DataFrame, days: Sequence[int] = (10, 20, 30), step_
                      max_lag: int = 64, chunk_days: int = 5) -> DataFrame:
     """Maximum-eigenvalue test over stepped windows and lags 1, 2, 4 .. ``max_lag``.
 
-    Rows with rank > 0 only: the windows in which a pair is cointegrated.
+    Rows with rank > 0 only: the windows in which a pair is cointegrated.  Windows end every ``step_hours`` hours
+    counted from 1970-01-01, so chunks share one grid; one with under ``4 * lag + 20`` bars is too short for a lag.
     """
     spans = list(days)
     lags = [2 ** k for k in range(int(math.log2(max_lag)) + 1)]
@@ -364,9 +381,10 @@ def rolling_johansen(panel: DataFrame, days: Sequence[int] = (10, 20, 30), step_
         xy = g[["x", "y"]].to_numpy()
         first = np.datetime64(int(g["_first"].iloc[0]), "D")
         out = []
-        start = np.datetime64(int(chunk) * chunk_days, "D").astype("datetime64[us]")
-        for k in range(chunk_days * 24 // step_hours):
-            end = start + np.timedelta64(k * step_hours, "h")
+        begin_hour = int(chunk) * chunk_days * 24
+        first_hour = -(-begin_hour // step_hours) * step_hours
+        for hour in range(first_hour, begin_hour + chunk_days * 24, step_hours):
+            end = np.datetime64(hour, "h").astype("datetime64[us]")
             if end > ts[-1]:
                 break
             for d in spans:

@@ -177,26 +177,25 @@ def _(spark, sf):
 
 
 @query("e10_pct_vs_cost", """
-SELECT o_orderkey, round((o_totalprice - c_acctbal) / c_acctbal * 100, 4) AS pct FROM orders JOIN customer ON o_custkey = c_custkey
-WHERE c_acctbal > 1""")
+SELECT o_orderkey, round((o_totalprice - c_acctbal) / nullif(c_acctbal, 0) * 100, 4) AS pct FROM orders JOIN customer ON o_custkey = c_custkey""")
 def _(spark, sf):
     o, c = feeds.table(spark, sf, "orders"), feeds.table(spark, sf, "customer")
-    return (o.join(c, F.expr("o_custkey = c_custkey")).where("c_acctbal > 1")
+    return (o.join(c, F.expr("o_custkey = c_custkey"))
             .select("o_orderkey", F.round(pairs.pct_vs_cost("o_totalprice", "c_acctbal"), 4).alias("pct")))
 
 
 def plate_rows(spark, sf):
-    """(stock, plate) membership: a brand is on the plate of a type when it makes it in a large size.
+    """(stock, plate) membership: a brand is on the plate of a type when its parts of that type are large on average.
 
-    Without the size every brand would be on every plate.
+    Without the condition every brand would be on every plate.
     """
-    p = feeds.table(spark, sf, "part").where("p_size >= 48")
-    return p.select(F.concat(F.lit("US."), F.col("p_brand")).alias("code"), F.col("p_type").alias("plate")).distinct()
+    p = feeds.table(spark, sf, "part").groupBy("p_brand", "p_type").agg(F.sum("p_size").alias("size"), F.count(F.lit(1)).alias("n"))
+    return p.where("size > 25 * n").select(F.concat(F.lit("US."), F.col("p_brand")).alias("code"), F.col("p_type").alias("plate"))
 
 
 @query("s07_invert_plates", """
 SELECT p_brand AS symbol, string_agg(DISTINCT p_type, ',' ORDER BY p_type) AS plates, CAST(count(DISTINCT p_type) AS BIGINT) AS n,
-  CAST(count(DISTINCT p_type) AS DOUBLE) AS weight FROM part WHERE p_size >= 48 GROUP BY 1""")
+  CAST(count(DISTINCT p_type) AS DOUBLE) AS weight FROM (SELECT p_brand, p_type FROM part GROUP BY 1, 2 HAVING sum(p_size) > 25 * count(*)) GROUP BY 1""")
 def _(spark, sf):
     from tandem.sources.plates import invert_plates
     m = invert_plates(plate_rows(spark, sf))
@@ -205,7 +204,7 @@ def _(spark, sf):
 
 
 @query("j08_shared_plates", """
-WITH b AS (SELECT DISTINCT p_brand AS symbol FROM part), m AS (SELECT DISTINCT p_brand AS symbol, p_type FROM part WHERE p_size >= 48),
+WITH b AS (SELECT DISTINCT p_brand AS symbol FROM part), m AS (SELECT DISTINCT p_brand AS symbol, p_type FROM (SELECT p_brand, p_type FROM part GROUP BY 1, 2 HAVING sum(p_size) > 25 * count(*))),
 pairs AS (SELECT x.symbol AS n1, y.symbol AS n2 FROM b x JOIN b y ON x.symbol < y.symbol),
 common AS (SELECT n1, n2, string_agg(lower(x.p_type), ',' ORDER BY lower(x.p_type)) AS plates FROM pairs JOIN m x ON x.symbol = n1
   JOIN m y ON y.symbol = n2 AND x.p_type = y.p_type GROUP BY 1, 2)
@@ -309,7 +308,7 @@ def _(spark, sf):
 
 
 @query("t03_tail_after_sort", with_(MODELS_SQL, """
-SELECT pair, round(st, 6) AS st FROM (SELECT pair, st FROM models ORDER BY st DESC, pair LIMIT 5)"""))
+SELECT pair, round(st, 6) AS st FROM (SELECT pair, st FROM models ORDER BY st DESC, pair LIMIT 50)"""))
 def _(spark, sf):
-    top = models(spark, sf).orderBy(F.desc("st"), "pair").limit(5)
+    top = models(spark, sf).orderBy(F.desc("st"), "pair").limit(50)
     return top.select("pair", F.round("st", 6).alias("st")).orderBy("st")

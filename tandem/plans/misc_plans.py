@@ -128,8 +128,10 @@ GAMMA = 0.0005
 FEATURES_SQL = WEEKLY_SQL + """,
 ft AS (SELECT symbol, ts, """ + ", ".join(f"coalesce(ln({f} / lag({f}) OVER w), 0) AS r_{f}" for f in cl.FIELDS) + """
   FROM weekly WINDOW w AS (PARTITION BY symbol ORDER BY ts)),
+grid AS (SELECT symbol, ts FROM (SELECT DISTINCT symbol FROM ft), (SELECT DISTINCT ts FROM ft)),
+zf AS (SELECT symbol, ts, """ + ", ".join(f"coalesce(r_{f}, 0) AS r_{f}" for f in cl.FIELDS) + """ FROM grid LEFT JOIN ft USING (symbol, ts)),
 dist AS (SELECT a.symbol AS a, b.symbol AS b, sum(""" + " + ".join(f"pow(a.r_{f} - b.r_{f}, 2)" for f in cl.FIELDS) + """) AS d2
-  FROM ft a JOIN ft b ON a.ts = b.ts AND a.symbol < b.symbol GROUP BY 1, 2)"""
+  FROM zf a JOIN zf b ON a.ts = b.ts AND a.symbol < b.symbol GROUP BY 1, 2)"""
 
 
 def _features(spark, sf):

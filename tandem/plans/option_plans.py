@@ -325,7 +325,7 @@ def _(spark, sf):
 
 
 @query("c09_iv_hv_report", with_(panel_sql() + _vol_sql({"a": 30, "b": 90}, 36.0) + f""",
-hv AS (SELECT symbol, ts, round(parkinson_b, 9) AS hv FROM vol WHERE parkinson_b IS NOT NULL), iv AS (SELECT symbol, ts, round(parkinson_a, 9) AS iv FROM vol WHERE parkinson_a IS NOT NULL AND minute(ts) = 0),
+hv AS (SELECT symbol, ts, round(parkinson_b, 9) AS hv FROM vol WHERE parkinson_b IS NOT NULL), iv AS (SELECT symbol, ts, round(parkinson_a, 9) AS iv FROM vol WHERE parkinson_a IS NOT NULL),
 r AS (SELECT b.symbol, b.ts, b.close, hv, iv, iv / hv AS iv_hv FROM bars b ASOF LEFT JOIN hv ON b.symbol = hv.symbol AND b.ts >= hv.ts
   ASOF LEFT JOIN iv ON b.symbol = iv.symbol AND b.ts >= iv.ts WHERE hv > 0 AND iv IS NOT NULL),
 g AS (SELECT symbol, unnest([{_GRID}]) AS q, unnest(quantile_cont(iv, [{_GRID}])) AS vi, unnest(quantile_cont(iv_hv, [{_GRID}])) AS vr FROM r GROUP BY symbol)
@@ -334,7 +334,7 @@ SELECT r.symbol, r.ts, round(any_value(close), 6) AS close, round(any_value(iv_h
 def _(spark, sf):
     v = vol.rolling_volatility(feeds.panel(spark, sf), {"a": 30, "b": 90}, 36.0, ["parkinson"])
     hv = v.where("parkinson_b is not null").select("symbol", "ts", F.round("parkinson_b", 9).alias("hv"))
-    iv = v.where("parkinson_a is not null and minute(ts) = 0").select("symbol", "ts", F.round("parkinson_a", 9).alias("iv"))
+    iv = v.where("parkinson_a is not null").select("symbol", "ts", F.round("parkinson_a", 9).alias("iv"))
     rows = op.iv_hv_rows(feeds.bars(spark, sf).select("symbol", "ts", "close"), hv, iv)
     d = op.iv_hv_report(feeds.stored(spark, sf, "iv-hv", lambda: rows))
     return d.select("symbol", "ts", F.round("close", 6).alias("close"), F.round("iv_hv", 5).alias("iv_hv"), "iv_rank", "iv_hv_rank")

@@ -253,6 +253,11 @@ def _(spark, sf):
     return co.coint_matrix(co.pair_tests(p), universe_list(p))
 
 
+@query("a21_coint_pairs")
+def _(spark, sf):
+    return co.coint_pairs(co.pair_tests(feeds.panel(spark, sf)))
+
+
 @query("a22_rolling_johansen")
 def _(spark, sf):
     return co.rolling_johansen(feeds.panel(spark, sf), step_hours=24)

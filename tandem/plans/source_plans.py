@@ -81,7 +81,7 @@ def inventory(spark, sf):
 
 
 @query("s06_plates_round_trip", """
-SELECT p_brand AS symbol, string_agg(DISTINCT lower(p_type), ',' ORDER BY lower(p_type)) AS names, CAST(count(DISTINCT p_type) AS DOUBLE) AS weight FROM part WHERE p_size >= 48 GROUP BY 1""")
+SELECT p_brand AS symbol, string_agg(DISTINCT lower(p_type), ',' ORDER BY lower(p_type)) AS names, CAST(count(DISTINCT p_type) AS DOUBLE) AS weight FROM (SELECT p_brand, p_type FROM part GROUP BY 1, 2 HAVING sum(p_size) > 25 * count(*)) GROUP BY 1""")
 def _(spark, sf):
     from tandem.plans.join_plans import plate_rows
     stocks = spl.invert_plates(plate_rows(spark, sf)).withColumns({"stock_name": F.upper("symbol"), "list_time": F.lit("2020-01-01")})

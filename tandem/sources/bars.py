@@ -21,9 +21,11 @@ def read_bars_wide(spark: SparkSession, path: str, drop_gaps: bool = False) -> D
     symbols, fields = (line.split(",") for line in head[:2])
     names = ["ts"] + [f"{f}_{s}" for s, f in zip(symbols[1:], fields[1:])]
     schema = ", ".join(f"`{n}` STRING" if n == "ts" else f"`{n}` DOUBLE" for n in names)
-    body = spark.read.schema(schema).csv(path)
-    # Header lines and the index-name line carry no time.
-    body = body.withColumn("ts", F.try_to_timestamp("ts").cast("timestamp_ntz")).where("ts is not null")
+    # The third line may name the index; it has no values then.  Only these lines are left out: a time that cannot be
+    # read is an error, not a line to drop.
+    named = head[:3] if len(head) > 2 and not any(c.strip() for c in head[2].split(",")[1:]) else head[:2]
+    lines = spark.read.text(path).where(~F.col("value").isin(named) & (F.trim("value") != ""))
+    body = lines.select(F.from_csv("value", schema).alias("r")).select("r.*").withColumn("ts", F.to_timestamp("ts").cast("timestamp_ntz"))
     if drop_gaps:
         body = body.dropna()
     return wide_to_long(body)

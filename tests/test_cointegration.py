@@ -153,3 +153,77 @@ def test_rolling_johansen_is_independent_of_chunks(spark):
     a, b = run(5), run(2)
     assert len(a) > 10
     pd.testing.assert_frame_equal(a, b)
+
+
+def hours_of(days, per_day=7):
+    return pd.DatetimeIndex([d + pd.Timedelta(hours=9 + k) for d in days for k in range(per_day)])
+
+
+def timed_panel(spark, times, series):
+    rows = [(s, t.to_pydatetime(), float(v), k) for s, values in series.items() for k, (t, v) in enumerate(zip(times, values))]
+    return spark.createDataFrame(rows, "symbol string, ts timestamp_ntz, close double, rn long")
+
+
+def test_whole_series_is_tested(spark):
+    """Seventy days: nothing older than some default is left out."""
+    rng = np.random.default_rng(5)
+    times = hours_of(pd.bdate_range("2024-01-01", periods=70), 6)
+    x = walk(rng, len(times))
+    y = 0.8 * x + rng.normal(size=len(times))
+    panel = timed_panel(spark, times, {"A": x, "B": y})
+    r = co.pair_tests(panel).first()
+    assert r.corr == pytest.approx(np.corrcoef(x, y)[0, 1], rel=1e-9)
+    assert r.p_coint == pytest.approx(co.engle_granger_p(x, y), abs=1e-12)
+    m = {q.symbol: q for q in co.coint_matrix(co.pair_tests(panel), ["A", "B", "C"]).collect()}
+    assert m["A"].A == 0 and m["A"].B == m["B"].A == r.p_coint and m["A"].C is None
+    assert [(p.n1, p.n2) for p in co.coint_pairs(co.pair_tests(panel)).collect()] == [("A", "B")]
+
+
+def test_end_dates_follow_trading_days(spark):
+    """Business days from a Monday: the tenth is Friday the 12th, so the first end date for d = 5 is the 13th."""
+    rng = np.random.default_rng(6)
+    times = hours_of(pd.bdate_range("2024-01-01", periods=25))
+    x = walk(rng, len(times))
+    panel = timed_panel(spark, times, {"A": x, "B": x * 0.5 + rng.normal(size=len(times)) * 0.2})
+    ends = sorted(r.end for r in co.coint_study(panel, days=(5,), max_p=1.0).collect())
+    days = pd.bdate_range("2024-01-01", periods=25)
+    assert ends == [(d + pd.Timedelta(days=1)).to_pydatetime() for d in days[9:]]
+
+
+def test_windows_end_on_one_grid(spark):
+    """A step of seven hours does not divide a chunk; one of 150 hours is longer than it."""
+    rng = np.random.default_rng(13)
+    n = 24 * 40
+    x = walk(rng, n)
+    panel = panel_of(spark, {"A": x, "B": 0.8 * x + rng.normal(size=n)})
+    for step in (7, 150):
+        got = co.rolling_johansen(panel, days=(10,), step_hours=step, max_lag=1).toPandas()
+        hours = np.array([(e - pd.Timestamp(0)) / pd.Timedelta(hours=1) for e in got["end"]])
+        assert len(hours) and (hours % step == 0).all()
+    gaps = np.diff(np.sort(np.array([(e - pd.Timestamp(0)) / pd.Timedelta(hours=1) for e in
+                                     co.rolling_johansen(panel, days=(10,), step_hours=7, max_lag=1).toPandas()["end"]])))
+    assert (gaps % 7 == 0).all() and np.median(gaps) == 7
+
+
+def test_no_p_from_too_few_rows():
+    rng = np.random.default_rng(1)
+    for n in range(0, 14):
+        p = co.engle_granger_p(walk(rng, n), walk(rng, n)) if n else math.nan
+        assert math.isnan(p) or 0 <= p <= 1
+
+
+def test_symbols_without_common_bars_stay(spark):
+    from tandem.operators import clusters as cl
+    rows = [(s, pd.Timestamp("2024-01-01") + pd.Timedelta(days=k), k, *([100.0 + (k * (7 + i)) % 5] * 4))
+            for i, s in enumerate("ABCD") for k in range(0 if s < "C" else 40, 40 if s < "C" else 80)]
+    bars = spark.createDataFrame([(s, t.to_pydatetime(), rn, *v) for s, t, rn, *v in rows],
+                                 "symbol string, ts timestamp_ntz, rn long, open double, high double, low double, close double")
+    f = cl.return_features(bars)
+    pdf = f.toPandas()
+    got = {(r.a, r.b): r.d2 for r in cl.squared_distances(f).collect()}
+    wide = {s: g.set_index("ts")[[f"r_{x}" for x in cl.FIELDS]] for s, g in pdf.groupby("symbol")}
+    times = sorted(set(pdf["ts"]))
+    full = {s: g.reindex(times).fillna(0).to_numpy() for s, g in wide.items()}
+    assert set(got) == {(a, b) for a in "ABCD" for b in "ABCD" if a < b}
+    assert all(d == pytest.approx(((full[a] - full[b]) ** 2).sum(), abs=1e-9) for (a, b), d in got.items())
+    assert {r.symbol for r in cl.cluster_symbols(cl.squared_distances(f), 2).collect()} == set("ABCD")

@@ -30,7 +30,6 @@ def test_pushdown_and_pruning(spark, sf_dir):
     text = plan(QUERIES["c01_price_merton"](spark, sf_dir))
     assert re.search(r"ReadSchema: struct<p_partkey:bigint,p_size:int,p_retailprice:double>", text)
     text = plan(QUERIES["e10_pct_vs_cost"](spark, sf_dir))
-    assert "GreaterThan(c_acctbal,1.0)" in text
     assert "BatchEvalPython" not in text and "ArrowEvalPython" not in text
 
 
@@ -116,3 +115,10 @@ def test_day_after_the_model_date(spark):
     assert r == {"2024-01-05": "2024-01-08 10:00:00", "2024-01-06": "2024-01-08 10:00:00"}
     extra = clean.test_window(b, m, next_open=True).where("model_date = date'2024-01-05'").count()
     assert extra == 3
+
+
+def test_wide_reader_fails_on_a_time_it_cannot_read(spark, tmp_path):
+    p = tmp_path / "bad.csv"
+    p.write_text(",AAA,AAA\n,close,volume\ndate,,\n2022-01-03 09:30:00,1.5,10\nnot a time,1.6,11\n")
+    with pytest.raises(Exception):
+        sb.read_bars_wide(spark, str(p)).collect()
