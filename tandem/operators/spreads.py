@@ -24,8 +24,18 @@ def typical_price() -> Column:
     return (F.col("close") + F.col("high") + F.col("low")) / 3
 
 
+def on_model_days(rows: DataFrame, models: DataFrame, start: str = "model_start_ts", end: str = "end_test_ts") -> DataFrame:
+    """Pair rows beside each model whose days (from ``start`` to ``end``) they fall on.
+
+    The days of a model are part of the join key, so a row meets the models that are in use on its day and not every
+    model date of its pair; the caller cuts the two border days to the exact times.
+    """
+    day = F.explode(F.sequence(F.to_date(start), F.to_date(end))).alias("_day")
+    return rows.withColumn("_day", F.to_date("ts")).join(models.select("*", day), ["n1", "n2", "_day"]).drop("_day")
+
+
 def spread(models: DataFrame, bars: DataFrame) -> DataFrame:
-    """p1, p2 and diff = slope*p1 - p2 of every model at its legs' common times.
+    """p1, p2 and diff = slope*p1 - p2 of every model at its legs' common times, from the model start to the test end.
 
     Legs meet by time before the models join, and the model table is the small
     side; what it carries (slope, windows) stays on the row.
@@ -33,7 +43,7 @@ def spread(models: DataFrame, bars: DataFrame) -> DataFrame:
     p = bars.select("symbol", "ts", "rn", typical_price().alias("p"))
     x = p.select(F.col("symbol").alias("n1"), "ts", "rn", F.col("p").alias("p1"))
     y = p.select(F.col("symbol").alias("n2"), "ts", F.col("p").alias("p2"))
-    rows = x.join(y, "ts").where("n1 < n2").join(models, ["n1", "n2"])
+    rows = on_model_days(x.join(y, "ts").where("n1 < n2"), models).where("rn >= start_rn and ts < end_test_ts")
     return rows.withColumn("diff", F.col("slope") * F.col("p1") - F.col("p2"))
 
 
@@ -43,15 +53,14 @@ def lookback(hl: str = "halflife") -> Column:
 
 
 def warm_start(rows: DataFrame) -> DataFrame:
-    """Keep rows from the model start up to the test end and mark their role.
+    """Mark the role of a model's rows.
 
     ``history`` feeds the long window, the last ``lookback`` rows before the
     test start warm the short ones, rows at or after ``start_ts`` are the test.
     """
-    d = rows.where((F.col("ts") < F.col("end_test_ts")) & (F.col("rn") >= F.col("start_rn")))
     test = F.col("ts") >= F.col("start_ts")
     warm = ~test & (F.col("rn") > F.col("end_rn") - F.col("lookback"))
-    return d.withColumn("role", F.when(test, 2).when(warm, 1).otherwise(0))
+    return rows.withColumn("role", F.when(test, 2).when(warm, 1).otherwise(0))
 
 
 def _recursive(x: pd.Series, n: int) -> tuple[pd.Series, pd.Series]:

@@ -29,8 +29,9 @@ rs AS (SELECT n1, n2, model_date, stddev_samp(e) AS st, round_even(-ln(2) / regr
 models AS (SELECT * REPLACE (round(s, 5) AS s, round(i, 5) AS i, round(st, 5) AS st), CAST(4 * (floor(halflife) + 1) AS BIGINT) AS lookback
   FROM fit JOIN rs USING (n1, n2, model_date) WHERE s > 0.05 AND halflife > 0)"""
 
-RANGE_SQL = MODELS_SQL + """,
-ranges AS (SELECT model_date, (SELECT min(ts) FROM panel WHERE ts >= model_date + INTERVAL '86399 seconds') AS start_ts FROM md),
+BOUND_SQL = MODELS_SQL + """,
+ranges AS (SELECT model_date, (SELECT min(ts) FROM panel WHERE ts >= model_date + INTERVAL '86399 seconds') AS start_ts FROM md)"""
+RANGE_SQL = BOUND_SQL + """,
 sprd AS (SELECT p.n1, p.n2, m.model_date, p.ts, p.rn, p.p1, p.p2, m.s * p.p1 - p.p2 AS diff, m.lookback, m.end_rn, m.end_ts, m.model_start_ts, r.start_ts,
   CASE WHEN p.ts >= r.start_ts THEN 2 WHEN p.rn > m.end_rn - m.lookback THEN 1 ELSE 0 END AS role
   FROM pr p JOIN models m ON p.n1 = m.n1 AND p.n2 = m.n2 JOIN ranges r ON r.model_date = m.model_date
@@ -50,11 +51,15 @@ def models(spark, sf):
     return feeds.stored(spark, sf, "models", build)
 
 
-def spread_rows(spark, sf):
+def ranged_models(spark, sf):
+    """Models with their test ranges."""
     m = models(spark, sf)
-    p = feeds.panel(spark, sf)
-    ranges = clean.bt_range(p, m, session_hours=SESSION_HOURS).withColumnRenamed("end_ts", "end_test_ts")
-    return sp.warm_start(sp.spread(m.join(ranges, "model_date"), p)).withColumn("halflife_secs", F.floor(F.col("halflife") * 600))
+    ranges = clean.bt_range(feeds.panel(spark, sf), m, session_hours=SESSION_HOURS).withColumnRenamed("end_ts", "end_test_ts")
+    return m.join(ranges, "model_date")
+
+
+def spread_rows(spark, sf):
+    return sp.warm_start(sp.spread(ranged_models(spark, sf), feeds.panel(spark, sf))).withColumn("halflife_secs", F.floor(F.col("halflife") * 600))
 
 
 def features(spark, sf):
@@ -83,12 +88,10 @@ def _(spark, sf):
                                     F.round("i", 2).alias("i"), F.round("st", 6).alias("st"), "halflife", "lookback")
 
 
-@query("w16_spread", with_(MODELS_SQL, """
-SELECT p.n1, p.n2, CAST(m.model_date AS VARCHAR) AS model_date, p.ts, p1, p2, s * p1 - p2 AS diff
-FROM pr p JOIN models m ON p.n1 = m.n1 AND p.n2 = m.n2 WHERE p.rn >= m.start_rn"""))
+@query("w16_spread", with_(RANGE_SQL, """
+SELECT n1, n2, CAST(model_date AS VARCHAR) AS model_date, ts, p1, p2, diff FROM sprd"""))
 def _(spark, sf):
-    d = sp.spread(models(spark, sf), feeds.panel(spark, sf)).where("rn >= start_rn")
-    return d.select(*key(), "p1", "p2", "diff")
+    return sp.spread(ranged_models(spark, sf), feeds.panel(spark, sf)).select(*key(), "p1", "p2", "diff")
 
 
 @query("k05_warm_start", with_(RANGE_SQL, f"SELECT {KEY_SQL}, role, diff FROM sprd"))
@@ -138,18 +141,24 @@ def _(spark, sf):
     return features(spark, sf).select(*key(), F.round("z", 4).alias("z"))
 
 
-@query("w19_z_simple", with_(MODELS_SQL, """
+@query("w19_z_simple", with_(BOUND_SQL, """
 SELECT p.n1, p.n2, CAST(m.model_date AS VARCHAR) AS model_date, p.ts, round((x * s + i - y) / st, 4) + 0 AS z
-FROM pr p JOIN models m ON p.n1 = m.n1 AND p.n2 = m.n2 WHERE p.rn > m.end_rn"""))
+FROM pr p JOIN models m ON p.n1 = m.n1 AND p.n2 = m.n2 JOIN ranges r ON r.model_date = m.model_date
+WHERE p.rn > m.end_rn AND p.ts < r.start_ts + INTERVAL '36 hours'"""))
 def _(spark, sf):
     return simple_z(spark, sf).where("rn > end_rn").select(*key(), F.round("z", 4).alias("z"))
 
 
-def simple_z(spark, sf):
+def pair_closes(spark, sf):
     p = feeds.panel(spark, sf)
     x = p.select(F.col("symbol").alias("n1"), "ts", "rn", F.col("close").alias("x"))
     y = p.select(F.col("symbol").alias("n2"), "ts", F.col("close").alias("y"))
-    rows = x.join(y, "ts").where("n1 < n2").join(models(spark, sf), ["n1", "n2"])
+    return x.join(y, "ts").where("n1 < n2")
+
+
+def simple_z(spark, sf):
+    """z of every model from its start to the end of its test range."""
+    rows = sp.on_model_days(pair_closes(spark, sf), ranged_models(spark, sf)).where("rn >= start_rn and ts < end_test_ts")
     return rows.withColumn("z", sp.z_simple())
 
 
@@ -193,8 +202,9 @@ def _(spark, sf):
     return features(spark, sf).select(*key(), F.round(sp.std_percent(), 4).alias("std_percent"))
 
 
-CROSS_SQL = MODELS_SQL + """,
-z AS (SELECT p.n1, p.n2, m.model_date, p.ts, p.rn, round((x * s + i - y) / st, 4) AS z FROM pr p JOIN models m ON p.n1 = m.n1 AND p.n2 = m.n2 WHERE p.rn >= m.start_rn),
+CROSS_SQL = BOUND_SQL + """,
+z AS (SELECT p.n1, p.n2, m.model_date, p.ts, p.rn, round((x * s + i - y) / st, 4) AS z FROM pr p JOIN models m ON p.n1 = m.n1 AND p.n2 = m.n2
+  JOIN ranges r ON r.model_date = m.model_date WHERE p.rn >= m.start_rn AND p.ts < r.start_ts + INTERVAL '36 hours'),
 zl AS (SELECT *, lag(z) OVER w AS z1, lag(z, 2) OVER w AS z2, lag(z, 3) OVER w AS z3 FROM z WINDOW w AS (PARTITION BY n1, n2, model_date ORDER BY rn))"""
 
 
@@ -202,7 +212,7 @@ zl AS (SELECT *, lag(z) OVER w AS z1, lag(z, 2) OVER w AS z2, lag(z, 3) OVER w A
 SELECT {KEY_SQL}, CASE WHEN z BETWEEN 1.7 AND 2 AND z1 > 2 AND z1 <= z2 AND z2 <= z3 THEN 1
   WHEN z BETWEEN -2 AND -1.7 AND z1 < -2 AND z1 >= z2 AND z2 >= z3 THEN -1 ELSE 0 END AS "cross" FROM zl"""))
 def _(spark, sf):
-    d = simple_z(spark, sf).where("rn >= start_rn").withColumn("z", F.round("z", 4))
+    d = simple_z(spark, sf).withColumn("z", F.round("z", 4))
     return sp.cross_in(d).select(*key(), "cross")
 
 
@@ -212,7 +222,8 @@ def _test_day(spark, sf):
     # (model date, time) pairs of the test days come from one symbol's times: all symbols share them.
     times = p.groupBy("ts").agg(F.first("rn").alias("rn"))
     days = clean.test_window(times, m, next_open=True).select("model_date", "ts")
-    return simple_z(spark, sf).join(days, ["model_date", "ts"])
+    wanted = days.join(m, "model_date")  # a model meets the pair rows of its test times only
+    return pair_closes(spark, sf).join(wanted, ["n1", "n2", "ts"]).withColumn("z", sp.z_simple())
 
 
 def z_trades(spark, sf):
@@ -252,9 +263,7 @@ def _(spark, sf):
 
 
 def _v0_rows(spark, sf):
-    m = models(spark, sf)
-    ranges = clean.bt_range(feeds.panel(spark, sf), m, session_hours=SESSION_HOURS).withColumnRenamed("end_ts", "end_test_ts")
-    d = simple_z(spark, sf).join(ranges, "model_date").where("ts >= start_ts and ts < end_test_ts")
+    d = simple_z(spark, sf).where("ts >= start_ts")
     return d.select("n1", "n2", "model_date", "ts", F.col("x").alias("p1"), F.col("y").alias("p2"), "z", "slope",
                     F.floor(F.col("halflife") * 600).alias("halflife_secs"))
 
@@ -435,7 +444,7 @@ def _(spark, sf):
 , r AS (SELECT ts, n1 || '_' || n2 || '_' || CAST(CAST(model_date AS DATE) AS VARCHAR) AS pair, CAST(floor(abs(z)) AS BIGINT) AS rank FROM z)
 SELECT ts, pair, rank, row_number() OVER (PARTITION BY ts ORDER BY rank, pair) AS place FROM r WHERE rank <> 0"""))
 def _(spark, sf):
-    d = simple_z(spark, sf).where("rn >= start_rn").withColumn("z", F.round("z", 4))
+    d = simple_z(spark, sf).withColumn("z", F.round("z", 4))
     d = d.select("ts", F.concat_ws("_", "n1", "n2", F.col("model_date").cast("string")).alias("pair"),
                  F.floor(F.abs("z")).cast("bigint").alias("rank"))
     return sg.rank_contracts(d).withColumn("place", F.col("place").cast("bigint"))
