@@ -30,10 +30,12 @@ def enumerate_pairs(universe: DataFrame, group: Sequence[str] = (), salts: int =
 def pair_bars(pairs: DataFrame, bars: DataFrame, cols: Sequence[str] = ("close",)) -> DataFrame:
     """Bars of both legs at their common times: x_<col>, y_<col>.
 
-    Pairs meet the first leg on n1, the second on (n2, ts).
+    Legs (those of some pair only) meet by time, an even key, and the pair table picks the pairs: no leg's whole
+    history is repeated for each of its partners.
     """
-    legs = lambda p, n: bars.select(F.col("symbol").alias(n), "ts", *[F.col(c).alias(f"{p}_{c}") for c in cols])
-    return pairs.join(legs("x", "n1"), "n1").join(legs("y", "n2"), ["n2", "ts"])
+    legs = lambda p, n: (bars.select(F.col("symbol").alias(n), "ts", *[F.col(c).alias(f"{p}_{c}") for c in cols])
+                         .join(pairs.select(n).distinct(), n, "left_semi"))
+    return legs("x", "n1").join(legs("y", "n2"), "ts").join(pairs, ["n1", "n2"])
 
 
 def all_pair_bars(panel: DataFrame, cols: Sequence[str]) -> DataFrame:

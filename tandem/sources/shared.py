@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -47,8 +48,26 @@ def ship_package(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
+_made: set[str] = set()
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/tandem-{uuid.uuid4().hex}/{name}"
+    """A path of its own in the shared folder; its files go when the process ends."""
+    root = f"{shared_folder(spark)}/tandem-{uuid.uuid4().hex}"
+    if not _made:
+        atexit.register(_remove_made)
+    _made.add(root)
+    return f"{root}/{name}"
+
+
+def _remove_made() -> None:
+    """Remove what is left of the written tables, if the session that can reach their folder still runs."""
+    spark = SparkSession.getActiveSession()
+    if spark is None or spark.sparkContext._jsc is None:
+        return
+    for root in _made:
+        path = spark._jvm.org.apache.hadoop.fs.Path(root)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
