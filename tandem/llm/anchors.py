@@ -44,10 +44,11 @@ def sliding_least(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(behind[:n - w + 1], ahead[w - 1:n])
 
 
-def runs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, window: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of windows with one anchor in the texts that lie at [starts, ends): anchor hash, first window, windows."""
+def runs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, window: int, k: int) -> tuple[np.ndarray, ...]:
+    """Runs of windows with one anchor in the texts that lie at [starts, ends): anchor hash, first window, windows, and
+    where the anchor lies."""
     if len(data) < window:
-        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
     h = string_hashes(data, k)
     key = sliding_least((h & ~_PLACE) | np.arange(len(h), dtype=np.uint64), window - k + 1)
     change = np.zeros(len(key) + 1, dtype=np.int8)
@@ -58,4 +59,17 @@ def runs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, window: int, k:
     new = np.concatenate([[True], key[1:] != key[:-1]])
     first = np.flatnonzero(good & (new | np.concatenate([[True], ~good[:-1]])))
     stop = np.flatnonzero(good & (np.append(new[1:], True) | np.append(~good[1:], True))) + 1
-    return h[(key[first] & _PLACE).astype(np.int64)], first, stop - first
+    place = (key[first] & _PLACE).astype(np.int64)
+    return h[place], first, stop - first, place
+
+
+def shorter_runs(first: np.ndarray, n: np.ndarray, place: np.ndarray, step: int) -> tuple[np.ndarray, ...]:
+    """Cuts runs where the distance to the anchor passes a multiple of ``step``: run cut, first window, windows, and the
+    place from which on all windows at such distances share ``window - step + 1`` bytes."""
+    nearest, farthest = (place - first - n + 1) // step, (place - first) // step
+    pieces = farthest - nearest + 1
+    run = np.repeat(np.arange(len(first)), pieces)
+    level = farthest[run] - (np.arange(len(run)) - np.repeat(np.cumsum(pieces) - pieces, pieces))
+    begin = np.maximum(first[run], place[run] - level * step - step + 1)
+    end = np.minimum(first[run] + n[run], place[run] - level * step + 1)
+    return run, begin, end - begin, place[run] - level * step

@@ -3,7 +3,10 @@
 A byte goes when a string of ``window`` bytes that covers it also starts anywhere else in the corpus.  A suffix array of
 everything would take many times the corpus; only places that can matter get one:
 
-1. Windows are cut into runs by anchors (``anchors``): equal windows have equal anchors.  Runs travel as hashes.
+0. Windows are cut into runs by anchors (``anchors``): equal windows have equal anchors.  Anchors are counted.
+1. Runs travel as hashes.  Runs of an anchor with over ``HOT`` of them are cut into pieces of ``PIECES`` windows at
+   fixed distances from it, and what all windows at these distances share becomes the anchor of the piece; so an
+   anchor in any number of documents spreads over many groups, as far as its surroundings differ.
    A run whose whole context (all bytes of its windows) occurs twice is settled; an anchor with one context is done.
 2. One copy of every context whose anchor has several contexts is sent to a group chosen by the anchor.
 3. A group concatenates its contexts to one shard, builds the shard's suffix array by induced sorting and the
@@ -25,15 +28,18 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from tandem.llm.anchors import PIECE, runs
+from tandem.llm.anchors import PIECE, runs, shorter_runs
+from tandem.llm.leaks import has, places, seed_filter
 from tandem.llm.packed import planes, steps, summed, unplanes
 from tandem.llm.storage import parts_for, ready, stored
 from tandem.llm.suffixarray import permuted_prefixes, suffix_array
 from tandem.llm.units import NAMES, REPEATS, ROW, SHIPPED, SPANS, SUFFIXES, UNIT, by_unit, identity, record, spans
 from tandem.llm.words import chunks, mixed
 
-#: Bytes of an anchor, runs of a group of step 1, context bytes of a shard of step 3.
+#: Bytes of an anchor, runs that make it hot and windows of the pieces then, runs of a group of step 1, context bytes of a shard of step 3.
 ANCHOR = 128
+HOT = 4000
+PIECES = 16
 GROUP_RUNS = 1_000_000
 SHARD = 3_000_000
 DOC_RUNS = np.dtype([("at", "<i4"), ("run", "<u2"), ("settled", "u1"), ("v", "<u8")])
@@ -54,24 +60,45 @@ def _pieces(texts: list[bytes], window: int) -> tuple[list[bytes], np.ndarray]:
     return out, np.array(base, dtype=np.int64)
 
 
-def _runs(groups: int, window: int):
+def _anchor_runs(texts: list[bytes], window: int) -> Iterator[tuple[bytes, np.ndarray, tuple[np.ndarray, ...]]]:
+    """Of each chunk: its bytes, what to add to a place to get that in the batch (per run), and its runs."""
+    parts, base = _pieces(texts, window)
+    for lo, hi in chunks(parts):
+        size = np.fromiter(map(len, parts[lo:hi]), dtype=np.int64, count=hi - lo)
+        ends = np.cumsum(size)
+        joined = b"".join(parts[lo:hi])
+        found = runs(np.frombuffer(joined, np.uint8), ends - size, ends, window, ANCHOR)
+        if len(found[0]):
+            yield joined, (base[lo:hi] - ends + size)[np.searchsorted(ends, found[1], side="right")], found
+
+
+def _anchor_counts(window: int):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [r[0] for _, _, r in _anchor_runs(_encoded(batch.column(0).to_pylist()), window)]
+            if found:
+                v, n = np.unique(np.concatenate(found), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(v.view(np.int64)), pa.array(n.astype(np.int64))], names=["seed", "n"])
+    return rows
+
+
+def _runs(shared, groups: int, window: int):
     """Every run of a batch by group; equal contexts of a batch are merged and settled at once."""
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task = TaskContext.get().partitionId() << 24
+        task, hot_table = TaskContext.get().partitionId() << 24, shared.value
         for number, batch in enumerate(batches):
             texts = _encoded(batch.column(2).to_pylist())
             counts = np.fromiter(map(len, texts), dtype=np.uint32, count=len(texts))
-            parts, base = _pieces(texts, window)
             found = []
-            for lo, hi in chunks(parts):
-                size = np.fromiter(map(len, parts[lo:hi]), dtype=np.int64, count=hi - lo)
-                ends = np.cumsum(size)
-                joined = b"".join(parts[lo:hi])
-                v, first, n = runs(np.frombuffer(joined, np.uint8), ends - size, ends, window, ANCHOR)
-                if len(v):
-                    part = np.searchsorted(ends, first, side="right")
-                    context = contexts_hash(joined, first, n + window - 1)
-                    found.append((v, context, (first + (base[lo:hi] - ends + size)[part]).astype(np.uint32), n.astype(np.uint16)))
+            for joined, shift, (v, first, n, place) in _anchor_runs(texts, window):
+                one, two = places(v)
+                hot = has(hot_table, one) & has(hot_table, two)
+                if hot.any():
+                    run, begin, short, share = shorter_runs(first[hot], n[hot], place[hot], PIECES)
+                    anchor = contexts_hash(joined, share, np.full(len(share), window - PIECES + 1)) + (place[hot][run] - share).astype(np.uint64)
+                    v, first, n = (np.concatenate([x[~hot], y]) for x, y in ((v, anchor), (first, begin), (n, short)))
+                    shift = np.concatenate([shift[~hot], shift[hot][run]])
+                found.append((v, contexts_hash(joined, first, n + window - 1), (first + shift).astype(np.uint32), n.astype(np.uint16)))
             if not found:
                 continue
             v, context, at, n = (np.concatenate(c) for c in zip(*found))
@@ -281,8 +308,12 @@ def drop_repeated_bytes(docs: DataFrame, window: int = 400, id_col: str = "doc_i
     named = own.where("id is not null")
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     size = named.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    counted = named.select("text").mapInArrow(_anchor_counts(window), "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n"))
+    hot = stored(counted.where(F.col("n") > HOT).select("seed"), "hot")
+    shared = spark.sparkContext.broadcast(seed_filter(hot.df))  # of fixed size
+    hot.drop()
     groups = parts_for(size * 2 / (window - ANCHOR + 1), GROUP_RUNS, least)
-    settled = stored(named.mapInArrow(_runs(groups, window), ROW).repartitionById(groups, "grp").mapInArrow(_settle, ROW).drop("grp"), "settled")
+    settled = stored(named.mapInArrow(_runs(shared, groups, window), ROW).repartitionById(groups, "grp").mapInArrow(_settle, ROW).drop("grp"), "settled")
     units = settled.df.repartition(parts_for(size, 64e6, least), "unit").sortWithinPartitions("unit", "kind")
     shipped = stored(units.mapInArrow(_shipped(window), "id long, mark long, runs binary, size long").dropDuplicates(["id", "mark"]), "shipped")
     shards = parts_for(shipped.df.agg(F.sum("size")).first()[0] or 0, SHARD, least)

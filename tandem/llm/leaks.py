@@ -72,11 +72,11 @@ def _item_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         seed = batch.column(0).to_numpy().view(np.uint64)
-        for at in _places(seed):
+        for at in places(seed):
             yield pa.RecordBatch.from_arrays([pa.array(at >> 6), pa.array((np.int64(1) << (at & 63)))], names=["word", "bits"])
 
 
-def _places(seed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def places(seed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     cut = np.uint64((1 << FILTER_BITS) - 1)
     return (seed & cut).astype(np.int64), (seed >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
 
@@ -89,7 +89,7 @@ def seed_filter(item_seeds: DataFrame) -> np.ndarray:
     return table
 
 
-def _has(table: np.ndarray, at: np.ndarray) -> np.ndarray:
+def has(table: np.ndarray, at: np.ndarray) -> np.ndarray:
     return (table[at >> 6] >> (at & 63)) & 1 == 1
 
 
@@ -111,9 +111,9 @@ def _scan(shared):
                 at, seed = [], []
                 for m in range(len(MASKS)):
                     s = seeds(w.hash, m)
-                    one, two = _places(s)
-                    hit = np.flatnonzero(_has(table, one) & good)
-                    hit = hit[_has(table, two[hit])]
+                    one, two = places(s)
+                    hit = np.flatnonzero(has(table, one) & good)
+                    hit = hit[has(table, two[hit])]
                     at.append(hit)
                     seed.append(s[hit])
                 at, seed = np.concatenate(at), np.concatenate(seed)

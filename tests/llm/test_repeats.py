@@ -80,6 +80,7 @@ def test_bytes(documents, corpus, monkeypatch):
     assert rows(bytedups.op9(documents), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == want
     monkeypatch.setattr(bytedups, "PIECE", 1000)  # long texts in pieces
     monkeypatch.setattr(bytedups, "SHARD", 5000)
+    monkeypatch.setattr(bytedups, "HOT", 2)  # pieces of hot anchors beside whole runs
     assert rows(bytedups.op9(documents), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == want
 
 
@@ -115,7 +116,7 @@ def test_runs_cover_every_window_and_anchors_agree():
     texts = [bytes(rng.integers(97, 100, n).astype(np.uint8)) for n in (5, 30, 31, 200, 64)] + [b"a" * 100]
     texts.append(texts[3][20:150])
     size = np.array([len(t) for t in texts])
-    v, first, n = anchors.runs(np.frombuffer(b"".join(texts), np.uint8), np.cumsum(size) - size, np.cumsum(size), 30, 8)
+    v, first, n, place = anchors.runs(np.frombuffer(b"".join(texts), np.uint8), np.cumsum(size) - size, np.cumsum(size), 30, 8)
     data = b"".join(texts)
     starts = [int(a) + i for a, k in zip(first, n) for i in range(k)]
     assert starts == [int(b) + i for b, s in zip(np.cumsum(size) - size, size) for i in range(max(0, s - 29))]
@@ -123,6 +124,14 @@ def test_runs_cover_every_window_and_anchors_agree():
     for a, k, x in zip(first, n, v):
         for i in range(k):
             assert anchor.setdefault(data[a + i:a + i + 30], x) == x
+    assert all(a <= p and p + 8 <= a + 30 for a, p in zip(first, place))
+    run, begin, short, share = anchors.shorter_runs(first, n, place, 4)
+    assert [int(a) + i for a, k in zip(begin, short) for i in range(k)] == [s for s in sorted(starts)] and (short > 0).all() and (short <= 4).all()
+    shared = {}
+    for r, a, k, s in zip(run, begin, short, share):
+        for i in range(a, a + k):  # equal windows lie in pieces with equal shared bytes at equal distances
+            key = (data[s:s + 27], int(place[r] - s))
+            assert i <= s and s + 27 <= i + 30 and shared.setdefault(data[i:i + 30], key) == key
 
 
 def test_word_hashes_are_those_of_the_words():
