@@ -14,24 +14,27 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 ACCURACY = 2000
 MARGIN = 2.0 / ACCURACY  # twice the sketch's rank error
-SMALL = 20_000  # groups up to this size are ranked whole; beyond it a bracket spans at least 20 ranks a side
+GRID = 1000
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, qs: Sequence[float]) -> DataFrame:
-    """One row per key and q: (keys, q, quantile). ``keys`` must not be empty."""
+    """One row per key and q: (keys, q, quantile). ``keys`` must not be empty.
+
+    A bracket reaches the margin and two ranks to either side of the wanted rank, so that of a small group is
+    the whole of it.
+    """
     d = df.select(*keys, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
-    lo_q = [max(0.0, q - MARGIN) for q in qs]
-    hi_q = [min(1.0, q + MARGIN) for q in qs]
     sketch = d.groupBy(*keys).agg(
         F.count("_v").alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"),
-        F.percentile_approx("_v", [float(q) for q in lo_q], ACCURACY).alias("_lo"),
-        F.percentile_approx("_v", [float(q) for q in hi_q], ACCURACY).alias("_hi"))
-    small = F.col("_n") <= SMALL
-    wanted = sketch.select(*keys, "_n", F.explode(F.array(*[
-        F.struct(F.lit(float(q)).alias("q"),
-                 (F.col("_min") if q <= MARGIN else F.when(small, F.col("_min")).otherwise(F.col("_lo")[i])).alias("_a"),
-                 (F.col("_max") if q >= 1 - MARGIN else F.when(small, F.col("_max")).otherwise(F.col("_hi")[i])).alias("_z"))
-        for i, q in enumerate(qs)])).alias("_w")).select(*keys, "_n", "_w.*")
+        F.percentile_approx("_v", [k / GRID for k in range(GRID + 1)], ACCURACY).alias("_grid"))
+    reach = F.lit(MARGIN) + F.lit(2.0) / F.col("_n")
+
+    def bracket(q: float):
+        lo, hi = F.floor((F.lit(q) - reach) * GRID), F.ceil((F.lit(q) + reach) * GRID)
+        return F.struct(F.lit(q).alias("q"), F.when(lo <= 0, F.col("_min")).otherwise(F.get("_grid", lo.cast("int"))).alias("_a"),
+                        F.when(hi >= GRID, F.col("_max")).otherwise(F.get("_grid", hi.cast("int"))).alias("_z"))
+
+    wanted = sketch.select(*keys, "_n", F.explode(F.array(*[bracket(float(q)) for q in qs])).alias("_w")).select(*keys, "_n", "_w.*")
     values = d.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
     joined = values.join(wanted, list(keys))
     below = joined.groupBy(*keys, "q").agg(
@@ -47,4 +50,7 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, qs: Sequence
         F.max(F.when(hit(F.col("_f")), F.col("_v"))).alias("_v0"),
         F.max(F.when(hit(F.least(F.col("_f") + 1, F.col("_n") - 1)), F.col("_v"))).alias("_v1"),
         F.max(F.col("_h") - F.col("_f")).alias("_p"))
-    return at.select(*keys, "q", (F.col("_v0") + F.col("_p") * (F.col("_v1") - F.col("_v0"))).alias("quantile"))
+    missed = F.col("_v0").isNull() | F.col("_v1").isNull()
+    found = F.when(missed, F.raise_error(F.lit("a bracket misses the wanted rank"))).otherwise(
+        F.col("_v0") + F.col("_p") * (F.col("_v1") - F.col("_v0")))
+    return at.select(*keys, "q", found.alias("quantile"))
