@@ -96,6 +96,12 @@ def johansen(panel: DataFrame, days: Sequence[int], legs: DataFrame | None = Non
     return johansen_from_moments(johansen_moments(rows, ["n1", "n2", "days", "start_rn", "start_ts", "end_ts"]))
 
 
+def max_eigen_relations(tested: DataFrame) -> DataFrame:
+    """Number of cointegrating relations by the maximum-eigenvalue test (the last statistic is that of the trace test)."""
+    last, first = F.col("trace_1") > MAX_EIGEN_95[1], F.col("maxeig_0") > MAX_EIGEN_95[0]
+    return tested.withColumn("relations", F.when(last, 2).when(first, 1).otherwise(0))
+
+
 def js_candidates(panel: DataFrame, days: Sequence[int] = (14, 28, 42), max_hurst: float = 0.49,
                   max_halflife_hours: float = 6.5, interval_secs: float = 60.0,
                   ignored: Sequence[str] = (), tests: DataFrame | None = None) -> DataFrame:

@@ -63,7 +63,7 @@ def _(spark, sf):
                                          F.round(F.col("st") / F.col("y_last") * 100, 6).alias("std_y"))
 
 
-def _johansen_sql() -> str:
+def _johansen_sql(horizons=HORIZONS) -> str:
     names = ["x0", "y0", "xz", "yz", "xk", "yk"]
     pick = lambda a, b: "c_%s_%s" % tuple(sorted((a, b), key=names.index))
     covs = ", ".join(f"covar_pop({a}, {b}) AS c_{a}_{b}" for i, a in enumerate(names) for b in names[i:])
@@ -76,7 +76,7 @@ def _johansen_sql() -> str:
     s = {n: schur(*n.split("_")) for n in ("x0_x0", "x0_y0", "y0_y0", "xk_x0", "xk_y0", "yk_x0", "yk_y0", "xk_xk", "xk_yk", "yk_yk")}
     schurs = ", ".join(f"{v} AS {k}" for k, v in s.items())
     return PAIRS_SQL + f""",
-win AS (SELECT days, min(rn) AS start_rn, min(ts) AS start_ts FROM (SELECT DISTINCT ts, rn FROM panel), (VALUES {', '.join(f'({d})' for d in HORIZONS)}) h(days)
+win AS (SELECT days, min(rn) AS start_rn, min(ts) AS start_ts FROM (SELECT DISTINCT ts, rn FROM panel), (VALUES {', '.join(f'({d})' for d in horizons)}) h(days)
   WHERE ts >= (SELECT max(ts) FROM panel) - days * INTERVAL '1 day' GROUP BY days),
 seq AS (SELECT p.pair, p.rn, p.ts, x - lag(x) OVER w AS x0, y - lag(y) OVER w AS y0, lag(x) OVER w - lag(x, 2) OVER w AS xz,
   lag(y) OVER w - lag(y, 2) OVER w AS yz, lag(x) OVER w AS xk, lag(y) OVER w AS yk FROM pr p WINDOW w AS (PARTITION BY pair ORDER BY rn)),
@@ -107,6 +107,19 @@ def _(spark, sf):
                     F.round("trace_1", 4).alias("trace_1"), F.round("slope", 4).alias("slope"), "rank")
 
 
+# Every pair at the end of the panel over one to four weeks, one lag, maximum-eigenvalue statistics.
+WEEKS = (7, 14, 21, 28)
+
+
+@query("a22_all_pair_weeks", with_(_johansen_sql(WEEKS), f"""
+SELECT pair, days, t, round(l0, 7) AS lambda_0, round(-t * ln(1 - l0), 4) AS maxeig_0, round(-t * ln(1 - l1), 4) AS maxeig_1, round(slope, 4) AS slope,
+  CASE WHEN -t * ln(1 - l1) > {co.MAX_EIGEN_95[1]} THEN 2 WHEN -t * ln(1 - l0) > {co.MAX_EIGEN_95[0]} THEN 1 ELSE 0 END AS relations FROM js"""))
+def _(spark, sf):
+    d = co.max_eigen_relations(co.johansen(feeds.panel(spark, sf), WEEKS))
+    return d.select(F.concat_ws("_", "n1", "n2").alias("pair"), "days", "t", F.round("lambda_0", 7).alias("lambda_0"), F.round("maxeig_0", 4).alias("maxeig_0"),
+                    F.round("trace_1", 4).alias("maxeig_1"), F.round("slope", 4).alias("slope"), "relations")
+
+
 # Loose limits: the test data are independent draws, so tight ones leave nothing.
 JS_LIMITS = dict(max_hurst=0.9, max_halflife_hours=500.0)
 
