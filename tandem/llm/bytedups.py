@@ -41,7 +41,7 @@ ANCHOR = 128
 HOT = 4000
 PIECES = 16
 GROUP_RUNS = 1_000_000
-SHARD = 3_000_000
+SHARD = 2_000_000
 DOC_RUNS = np.dtype([("at", "<i4"), ("run", "<u2"), ("settled", "u1"), ("v", "<u8")])
 
 

@@ -113,7 +113,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """Learn from the rows of ``docs`` (the caller leaves out what is held out)."""
     ready(docs.sparkSession)
     known = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("lang is not null and text is not null")
-    counted = sorted(known.groupBy("lang").count().collect())
+    counted = sorted(known.groupBy("lang").count().limit(65).collect())  # more than 64 are an error
     langs, sizes = [r[0] for r in counted], [r[1] for r in counted]
     if len(langs) > 64:
         raise ValueError("a slot has bits for 64 languages")
