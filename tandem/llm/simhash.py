@@ -385,6 +385,11 @@ def _families(sizes: tuple[int, ...]):
     return rows
 
 
+def one_way(links: DataFrame) -> DataFrame:
+    """Each link once, from the lesser to the greater end."""
+    return links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 9, sizes: tuple[int, ...] = (2, 3),
                    shingle: int = 5, least: float = 0.8) -> DataFrame:
     """(doc_id, component_id) of all rows with an id, where links are texts with a Jaccard similarity of ``least`` on
@@ -405,13 +410,13 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     for n in sizes:
         reps = stored(nodes.df.groupBy(F.col(f"f{n}").alias("fp")).agg(F.min("fp").alias("node")), "family")
         links.append(nodes.df.join(reps.df.select(F.col("fp").alias(f"f{n}"), "node"), f"f{n}").select(F.col("fp").alias("a"), F.col("node").alias("b")))
-        near = stored(find_links(reps.df.select("fp"), radius, parts), "near")
+        near = stored(one_way(find_links(reps.df.select("fp"), radius, parts)), "near")  # several buckets find the same link
         links.append(near.df.join(reps.df.select(F.col("fp").alias("a"), F.col("node").alias("na")), "a")
                      .join(reps.df.select(F.col("fp").alias("b"), F.col("node").alias("nb")), "b").select(F.col("na").alias("a"), F.col("nb").alias("b")))
     pairs = links[0]
     for more in links[1:]:
         pairs = pairs.unionAll(more)
-    found = stored(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "found")
+    found = stored(one_way(pairs), "found")
     roots = components(verified(found, nodes.df, docs, id_col, text_col, shingle, least))
     found.drop()
     names = named(nodes.df, roots)
