@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tandem.llm.storage import Stored, ready, stored
+from tandem.llm.words import chunks, last_start, mixed, windows, words_of
 
 SEED = 42
 SHINGLE = 4
@@ -371,17 +372,87 @@ def near_duplicates(docs: DataFrame, radius: int = 4, id_col: str = "doc_id", te
     return prints.df.join(names.df, "fp", "left").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
-def _families(sizes: tuple[int, ...]):
+#: Bands of the sketch and least shingles in each: a pair with a similarity of 0.8 shares a band with a chance of 1 - 6e-5.
+BANDS, ROWS = 32, 6
+#: Bands whose crowded buckets are tied to one node.
+STARS = 4
+XORS, FACTORS = (np.random.Generator(np.random.PCG64(seed)).integers(0, 1 << 64, BANDS * ROWS, dtype=np.uint64) | np.uint64(1) for seed in (11, 12))
+
+
+def shingle_sets(texts: list[str | None], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct hashes of the n-word shingles (fewer words: the whole sequence) of one text after the other, and where each text's begin."""
+    w = words_of([(t or "").encode("utf-8").translate(LOWER) for t in texts])
+    count = np.diff(w.text)
+    long = np.flatnonzero(last_start(w.text, n, len(w.hash))[:max(0, len(w.hash) - n + 1)])
+    short = np.flatnonzero(count < n)
+    whole = [int(windows(w.hash[w.text[i]:w.text[i + 1]], int(count[i]))[0]) if count[i] else 0 for i in short]
+    value = np.concatenate([windows(w.hash, n)[long], np.array(whole, dtype=np.uint64)])
+    owner = np.concatenate([np.searchsorted(w.text, long, side="right") - 1, short])
+    order = np.lexsort((value, owner))
+    value, owner = value[order], owner[order]
+    new = np.concatenate([[True], (value[1:] != value[:-1]) | (owner[1:] != owner[:-1])])[:len(value)]
+    return value[new], np.searchsorted(owner[new], np.arange(len(texts)))
+
+
+def band_keys(value: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Row of a text: its bucket in each band; the low bits name the band."""
+    out = np.empty((len(first), BANDS), dtype=np.uint64)
+    for band in range(BANDS):
+        key = np.zeros(len(first), dtype=np.uint64)
+        for k in range(band * ROWS, (band + 1) * ROWS):
+            key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + np.minimum.reduceat((value ^ XORS[k]) * FACTORS[k], first))
+        out[:, band] = (key & ~np.uint64(BANDS - 1)) | np.uint64(band)
+    return out
+
+
+def _sketches(n: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for batch in batches:
             texts = batch.column(1).to_pylist()
             words = [b" ".join((t or "").encode("utf-8").translate(LOWER).split()) for t in texts]
-            cols = [np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), dtype=np.uint64, count=len(words))]
-            cols += [np.fromiter((fingerprint(t, n, False) for t in texts), dtype=np.uint64, count=len(texts)) for n in sizes]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c.view(np.int64)) for c in cols)],
-                                             names=["doc_id", "fp", *(f"f{n}" for n in sizes)])
+            for lo, hi in chunks(words):
+                fp = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words[lo:hi]), dtype=np.uint64, count=hi - lo)
+                value, first = shingle_sets(texts[lo:hi], n)
+                size = np.diff(np.append(first, len(value)))
+                keys = pa.FixedSizeListArray.from_arrays(pa.array(band_keys(value, first).view(np.int64).ravel()), BANDS).cast(pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.array(fp.view(np.int64)), pa.array(size.astype(np.int64)), keys],
+                                                 names=["doc_id", "fp", "size", "keys"])
+    return rows
+
+
+def _bucket_pairs(least: float):
+    """Reads (key, fp, size) sorted by key: all pairs of a bucket of up to PAIRED nodes that its sizes allow; of the
+    first bands also each node of a larger bucket with the first one."""
+    def pairs(key: np.ndarray, fp: np.ndarray, size: np.ndarray) -> pa.RecordBatch:
+        edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
+        n = np.diff(edge)
+        mine = np.repeat(n, n)
+        a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for step in range(1, min(PAIRED, int(n.max(initial=0)))):
+            i = np.flatnonzero((key[step:] == key[:-step]) & (mine[step:] <= PAIRED))
+            i = i[np.minimum(size[i], size[i + step]) >= least * np.maximum(size[i], size[i + step]) - 1e-6]
+            a.append(fp[i])
+            b.append(fp[i + step])
+        for k in np.flatnonzero(n > PAIRED):
+            if int(key[edge[k]]) & (BANDS - 1) < STARS:
+                b.append(fp[edge[k] + 1:edge[k + 1]])
+                a.append(np.full(n[k] - 1, fp[edge[k]]))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            cols = [batch.column(i).to_numpy() for i in range(3)]
+            if held is not None:
+                cols = [np.concatenate([h, c]) for h, c in zip(held, cols)]
+            cut = int(np.searchsorted(cols[0], cols[0][-1])) if len(cols[0]) else 0
+            if cut:
+                yield pairs(*[c[:cut] for c in cols])
+            held = [c[cut:] for c in cols]
+        if held is not None and len(held[0]):
+            yield pairs(*held)
     return rows
 
 
@@ -390,35 +461,24 @@ def one_way(links: DataFrame) -> DataFrame:
     return links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 9, sizes: tuple[int, ...] = (2, 3),
-                   shingle: int = 5, least: float = 0.8) -> DataFrame:
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8) -> DataFrame:
     """(doc_id, component_id) of all rows with an id, where links are texts with a Jaccard similarity of ``least`` on
     ``shingle``-word shingles.
 
-    Nodes are texts (equal sequences of lower-cased words are one).  Candidates are pairs within ``radius`` bits in one
-    of several fingerprints, of distinct shingles of the given ``sizes``: similar texts may differ in more bits in one
-    of them, hardly in all.  Texts with the same fingerprint are compared with the first of them.
+    Nodes are texts (equal sequences of lower-cased words are one).  Candidates share a bucket in one of BANDS bands
+    of least shingles.  Pairs of small buckets are verified; large ones are tied to their first node.
     """
     spark = docs.sparkSession
     ready(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
-    schema = "doc_id long, fp long" + "".join(f", f{n} long" for n in sizes)
-    prints = stored(own.mapInArrow(_families(sizes), schema), "prints")
-    nodes = stored(prints.df.groupBy("fp").agg(F.min("doc_id").alias("first_doc"), *(F.first(f"f{n}").alias(f"f{n}") for n in sizes)), "nodes")
-    links = []
-    for n in sizes:
-        reps = stored(nodes.df.groupBy(F.col(f"f{n}").alias("fp")).agg(F.min("fp").alias("node")), "family")
-        links.append(nodes.df.join(reps.df.select(F.col("fp").alias(f"f{n}"), "node"), f"f{n}").select(F.col("fp").alias("a"), F.col("node").alias("b")))
-        near = stored(one_way(find_links(reps.df.select("fp"), radius, parts)), "near")  # several buckets find the same link
-        links.append(near.df.join(reps.df.select(F.col("fp").alias("a"), F.col("node").alias("na")), "a")
-                     .join(reps.df.select(F.col("fp").alias("b"), F.col("node").alias("nb")), "b").select(F.col("na").alias("a"), F.col("nb").alias("b")))
-    pairs = links[0]
-    for more in links[1:]:
-        pairs = pairs.unionAll(more)
-    found = stored(one_way(pairs), "found")
-    roots = components(verified(found, nodes.df, docs, id_col, text_col, shingle, least))
+    prints = stored(own.mapInArrow(_sketches(shingle), "doc_id long, fp long, size long, keys array<long>"), "prints")
+    nodes = stored(prints.df.groupBy("fp").agg(F.min("doc_id").alias("first_doc"), F.first("size").alias("size"), F.first("keys").alias("keys")), "nodes")
+    buckets = nodes.df.select(F.explode("keys").alias("key"), "fp", "size").repartition(parts, "key").sortWithinPartitions("key", "fp")
+    found = stored(one_way(buckets.mapInArrow(_bucket_pairs(least), "a long, b long")), "found")
+    links = verified(found, nodes.df, docs, id_col, text_col, shingle, least)
     found.drop()
+    roots = components(links)
     names = named(nodes.df, roots)
     roots.drop()
     nodes.drop()

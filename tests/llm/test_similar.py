@@ -100,6 +100,31 @@ def test_one_of_each_group_stays(spark, documents, corpus):
     assert simhash.one_of_each(documents).columns == documents.columns
 
 
+def edited_pairs(rng, vocabulary, n):
+    """Pairs of texts with a block appended, cut or replaced, or words scattered, so that J is 0.8 to 0.9."""
+    while n:
+        base = [rng.choice(vocabulary) for _ in range(rng.randint(80, 300))]
+        k = rng.randint(len(base) // 20, len(base) // 4)
+        at = rng.randrange(len(base) - k)
+        block = [rng.choice(vocabulary) for _ in range(k)]
+        near = [base + block, base[:at] + base[at + k:], base[:at] + block[:k // 2] + base[at + k // 2:], list(base)][n % 4]
+        if n % 4 == 3:
+            for j in rng.sample(range(len(base)), max(1, len(base) // 60)):
+                near[j] = "other"
+        a, b = " ".join(base), " ".join(near)
+        if 0.8 <= simhash.jaccard(a, b, 5) <= 0.9:
+            yield a, b
+            n -= 1
+
+
+def test_edited_blocks_are_found(spark):
+    rng = random.Random(3)
+    pairs = list(edited_pairs(rng, ["v%d" % k for k in range(5000)], 400))
+    d = spark.createDataFrame([(2 * i + j, t) for i, p in enumerate(pairs) for j, t in enumerate(p)], "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(d).collect()}
+    assert got == {2 * i + j: 2 * i for i in range(len(pairs)) for j in (0, 1)}
+
+
 def test_simhash_empty_and_null(spark, no_documents):
     assert simhash.op6(no_documents).count() == 0 and simhash.one_of_each(no_documents).count() == 0
     d = spark.createDataFrame([(None, "a b c d e"), (5, "a b c d e"), (5, "a b c d e"), (3, None), (4, "  ")], "doc_id long, text string")
