@@ -374,8 +374,9 @@ def near_duplicates(docs: DataFrame, radius: int = 4, id_col: str = "doc_id", te
 
 #: Bands of the sketch and least shingles in each: a pair with a similarity of 0.8 shares a band with a chance of 1 - 6e-5.
 BANDS, ROWS = 32, 6
-#: Bands whose crowded buckets are tied to one node.
+#: Bands whose crowded buckets are first tied to one node; nodes on each side of a block of a crowded bucket.
 STARS = 4
+BLOCK = 256
 XORS, FACTORS = (np.random.Generator(np.random.PCG64(seed)).integers(0, 1 << 64, BANDS * ROWS, dtype=np.uint64) | np.uint64(1) for seed in (11, 12))
 
 
@@ -461,12 +462,98 @@ def one_way(links: DataFrame) -> DataFrame:
     return links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _gram_rows(n: int):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            value, first = shingle_sets(texts, n)
+            ends = np.append(first[1:], len(value))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([value[a:b].tobytes() for a, b in zip(first, ends)], pa.binary())], names=["fp", "grams"])
+    return rows
+
+
+def block_links(left: list[tuple], right: list[tuple], least: float) -> list[tuple[int, int]]:
+    """Of (fp, root, grams) on two sides: verified links between different roots, enough to join all that any of them joins."""
+    sets = [np.frombuffer(x[2], np.uint64) for x in (*left, *right)]
+    size = np.array([len(x) for x in sets])
+    k = len(left)
+    if not k or k == len(sets):
+        return []
+    own = np.repeat(np.arange(len(sets)), size)
+    value, at = np.unique(np.concatenate(sets), return_inverse=True)
+    both = np.zeros((k, len(right)))
+    for lo in range(0, len(value), 8192):
+        here = np.flatnonzero((at >= lo) & (at < lo + 8192))
+        ones = np.zeros((len(sets), min(8192, len(value) - lo)), dtype=np.float32)
+        ones[own[here], at[here] - lo] = 1
+        both += ones[:k] @ ones[k:].T
+    alike = both / (size[:k, None] + size[None, k:] - both) >= least
+    label = np.unique([x[1] for x in (*left, *right)], return_inverse=True)[1]
+    out = []
+    for i in range(k):
+        near = np.flatnonzero(alike[i]) + k
+        while len(near := near[label[near] != label[i]]):
+            out.append((left[i][0], right[near[0] - k][0]))
+            label[label == label[near[0]]] = label[i]
+    return out
+
+
+def _blocks(least: float):
+    """Reads rows sorted by block; holds one block."""
+    def links(rows: list[tuple]) -> pa.RecordBatch:
+        got = block_links([r[1:] for r in rows if r[0]], [r[1:] for r in rows if not r[0]], least)
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in got], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, name = [], None
+        for batch in batches:
+            for *at, is_left, fp, root, grams in zip(*(c.to_pylist() for c in batch.columns)):
+                if at != name and held:
+                    yield links(held)
+                    held = []
+                name = at
+                held.append((is_left, fp, root, grams))
+        if held:
+            yield links(held)
+    return rows
+
+
+def crowded_links(nodes: DataFrame, roots: DataFrame, docs: DataFrame, id_col: str, text_col: str, n: int, least: float, parts: int) -> DataFrame | None:
+    """Verified links that join components inside buckets of over PAIRED nodes; every pair of different components is compared.
+
+    The nodes outside a bucket's largest component are dealt to blocks, all nodes of the bucket to others, and each
+    block of the first kind meets each of the second.
+    """
+    own = nodes.join(roots.select("fp", "root"), "fp", "left").select("fp", "first_doc", "keys", F.coalesce("root", "fp").alias("root"))
+    held = own.select(F.explode("keys").alias("key"), "fp", "root")
+    mixed_up = stored(held.groupBy("key", "root").count().groupBy("key").agg(F.max_by("root", F.struct("count", "root")).alias("top"), F.max("count").alias("most"),
+                      F.count(F.lit(1)).alias("roots"), F.sum("count").alias("n")).where((F.col("n") > PAIRED) & (F.col("roots") > 1)), "mixed")
+    if not mixed_up.df.head(1):
+        mixed_up.drop()
+        return None
+    inside = stored(held.join(mixed_up.df, "key"), "inside")
+    mixed_up.drop()
+    ids = inside.df.select("fp").distinct().join(nodes.select("fp", F.col("first_doc").alias("_sh_id")), "fp")
+    texts = docs.select(F.col(id_col).cast("long").alias("_sh_id"), F.col(text_col).alias("text")).join(ids, "_sh_id").groupBy("fp").agg(F.min("text").alias("text"))
+    grams = stored(texts.mapInArrow(_gram_rows(n), "fp long, grams binary"), "grams")
+    rights, lefts = (F.ceil(x / F.lit(BLOCK)).cast("int") for x in (F.col("n"), F.col("n") - F.col("most")))
+    block = F.xxhash64("fp")
+    left = inside.df.where("root <> top").select("key", F.pmod(block, lefts).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), rights - 1)).alias("j"), F.lit(True).alias("is_left"), "fp", "root")
+    right = inside.df.select("key", F.explode(F.sequence(F.lit(0), lefts - 1)).alias("i"), F.pmod(block, rights).cast("int").alias("j"), F.lit(False).alias("is_left"), "fp", "root")
+    dealt = left.unionByName(right).join(grams.df, "fp").select("key", "i", "j", "is_left", "fp", "root", "grams")
+    out = stored(dealt.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_blocks(least), "a long, b long"), "crossed")
+    inside.drop()
+    grams.drop()
+    return out.df
+
+
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8) -> DataFrame:
     """(doc_id, component_id) of all rows with an id, where links are texts with a Jaccard similarity of ``least`` on
     ``shingle``-word shingles.
 
     Nodes are texts (equal sequences of lower-cased words are one).  Candidates share a bucket in one of BANDS bands
-    of least shingles.  Pairs of small buckets are verified; large ones are tied to their first node.
+    of least shingles.  Pairs of small buckets are verified; large ones are tied to their first node, and what the
+    verified links leave in several components is compared pair by pair (``crowded_links``).
     """
     spark = docs.sparkSession
     ready(spark)
@@ -479,6 +566,10 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     links = verified(found, nodes.df, docs, id_col, text_col, shingle, least)
     found.drop()
     roots = components(links)
+    more = crowded_links(nodes.df, roots.df, docs, id_col, text_col, shingle, least, parts)
+    if more is not None:
+        roots.drop()
+        roots = components(links.unionByName(more))
     names = named(nodes.df, roots)
     roots.drop()
     nodes.drop()

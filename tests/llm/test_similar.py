@@ -125,6 +125,45 @@ def test_edited_blocks_are_found(spark):
     assert got == {2 * i + j: 2 * i for i in range(len(pairs)) for j in (0, 1)}
 
 
+def test_template_families(spark, monkeypatch):
+    """Pages of one template, each with one near copy: crowded buckets whose first node is like none of the others."""
+    monkeypatch.setattr(simhash, "BLOCK", 32, raising=False)
+    rng = random.Random(4)
+    template = ["t%d" % k for k in range(170)]
+    texts = []
+    for k in range(300):
+        own = ["p%d_%d" % (k, j) for j in range(40)]
+        texts += [" ".join(template + own), " ".join(template + own[:-3] + ["x%d" % k, "y", "z"])]
+    rows = list(enumerate(texts))
+    rng.shuffle(rows)
+    want = components(range(600), [(a, b) for a in range(600) for b in range(a) if a // 2 == b // 2])
+    assert simhash.jaccard(texts[0], texts[2], 5) < 0.8 <= simhash.jaccard(texts[0], texts[1], 5)
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {r.doc_id: r.component_id for r in simhash.similar_groups(d).collect()} == want
+
+
+def test_texts_of_few_words(spark):
+    """All texts have the same two- and nearly the same three-word shingles; only near copies are alike in five."""
+    rng = random.Random(6)
+    texts = []
+    for k in range(60):
+        body = [rng.choice("abcd") for _ in range(400)]
+        texts += [" ".join(body), " ".join(body + [rng.choice("abcd") for _ in range(20)])]
+    want = components(range(120), [(a, b) for a in range(120) for b in range(a) if simhash.jaccard(texts[a], texts[b], 5) >= 0.8])
+    assert len(set(want.values())) == 60
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert {r.doc_id: r.component_id for r in simhash.similar_groups(d).collect()} == want
+
+
+def test_links_of_a_block():
+    rng = np.random.default_rng(8)
+    sets = [np.sort(rng.choice(60, 40 + k % 12, replace=False)).astype(np.uint64) for k in range(40)]
+    rows = [(k, k, x.tobytes()) for k, x in enumerate(sets)]
+    alike = [(a, b) for a in range(15) for b in range(40) if a != b and len(np.intersect1d(sets[a], sets[b])) / len(np.union1d(sets[a], sets[b])) >= 0.65]
+    got = simhash.block_links(rows[:15], rows, 0.65)
+    assert alike and set(got) <= set(alike) and components(range(40), got) == components(range(40), alike)
+
+
 def test_simhash_empty_and_null(spark, no_documents):
     assert simhash.op6(no_documents).count() == 0 and simhash.one_of_each(no_documents).count() == 0
     d = spark.createDataFrame([(None, "a b c d e"), (5, "a b c d e"), (5, "a b c d e"), (3, None), (4, "  ")], "doc_id long, text string")
