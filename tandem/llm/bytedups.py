@@ -204,7 +204,8 @@ def _contexts(groups: int, window: int):
             begin = np.cumsum(counts, dtype=np.int64) - counts
             all_runs = []
             for i, raw in enumerate(batch.column(3).to_pylist()):
-                x = np.frombuffer(raw, DOC_RUNS).copy()
+                x = np.concatenate([np.frombuffer(r, DOC_RUNS) for r in raw])
+                x = x[np.argsort(x["at"], kind="stable")]
                 x["at"] += begin[i]
                 all_runs.append(x)
             if not all_runs:
@@ -315,7 +316,9 @@ def drop_repeated_bytes(docs: DataFrame, window: int = 400, id_col: str = "doc_i
     groups = parts_for(size * 2 / (window - ANCHOR + 1), GROUP_RUNS, least)
     settled = stored(named.mapInArrow(_runs(shared, groups, window), ROW).repartitionById(groups, "grp").mapInArrow(_settle, ROW).drop("grp"), "settled")
     units = settled.df.repartition(parts_for(size, 64e6, least), "unit").sortWithinPartitions("unit", "kind")
-    shipped = stored(units.mapInArrow(_shipped(window), "id long, mark long, runs binary, size long").dropDuplicates(["id", "mark"]), "shipped")
+    # equal rows in several units: each context is sent from one of them, so their runs belong together
+    shipped = stored(units.mapInArrow(_shipped(window), "id long, mark long, runs binary, size long").groupBy("id", "mark").agg(
+        F.collect_list("runs").alias("runs"), F.sum("size").alias("size")), "shipped")
     shards = parts_for(shipped.df.agg(F.sum("size")).first()[0] or 0, SHARD, least)
     # merged at every size: what is joined grows with the corpus
     sent = named.join(shipped.df.hint("merge"), ["id", "mark"]).select("id", "mark", "text", "runs")

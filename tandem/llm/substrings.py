@@ -224,9 +224,9 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             left = words
             if gone.is_valid:
                 left, at = [], 0
-                for s, e in np.frombuffer(gone.as_py(), np.int32).reshape(-1, 2).tolist():
+                for s, e in sorted(p for g in gone.as_py() for p in np.frombuffer(g, np.int32).reshape(-1, 2).tolist()):
                     left += words[at:s]
-                    at = e
+                    at = max(at, e)
                 left += words[at:]
             removed.append(len(words) - len(left))
             kept.append(b" ".join(left).decode())
@@ -250,7 +250,7 @@ def drop_repeated_passages(docs: DataFrame, window: int = 20, id_col: str = "doc
     found = stored(named.mapInArrow(_suffixes(shared, window), ROW).repartitionById(groups.count, "grp")
                    .mapInArrow(_subtree, ROW).select("unit", "kind", "at", "run", "ids", "marks", "counts"), "repeats")
     by_unit = found.df.repartition(parts_for(groups.suffixes, 4 * GROUP, least), "unit").sortWithinPartitions("unit", "kind")
-    gone = stored(by_unit.mapInArrow(spans(window), SPANS).dropDuplicates(["id", "mark"]), "spans")
+    gone = stored(by_unit.mapInArrow(spans(window), SPANS).groupBy("id", "mark").agg(F.collect_set("gone").alias("gone")), "spans")  # equal rows may learn of different windows
     found.drop()
     # merged at every size: spans grow with the corpus, so they are not sent to all executors while they happen to be few
     marked = gone.df.select(F.col("id").alias("_ss_id"), F.col("mark").alias("_ss_mark"), "gone").hint("merge")

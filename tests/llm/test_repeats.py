@@ -84,6 +84,24 @@ def test_bytes(documents, corpus, monkeypatch):
     assert rows(bytedups.op9(documents), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == want
 
 
+@pytest.mark.parametrize("parts", [2, 12])
+def test_equal_rows(spark, parts):
+    """Equal rows in the same and in different batches, beside documents that share passages with them in other surroundings."""
+    rng = np.random.default_rng(parts)
+
+    def text(n):
+        return " ".join("w%d" % x for x in rng.integers(0, 10**6, n))
+    rows = []
+    for k in range(20):
+        shared, twice = [text(80) for _ in range(3)], text(40)
+        body = " ".join([text(30), shared[0], twice, text(30), shared[1], twice, text(30), shared[2], text(30)])
+        rows += [(100 + k, body)] * 4
+        rows += [(k, text(10) + " " + shared[k % 3]), (200 + k, shared[(k + 1) % 3] + " " + text(10))]
+    d = spark.createDataFrame(spark.sparkContext.parallelize(sorted(rows, key=lambda r: len(r[1]) % 7 if parts > 2 else r[0] < 100), parts), "doc_id long, text string")
+    assert Counter(map(tuple, substrings.op3(d).select("doc_id", "n_words", "n_removed", "kept_sha256").collect())) == expected_words(rows, 20)
+    assert Counter(map(tuple, bytedups.op9(d).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect())) == expected_bytes(rows, 400)
+
+
 @pytest.mark.parametrize("letters", [2, 3, 200])
 def test_suffix_array(letters):
     rng = np.random.default_rng(letters)
