@@ -4,12 +4,12 @@ A seed is a fixed mask over ``SPAN`` neighbouring words; only the words under it
 word under a zero does not hide a match.  Seeds of the benchmark become a table; a Bloom filter of fixed size made
 from it tells tasks which seeds of the documents can occur there at all.  Those hits leave the scan, with the words
 around them, and are joined with the benchmark's seeds; each hit fixes an alignment (document place minus item
-place), along which the longest stretch with more than ``identity`` equal words is verified.
+place), along which the longest stretch with at least ``identity`` equal words, between two equal ones, is verified.
 
 A stretch counts when it has ``min_words`` words, or ``min_words`` exceeds the item and it covers ``identity`` of it.
 
 Words are runs of letters, digits and ``_`` of the lower-cased text (bytes above ASCII count as letters).  Defined
-cases: null or empty texts and items shorter than the span match nothing; repeated rows of a document or item give
+cases: null or empty texts match nothing, items shorter than the span only where they stand whole; repeated rows of a document or item give
 one row; ties between alignments go to the earlier place in the document, then in the item; null ids are left out;
 an empty table on either side gives an empty result.
 
@@ -29,7 +29,10 @@ from tandem.llm.storage import ready, stored
 from tandem.llm.words import ALNUM, chunks, last_start, mixed, words_of
 
 #: Fixed masks: 1 = compared, 0 = any word.
-MASKS = ("1101100111", "1110010111", "1011101011")
+#: Together they hit every stretch of 10 to 25 words in which at most every fifth word on average differs, and so every
+#: longer one: cut into pieces of 13 to 25 words, it has one that is as much alike as the whole.
+MASKS = ("1100101011", "1011011001", "0111000111", "0010111110", "1101110100", "1111010010", "0001011111", "0011101101", "1010010111",
+         "0110111001", "0011101110")
 SPAN = len(MASKS[0])
 FILTER_BITS = 26
 AROUND = 64
@@ -47,6 +50,14 @@ def seeds(h: np.ndarray, mask: int) -> np.ndarray:
     return mixed(out)
 
 
+def whole_seeds(h: np.ndarray, n: int) -> np.ndarray:
+    """Hash of ``n`` neighbouring words, from every place on: seeds of items shorter than the span."""
+    out = np.full(max(0, len(h) - n + 1), len(MASKS) + n, dtype=np.uint64)
+    for k in range(n if len(out) else 0):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + h[k:k + len(out)]
+    return mixed(out)
+
+
 def _encoded(texts) -> list[bytes]:
     return [(t or "").lower().encode("utf-8", "replace") for t in texts]
 
@@ -55,12 +66,15 @@ def _item_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for item, text in zip(batch.column(0).to_pylist(), _encoded(batch.column(1).to_pylist())):
             h = words_of([text], ALNUM).hash
-            all_seeds = [seeds(h, m) for m in range(len(MASKS))]
+            if not len(h):
+                continue
+            all_seeds = [seeds(h, m) for m in range(len(MASKS))] if len(h) >= SPAN else [whole_seeds(h, len(h))]
             n = len(all_seeds[0])
-            if n:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([item] * n * len(MASKS), pa.int64()), pa.array(np.concatenate(all_seeds).view(np.int64)),
-                     pa.array(np.tile(np.arange(n, dtype=np.int32), len(MASKS)))], names=["item_id", "seed", "at"])
+            rows = n * len(all_seeds)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([item] * rows, pa.int64()), pa.array(np.concatenate(all_seeds).view(np.int64)),
+                 pa.array(np.tile(np.arange(n, dtype=np.int32), len(all_seeds))), pa.array(np.full(rows, min(len(h), SPAN), np.int32))],
+                names=["item_id", "seed", "at", "span"])
 
 
 def _item_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,24 +112,24 @@ HITS = "doc_id long, region long, first int, words binary, hits array<struct<see
 
 def _scan(shared):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shared.value
+        table, spans = shared.value
         kind = pa.list_(pa.struct([("seed", pa.int64()), ("at", pa.int32())]))
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), _encoded(batch.column(1).to_pylist())
             out: list[tuple] = []
             for lo, hi in chunks(texts):
                 w = words_of(texts[lo:hi], ALNUM)
-                if len(w.hash) < SPAN:
-                    continue
-                good = last_start(w.text, SPAN, len(w.hash))[:len(w.hash) - SPAN + 1]
-                at, seed = [], []
-                for m in range(len(MASKS)):
-                    s = seeds(w.hash, m)
-                    one, two = places(s)
-                    hit = np.flatnonzero(has(table, one) & good)
-                    hit = hit[has(table, two[hit])]
-                    at.append(hit)
-                    seed.append(s[hit])
+                at, seed = [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
+                for span in spans:
+                    if len(w.hash) < span:
+                        continue
+                    good = last_start(w.text, span, len(w.hash))[:len(w.hash) - span + 1]
+                    for s in (seeds(w.hash, m) for m in range(len(MASKS))) if span == SPAN else (whole_seeds(w.hash, span),):
+                        one, two = places(s)
+                        hit = np.flatnonzero(has(table, one) & good)
+                        hit = hit[has(table, two[hit])]
+                        at.append(hit)
+                        seed.append(s[hit])
                 at, seed = np.concatenate(at), np.concatenate(seed)
                 if not len(at):
                     continue
@@ -139,12 +153,17 @@ def _scan(shared):
 
 
 def best_stretch(same: np.ndarray, identity: float) -> tuple[int, int]:
-    """Stretch [a, b) of the largest sum, where an equal word counts 1 - identity and another one -identity."""
-    gain = np.concatenate([[0.0], np.cumsum(np.where(same, 1 - identity, -identity))])
-    low = np.minimum.accumulate(gain)
-    end = int(np.argmax(gain - low))
-    begin = int(np.flatnonzero(gain[:end + 1] == low[end])[-1])
-    return begin, end
+    """The longest stretch [a, b) that begins and ends with equal words and has at least ``identity`` of them; of equals the first."""
+    gain = np.concatenate([[0.0], np.cumsum(same - identity)])
+    starts = np.flatnonzero(same)
+    if not len(starts):
+        return 0, 0
+    at_end = np.full(len(gain), -np.inf)
+    at_end[starts + 1] = gain[starts + 1]
+    later = np.maximum.accumulate(at_end[::-1])  # falls with the place, so it rises from the end
+    ends = len(gain) - 1 - np.searchsorted(later, gain[starts] - 1e-9)
+    k = int(np.argmax(ends - starts))
+    return int(starts[k]), int(ends[k])
 
 
 def _verify(identity: float, min_words: int):
@@ -172,12 +191,13 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, identity: float = 0.8, min
     spark = docs.sparkSession
     ready(spark)
     items = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("text")).where("item_id is not null and text is not null").distinct()
-    item_seeds = stored(items.mapInArrow(_item_seeds, "item_id long, seed long, at int").distinct(), "seeds")
-    shared = spark.sparkContext.broadcast(seed_filter(item_seeds.df))
+    item_seeds = stored(items.mapInArrow(_item_seeds, "item_id long, seed long, at int, span int").distinct(), "seeds")
+    spans = [r["span"] for r in item_seeds.df.select("span").distinct().collect()]  # SPAN at most
+    shared = spark.sparkContext.broadcast((seed_filter(item_seeds.df), spans))
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
     regions = stored(own.mapInArrow(_scan(shared), HITS).withColumn("words_id", F.xxhash64("words")), "regions")
     hits = regions.df.select("doc_id", "region", "words_id", F.explode("hits").alias("hit")).select("doc_id", "region", "words_id", "hit.seed", F.col("hit.at").alias("doc_at"))
-    lined = (hits.join(item_seeds.df, "seed").select("doc_id", "region", "words_id", "item_id", (F.col("doc_at") - F.col("at")).alias("shift")).distinct())
+    lined = (hits.join(item_seeds.df.drop("span"), "seed").select("doc_id", "region", "words_id", "item_id", (F.col("doc_at") - F.col("at")).alias("shift")).distinct())
     texts = items.mapInArrow(_item_words, "item_id long, item_words binary")
     rows = (lined.join(regions.df.drop("hits"), ["doc_id", "region", "words_id"]).join(texts, "item_id")
             .select("doc_id", "item_id", "first", "shift", "words", "item_words"))

@@ -3,6 +3,7 @@
 import random
 import re
 from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -203,6 +204,38 @@ def test_leaks(spark):
     assert leaks.op5(table.limit(0), bench).count() == 0 and leaks.op5(table, bench.limit(0)).count() == 0
 
 
+def test_seeds_hit_every_allowed_pattern():
+    """Stretches of 10 to 25 words with at most a fifth of them substituted, wherever those stand."""
+    masks = [sum(1 << k for k, c in enumerate(m) if c == "1") for m in leaks.MASKS]
+    for n in range(10, 26):
+        other = np.array([sum(1 << k for k in x) for x in combinations(range(n), n // 5)])
+        hit = np.zeros(len(other), dtype=bool)
+        for m in masks:
+            for at in range(n - leaks.SPAN + 1):
+                hit |= other & (m << at) == 0
+        assert hit.all(), n
+
+
+def test_longest_stretch():
+    rng = np.random.default_rng(9)
+    for _ in range(300):
+        same = rng.random(rng.integers(0, 40)) < 0.7
+        fit = [(a, b) for a in range(len(same)) for b in range(a + 1, len(same) + 1) if same[a] and same[b - 1] and same[a:b].sum() >= 0.8 * (b - a) - 1e-9]
+        a, b = leaks.best_stretch(same, 0.8)
+        assert b - a == max((y - x for x, y in fit), default=0) and (not fit or (a, b) in fit)
+
+
+def test_short_and_edited_items(spark):
+    words = ["u%d" % k for k in range(400)]
+    items = [words[0:13], words[20:35], words[40:60], words[70:73], words[80:89], words[100:101]]
+    subs = [(2, 3), (3, 6, 9), (3, 7, 11, 15), (), (), ()]
+    docs = [["before"] * k + ["other" if j in s else w for j, w in enumerate(x)] + ["after"] * (k % 2) for k, (x, s) in enumerate(zip(items, subs))]
+    docs.append(words[70:72] + words[80:88])  # short items count only whole
+    table = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(docs)], "doc_id long, text string").repartition(2)
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in leaks.find_leaks(table, bench).collect()} == {(k, k) for k in range(6)}
+
+
 def test_leaks_of_the_table(spark, sf_dir):
     docs, bench = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
     want = {(d.doc_id, b.item_id) for d in docs.collect() for b in bench.collect() if b.text in (d.text or "")}
