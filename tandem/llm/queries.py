@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tandem.llm import bytedups, langid, leaks, lines, mixing, pages, private, search, simhash, substrings
+from tandem.llm import bytedups, langid, leaks, lines, mixing, negatives, pages, private, search, shards, simhash, substrings, whitening
 from tandem.llm.storage import ready
 
 
@@ -26,6 +26,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_main_text": lambda spark, d: pages.op8(_table(spark, d, "pages")),
     "op9_suffix_array_dedup": lambda spark, d: bytedups.op9(_table(spark, d, "documents")),
     "op10_private_data": lambda spark, d: private.op10(_table(spark, d, "documents")),
+    "op11_whitening": lambda spark, d: whitening.op11(_table(spark, d, "embeddings")),
+    "op12_hard_negatives": lambda spark, d: negatives.op12(_table(spark, d, "embeddings")),
+    "op13_kd_shards": lambda spark, d: shards.op13(_table(spark, d, "documents")),
 }
 
-ORACLES: dict[str, str] = {"op2_source_mixing": mixing.OP2_SQL, "op4_line_dedup": lines.OP4_SQL, "op7_top_products": search.OP7_SQL}
+ORACLES: dict[str, str] = {"op2_source_mixing": mixing.OP2_SQL, "op4_line_dedup": lines.OP4_SQL, "op7_top_products": search.OP7_SQL,
+                           "op12_hard_negatives": negatives.OP12_SQL}
