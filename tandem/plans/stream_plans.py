@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import functions as F
 
 from tandem.operators import pairs as pr
@@ -12,6 +14,7 @@ from tandem.plans.join_plans import HELD_SQL, MODELS_SQL, QUOTE_SQL, held, model
 from tandem.plans.registry import query
 from tandem.plans.signal_plans import LEGS_OUT, LIMITS, V1_SQL, legs_out, spread_rows
 from tandem.streaming import feeds as sf_, quotes as sq
+from tandem.streaming.signals import live_signals
 from tandem.sources.shared import fresh_path
 
 
@@ -107,10 +110,16 @@ def _(spark, sf):
 
 @query("r04_stream_signals", V1_SQL + f" SELECT {LEGS_OUT} FROM legs")
 def _(spark, sf):
-    table = feeds.stored(spark, sf, "spread-rows", lambda: spread_rows(spark, sf))
-    folder = table.inputFiles()[0].rsplit("/", 1)[0]
-    stream = spark.readStream.schema(table.schema).parquet(folder)
-    return legs_out(sf_.drain(sq.stream_signals(stream, {**LIMITS, "session_secs": 7 * 86_400}), "signals"))
+    rows = spread_rows(spark, sf).where("role > 0")
+    path = fresh_path(spark, "signal-bars")
+    rows.write.parquet(path)
+    last = rows.agg(F.max("ts")).first()[0]
+    # the feed's closing row: the watermark passes the last bar
+    sf_.heartbeat(rows, path, "ts", last + timedelta(hours=1), n1="", n2="", role=1, rn=0, diff=0.0, p1=1.0, p2=1.0, lookback=4, slope=1.0)
+    stream = spark.readStream.schema(rows.schema).parquet(path)
+    with sf_.rocks_state(spark):
+        trades = sf_.drain(live_signals(stream, {**LIMITS, "session_secs": 7 * 86_400}), "signals")
+    return legs_out(trades.where("reason <> 'open'"))
 
 
 @query("r05_stream_bars", with_(bars_sql("1 hour"), """

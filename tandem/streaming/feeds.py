@@ -51,6 +51,24 @@ def _state_partitions(spark: SparkSession):
         spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
+@contextmanager
+def rocks_state(spark: SparkSession):
+    """Queries started inside keep their state in RocksDB, which arbitrary-state processors need."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before) if before else spark.conf.unset(key)
+
+
+def heartbeat(rows: DataFrame, path: str, ts: str, at, **values) -> None:
+    """Append to a folder of arriving files one row that only tells the time: the watermark moves on to ``at``."""
+    cells = [F.lit(at if f.name == ts else values.get(f.name)).cast(f.dataType).alias(f.name) for f in rows.schema.fields]
+    rows.sparkSession.range(1).select(*cells).write.mode("append").parquet(path)
+
+
 def drain(stream: DataFrame, name: str) -> DataFrame:
     """Run a stream over what is there, append mode, and read the result back."""
     spark = stream.sparkSession

@@ -2,18 +2,10 @@
 
 from __future__ import annotations
 
-import io
-import json
-from collections.abc import Iterable, Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tandem.functions.timeline import col
 from tandem.operators import pairs as pr
-from tandem.operators.signals import V1, step_v1
-from tandem.operators.spreads import features_of
 
 QUOTE_FIELDS = ("BID", "ASK", "LAST", "CLOSE")
 
@@ -74,56 +66,3 @@ def book_top(books: DataFrame) -> DataFrame:
         "best_ask": ask, "best_bid": bid, "spread": ask - bid, "mid": (ask + bid) / 2, "ask_volume": best("Ask", "volume"),
         "bid_volume": best("Bid", "volume"), "ask_depth": depth("Ask"), "bid_depth": depth("Bid"),
         "levels": F.greatest(F.size("Ask"), F.size("Bid"))}).drop("Ask", "Bid")
-
-
-_CARRIED = ["ts", "rn", "p1", "p2", "diff", "lookback", "end_ts", "model_start_ts", "role", "slope", "halflife_secs"]
-SIGNAL = ("n1 string, n2 string, model_date date, profit double, x0 double, x1 double, pos_x bigint, y0 double, y1 double, "
-          "pos_y bigint, tm_o timestamp_ntz, tm_c timestamp_ntz, tick_o bigint, tick_c bigint, reason string")
-
-
-def stream_signals(rows: DataFrame, limits: dict | None = None) -> DataFrame:
-    """Spread features and v1 trades of each (pair, model date) as its bars arrive.
-
-    The state keeps the rows of the model window (look-back and test range, so
-    bounded by the model) and the open position; the features and the
-    transition are the ones of the batch scan.
-    """
-    used = {**V1, **(limits or {})}
-    names = [f.split()[0] for f in SIGNAL.split(", ")]
-
-    def step(key, batches: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        new = pd.concat(list(batches))[_CARRIED]
-        kept, memory = None, {"done": 0, "pos": None}
-        if state.exists:
-            text, memory_text = state.get
-            kept = pd.read_json(io.StringIO(text), orient="split", convert_dates=False, dtype=False)
-            for c in ("ts", "end_ts", "model_start_ts"):
-                kept[c] = pd.to_datetime(kept[c], unit="us")
-            memory = json.loads(memory_text)
-        rows_ = new if kept is None else pd.concat([kept, new])
-        rows_ = rows_.sort_values("rn").reset_index(drop=True)
-        d = features_of(rows_) if (rows_["role"] == 2).any() else rows_.iloc[:0]
-        pos, out, prev = memory["pos"], [], None
-        if pos:
-            pos["tm_o"] = pd.Timestamp(pos["tm_o"], unit="us")
-        records = d.to_dict("records")
-        for k, row in enumerate(records):
-            row.update(secs=(row["ts"] - records[0]["ts"]).total_seconds(), tick=k + 1)
-            if k >= memory["done"]:
-                pos, trade = step_v1(pos, row, prev, used)
-                if trade:
-                    out.append(trade)
-            prev = row
-        micros = lambda s: s.astype("datetime64[us]").astype("int64")
-        store = rows_.assign(**{c: micros(rows_[c]) for c in ("ts", "end_ts", "model_start_ts")})
-        if pos:
-            pos = {**pos, "tm_o": int(pos["tm_o"].as_unit("us").value)}
-        state.update((store.to_json(orient="split", double_precision=15), json.dumps({"done": len(records), "pos": pos}, default=float)))
-        if out:
-            f = pd.DataFrame(out, columns=names[3:])
-            f["n1"], f["n2"], f["model_date"] = key
-            yield f[names]
-
-    need = rows.select("n1", "n2", "model_date", *_CARRIED)
-    return need.groupBy("n1", "n2", "model_date").applyInPandasWithState(
-        step, SIGNAL, "rows string, memory string", "append", GroupStateTimeout.NoTimeout)
