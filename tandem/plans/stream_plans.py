@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from datetime import timedelta
 
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from tandem.plans.join_plans import HELD_SQL, MODELS_SQL, QUOTE_SQL, held, model
 from tandem.plans.registry import query
 from tandem.plans.signal_plans import LEGS_OUT, LIMITS, V1_SQL, legs_out, spread_rows
 from tandem.streaming import feeds as sf_, quotes as sq
+from tandem.streaming import windows as sw
 from tandem.streaming.signals import live_signals
 from tandem.sources.shared import fresh_path
 
@@ -166,3 +168,77 @@ def _(spark, sf):
     q = sq.latest_quote(sf_.quote_fields(tick_stream(spark, sf)))
     got = sf_.drain_batches(q, sq.position_handler(held(spark, sf), models(spark, sf)), "positions")
     return got.select("pair", "x_pos", "y_pos", F.round("z_diff", 4).alias("z_diff"))
+
+
+def _bars_closed(spark, sf):
+    """Hourly bars as a stream, under the time at which they are complete."""
+    table = feeds.stored(spark, sf, "hours-stream", lambda: feeds.bars(spark, sf, "1 hour").select(
+        F.col("symbol"), (F.col("ts") + F.expr("INTERVAL 1 HOUR")).cast("timestamp").alias("bar_ts"), F.col("close").alias("bar_close")))
+    return spark.readStream.schema(table.schema).parquet(table.inputFiles()[0].rsplit("/", 1)[0])
+
+
+@query("r09_interval_join", with_(bars_sql("1 hour"), """
+SELECT p.symbol, p.event_id, p.ts, b.ts + INTERVAL '1 hour' AS bar_ts, round(p.price - b.close, 5) + 0 AS moved
+FROM path p JOIN bars b ON b.symbol = p.symbol AND b.ts + INTERVAL '1 hour' <= p.ts AND p.ts < b.ts + INTERVAL '1 hour' + INTERVAL '5400 seconds'"""))
+def _(spark, sf):
+    ticks_ = tick_stream(spark, sf).select("symbol", "ts", "event_id", "price")
+    got = sf_.drain(sw.interval_join(ticks_, _bars_closed(spark, sf), "symbol", 5400), "interval-join")
+    return _ntz(got, "ts", "bar_ts").select("symbol", "event_id", "ts", "bar_ts", (F.round(F.col("price") - F.col("bar_close"), 5) + 0).alias("moved"))
+
+
+#: Ticks of a symbol belong together while they follow each other within its gap.
+GAP_SECS = 120
+GAP_SQL = f"({GAP_SECS} * (1 + ascii(symbol) % 3))"
+SESSIONS_SQL = f"""
+gapped AS (SELECT *, {GAP_SQL} AS gap, lag(ts) OVER (PARTITION BY symbol ORDER BY ts, event_id) AS before FROM path),
+runs AS (SELECT *, sum(CASE WHEN before IS NULL OR ts >= before + to_seconds(gap) THEN 1 ELSE 0 END) OVER (PARTITION BY symbol ORDER BY ts, event_id) AS run FROM gapped),
+sessions AS (SELECT symbol, min(ts) AS start, max(ts) AS last_ts, count(*) AS n, arg_min(price, ROW(ts, event_id)) AS open, max(price) AS high, min(price) AS low,
+  arg_max(price, ROW(ts, event_id)) AS close, any_value(gap) AS gap FROM runs GROUP BY symbol, run)"""
+
+
+@query("r10_session_bars", with_(PATH_SQL + "," + SESSIONS_SQL, """
+SELECT symbol, start AS ts, last_ts, n, open, high, low, close FROM sessions
+WHERE last_ts + to_seconds(gap) <= (SELECT max(ts) FROM events) - INTERVAL '10 minutes'"""))
+def _(spark, sf):
+    order = F.struct("ts", "event_id")
+    gap = F.lit(GAP_SECS) * (1 + F.ascii("symbol") % 3)
+    return _ntz(sf_.drain(sw.session_bars(tick_stream(spark, sf), gap, "10 minutes", order), "sessions"), "ts", "last_ts")
+
+
+#: Every tenth tick comes after all others.
+SPLIT_SQL = """
+arrived AS (SELECT *, event_id % 10 = 0 AS held FROM path),
+limits AS (SELECT max(ts) - INTERVAL '600 seconds' AS least FROM arrived WHERE NOT held),
+routed AS (SELECT a.*, held AND ts < least AS late FROM arrived a, limits)"""
+
+
+def routed(spark, sf):
+    """The late route over ticks in three files: two halves by time without every tenth tick, then these."""
+    def build():
+        ticks_ = feeds.price_path(spark, sf).withColumn("ts", F.col("ts").cast("timestamp")).select("symbol", "ts", "event_id", "price")
+        path, folder, checkpoint = (fresh_path(spark, n) for n in ("arrivals", "routed", "routed-checkpoint"))
+        half = ticks_.agg(F.expr("timestamp_micros((unix_micros(min(ts)) + unix_micros(max(ts))) div 2)")).first()[0]
+        held = F.col("event_id") % 10 == 0
+        sw.in_steps(ticks_, path, [~held & (F.col("ts") < F.lit(half)), ~held, F.lit(True)], lambda: time.sleep(1.1))
+        route = sw.LateRoute(spark, folder, delay_secs=600)
+        route.start(spark.readStream.schema(ticks_.schema).option("maxFilesPerTrigger", 1).parquet(path), checkpoint, availableNow=True).awaitTermination()
+        return (route.read("on_time", ticks_.schema).withColumn("late", F.lit(False))
+                .unionByName(route.read("late", ticks_.schema).withColumn("late", F.lit(True))))
+    return feeds.stored(spark, sf, "routed", build)
+
+
+@query("r11_late_route", with_(PATH_SQL + "," + SPLIT_SQL, """
+SELECT symbol, late, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids, min(ts) AS first_ts FROM routed GROUP BY 1, 2"""))
+def _(spark, sf):
+    got = routed(spark, sf).groupBy("symbol", "late").agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("ids"), F.min("ts").alias("first_ts"))
+    return _ntz(got, "first_ts")
+
+
+@query("r11_sessions_in_time", with_(PATH_SQL + "," + SPLIT_SQL + "," + SESSIONS_SQL.replace("FROM path)", "FROM routed WHERE NOT late)"), """
+SELECT symbol, start AS ts, last_ts, n, open, close FROM sessions
+WHERE last_ts + to_seconds(gap) <= (SELECT max(ts) FROM routed WHERE NOT late) - INTERVAL '10 minutes'"""))
+def _(spark, sf):
+    table = feeds.stored(spark, sf, "in-time", lambda: routed(spark, sf).where("NOT late").drop("late"))
+    stream = spark.readStream.schema(table.schema).parquet(table.inputFiles()[0].rsplit("/", 1)[0])
+    got = sf_.drain(sw.session_bars(stream, F.lit(GAP_SECS) * (1 + F.ascii("symbol") % 3), "10 minutes", F.struct("ts", "event_id")), "sessions-in-time")
+    return _ntz(got, "ts", "last_ts").select("symbol", "ts", "last_ts", "n", "open", "close")
