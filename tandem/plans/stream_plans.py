@@ -15,7 +15,7 @@ from tandem.plans.join_plans import HELD_SQL, MODELS_SQL, QUOTE_SQL, held, model
 from tandem.plans.registry import query
 from tandem.plans.signal_plans import LEGS_OUT, LIMITS, V1_SQL, legs_out, spread_rows
 from tandem.streaming import feeds as sf_, quotes as sq
-from tandem.streaming import windows as sw
+from tandem.streaming import push, windows as sw
 from tandem.streaming.signals import live_signals
 from tandem.sources.shared import fresh_path
 
@@ -242,3 +242,41 @@ def _(spark, sf):
     stream = spark.readStream.schema(table.schema).parquet(table.inputFiles()[0].rsplit("/", 1)[0])
     got = sf_.drain(sw.session_bars(stream, F.lit(GAP_SECS) * (1 + F.ascii("symbol") % 3), "10 minutes", F.struct("ts", "event_id")), "sessions-in-time")
     return _ntz(got, "ts", "last_ts").select("symbol", "ts", "last_ts", "n", "open", "close")
+
+
+TICKER = "code STRING, time TIMESTAMP, price DOUBLE, volume DOUBLE, sequence BIGINT"
+
+
+def _push_lines(spark, sf):
+    """Ticks as the lines a gateway appends: (symbol, value)."""
+    iso = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    return feeds.ticks(spark, sf).select("event_id", F.to_json(F.struct(
+        F.col("symbol").alias("code"), iso.alias("time"), F.col("value").alias("price"), F.col("size").alias("volume"), F.col("event_id").alias("sequence"))).alias("value"))
+
+
+def _pushed(spark, sf, write):
+    """Two runs of one query on one checkpoint: half of the channels are there at first, the others come before the restart."""
+    push.register(spark)
+    path, checkpoint = fresh_path(spark, "landing"), fresh_path(spark, "landing-checkpoint")
+    lines = _push_lines(spark, sf)
+    for part in (0, 1):
+        lines.where(F.col("event_id") % 2 == part).select("value").repartition(4).write.mode("append").text(path)
+        stream = push.parsed(spark.readStream.format("push_feed").option("path", path).option("splitBytes", 1 << 20).load(), TICKER)
+        write(stream.drop("channel", "position").writeStream).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+PUSHED_SQL = "SELECT event_type AS code, ts AS time, value AS price, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS volume, event_id AS sequence FROM events"
+
+
+@query("s13_push_source", PUSHED_SQL)
+def _(spark, sf):
+    out = fresh_path(spark, "pushed")
+    _pushed(spark, sf, lambda w: w.format("parquet").option("path", out))
+    return _ntz(spark.read.schema(TICKER).parquet(out), "time")
+
+
+@query("s14_push_archive", PUSHED_SQL)
+def _(spark, sf):
+    out = fresh_path(spark, "archive")
+    _pushed(spark, sf, lambda w: w.format("push_archive").option("path", out).option("writer", "ticks").option("ts", "time"))
+    return _ntz(push.read_archive(spark, out, TICKER), "time")
