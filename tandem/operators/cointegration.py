@@ -236,31 +236,23 @@ def _pair_series(panel: DataFrame) -> DataFrame:
 def coint_candidates(panel: DataFrame, days: Sequence[int] = (14, 28, 42)) -> DataFrame:
     """Engle-Granger p per horizon, their mean and minimum, for every pair.
 
-    A group is one pair over the longest horizon; the shorter ones are its tails.
+    Horizons are trailing windows; a row of the panel enters the moments once, whatever the number of horizons.
     """
-    longest = clean.trailing(panel, int(max(days)))
-    horizons = list(days)
-    fields = ", ".join(f"p_{d} double" for d in horizons)
+    from tandem.operators import adf
+    windows = adf.horizon_windows(panel, days)
 
-    def test(keys: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("ts")
-        ts = g["ts"].to_numpy()
-        out = {"n1": keys[0], "n2": keys[1]}
-        best = None
-        for d in horizons:
-            part = g[ts >= ts[-1] - np.timedelta64(d, "D")]
-            p = engle_granger_p(part["x"].to_numpy(), part["y"].to_numpy())
-            out[f"p_{d}"] = p
-            if not math.isnan(p) and (best is None or p < best[0]):
-                best = (p, part["ts"].iloc[0])
-        out["start_of_pmin"] = best[1] if best else pd.NaT  # no horizon long enough for a test
-        return pd.DataFrame([out])
-
-    got = _pair_series(longest).groupBy("n1", "n2").applyInPandas(
-        test, f"n1 string, n2 string, {fields}, start_of_pmin timestamp_ntz")
-    cols = [F.col(f"p_{d}") for d in horizons]
-    return got.select(F.concat_ws("_", "n1", "n2").alias("pair"), *cols, (sum(cols[1:], cols[0]) / len(cols)).alias("p"),
-                      F.least(*cols).alias("pmin"), "start_of_pmin")
+    def finish(n1, n2, moments):
+        p = {w.name: m.coint_p() for w, m in zip(windows, moments)}
+        return (n1, n2, *[p[str(d)] for d in days])
+
+    got = adf.test_windows(panel, windows, "n1 string, n2 string, " + ", ".join(f"p_{d} double" for d in days), finish)
+    starts = horizon_starts(panel, days).agg(F.map_from_entries(F.collect_list(F.struct("days", "start_ts"))))  # an entry a horizon
+    cols = [F.col(f"p_{d}") for d in days]
+    tested = F.array(*[F.when(c.isNotNull() & ~F.isnan(c), F.struct(c.alias("p"), F.lit(i).alias("i"), F.lit(d).alias("days"))) for i, (d, c) in enumerate(zip(days, cols))])
+    best = F.array_min(F.array_compact(tested))
+    return got.withColumn("_b", best).select(
+        F.concat_ws("_", "n1", "n2").alias("pair"), *cols, (sum(cols[1:], cols[0]) / len(cols)).alias("p"), F.least(*cols).alias("pmin"),
+        F.element_at(starts.scalar(), F.col("_b.days")).alias("start_of_pmin"))
 
 
 def top_pairs(candidates: DataFrame, n: int = 100) -> DataFrame:
@@ -269,16 +261,26 @@ def top_pairs(candidates: DataFrame, n: int = 100) -> DataFrame:
 
 def pair_tests(panel: DataFrame, days: int | None = None) -> DataFrame:
     """Stationarity of each leg, correlation with p, and cointegration, per pair; over the last ``days`` if given."""
-    def test(keys: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("rn")
-        x, y = g["x"].to_numpy(), g["y"].to_numpy()
-        r = float(np.corrcoef(x, y)[0, 1]) if len(x) > 2 else math.nan
-        return pd.DataFrame([{"n1": keys[0], "n2": keys[1], "p_x": adf_p(x), "p_y": adf_p(y), "corr": r,
-                              "p_corr": pearson_p(r, len(x)), "p_coint": engle_granger_p(x, y)}])
+    from tandem.operators import adf
+    windows = adf.horizon_windows(panel, None if days is None else [days])
+
+    def finish(n1, n2, moments):
+        m = moments[0]
+        return (n1, n2, m.stationary_p("x"), m.stationary_p("y"), *adf.pearson(m), m.coint_p())
+
+    return adf.test_windows(panel, windows, "n1 string, n2 string, p_x double, p_y double, corr double, p_corr double, p_coint double", finish)
+
+
+def coint_at_lag(panel: DataFrame, lag: int, days: Sequence[int] = (14, 28, 42)) -> DataFrame:
+    """Dickey-Fuller t of the residual with a fixed number of differences, per pair and horizon (columns t_<days>)."""
+    from tandem.operators import adf
+    windows = adf.horizon_windows(panel, days)
+
+    def finish(n1, n2, moments):
+        t = {w.name: m.coint_t(lag) for w, m in zip(windows, moments)}
+        return (n1, n2, *[t[str(d)] for d in days])
 
-    rows = panel if days is None else clean.trailing(panel, days)
-    return _pair_series(rows).groupBy("n1", "n2").applyInPandas(
-        test, "n1 string, n2 string, p_x double, p_y double, corr double, p_corr double, p_coint double")
+    return adf.test_windows(panel, windows, "n1 string, n2 string, " + ", ".join(f"t_{d} double" for d in days), finish, reach=lag + 1)
 
 
 def coint_matrix(tests: DataFrame, symbols: Sequence[str]) -> DataFrame:

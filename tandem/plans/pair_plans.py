@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tandem.operators import clean, cointegration as co, regression as rg
 from tandem.operators.asof import universe_list
 from tandem.plans import feeds
+from tandem.plans.adf_sql import PEARSON_SQL, adf_sql, fixed_lag_sql
 from tandem.plans.feeds import HORIZONS, panel_sql, with_
 from tandem.plans.registry import query
 
@@ -154,19 +155,70 @@ def _(spark, sf):
                     F.round("he_0", 5).alias("he_0"), "hl_bars_0")
 
 
-@query("a14_engle_granger")
+# Residuals of every pair and horizon: the first leg on the second and a constant; g names the series.
+HORIZON_RESID_SQL = PAIRS_SQL + f""",
+win AS (SELECT days, min(rn) AS start_rn, min(ts) AS start_ts FROM (SELECT DISTINCT ts, rn FROM panel), (VALUES {', '.join(f'({d})' for d in HORIZONS)}) h(days)
+  WHERE ts >= (SELECT max(ts) FROM panel) - days * INTERVAL '1 day' GROUP BY days),
+hp AS (SELECT pair || '|' || days AS g, pair, days, start_ts, rn - start_rn AS k, x, y FROM pr JOIN win ON rn >= start_rn),
+hfit AS (SELECT g, regr_slope(x, y) AS b, regr_intercept(x, y) AS a FROM hp GROUP BY g),
+resid AS (SELECT hp.g, k, x - b * y - a AS e FROM hp JOIN hfit ON hp.g = hfit.g)"""
+
+GRANGER_SQL = "WITH RECURSIVE " + (HORIZON_RESID_SQL + adf_sql("resid", "eg")).strip() + """,
+hs AS (SELECT g, any_value(pair) AS pair, any_value(days) AS days, any_value(start_ts) AS start_ts FROM hp GROUP BY g),
+cand AS (SELECT pair, """ + ", ".join(f"max(CASE WHEN days = {d} THEN p END) AS p_{d}" for d in HORIZONS) + """,
+  avg(p) AS p, min(p) AS pmin, arg_min(start_ts, ROW(p, days)) AS start_of_pmin FROM eg JOIN hs ON eg.g = hs.g GROUP BY pair)
+"""
+
+
+def _p(*names, n=8):
+    return [F.round(c, n).alias(c) for c in names]
+
+
+def _p_sql(*names, n=8):
+    return ", ".join(f"round({c}, {n}) AS {c}" for c in names)
+
+
+P_HORIZONS = [f"p_{d}" for d in HORIZONS]
+
+
+@query("a14_engle_granger", GRANGER_SQL + f"SELECT pair, {_p_sql(*P_HORIZONS)} FROM cand")
 def _(spark, sf):
-    return co.coint_candidates(feeds.panel(spark, sf), HORIZONS).select("pair", *[f"p_{d}" for d in HORIZONS])
+    return co.coint_candidates(feeds.panel(spark, sf), HORIZONS).select("pair", *_p(*P_HORIZONS))
 
 
-@query("a15_pair_tests")
+T_HORIZONS = [f"t_{d}" for d in HORIZONS]
+
+
+@query("a14_adf_fixed_lags", with_(HORIZON_RESID_SQL + fixed_lag_sql("resid", "zero", 0) + fixed_lag_sql("resid", "one", 1), """
+SELECT split_part(z.g, '|', 1) AS pair, 0 AS lag, """ + ", ".join(f"round(max(CASE WHEN split_part(z.g, '|', 2) = '{d}' THEN z.tau END), 6) AS t_{d}" for d in HORIZONS) + """ FROM zero z GROUP BY 1
+UNION ALL SELECT split_part(z.g, '|', 1), 1, """ + ", ".join(f"round(max(CASE WHEN split_part(z.g, '|', 2) = '{d}' THEN z.tau END), 6)" for d in HORIZONS) + " FROM one z GROUP BY 1"))
 def _(spark, sf):
-    return co.pair_tests(feeds.panel(spark, sf))
+    both = [co.coint_at_lag(feeds.panel(spark, sf), k, HORIZONS).withColumn("lag", F.lit(k)) for k in (0, 1)]
+    return both[0].unionByName(both[1]).select(F.concat_ws("_", "n1", "n2").alias("pair"), "lag", *_p(*T_HORIZONS, n=6))
+
 
+# Whole panel: stationarity of the legs, correlation, cointegration.
+TESTS_SQL = "WITH RECURSIVE " + (PAIRS_SQL + """,
+legs AS (SELECT symbol AS g, rn - min(rn) OVER (PARTITION BY symbol) AS k, close - avg(close) OVER (PARTITION BY symbol) AS e FROM panel),
+wfit AS (SELECT pair, regr_slope(x, y) AS b, regr_intercept(x, y) AS a FROM pr GROUP BY pair),
+resid AS (SELECT pr.pair AS g, rn AS k, x - b * y - a AS e FROM pr JOIN wfit ON pr.pair = wfit.pair)"""
+                               + adf_sql("legs", "own", constant=True, surface=1) + adf_sql("resid", "eg")).strip() + f""",
+rs AS (SELECT n1, n2, any_value(pair) AS pair, count(*) AS n, corr(x, y) AS r FROM pr GROUP BY n1, n2),
+tests AS (SELECT n1, n2, a.p AS p_x, b.p AS p_y, r AS corr, greatest(0e0, {PEARSON_SQL}) AS p_corr, eg.p AS p_coint
+  FROM rs JOIN own a ON a.g = n1 JOIN own b ON b.g = n2 JOIN eg ON eg.g = pair)
+"""
+TESTED = ["p_x", "p_y", "corr", "p_corr", "p_coint"]
 
-@query("a17_coint_candidates")
+
+@query("a15_pair_tests", TESTS_SQL + f"SELECT n1, n2, {_p_sql(*TESTED)} FROM tests")
 def _(spark, sf):
-    return co.top_pairs(co.coint_candidates(feeds.panel(spark, sf), HORIZONS))
+    return co.pair_tests(feeds.panel(spark, sf)).select("n1", "n2", *_p(*TESTED))
+
+
+@query("a17_coint_candidates", GRANGER_SQL + f"SELECT pair, {_p_sql(*P_HORIZONS, 'p', 'pmin')}, start_of_pmin FROM cand ORDER BY cand.p, pair LIMIT 100")
+def _(spark, sf):
+    top = co.top_pairs(co.coint_candidates(feeds.panel(spark, sf), HORIZONS))
+    return top.select("pair", *_p(*P_HORIZONS, "p", "pmin"), "start_of_pmin")
 
 
 @query("t01_top_pairs", with_(RESID_SQL, """
@@ -260,15 +312,21 @@ def _(spark, sf):
     return co.coint_study(feeds.panel(spark, sf), max_p=0.2)
 
 
-@query("a21_coint_matrix")
+#: The symbols of the given events.
+SYMBOLS = ["click", "error", "purchase", "signup", "view"]
+
+
+@query("a21_coint_matrix", TESTS_SQL + ", half AS (SELECT n1, n2, p_coint AS p FROM tests UNION ALL SELECT n2, n1, p_coint FROM tests) SELECT n1 AS symbol, "
+       + ", ".join(f"CASE WHEN n1 = '{c}' THEN 0e0 ELSE round(max(CASE WHEN n2 = '{c}' THEN p END), 8) END AS {c}" for c in SYMBOLS) + " FROM half GROUP BY n1")
 def _(spark, sf):
     p = feeds.panel(spark, sf)
-    return co.coint_matrix(co.pair_tests(p), universe_list(p))
+    names = universe_list(p)
+    return co.coint_matrix(co.pair_tests(p), names).select("symbol", *_p(*names))
 
 
-@query("a21_coint_pairs")
+@query("a21_coint_pairs", TESTS_SQL + "SELECT n1, n2, round(p_coint, 8) AS p FROM tests WHERE p_coint <= 0.05 ORDER BY p_coint, n1, n2")
 def _(spark, sf):
-    return co.coint_pairs(co.pair_tests(feeds.panel(spark, sf)))
+    return co.coint_pairs(co.pair_tests(feeds.panel(spark, sf))).select("n1", "n2", *_p("p"))
 
 
 @query("a22_rolling_johansen")

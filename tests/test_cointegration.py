@@ -144,6 +144,38 @@ def test_candidates_and_study(spark):
     pd.testing.assert_frame_equal(study.sort_values(key).reset_index(drop=True), again.sort_values(key).reset_index(drop=True))
 
 
+def test_tests_from_moments_equal_tests_of_the_series(spark):
+    """Also collinear legs, a constant leg, far levels, and horizons of a few rows."""
+    rng = np.random.default_rng(21)
+    n = 24 * 50
+    x = walk(rng, n)
+    series = {"A": x, "B": 0.8 * x + 5 + rng.normal(size=n), "C": 5000 + walk(rng, n), "D": 2 * x + 1, "E": np.full(n, 3.0)}
+    panel = panel_of(spark, series).cache()
+    for days in ((14, 28, 42), (0, 1, 49)):
+        got = {r.pair: r for r in co.coint_candidates(panel, days).collect()}
+        assert len(got) == 10
+        for pair, r in got.items():
+            a, b = pair.split("_")
+            part = [(series[a][-(d * 24 + 1):], series[b][-(d * 24 + 1):]) for d in days]
+            want = [co.engle_granger_p(*p) for p in part]
+            have = [r[f"p_{d}"] for d in days]
+            assert [v is None for v in have] == [math.isnan(v) for v in want]
+            np.testing.assert_allclose([v for v in have if v is not None], [v for v in want if not math.isnan(v)], rtol=1e-8, atol=1e-10)
+            known = {d: v for d, v in zip(days, have) if v is not None}
+            d = min(known, key=lambda d: (known[d], days.index(d)))
+            assert r.start_of_pmin == pd.Timestamp("2024-01-01") + pd.Timedelta(hours=n - 1 - d * 24)
+    for r in co.pair_tests(panel).collect():
+        a, b = series[r.n1], series[r.n2]
+        for have, want in ((r.p_x, co.adf_p(a)), (r.p_y, co.adf_p(b)), (r.p_coint, co.engle_granger_p(a, b))):
+            assert (have is None and math.isnan(want)) or have == pytest.approx(want, rel=1e-8, abs=1e-10)
+
+
+def test_no_series_is_gathered_for_a_test(spark):
+    rng = np.random.default_rng(2)
+    plan = co.coint_candidates(panel_of(spark, {s: walk(rng, 300) for s in "ABC"}), (5, 10))._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInPandas" not in plan and "partial_sum" in plan
+
+
 def test_rolling_johansen_is_independent_of_chunks(spark):
     rng = np.random.default_rng(12)
     n = 24 * 30
