@@ -372,45 +372,127 @@ def johansen_matrix(series: np.ndarray, lags: int) -> tuple[np.ndarray, np.ndarr
     return values.real[order], vectors.real[:, order]
 
 
-def rolling_johansen(panel: DataFrame, days: Sequence[int] = (10, 20, 30), step_hours: int = 1,
-                     max_lag: int = 64, chunk_days: int = 5) -> DataFrame:
+class SlidingMoments:
+    """Running sums of the lagged products of two series, so that any window's moments are differences of two entries.
+
+    With s the row of a difference d(s) = v(s) - v(s-1), ``steps[u, v, h]`` runs over du(s)*dv(s-h) and
+    ``levels[u, v, q]`` over du(s+q)*v(s); entry k holds the sum over all rows before k.
+    """
+
+    def __init__(self, series: np.ndarray, max_lag: int):
+        self.v = series - series.mean(axis=0)
+        n = len(series)
+        d = np.vstack([np.zeros((1, 2)), np.diff(self.v, axis=0)])
+        grow = lambda a: np.concatenate([[0.0], np.cumsum(a)])
+        self.steps = np.zeros((2, 2, max_lag + 1, n + 1))
+        self.levels = np.zeros((2, 2, max_lag + 1, n + 1))
+        for u in range(2):
+            for w in range(2):
+                for h in range(min(max_lag + 1, n)):
+                    a, b = np.zeros(n), np.zeros(n)
+                    a[h:] = d[h:, u] * d[:n - h, w]
+                    b[:n - h] = d[h:, u] * self.v[:n - h, w]
+                    self.steps[u, w, h], self.levels[u, w, h] = grow(a), grow(b)
+        self.square = np.array([[grow(self.v[:, u] * self.v[:, w]) for w in range(2)] for u in range(2)])
+        self.sum_v = np.array([grow(self.v[:, u]) for u in range(2)])
+
+    def eigen(self, first: np.ndarray, last: np.ndarray, lag: int) -> tuple[np.ndarray, np.ndarray]:
+        """Eigenvalues (falling) and vectors of the test with ``lag`` differences in windows of rows first .. last."""
+        a, b = first + lag + 1, last  # rows of the differences that have all their lags
+        rows = (b - a + 1)[:, None, None].astype(float)
+        size = 2 * (lag + 1)
+        i = np.arange(size)
+        back, side = i // 2, i % 2
+        low = np.minimum.outer(back, back)
+        gap = np.abs(np.subtract.outer(back, back))
+        # of the pair of variables the one further back in time is the lagged one
+        u = np.where(np.less_equal.outer(back, back), side[:, None], side[None, :])
+        w = np.where(np.less_equal.outer(back, back), side[None, :], side[:, None])
+        total = lambda table, lo, hi: table[hi + 1] - table[lo]
+        g = self.steps[u, w, gap, (b[:, None, None] - low + 1)] - self.steps[u, w, gap, (a[:, None, None] - low)]
+        q = lag - back
+        c = np.stack([self.levels[side, k, q, (b - lag + 1)[:, None]] - self.levels[side, k, q, (a - lag)[:, None]] for k in range(2)], axis=2)
+        kk = np.array([[total(self.square[x, y], a - lag, b - lag) for y in range(2)] for x in range(2)]).transpose(2, 0, 1)
+        step_sum = np.stack([self.v[b - k, x] - self.v[a - k - 1, x] for k, x in zip(back, side)], axis=1)
+        level_sum = np.stack([total(self.sum_v[x], a - lag, b - lag) for x in range(2)], axis=1)
+        g = g - step_sum[:, :, None] * step_sum[:, None, :] / rows
+        c = c - step_sum[:, :, None] * level_sum[:, None, :] / rows
+        kk = kk - level_sum[:, :, None] * level_sum[:, None, :] / rows
+        s00, s0k, z = g[:, :2, :2], c[:, :2], g[:, 2:, 2:]
+        if lag:
+            solved = np.linalg.solve(z, np.concatenate([g[:, 2:, :2], c[:, 2:]], axis=2))
+            s00 = s00 - g[:, :2, 2:] @ solved[:, :, :2]
+            s0k = s0k - g[:, :2, 2:] @ solved[:, :, 2:]
+            kk = kk - c[:, 2:].transpose(0, 2, 1) @ solved[:, :, 2:]
+        m = np.linalg.solve(kk, s0k.transpose(0, 2, 1) @ np.linalg.solve(s00, s0k))
+        values, vectors = np.linalg.eig(m)
+        order = np.argsort(-values.real, axis=1)
+        return np.take_along_axis(values.real, order, 1), np.take_along_axis(vectors.real, order[:, None, :], 2)
+
+
+#: Windows that are solved together.
+AT_ONCE = 64
+
+
+def _solved(moments: SlidingMoments, first: np.ndarray, last: np.ndarray, lag: int) -> tuple[np.ndarray, np.ndarray]:
+    """As ``eigen``; NaN in windows without a solution (a leg that stands still, legs that move as one)."""
+    try:
+        return moments.eigen(first, last, lag)
+    except np.linalg.LinAlgError:
+        if len(first) == 1:
+            return np.full((1, 2), math.nan), np.full((1, 2, 2), math.nan)
+        parts = [_solved(moments, first[k:k + 1], last[k:k + 1], lag) for k in range(len(first))]
+        return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+
+
+def rolling_johansen(panel: DataFrame, days: Sequence[int] = (10, 20, 30), step_hours: int = 1, max_lag: int = 64, chunk_days: int = 30,
+                     stop_hours: int = 48, lags: Sequence[int] | None = None, all_windows: bool = False) -> DataFrame:
     """Maximum-eigenvalue test over stepped windows and lags 1, 2, 4 .. ``max_lag``.
 
-    Rows with rank > 0 only: the windows in which a pair is cointegrated.  Windows end every ``step_hours`` hours
-    counted from 1970-01-01, so chunks share one grid; one with under ``4 * lag + 20`` bars is too short for a lag.
+    Rows with rank > 0 only, the windows in which a pair is cointegrated, or all.  Windows end every ``step_hours`` hours
+    counted from 1970-01-01, so chunks share one grid, and at least ``stop_hours`` before the last bar; one with under
+    ``4 * lag + 20`` bars is too short for a lag.  A group is a pair and ``chunk_days`` of window ends, with the rows that
+    its longest window reaches; inside it running sums of lagged products serve every window and lag, so that a window
+    costs one small matrix and not its rows again.
     """
     spans = list(days)
-    lags = [2 ** k for k in range(int(math.log2(max_lag)) + 1)]
+    lags = list(lags) if lags is not None else [2 ** k for k in range(int(math.log2(max_lag)) + 1)]
+
+    def windows(ts: np.ndarray, chunk: int, first: np.datetime64, stop: np.datetime64):
+        begin_hour = int(chunk) * chunk_days * 24
+        hours = np.arange(-(-begin_hour // step_hours) * step_hours, begin_hour + chunk_days * 24, step_hours)
+        ends = hours.astype("datetime64[h]").astype("datetime64[us]")
+        ends = ends[ends <= stop]
+        for d in spans:
+            begins = ends - np.timedelta64(d, "D")
+            fine = begins >= first
+            yield d, ends[fine], np.searchsorted(ts, begins[fine], side="left"), np.searchsorted(ts, ends[fine], side="right") - 1
 
     def test(keys: tuple, g: pd.DataFrame) -> pd.DataFrame:
         n1, n2, chunk = keys
         g = g.sort_values("ts")
         ts = g["ts"].to_numpy().astype("datetime64[us]")
-        xy = g[["x", "y"]].to_numpy()
         first = np.datetime64(int(g["_first"].iloc[0]), "D")
-        out = []
-        begin_hour = int(chunk) * chunk_days * 24
-        first_hour = -(-begin_hour // step_hours) * step_hours
-        for hour in range(first_hour, begin_hour + chunk_days * 24, step_hours):
-            end = np.datetime64(hour, "h").astype("datetime64[us]")
-            if end > ts[-1]:
-                break
-            for d in spans:
-                begin = end - np.timedelta64(d, "D")
-                if begin < first:
-                    continue
-                part = xy[(ts >= begin) & (ts <= end)]
-                for lag in lags:
-                    if len(part) < 4 * lag + 20:
+        stop = g["_last_ts"].iloc[0].to_datetime64() - np.timedelta64(stop_hours, "h")
+        moments, out = None, []
+        for d, ends, lo, hi in windows(ts, chunk, first, stop):
+            for lag in lags:
+                for at in range(0, len(ends), AT_ONCE):
+                    e, a, b = ends[at:at + AT_ONCE], lo[at:at + AT_ONCE], hi[at:at + AT_ONCE]
+                    long = b - a + 1 >= 4 * lag + 20
+                    if not long.any():
                         continue
-                    values, vectors = johansen_matrix(part, lag)
-                    t = len(part) - lag - 1
-                    stat = -t * math.log(max(1 - values[0], 1e-300))
-                    if stat > MAX_EIGEN_95[0]:
-                        out.append((n1, n2, d, lag, pd.Timestamp(end), float(values[0]), stat,
-                                    float(-vectors[0, 0] / vectors[1, 0])))
+                    e, a, b = e[long], a[long], b[long]
+                    moments = moments or SlidingMoments(g[["x", "y"]].to_numpy(), max(lags))
+                    values, vectors = _solved(moments, a, b, lag)
+                    t = b - a - lag
+                    with np.errstate(invalid="ignore", divide="ignore"):
+                        stat = -t * np.log(np.maximum(1 - values[:, 0], 1e-300))
+                        slope = -vectors[:, 0, 0] / vectors[:, 1, 0]
+                    for k in np.flatnonzero((stat > MAX_EIGEN_95[0]) | all_windows):
+                        out.append((n1, n2, d, lag, pd.Timestamp(e[k]), values[k, 0], stat[k], slope[k]))
         return pd.DataFrame(out, columns=["n1", "n2", "days", "lag", "end", "lambda_0", "maxeig_0", "slope"])
 
-    groups = _window_groups(_pair_series(panel), chunk_days, max(spans) + 1)
+    groups = _window_groups(_pair_series(panel), chunk_days, max(spans) + 1).withColumn("_last_ts", panel.agg(F.max("ts")).scalar())
     return groups.groupBy("n1", "n2", "chunk").applyInPandas(
         test, "n1 string, n2 string, days int, lag int, end timestamp_ntz, lambda_0 double, maxeig_0 double, slope double")

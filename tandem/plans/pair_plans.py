@@ -64,7 +64,12 @@ def _(spark, sf):
                                          F.round(F.col("st") / F.col("y_last") * 100, 6).alias("std_y"))
 
 
-def _johansen_sql(horizons=HORIZONS) -> str:
+TRAILING_SQL = """
+win AS (SELECT days, min(rn) AS start_rn, min(ts) AS start_ts FROM (SELECT DISTINCT ts, rn FROM panel), (VALUES {horizons}) h(days)
+  WHERE ts >= (SELECT max(ts) FROM panel) - days * INTERVAL '1 day' GROUP BY days),"""
+
+
+def _johansen_sql(horizons=HORIZONS, win: str = TRAILING_SQL, inside: str = "rn >= start_rn + 2") -> str:
     names = ["x0", "y0", "xz", "yz", "xk", "yk"]
     pick = lambda a, b: "c_%s_%s" % tuple(sorted((a, b), key=names.index))
     covs = ", ".join(f"covar_pop({a}, {b}) AS c_{a}_{b}" for i, a in enumerate(names) for b in names[i:])
@@ -76,12 +81,10 @@ def _johansen_sql(horizons=HORIZONS) -> str:
 
     s = {n: schur(*n.split("_")) for n in ("x0_x0", "x0_y0", "y0_y0", "xk_x0", "xk_y0", "yk_x0", "yk_y0", "xk_xk", "xk_yk", "yk_yk")}
     schurs = ", ".join(f"{v} AS {k}" for k, v in s.items())
-    return PAIRS_SQL + f""",
-win AS (SELECT days, min(rn) AS start_rn, min(ts) AS start_ts FROM (SELECT DISTINCT ts, rn FROM panel), (VALUES {', '.join(f'({d})' for d in horizons)}) h(days)
-  WHERE ts >= (SELECT max(ts) FROM panel) - days * INTERVAL '1 day' GROUP BY days),
+    return PAIRS_SQL + "," + win.format(horizons=", ".join(f"({d})" for d in horizons)) + f"""
 seq AS (SELECT p.pair, p.rn, p.ts, x - lag(x) OVER w AS x0, y - lag(y) OVER w AS y0, lag(x) OVER w - lag(x, 2) OVER w AS xz,
   lag(y) OVER w - lag(y, 2) OVER w AS yz, lag(x) OVER w AS xk, lag(y) OVER w AS yk FROM pr p WINDOW w AS (PARTITION BY pair ORDER BY rn)),
-mom AS (SELECT pair, days, start_rn, start_ts, count(*) AS t, {covs} FROM seq JOIN win ON rn >= start_rn + 2 GROUP BY 1, 2, 3, 4),
+mom AS (SELECT pair, days, start_rn, start_ts, count(*) AS t, {covs} FROM seq JOIN win ON {inside} GROUP BY 1, 2, 3, 4),
 sch AS (SELECT pair, days, start_rn, start_ts, t, {schurs} FROM mom),
 g AS (SELECT *, x0_x0 * y0_y0 - x0_y0 * x0_y0 AS d0, xk_xk * yk_yk - xk_yk * xk_yk AS dk FROM sch),
 g2 AS (SELECT *, (xk_x0 * (y0_y0 * xk_x0 - x0_y0 * xk_y0) + xk_y0 * (x0_x0 * xk_y0 - x0_y0 * xk_x0)) / d0 AS gxx,
@@ -331,4 +334,19 @@ def _(spark, sf):
 
 @query("a22_rolling_johansen")
 def _(spark, sf):
-    return co.rolling_johansen(feeds.panel(spark, sf), step_hours=24)
+    return co.rolling_johansen(feeds.panel(spark, sf))
+
+
+# Windows of 10, 20 and 30 days that end at every hour, up to 48 hours before the last bar; start_ts carries the end.
+HOURLY_SQL = """
+win AS (SELECT days, min(rn) AS start_rn, e AS start_ts FROM (SELECT DISTINCT ts, rn FROM panel), (VALUES {horizons}) h(days),
+    (SELECT unnest(generate_series(date_trunc('hour', min(ts)), max(ts) - INTERVAL '48 hours', INTERVAL '1 hour')) AS e FROM panel)
+  WHERE e - days * INTERVAL '1 day' >= (SELECT date_trunc('day', min(ts)) FROM panel) AND ts >= e - days * INTERVAL '1 day' AND ts <= e GROUP BY days, e
+  HAVING count(*) >= 24),"""
+
+
+@query("a22_rolling_johansen_one_lag", with_(_johansen_sql((10, 20, 30), HOURLY_SQL, "rn >= start_rn + 2 AND ts <= start_ts"), """
+SELECT pair, days, start_ts AS "end", round(l0, 5) AS lambda_0, round(-t * ln(1 - l0), 2) AS maxeig_0 FROM js"""))
+def _(spark, sf):
+    d = co.rolling_johansen(feeds.panel(spark, sf), lags=[1], all_windows=True)
+    return d.select(F.concat_ws("_", "n1", "n2").alias("pair"), "days", "end", F.round("lambda_0", 5).alias("lambda_0"), F.round("maxeig_0", 2).alias("maxeig_0"))

@@ -187,6 +187,34 @@ def test_rolling_johansen_is_independent_of_chunks(spark):
     pd.testing.assert_frame_equal(a, b)
 
 
+def test_rolling_windows_equal_the_matrix_route(spark):
+    """Twenty random windows at every lag, from the running sums and from the window's rows; no window ends in the last two days."""
+    rng = np.random.default_rng(14)
+    n = 24 * 6 * 26
+    x = walk(rng, n)
+    both = np.column_stack([x, 0.8 * x + 40 + np.cumsum(rng.normal(size=n)) * 0.05 + rng.normal(size=n)])
+    panel = panel_of(spark, {"A": both[:, 0], "B": both[:, 1]}, minutes=10)
+    got = co.rolling_johansen(panel, days=(10, 20), all_windows=True).toPandas()
+    start = pd.Timestamp("2024-01-01")
+    last = start + pd.Timedelta(minutes=10 * (n - 1))
+    assert got["end"].max() == (last - pd.Timedelta(hours=48)).floor("h")
+    assert len(got) == 7 * sum(int((got["end"].max() - start) / pd.Timedelta(hours=1)) - 24 * d + 1 for d in (10, 20))
+    assert set(got.lag) == {1, 2, 4, 8, 16, 32, 64}
+    for r in got.groupby("lag").sample(3, random_state=1).itertuples():
+        end = int((r.end - start) / pd.Timedelta(minutes=10))
+        values, vectors = co.johansen_matrix(both[end - r.days * 144:end + 1], r.lag)
+        assert r.lambda_0 == pytest.approx(values[0], rel=1e-6)
+        assert r.slope == pytest.approx(-vectors[0, 0] / vectors[1, 0], rel=1e-5)
+        assert r.maxeig_0 == pytest.approx(-(r.days * 144 - r.lag) * math.log(1 - values[0]), rel=1e-6)
+
+
+def test_a_leg_that_stands_still_has_no_rank(spark):
+    rng = np.random.default_rng(15)
+    n = 24 * 20
+    got = co.rolling_johansen(panel_of(spark, {"A": walk(rng, n), "B": np.full(n, 7.0)}), days=(10,), max_lag=2, stop_hours=0)
+    assert got.count() == 0
+
+
 def hours_of(days, per_day=7):
     return pd.DatetimeIndex([d + pd.Timedelta(hours=9 + k) for d in days for k in range(per_day)])
 
