@@ -68,6 +68,14 @@ def scenario_grid(legs: DataFrame, keys: Sequence[str], width: float = 0.1, poin
     return priced.groupBy(*keys, "step", "point").agg(F.min("fs").alias("fs"), F.sum(gain).alias("pnl"))
 
 
+def grid_summary(grid: DataFrame, keys: Sequence[str], value: str = "pnl", spot: str = "fs") -> DataFrame:
+    """Best and worst outcome of a grid, its mean, at which spots, and the share of points with a profit."""
+    gains = F.avg(F.when(F.col(value) > 1e-9, 1.0).otherwise(0.0))
+    return grid.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("points"), F.max(value).alias("best"), F.min(value).alias("worst"), F.avg(value).alias("mean"), gains.alias("gains"),
+        F.max(F.when(F.col(value) > 1e-9, F.col(spot))).alias("last_gain"), F.min(F.when(F.col(value) > 1e-9, F.col(spot))).alias("first_gain"))
+
+
 def premium_curve(chain: DataFrame, by: str, low: Column, high: Column, points: int, american: bool = False) -> DataFrame:
     """Premium of each contract along a grid of ``by`` (strike ``x`` or volatility ``v``)."""
     rows = chain.withColumn("_low", low).withColumn("_high", high).withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))

@@ -304,24 +304,59 @@ def _(spark, sf):
     return d.select("contract", "point", F.round("value", 6).alias("value"))
 
 
-@query("c08_payoff_grid", """
+PAYOFF_SQL = """
 WITH base AS (SELECT p_partkey, p_retailprice / 10 AS fs FROM part),
 legs AS (SELECT p_partkey, structure, option_type, fs * k AS x, premium, delta, sign, scale, stock, fs FROM base, (VALUES ('condor', 'p', 0.93e0, 30e0, 0.2e0, 1, 1e0, 0),
   ('condor', 'p', 0.95e0, 35e0, 0.3e0, -1, 1e0, 0), ('condor', 'c', 1.05e0, 30e0, 0.3e0, -1, 1e0, 0), ('condor', 'c', 1.07e0, 20e0, 0.2e0, 1, 1e0, 0),
   ('covered', 'c', 1.01e0, 2.07e0, 0.5e0, -1, 2e0, 1)) l(structure, option_type, k, premium, delta, sign, scale, stock)),
-g AS (SELECT *, fs * 0.8e0 + (fs * 1.2e0 - fs * 0.8e0) * point / 24 AS s FROM legs, generate_series(0, 24) g(point)),
-i AS (SELECT *, CASE WHEN option_type = 'c' THEN s - x ELSE x - s END AS i FROM g)
+g AS (SELECT *, fs * 0.8e0 + (fs * 1.2e0 - fs * 0.8e0) * point / {last} AS s FROM legs, generate_series(0, {last}) g(point)),
+i AS (SELECT *, CASE WHEN option_type = 'c' THEN s - x ELSE x - s END AS i FROM g)"""
+
+
+@query("c08_payoff_grid", PAYOFF_SQL.format(last=24) + """
 SELECT p_partkey, structure, CAST(point AS INTEGER) AS point, round(sum(sign * (CASE WHEN i < 0 THEN -premium ELSE i * delta - premium END) * scale + stock * (s - fs)), 8) + 0 AS payoff
 FROM i GROUP BY 1, 2, 3""")
 def _(spark, sf):
+    got = op.payoff_grid(payoff_legs(spark, sf), ["p_partkey", "structure"], F.col("fs") * 0.8, F.col("fs") * 1.2, 25)
+    return got.select("p_partkey", "structure", "point", F.round("payoff", 8).alias("payoff"))
+
+
+SUMMARY_SQL = """count(*) AS points, round(max({v}), {n}) + 0 AS best, round(min({v}), {n}) + 0 AS worst, round(avg({v}), {n}) + 0 AS mean,
+  round(avg(CASE WHEN {v} > 1e-9 THEN 1e0 ELSE 0e0 END), 6) AS gains, round(max(CASE WHEN {v} > 1e-9 THEN {s} END), 6) AS last_gain,
+  round(min(CASE WHEN {v} > 1e-9 THEN {s} END), 6) AS first_gain"""
+
+
+def _summary(grid, keys, value, spot, n):
+    d = op.grid_summary(grid, keys, value, spot)
+    return d.select(*keys, "points", *[(F.round(c, n) + 0).alias(c) for c in ("best", "worst", "mean")], *[F.round(c, 6).alias(c) for c in ("gains", "last_gain", "first_gain")])
+
+
+# The whole grid of 200 spots and four steps, and of 1000 spots, told by its extremes.
+@query("c07_scenario_extremes", with_(STRUCT_SQL + gbs_sql("legs", "r - q", "open_") + """,
+grid AS (SELECT p_partkey, structure, option_type, x, sign, kept, stock, r, q, v, value AS v0, fs AS fs0, fs * (0.9e0 + 0.2e0 * point / 199) AS fs,
+  greatest(t * (1 - step / 4e0), 0.01e0) AS t, point, step FROM open_, generate_series(0, 199) p(point), generate_series(1, 4) s(step))""" + gbs_sql("grid", "r - q") + """,
+pnl AS (SELECT p_partkey, structure, step, point, min(fs) AS fs, sum(sign * (value - v0) + kept * v0 + stock * (fs - fs0)) AS pnl FROM priced GROUP BY 1, 2, 3, 4)
+SELECT p_partkey, structure, CAST(step AS INTEGER) AS step, """ + SUMMARY_SQL.format(v="pnl", s="fs", n=5) + " FROM pnl GROUP BY 1, 2, 3"))
+def _(spark, sf):
+    grid = op.scenario_grid(spread_out(structures(spark, sf)), ["p_partkey", "structure"])
+    return _summary(grid, ["p_partkey", "structure", "step"], "pnl", "fs", 5)
+
+
+def payoff_legs(spark, sf):
     legs = [("condor", "p", 0.93, 30.0, 0.2, 1, 1.0, 0), ("condor", "p", 0.95, 35.0, 0.3, -1, 1.0, 0), ("condor", "c", 1.05, 30.0, 0.3, -1, 1.0, 0),
             ("condor", "c", 1.07, 20.0, 0.2, 1, 1.0, 0), ("covered", "c", 1.01, 2.07, 0.5, -1, 2.0, 1)]
     names = ("structure", "option_type", "k", "premium", "delta", "sign", "scale", "stock")
     leg = F.explode(F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, row)]) for row in legs])).alias("_l")
     d = feeds.table(spark, sf, "part").select("p_partkey", (F.col("p_retailprice") / 10).alias("fs"), leg)
-    d = d.select("p_partkey", "fs", "_l.*").withColumn("x", F.col("fs") * F.col("k"))
-    got = op.payoff_grid(d, ["p_partkey", "structure"], F.col("fs") * 0.8, F.col("fs") * 1.2, 25)
-    return got.select("p_partkey", "structure", "point", F.round("payoff", 8).alias("payoff"))
+    return d.select("p_partkey", "fs", "_l.*").withColumn("x", F.col("fs") * F.col("k"))
+
+
+@query("c08_payoff_extremes", PAYOFF_SQL.format(last=999) + """,
+pay AS (SELECT p_partkey, structure, point, min(s) AS s, sum(sign * (CASE WHEN i < 0 THEN -premium ELSE i * delta - premium END) * scale + stock * (s - fs)) AS payoff FROM i GROUP BY 1, 2, 3)
+SELECT p_partkey, structure, """ + SUMMARY_SQL.format(v="payoff", s="s", n=8) + " FROM pay GROUP BY 1, 2")
+def _(spark, sf):
+    grid = op.payoff_grid(payoff_legs(spark, sf), ["p_partkey", "structure"], F.col("fs") * 0.8, F.col("fs") * 1.2)
+    return _summary(grid, ["p_partkey", "structure"], "payoff", "s", 8)
 
 
 @query("c09_iv_hv_report", with_(panel_sql() + _vol_sql({"a": 30, "b": 90}, 36.0) + f""",
