@@ -4,9 +4,9 @@ A page becomes a tree (missing end tags implied, unknown ones ignored).  What is
 scripts, forms, navigation, asides, footers, hidden parts, and elements whose class, id or role names such a part.
 Every block with text of its own then passes points to its ancestors: one, one for each comma, and up to three for
 its length; half as many at each further level.  An element's points are discounted by the share of its text that
-stands in links, and the best element is the container.  Its siblings stay if they score a fifth of it or are
-paragraphs of prose.  All blocks of what stays are written in page order: character references decoded, white space
-inside a block one space, blocks joined by a line break, nothing else dropped.
+stands in links, and the best element is the container.  What holds it (article, main part, wrappers) stays with it, and
+so do its siblings if they are no lists of links (``kept_nodes``).  All blocks of what stays are written in page order:
+character references decoded, white space inside a block one space, blocks joined by a line break, nothing else dropped.
 
 Defined cases: null or empty html, and pages with no text, give an empty text; a page without any scored container
 gives all text that is left; repeated rows give repeated results; nesting of any depth and unclosed quotes, comments
@@ -43,6 +43,13 @@ GOOD_WORDS = frozenset("article body content entry main post story text page".sp
 BAD_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form toolbar".split())
 NEVER_BAD = frozenset("html body article main p h1 h2 h3 h4 h5 h6".split())
 
+WRAPPERS = CONTAINERS - {"html", "body", "article", "main"}
+BESIDE = frozenset("p pre blockquote h1 h2 h3 h4 h5 h6 ul ol dl table figure details".split())
+LINKED = WRAPPERS | frozenset("ul ol dl p header hgroup".split())
+PROSE = frozenset("p pre blockquote".split())
+#: Share of link text up to which a part belongs to the text, and from which it is a list of links.
+FEW_LINKS, MANY_LINKS = 0.25, 0.5
+
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"""
                    r"""|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<rest>(?:[^>"']++|"[^"]*+"|'[^']*+')*+)>"""
                    r"""|<(?P<end2>/?)(?P<tag2>[a-zA-Z][^\s/>]*+)(?P<rest2>[^>]*+)>|(?P<text>[^<]++|<)""", re.S)
@@ -184,64 +191,138 @@ def parse(html: str) -> Tree:
     return tree
 
 
-def scores(tree: Tree) -> tuple[list[float], list[float]]:
-    """Points and link density of every node."""
-    n = len(tree.tag)
-    size, linked, own, commas = [0] * n, [0] * n, [0] * n, [0] * n
-    home = [0] * n  # the block that a node's inline text belongs to
-    in_link = [False] * n
-    for i in range(1, n):
-        up = tree.parent[i]
-        home[i] = i if tree.tag[i] in BLOCKS else home[up]
-        in_link[i] = in_link[up] or tree.tag[i] == "a"
-    for i in range(n - 1, -1, -1):
-        for x in tree.content[i]:
-            if isinstance(x, str):
-                k = len(x.strip())
-                if k:
-                    size[i] += k
-                    linked[i] += k if in_link[i] else 0
-                    own[home[i]] += k
-                    commas[home[i]] += len(COMMA.findall(x))
-        if i:
-            size[tree.parent[i]] += size[i]
-            linked[tree.parent[i]] += linked[i]
-    density = [l / s if s else 0.0 for l, s in zip(linked, size)]
-    points = list(tree.bonus)
-    for i in range(n):
-        if own[i]:
-            part = (1.0 + commas[i] + min(3.0, own[i] / 100)) * (1 - density[i])
-            up = i
-            while up > 0 and part > 1e-3:
-                if tree.tag[up] in CONTAINERS:
-                    points[up] += part
-                    part /= 2
-                up = tree.parent[up]
-    return [p * (1 - d) if s else 0.0 for p, d, s in zip(points, density, size)], density
-
-
-def kept_nodes(tree: Tree) -> list[int]:
-    points, density = scores(tree)
+class Scored:
+    """Points and link density of every node; characters of text and of link text below it."""
+
+    def __init__(self, tree: Tree):
+        n = len(tree.tag)
+        size, linked, own, commas = [0] * n, [0] * n, [0] * n, [0] * n
+        home = [0] * n  # the block that a node's inline text belongs to
+        in_link = [False] * n
+        for i in range(1, n):
+            up = tree.parent[i]
+            home[i] = i if tree.tag[i] in BLOCKS else home[up]
+            in_link[i] = in_link[up] or tree.tag[i] == "a"
+        for i in range(n - 1, -1, -1):
+            for x in tree.content[i]:
+                if isinstance(x, str):
+                    k = len(x.strip())
+                    if k:
+                        size[i] += k
+                        linked[i] += k if in_link[i] else 0
+                        own[home[i]] += k
+                        commas[home[i]] += len(COMMA.findall(x))
+            if i:
+                size[tree.parent[i]] += size[i]
+                linked[tree.parent[i]] += linked[i]
+        self.size, self.linked = size, linked
+        self.density = [l / s if s else 0.0 for l, s in zip(linked, size)]
+        points = list(tree.bonus)
+        for i in range(n):
+            if own[i]:
+                part = (1.0 + commas[i] + min(3.0, own[i] / 100)) * (1 - self.density[i])
+                up = i
+                while up > 0 and part > 1e-3:
+                    if tree.tag[up] in CONTAINERS:
+                        points[up] += part
+                        part /= 2
+                    up = tree.parent[up]
+        self.points = [p * (1 - d) if s else 0.0 for p, d, s in zip(points, self.density, size)]
+
+
+def above(tree: Tree, node: int) -> list[int]:
+    """The node and its ancestors, without the root of the tree."""
+    out = []
+    while node > 0:
+        out.append(node)
+        node = tree.parent[node]
+    return out
+
+
+def link_blocks(tree: Tree, told: Scored, up: int, path: set[int]) -> set[int]:
+    """Blocks below ``up``, beside the container's path, that are mostly links."""
+    found, stack = set(), [x for x in tree.content[up] if not isinstance(x, str) and x not in path]
+    while stack:
+        x = stack.pop()
+        if tree.tag[x] in LINKED and told.density[x] >= MANY_LINKS:
+            found.add(x)
+        else:
+            stack += [c for c in tree.content[x] if not isinstance(c, str)]
+    return found
+
+
+def has_prose(tree: Tree, told: Scored, node: int) -> bool:
+    """A paragraph that is a sentence or long stands below the node."""
+    stack = [node]
+    while stack:
+        i = stack.pop()
+        if tree.tag[i] in PROSE and told.density[i] < FEW_LINKS:
+            text = " ".join(blocks(tree, [i]))
+            if len(text) > 80 or text.endswith((".", "!", "?")):
+                return True
+            continue
+        stack += [x for x in tree.content[i] if not isinstance(x, str)]
+    return False
+
+
+def kept_nodes(tree: Tree) -> tuple[list[int], set[int]]:
+    """What is written, in page order, and what is left out below it.
+
+    From the best container the way goes up to the article that holds it, or else to the main part, or else through all
+    wrappers that are no lists of links.  So a long section does not win over its own article, whatever its length.
+    Beside it stay, by their link density and not by their share of the points, headings, paragraphs, lists, tables and
+    containers of prose; beside an article other articles of at least a fifth of its points.
+    """
+    told = Scored(tree)
+    points, density = told.points, told.density
     able = [i for i in range(1, len(tree.tag)) if points[i] > 0 and tree.tag[i] in CONTAINERS]
     if not able:
-        return [0]
+        return [0], set()
     best = max(able, key=lambda i: (points[i], -i))
-    least = max(points[best] * 0.2, 3.0)
+    path = above(tree, best)
+    articles = [i for i in path if tree.tag[i] == "article"]
+    if articles:
+        root = articles[-1]
+        level = [x for x in tree.content[tree.parent[root]] if not isinstance(x, str)]
+        least = max(points[root] * 0.2, 3.0)
+        kept = [x for x in level if x == root or tree.tag[x] == "article" and points[x] >= least]
+        before = level[level.index(root) - 1] if level.index(root) else -1
+        if before > 0 and tree.tag[before] == "h1" and "h1" not in {tree.tag[i] for i in below(tree, root)}:
+            kept.insert(0, before)  # the title stands right before an article without one
+        return kept, set()
+    mains = [i for i in path if tree.tag[i] == "main"]
+    root, dropped, on_path = best, set(), set(path)
+    size = linked = 0  # of the lists of links that are left out
+    for up in path[1:]:
+        if root == (mains[-1] if mains else -1):
+            break
+        found = link_blocks(tree, told, up, on_path)
+        size, linked = size + sum(told.size[x] for x in found), linked + sum(told.linked[x] for x in found)
+        if not mains and (tree.tag[up] not in WRAPPERS or told.linked[up] - linked >= FEW_LINKS * (told.size[up] - size)):
+            break
+        root = up
+        dropped |= found
     kept = []
-    for x in tree.content[tree.parent[best]]:
+    for x in tree.content[tree.parent[root]]:
         if isinstance(x, str):
             continue
-        if x == best or points[x] >= least and tree.tag[x] in CONTAINERS:
+        beside = not mains and density[x] < FEW_LINKS and (tree.tag[x] in BESIDE or tree.tag[x] in WRAPPERS and has_prose(tree, told, x))
+        if x == root or beside:
             kept.append(x)
-        elif tree.tag[x] in ("p", "pre", "blockquote") and density[x] < 0.25:
-            text = " ".join(blocks(tree, [x]))
-            if len(text) > 80 or density[x] == 0 and text.endswith((".", "!", "?")):
-                kept.append(x)
-    return kept
+    return kept, dropped
 
 
-def blocks(tree: Tree, roots: list[int]) -> list[str]:
-    """Texts of the blocks below the roots, in page order."""
+def below(tree: Tree, root: int) -> list[int]:
+    out, stack = [], [root]
+    while stack:
+        i = stack.pop()
+        out.append(i)
+        stack += [x for x in tree.content[i] if not isinstance(x, str)]
+    return out
+
+
+def blocks(tree: Tree, roots: list[int], dropped: set[int] = frozenset()) -> list[str]:
+    """Texts of the blocks below the roots, in page order, without what is dropped."""
     out: list[str] = []
     piece: list[str] = []
 
@@ -261,6 +342,9 @@ def blocks(tree: Tree, roots: list[int]) -> list[str]:
                 if isinstance(x, str):
                     piece.append(x)
                     continue
+                if x in dropped:
+                    flush()
+                    continue
                 if tree.tag[x] in BLOCKS:
                     flush()
                 stack.append((x, iter(tree.content[x])))
@@ -277,7 +361,7 @@ def main_text(html: str | None) -> str:
     if not html:
         return ""
     tree = parse(html)
-    return "\n".join(blocks(tree, kept_nodes(tree)))
+    return "\n".join(blocks(tree, *kept_nodes(tree)))
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -145,3 +145,81 @@ def test_bits_of_more_than_eight_languages(spark):
     model = langid.train(docs, per_lang=100)
     assert len(model.langs) == 12 and langid.decide(model, ["ccccc", "lllll"])[0] == ["lc", "ll"]
     assert langid.identify(docs, model).where(F.col("lang") != F.col("lang_pred")).count() == 0
+
+
+class Page:
+    """A random page and the text of its article."""
+
+    def __init__(self, seed: int, times: int = 1):
+        self.rng, self.times, self.text = random.Random(seed), times, []
+        r = self.rng
+        kind = r.choice(["article", "main", "div", "beside", "titled"])
+        body = self.article() if kind != "beside" else self.beside()
+        if kind == "article":
+            body = f"<article>{body}</article>"
+        elif kind == "main":
+            body = f"<main>{body}</main>"
+        elif kind == "div":
+            body = f'<div class="{r.choice(["content", "entry", "x1"])}">{body}</div>'
+        elif kind == "titled":
+            self.text.insert(0, "Title before")
+            body = f"<main><h1>Title before</h1><article>{body.replace('h1>', 'h2>')}</article></main>"
+        for _ in range(r.randint(0, 3)):
+            body = f"<div>{body}</div>"
+        self.html = (f"<html><head><title>No</title></head><body>{self.links('nav')}<div class=header>Site name</div>{self.links(r.choice(['ul', 'div']))}"
+                     f"{body}<section id=comments><p>A reader wrote, at length, something long. {self.words(30)}</p></section>"
+                     f"<div class='ad'>Buy this. {self.words(20)}</div><footer>All rights reserved, {self.words(9)}</footer></body></html>")
+
+    def words(self, n):
+        return " ".join(self.rng.choice("lorem ipsum dolor sit, amet consectetur elit sed do eiusmod, tempor".split()) for _ in range(n))
+
+    def links(self, tag):
+        inner = "li" if tag == "ul" else "span"
+        return f"<{tag}>" + "".join(f"<{inner}><a href=/x>{self.words(2)}</a></{inner}>" for _ in range(8)) + f"</{tag}>"
+
+    def put(self, tag, text):
+        self.text.append(" ".join(text.split()))
+        return f"<{tag}>{text}</{tag}>"
+
+    def paragraphs(self, n):
+        out = ""
+        for _ in range(n * self.times):
+            state = self.rng.getstate()
+            out += self.put("p", self.words(self.rng.choice([3, 12, 60])) + ".")
+            if self.times > 1 and len(self.text) % 2:
+                self.rng.setstate(state)
+        return out
+
+    def article(self):
+        r = self.rng
+        out = self.put("h1", "The title, of it")
+        for k in range(r.randint(1, 5)):
+            part = self.put("h2", f"Part {k}") + self.paragraphs(r.choice([1, 2, 8, 40]))
+            if r.random() < 0.5:
+                part += "<ul>" + self.put("li", self.words(4)) + self.put("li", self.words(7)) + "</ul>"
+            if r.random() < 0.3:
+                part += "<figure><img src=x>" + self.put("figcaption", self.words(5)) + "</figure>"
+            if r.random() < 0.3:
+                part += f"<div class='advert'>Buy now. {self.words(12)}</div>"
+            if r.random() < 0.3:
+                part += "<blockquote>" + self.put("p", self.words(15) + ".") + "</blockquote>"
+            out += f"<section>{part}</section>" if r.random() < 0.6 else f"<div>{part}</div>"
+        return out
+
+    def beside(self):
+        """A title, a container, a heading, a list and a short paragraph side by side."""
+        return (self.put("h1", "The title") + "<div class=content>" + self.paragraphs(6) + "</div>" + self.put("h2", "More") + "<ul>" + self.put("li", self.words(5))
+                + "</ul>" + self.put("p", "The end."))
+
+
+@pytest.mark.parametrize("times", [1, 2, 5])
+def test_main_text_of_random_pages_whatever_their_length(times):
+    wrong = [seed for seed in range(200) if pages.main_text(Page(seed, times).html) != "\n".join(Page(seed, times).text)]
+    assert wrong == []
+
+
+@pytest.mark.parametrize("first, rest", [(10, 2), (60, 8)])
+def test_long_sections_do_not_hide_the_others(first, rest):
+    p = lambda n: "".join(f"<p>Sentence {k}, with a comma, and more words to it than a few.</p>" for k in range(n))
+    html = "<article><h1>T</h1><section>" + p(first) + "</section>" + ("<section>" + p(rest) + "</section>") * 3 + "</article>"
+    assert len(pages.main_text(html).split("\n")) == 1 + first + 3 * rest
