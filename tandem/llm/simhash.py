@@ -340,12 +340,22 @@ def _alike(n: int, least: float):
     return rows
 
 
+def mark_of(text_col: str) -> Column:
+    """Tells rows apart that have one id and different texts."""
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+
+
+def first_texts(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(fp, text) of each node: the text of its first document."""
+    firsts = nodes.select("fp", F.col("first_doc").alias("_sh_id"), F.col("first_mark").alias("_sh_mark"))
+    own = docs.select(F.col(id_col).cast("long").alias("_sh_id"), mark_of(text_col).alias("_sh_mark"), F.col(text_col).alias("text"))
+    return own.join(firsts, ["_sh_id", "_sh_mark"]).groupBy("fp").agg(F.min("text").alias("text"))
+
+
 def verified(links: Stored, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, n: int, least: float) -> DataFrame:
     """Links whose first documents share enough n-word shingles; only texts at an end of a link are moved."""
     ends = links.df.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-    firsts = nodes.join(ends, "fp").select("fp", F.col("first_doc").alias("_sh_id"))
-    own = docs.select(F.col(id_col).cast("long").alias("_sh_id"), F.col(text_col).alias("text"))
-    texts = stored(own.join(firsts, "_sh_id").groupBy("fp").agg(F.min("text").alias("text")), "texts")
+    texts = stored(first_texts(nodes.join(ends, "fp"), docs, id_col, text_col), "texts")
     pairs = (links.df.join(texts.df.select(F.col("fp").alias("a"), F.col("text").alias("ta")), "a")
              .join(texts.df.select(F.col("fp").alias("b"), F.col("text").alias("tb")), "b"))
     out = stored(pairs.select("a", "b", "ta", "tb").mapInArrow(_alike(n, least), "a long, b long"), "verified")
@@ -418,8 +428,8 @@ def _sketches(n: int):
                 value, first = shingle_sets(texts[lo:hi], n)
                 size = np.diff(np.append(first, len(value)))
                 keys = pa.FixedSizeListArray.from_arrays(pa.array(band_keys(value, first).view(np.int64).ravel()), BANDS).cast(pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.array(fp.view(np.int64)), pa.array(size.astype(np.int64)), keys],
-                                                 names=["doc_id", "fp", "size", "keys"])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], batch.column(2)[lo:hi], pa.array(fp.view(np.int64)), pa.array(size.astype(np.int64)), keys],
+                                                 names=["doc_id", "mark", "fp", "size", "keys"])
     return rows
 
 
@@ -533,8 +543,7 @@ def crowded_links(nodes: DataFrame, roots: DataFrame, docs: DataFrame, id_col: s
         return None
     inside = stored(held.join(mixed_up.df, "key"), "inside")
     mixed_up.drop()
-    ids = inside.df.select("fp").distinct().join(nodes.select("fp", F.col("first_doc").alias("_sh_id")), "fp")
-    texts = docs.select(F.col(id_col).cast("long").alias("_sh_id"), F.col(text_col).alias("text")).join(ids, "_sh_id").groupBy("fp").agg(F.min("text").alias("text"))
+    texts = first_texts(inside.df.select("fp").distinct().join(nodes, "fp"), docs, id_col, text_col)
     grams = stored(texts.mapInArrow(_gram_rows(n), "fp long, grams binary"), "grams")
     rights, lefts = (F.ceil(x / F.lit(BLOCK)).cast("int") for x in (F.col("n"), F.col("n") - F.col("most")))
     block = F.xxhash64("fp")
@@ -547,20 +556,15 @@ def crowded_links(nodes: DataFrame, roots: DataFrame, docs: DataFrame, id_col: s
     return out.df
 
 
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8) -> DataFrame:
-    """(doc_id, component_id) of all rows with an id, where links are texts with a Jaccard similarity of ``least`` on
-    ``shingle``-word shingles.
-
-    Nodes are texts (equal sequences of lower-cased words are one).  Candidates share a bucket in one of BANDS bands
-    of least shingles.  Pairs of small buckets are verified; large ones are tied to their first node, and what the
-    verified links leave in several components is compared pair by pair (``crowded_links``).
-    """
+def _groups(docs: DataFrame, id_col: str, text_col: str, shingle: int, least: float) -> DataFrame:
+    """(doc_id, mark, component_id, component_mark) of all rows with an id; the last two name the component's first row."""
     spark = docs.sparkSession
     ready(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
-    prints = stored(own.mapInArrow(_sketches(shingle), "doc_id long, fp long, size long, keys array<long>"), "prints")
-    nodes = stored(prints.df.groupBy("fp").agg(F.min("doc_id").alias("first_doc"), F.first("size").alias("size"), F.first("keys").alias("keys")), "nodes")
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), mark_of(text_col).alias("mark")).where("doc_id is not null")
+    prints = stored(own.mapInArrow(_sketches(shingle), "doc_id long, mark long, fp long, size long, keys array<long>"), "prints")
+    nodes = stored(prints.df.groupBy("fp").agg(F.min(F.struct("doc_id", "mark")).alias("f"), F.first("size").alias("size"), F.first("keys").alias("keys"))
+                   .select("fp", F.col("f.doc_id").alias("first_doc"), F.col("f.mark").alias("first_mark"), "size", "keys"), "nodes")
     buckets = nodes.df.select(F.explode("keys").alias("key"), "fp", "size").repartition(parts, "key").sortWithinPartitions("key", "fp")
     found = stored(one_way(buckets.mapInArrow(_bucket_pairs(least), "a long, b long")), "found")
     links = verified(found, nodes.df, docs, id_col, text_col, shingle, least)
@@ -570,25 +574,43 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if more is not None:
         roots.drop()
         roots = components(links.unionByName(more))
-    names = named(nodes.df, roots)
+    rooted = nodes.df.join(roots.df.select("fp", "root"), "fp", "left").select("fp", "first_doc", "first_mark", F.coalesce("root", "fp").alias("root"))
+    first = rooted.groupBy("root").agg(F.min(F.struct("first_doc", "first_mark")).alias("c"))
+    names = stored(rooted.join(first, "root").select("fp", F.col("c.first_doc").alias("component_id"), F.col("c.first_mark").alias("component_mark")), "named")
     roots.drop()
     nodes.drop()
-    return prints.df.select("doc_id", "fp").join(names.df, "fp").select("doc_id", "component_id")
+    return prints.df.select("doc_id", "mark", "fp").join(names.df, "fp").select("doc_id", "mark", "component_id", "component_mark")
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the first document of each group of near-duplicates (``similar_groups``), in the given columns.
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8) -> DataFrame:
+    """(doc_id, component_id) of all rows with an id, where links are texts with a Jaccard similarity of ``least`` on
+    ``shingle``-word shingles.
 
-    Of rows that repeat a doc_id one stays (any); rows with a null doc_id all stay.
+    Nodes are texts (equal sequences of lower-cased words are one).  Candidates share a bucket in one of BANDS bands
+    of least shingles.  Pairs of small buckets are verified; large ones are tied to their first node, and what the
+    verified links leave in several components is compared pair by pair (``crowded_links``).  Rows that repeat an id
+    with different texts are nodes of their own.
     """
-    found = similar_groups(docs, id_col, text_col)
-    ids = stored(found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("_sh_id")).agg(F.count(F.lit(1)).alias("_sh_n")), "stay")
-    own = docs.withColumn("_sh_id", F.col(id_col).cast("long"))
-    kept = own.join(ids.df.where("_sh_n = 1").select("_sh_id"), "_sh_id", "left_semi")
-    rows = kept.unionByName(own.where("_sh_id is null"))
-    if ids.df.where("_sh_n > 1").head(1):
-        rows = rows.unionByName(own.join(ids.df.where("_sh_n > 1").select("_sh_id"), "_sh_id", "left_semi").dropDuplicates(["_sh_id"]))
-    return rows.select(*docs.columns)
+    return _groups(docs, id_col, text_col, shingle, least).select("doc_id", "component_id")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8) -> DataFrame:
+    """``docs`` with the first row of each group of near-duplicates (``similar_groups``), in the given columns.
+
+    First is the smallest id, then the smallest hash of the text; of rows that repeat both one stays, the first by its
+    columns as JSON.  Rows with one id and unlike texts are in different groups and all stay; so do rows with a null id.
+    """
+    found = _groups(docs, id_col, text_col, shingle, least).where("doc_id = component_id and mark = component_mark")
+    stay = stored(found.groupBy(F.col("doc_id").alias("_sh_id"), F.col("mark").alias("_sh_mark")).agg(F.count(F.lit(1)).alias("_sh_n")), "stay")
+    own = docs.withColumns({"_sh_id": F.col(id_col).cast("long"), "_sh_mark": mark_of(text_col)})
+    key = ["_sh_id", "_sh_mark"]
+    rows = own.join(stay.df.where("_sh_n = 1").select(*key), key, "left_semi").unionByName(own.where("_sh_id is null").select(*key, *docs.columns))
+    rows = rows.select(*docs.columns)
+    if stay.df.where("_sh_n > 1").head(1):
+        whole = F.struct(*[f"`{c}`" for c in docs.columns])
+        again = own.join(stay.df.where("_sh_n > 1").select(*key), key, "left_semi")
+        rows = rows.unionByName(again.groupBy(*key).agg(F.min_by(whole, F.to_json(whole)).alias("_sh_row")).select("_sh_row.*"))
+    return rows
 
 
 def as_hex(fp: Column) -> Column:

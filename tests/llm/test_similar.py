@@ -354,3 +354,32 @@ def test_pipeline_of_nothing(spark, sf_dir, tmp_path):
     spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     spark.read.parquet(f"{sf_dir}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_rows_with_one_id_and_unlike_texts_are_documents_of_their_own(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    a, b, c = ([word() for _ in range(80)] for _ in range(3))
+    near = list(b)
+    near[40] = "other"
+    text = " ".join
+    schema = "doc_id long, text string, lang string"
+
+    def kept(rows):
+        return sorted((r.doc_id, r.text) for r in simhash.one_of_each(spark.createDataFrame(rows, schema).repartition(3)).collect())
+    assert kept([(1, text(a), "x"), (1, text(b), "x"), (2, text(c), "y")]) == sorted([(1, text(a)), (1, text(b)), (2, text(c))])
+    # b and its near copy are one group, whose first row is (1, b); a stays beside it
+    assert kept([(1, text(a), "x"), (1, text(b), "x"), (2, text(near), "y")]) == sorted([(1, text(a)), (1, text(b))])
+    # repeated rows: one stays, always the same
+    rows = [(3, text(c), "z"), (3, text(c), None), (3, text(c), "y"), (4, text(c), "x")]
+    first = [tuple(r) for r in simhash.one_of_each(spark.createDataFrame(rows, schema).repartition(2)).collect()]
+    assert len(first) == 1 and first == [tuple(r) for r in simhash.one_of_each(spark.createDataFrame(rows[::-1], schema).repartition(5)).collect()]
+
+
+def test_mixing_stage_replaces_columns_of_its_names(spark):
+    import corpus_pipeline
+    d = spark.createDataFrame([(k, "some words here %d" % k, "en", "s%d" % (k % 2), 5, 9, "w") for k in range(20)],
+                              "doc_id long, text string, lang string, source string, n_chars long, Mix_epoch int, mix_weight string")
+    got = corpus_pipeline.mix_sources(spark, d, "")
+    assert got.columns == ["doc_id", "text", "lang", "source", "n_chars", "mix_epoch", "mix_block", "mix_weight"]
+    assert dict(got.dtypes)["mix_weight"] == "double" and got.count() >= 10
