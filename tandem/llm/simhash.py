@@ -433,29 +433,29 @@ def _sketches(n: int):
     return rows
 
 
-def _bucket_pairs(least: float):
-    """Reads (key, fp, size) sorted by key: all pairs of a bucket of up to PAIRED nodes that its sizes allow; of the
-    first bands also each node of a larger bucket with the first one."""
-    def pairs(key: np.ndarray, fp: np.ndarray, size: np.ndarray) -> pa.RecordBatch:
+def _bucket_pairs(least: float, first: bool):
+    """Reads (key, fp, size, root) sorted by key.  First: of the first bands, each node of a bucket with the bucket's first
+    one.  Then: all pairs of a bucket of up to PAIRED nodes that have different roots and that their sizes allow."""
+    def pairs(key: np.ndarray, fp: np.ndarray, size: np.ndarray, root: np.ndarray) -> pa.RecordBatch:
         edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
         n = np.diff(edge)
+        if first:
+            head = np.repeat(edge[:-1], n)
+            i = np.flatnonzero((head != np.arange(len(key))) & ((key & (BANDS - 1)) < STARS))
+            return pa.RecordBatch.from_arrays([pa.array(fp[head[i]]), pa.array(fp[i])], names=["a", "b"])
         mine = np.repeat(n, n)
         a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         for step in range(1, min(PAIRED, int(n.max(initial=0)))):
-            i = np.flatnonzero((key[step:] == key[:-step]) & (mine[step:] <= PAIRED))
+            i = np.flatnonzero((key[step:] == key[:-step]) & (mine[step:] <= PAIRED) & (root[step:] != root[:-step]))
             i = i[np.minimum(size[i], size[i + step]) >= least * np.maximum(size[i], size[i + step]) - 1e-6]
             a.append(fp[i])
             b.append(fp[i + step])
-        for k in np.flatnonzero(n > PAIRED):
-            if int(key[edge[k]]) & (BANDS - 1) < STARS:
-                b.append(fp[edge[k] + 1:edge[k + 1]])
-                a.append(np.full(n[k] - 1, fp[edge[k]]))
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for batch in batches:
-            cols = [batch.column(i).to_numpy() for i in range(3)]
+            cols = [batch.column(i).to_numpy() for i in range(4)]
             if held is not None:
                 cols = [np.concatenate([h, c]) for h, c in zip(held, cols)]
             cut = int(np.searchsorted(cols[0], cols[0][-1])) if len(cols[0]) else 0
@@ -565,11 +565,24 @@ def _groups(docs: DataFrame, id_col: str, text_col: str, shingle: int, least: fl
     prints = stored(own.mapInArrow(_sketches(shingle), "doc_id long, mark long, fp long, size long, keys array<long>"), "prints")
     nodes = stored(prints.df.groupBy("fp").agg(F.min(F.struct("doc_id", "mark")).alias("f"), F.first("size").alias("size"), F.first("keys").alias("keys"))
                    .select("fp", F.col("f.doc_id").alias("first_doc"), F.col("f.mark").alias("first_mark"), "size", "keys"), "nodes")
-    buckets = nodes.df.select(F.explode("keys").alias("key"), "fp", "size").repartition(parts, "key").sortWithinPartitions("key", "fp")
-    found = stored(one_way(buckets.mapInArrow(_bucket_pairs(least), "a long, b long")), "found")
-    links = verified(found, nodes.df, docs, id_col, text_col, shingle, least)
-    found.drop()
+
+    def candidates(roots: DataFrame | None) -> DataFrame:
+        """Verified links inside buckets; once there are roots, only between different ones."""
+        own = nodes.df.withColumn("root", F.col("fp")) if roots is None else nodes.df.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+        buckets = own.select(F.explode("keys").alias("key"), "fp", "size", "root").repartition(parts, "key").sortWithinPartitions("key", "fp")
+        found = stored(one_way(buckets.mapInArrow(_bucket_pairs(least, roots is None), "a long, b long")), "found")
+        links = verified(found, nodes.df, docs, id_col, text_col, shingle, least)
+        found.drop()
+        return links
+
+    # a few ties for each node first; what they have joined need not be compared again
+    links = candidates(None)
     roots = components(links)
+    rest = candidates(roots.df.select("fp", "root"))
+    if rest.head(1):
+        links = links.unionByName(rest)
+        roots.drop()
+        roots = components(links)
     more = crowded_links(nodes.df, roots.df, docs, id_col, text_col, shingle, least, parts)
     if more is not None:
         roots.drop()
@@ -587,8 +600,9 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ``shingle``-word shingles.
 
     Nodes are texts (equal sequences of lower-cased words are one).  Candidates share a bucket in one of BANDS bands
-    of least shingles.  Pairs of small buckets are verified; large ones are tied to their first node, and what the
-    verified links leave in several components is compared pair by pair (``crowded_links``).  Rows that repeat an id
+    of least shingles.  In the first bands the nodes of a bucket are tied to its first one; then all pairs of small buckets
+    that verified ties have not joined are verified, and what is left in several components in large ones is compared
+    pair by pair (``crowded_links``).  Rows that repeat an id
     with different texts are nodes of their own.
     """
     return _groups(docs, id_col, text_col, shingle, least).select("doc_id", "component_id")
