@@ -63,6 +63,25 @@ def backtest_summary(trades: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return d.withColumn("sharpe", F.try_divide(F.col("mean"), F.col("std")))
 
 
+def backtest_cube(trades: DataFrame, dims: Sequence[str], value: str = "rt", totals: Sequence[str] = ()) -> DataFrame:
+    """``backtest_summary`` for every subset of ``dims``; bit k of ``level``, from the right, is set where ``dims[-1 - k]`` is summed over.
+
+    Trades are aggregated at the finest level first, so that only groups, not trades, are repeated for each subset;
+    counts, sums and squared deviations are then merged.  ``totals`` are columns to sum besides.
+    """
+    n = F.count(value)
+    fine = trades.groupBy(*dims).agg(n.alias("_n"), F.sum(value).alias("_s"), (F.var_pop(value) * n).alias("_m"),
+                                     *[F.sum(c).alias(f"_t_{c}") for c in totals])
+    merged = fine.cube(*dims).agg(
+        F.grouping_id().cast("bigint").alias("level"), F.sum("_n").alias("trades"), F.sum("_s").alias("_s"),
+        (F.sum("_m") + F.sum(F.try_divide(F.col("_s") * F.col("_s"), F.col("_n")))).alias("_q"),
+        *[F.sum(f"_t_{c}").alias(c) for c in totals])
+    mean = F.try_divide(F.col("_s"), F.col("trades"))
+    spread = F.when(F.col("trades") > 1, F.sqrt(F.greatest(F.col("_q") - mean * F.col("_s"), F.lit(0.0)) / (F.col("trades") - 1)))
+    return (merged.withColumns({"mean": mean, "std": spread})
+            .withColumn("sharpe", F.when(F.col("std") > 1e-6, F.col("mean") / F.col("std"))).drop("_s", "_q"))
+
+
 def contract_profit(trades: DataFrame, keys: Sequence[str], name: str = "pair") -> DataFrame:
     """Profit and number of transactions per contract; contracts without profit are left out."""
     return (trades.groupBy(*keys, name).agg(F.sum("profit").alias("profit"), F.count(F.lit(1)).alias("transactions"))

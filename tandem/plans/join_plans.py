@@ -49,6 +49,40 @@ def _(spark, sf):
                       F.round((F.col("close") - F.col("close_h")) / F.col("close_h"), 9).alias("premium"))
 
 
+TICKS_NEXT_SQL = """
+, n AS (SELECT t.symbol, t.event_id, t.ts, b.ts AS next_ts, b.close AS next_close
+  FROM path t ASOF LEFT JOIN bars b ON t.symbol = b.symbol AND t.ts <= b.ts)"""
+
+
+def tick_matches(spark, sf, direction, **how):
+    t = feeds.price_path(spark, sf).select("symbol", "ts", "event_id")
+    b = feeds.bars(spark, sf).withColumn("bar_ts", F.col("ts"))
+    return asof.asof_match(t, b, ["symbol"], ["bar_ts", "close"], direction, suffix="_m", **how)
+
+
+@query("j02_asof_forward_within", with_(bars_sql(), TICKS_NEXT_SQL + """
+SELECT symbol, event_id, CASE WHEN next_ts - ts <= INTERVAL '5 minutes' THEN next_close END AS bar_close FROM n"""))
+def _(spark, sf):
+    return tick_matches(spark, sf, "forward", tolerance=300).select("symbol", "event_id", F.col("close_m").alias("bar_close"))
+
+
+@query("j02_asof_nearest", with_(bars_sql(), TICKS_NEXT_SQL + """
+, m AS (SELECT n.*, b.ts AS last_ts, b.close AS last_close FROM n ASOF LEFT JOIN bars b ON n.symbol = b.symbol AND n.ts >= b.ts),
+c AS (SELECT *, last_ts IS NULL OR next_ts - ts < ts - last_ts AS ahead FROM m)
+SELECT symbol, event_id, CASE WHEN ahead THEN next_ts ELSE last_ts END AS bar_ts, CASE WHEN ahead THEN next_close ELSE last_close END AS bar_close FROM c"""))
+def _(spark, sf):
+    return tick_matches(spark, sf, "nearest").select("symbol", "event_id", F.col("bar_ts_m").alias("bar_ts"), F.col("close_m").alias("bar_close"))
+
+
+@query("j02_asof_strictly_before_within", with_(bars_sql(), """
+, m AS (SELECT t.symbol, t.ts, b.ts AS last_ts, b.close FROM bars t ASOF LEFT JOIN bars b ON t.symbol = b.symbol AND t.ts > b.ts)
+SELECT symbol, ts, CASE WHEN ts - last_ts <= INTERVAL '2 hours' THEN close END AS close_before FROM m"""))
+def _(spark, sf):
+    b = feeds.bars(spark, sf)
+    got = asof.asof_match(b.select("symbol", "ts"), b, ["symbol"], ["close"], tolerance=7200, allow_exact=False, suffix="_before")
+    return got.select("symbol", "ts", "close_before")
+
+
 @query("e15_hedged_value", with_(bars_sql(), """
 , s AS (SELECT symbol, ts, close FROM bars),
 t AS (SELECT ts, close FROM bars WHERE symbol = (SELECT min(symbol) FROM bars))

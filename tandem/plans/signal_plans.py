@@ -411,6 +411,37 @@ def _(spark, sf):
     return agg.backtest_summary(z_trades(spark, sf)).select("trades", *_r("mean", "std"), F.round("sharpe", 5).alias("sharpe"))
 
 
+CUBE_SQL = """round(avg(rt), 5) + 0 AS mean, round(stddev_samp(rt), 5) AS std,
+  CASE WHEN stddev_samp(rt) > 1e-6 THEN round(avg(rt) / stddev_samp(rt), 4) + 0 END AS sharpe"""
+
+
+def _cube(d, *cols):
+    zero = F.lit(0.0)
+    return d.select("level", *cols, "trades", (F.round("mean", 5) + zero).alias("mean"), F.round("std", 5).alias("std"),
+                    (F.round("sharpe", 4) + zero).alias("sharpe"))
+
+
+@query("a05_cube_of_z_trades", Z_SCAN_SQL + f"""
+, t AS (SELECT n1 || '_' || n2 AS pair, CAST(CAST(model_date AS DATE) AS VARCHAR) AS model_date, CAST(stop AS VARCHAR) AS stop, rt FROM ztr)
+SELECT GROUPING(pair, model_date, stop) AS level, pair, model_date, stop, count(rt) AS trades, {CUBE_SQL} FROM t GROUP BY CUBE (pair, model_date, stop)""")
+def _(spark, sf):
+    d = z_trades(spark, sf).select(F.concat_ws("_", "n1", "n2").alias("pair"), F.col("model_date").cast("string").alias("model_date"),
+                                   F.col("stop").cast("string").alias("stop"), "rt")
+    dims = ["pair", "model_date", "stop"]
+    return _cube(agg.backtest_cube(d, dims), *dims)
+
+
+@query("a06_cube_of_scenarios", with_(LEG_SQL, f"""
+, t AS (SELECT scenario, n1 AS brand, CAST(year(tm_o) AS VARCHAR) AS opened, CAST(direction AS VARCHAR) AS direction, rt, profit FROM pnl)
+SELECT GROUPING(scenario, brand, opened, direction) AS level, scenario, brand, opened, direction, count(rt) AS trades, {CUBE_SQL}, round(sum(profit), 6) + 0 AS profit
+FROM t GROUP BY CUBE (scenario, brand, opened, direction)"""))
+def _(spark, sf):
+    d = leg_trades(spark, sf).select("scenario", F.col("n1").alias("brand"), F.year("tm_o").cast("string").alias("opened"),
+                                     F.col("direction").cast("string").alias("direction"), "rt", "profit")
+    dims = ["scenario", "brand", "opened", "direction"]
+    return _cube(agg.backtest_cube(d, dims, totals=["profit"]), *dims, (F.round("profit", 6) + F.lit(0.0)).alias("profit"))
+
+
 @query("a06_contract_profit", with_(LEG_SQL, """
 SELECT scenario, n1 || '_' || n2 AS pair, round(sum(profit), 6) + 0 AS profit, count(*) AS transactions FROM pnl GROUP BY 1, 2 HAVING sum(profit) <> 0"""))
 def _(spark, sf):

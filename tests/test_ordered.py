@@ -172,3 +172,38 @@ def test_correlations_are_symmetric(spark, bars):
     m = c.toPandas().pivot(index="a", columns="b", values="corr")
     np.testing.assert_allclose(m, m.T)
     np.testing.assert_allclose(np.diag(m), 1)
+
+
+@pytest.mark.parametrize("direction", ["backward", "forward", "nearest"])
+@pytest.mark.parametrize("tolerance,exact", [(None, True), (90, True), (90, False)])
+def test_asof_match(spark, direction, tolerance, exact):
+    """One key holds most rows on one day, which is cut into many slices; times are even seconds apart, so ties are equal times."""
+    rng = np.random.default_rng(8)
+
+    def rows(n, name):
+        secs = np.concatenate([rng.choice(40_000, n, replace=False), 4 * 86_400 + rng.choice(900_000, n // 10, replace=False)])
+        key = np.where(np.arange(len(secs)) % 8 == 7, "b", "hot")
+        return pd.DataFrame({"symbol": key, "ts": pd.Timestamp("2024-03-01") + pd.to_timedelta(secs, unit="s"), name: np.arange(len(secs))}).sort_values("ts")
+
+    left, right = rows(1500, "l"), rows(700, "r")
+    want = pd.merge_asof(left, right.assign(rts=right.ts), on="ts", by="symbol", direction=direction, allow_exact_matches=exact,
+                         tolerance=None if tolerance is None else pd.Timedelta(seconds=tolerance)).sort_values("l")
+    ntz = lambda d: spark.createDataFrame(d).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    got = asof.asof_match(ntz(left), ntz(right).withColumn("rts", F.col("ts")), ["symbol"], ["rts", "r"], direction, tolerance, exact, slice_rows=40)
+    got = got.toPandas().sort_values("l")
+    distance = lambda d: (d.rts - d.ts).abs().dt.total_seconds().to_numpy()
+    np.testing.assert_array_equal(distance(got), distance(want))
+    if direction != "nearest":
+        np.testing.assert_array_equal(got.r.astype(float).to_numpy(), want.r.astype(float).to_numpy())
+
+
+def test_asof_match_nulls_and_ties(spark):
+    left = spark.sql("SELECT * FROM VALUES ('a', TIMESTAMP_NTZ '2024-01-01 10:00:00', 1), ('a', NULL, 2), (NULL, TIMESTAMP_NTZ '2024-01-01 10:00:00', 3), "
+                     "('z', TIMESTAMP_NTZ '2024-01-01 10:00:00', 4) AS t(symbol, ts, id)")
+    right = spark.sql("SELECT * FROM VALUES ('a', TIMESTAMP_NTZ '2024-01-01 10:00:00', 5), ('a', TIMESTAMP_NTZ '2024-01-01 10:00:00', 9), "
+                      "('a', NULL, 7), (NULL, TIMESTAMP_NTZ '2024-01-01 10:00:00', 8) AS t(symbol, ts, v)")
+    for direction, v in (("backward", 9), ("forward", 5), ("nearest", 9)):
+        got = asof.asof_match(left, right, ["symbol"], ["v"], direction)
+        assert {r.id: r.v for r in got.collect()} == {1: v, 2: None, 3: None, 4: None}
+    assert asof.asof_match(left.limit(0), right, ["symbol"], ["v"]).count() == 0
+    assert asof.asof_match(left, right.limit(0), ["symbol"], ["v"], "nearest").where("v is null").count() == 4
