@@ -17,7 +17,7 @@ and link nothing; an empty table gives an empty result.
 Scale: equal fingerprints are one node whatever the number of copies, found with partial aggregates.  Inside a bucket
 a task keeps only links to the first node of each local component, so a dense group leaves one link a node, never all
 pairs; a bucket above ``BUCKET`` nodes is dealt out again by its remaining bits (``_dealt_again``).  Components come from
-alternating minimum and shortcut joins over written tables; nothing is collected on the driver but 64 x 64 counts.
+contracting the links round by round over written tables; nothing is collected on the driver but 64 x 64 counts.
 """
 
 from __future__ import annotations
@@ -301,26 +301,38 @@ def find_links(nodes: DataFrame, radius: int, parts: int) -> DataFrame:
 
 # -- components -----------------------------------------------------------------------------------------------------
 
+def flat(hooks: Stored) -> Stored:
+    """Pointers (fp, root) to lesser fingerprints, led to their ends by doubling."""
+    while True:
+        up = hooks.df.select(F.col("fp").alias("root"), F.col("root").alias("up"))
+        after = stored(hooks.df.join(up, "root", "left").select("fp", F.coalesce("up", "root").alias("root"), F.col("up").isNotNull().alias("moved")), "flat")
+        hooks.drop()
+        hooks = after
+        if not after.df.where("moved").head(1):
+            return after
+
+
 def components(links: DataFrame) -> Stored:
     """(fp, root) for every fingerprint that has a link; root: the least fingerprint of its component.
 
-    Each round takes the least root among the neighbours, then the root's root; roots only fall, and the distance to
-    the final one at least halves, so the rounds grow with the logarithm of a component's diameter.
+    Each round hooks every node to its least lesser neighbour, leads these pointers to their ends, and carries the
+    links over to the ends.  Of the ends next to one hooked node only the least can outlive the next round, so two rounds
+    leave half the nodes at most; links only become fewer, and no join makes more rows than there are links or nodes.
     """
-    both = stored(links.where("a <> b").distinct().select(F.explode(F.array(F.struct(F.col("a").alias("fp"), F.col("b").alias("to")),
-                                                                           F.struct(F.col("b").alias("fp"), F.col("a").alias("to")))).alias("e")).select("e.*"), "links")
-    state = stored(both.df.groupBy("fp").agg(F.least(F.min("to"), F.col("fp")).alias("root")), "roots")
-    while True:
-        seen = both.df.join(state.df.select(F.col("fp").alias("to"), F.col("root")), "to").groupBy("fp").agg(F.min("root").alias("near"))
-        hooked = stored(state.df.join(seen, "fp").select("fp", F.col("root").alias("was"), F.least("root", "near").alias("root")), "hooked")
-        up = hooked.df.select(F.col("fp").alias("root"), F.col("root").alias("up"))
-        after = stored(hooked.df.join(up, "root", "left").select("fp", "was", F.coalesce(F.least("root", "up"), "root").alias("root")), "roots")
-        hooked.drop()
-        state.drop()
-        state = after
-        if not after.df.where("root <> was").head(1):
-            both.drop()
-            return state
+    edges = stored(one_way(links), "links")
+    nodes = edges.df.select(F.col("a").alias("fp")).unionByName(edges.df.select(F.col("b").alias("fp"))).distinct()
+    state = stored(nodes.withColumn("root", F.col("fp")), "roots")
+    while edges.df.head(1):
+        hooks = flat(stored(edges.df.groupBy(F.col("b").alias("fp")).agg(F.min("a").alias("root")), "hooks"))
+        ends = [hooks.df.select(F.col("fp").alias(c), F.col("root").alias(f"{c}_end")) for c in ("root", "a", "b")]
+        after = stored(state.df.join(ends[0], "root", "left").select("fp", F.coalesce("root_end", "root").alias("root")), "roots")
+        left = edges.df.join(ends[1], "a", "left").join(ends[2], "b", "left").select(F.coalesce("a_end", "a").alias("a"), F.coalesce("b_end", "b").alias("b"))
+        kept = stored(one_way(left), "links")
+        for table in (state, edges, hooks):
+            table.drop()
+        state, edges = after, kept
+    edges.drop()
+    return state
 
 
 def jaccard(a: str | None, b: str | None, n: int) -> float:
@@ -354,7 +366,7 @@ def first_texts(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -
 
 def verified(links: Stored, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, n: int, least: float) -> DataFrame:
     """Links whose first documents share enough n-word shingles; only texts at an end of a link are moved."""
-    ends = links.df.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+    ends = links.df.select(F.col("a").alias("fp")).unionByName(links.df.select(F.col("b").alias("fp"))).distinct()
     texts = stored(first_texts(nodes.join(ends, "fp"), docs, id_col, text_col), "texts")
     pairs = (links.df.join(texts.df.select(F.col("fp").alias("a"), F.col("text").alias("ta")), "a")
              .join(texts.df.select(F.col("fp").alias("b"), F.col("text").alias("tb")), "b"))

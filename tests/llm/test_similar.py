@@ -69,6 +69,18 @@ def test_links_of_dense_groups(spark, monkeypatch, bucket, paired):
     assert got == want
 
 
+def test_components_of_paths_stars_and_blocks(spark):
+    rng = np.random.default_rng(4)
+    name = rng.permutation(400).tolist()  # labels in any order along the paths
+    links = [(k, k + 1) for k in range(60)] + [(name[k] + 1000, name[k + 1] + 1000) for k in range(120)] + [(5000, k) for k in range(4000, 4050)]
+    links += [(k, 2000) for k in range(2001, 2040)] + [(7, 7), (3001, 3000), (3000, 3001)] + [(int(a) + 6000, int(b) + 6000) for a, b in rng.integers(0, 300, (250, 2))]
+    got = simhash.components(spark.createDataFrame(links, "a long, b long")).df.collect()
+    ids = {x for a, b in links if a != b for x in (a, b)}
+    want = components(ids, links)
+    assert len(got) == len(ids) and {r.fp: r.root for r in got} == want
+    assert simhash.components(spark.createDataFrame([], "a long, b long")).df.count() == 0
+
+
 def test_parts_and_thresholds():
     rng = np.random.default_rng(0)
     base = rng.integers(0, 2, (500, 32))
