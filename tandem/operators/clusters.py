@@ -8,15 +8,15 @@ on time and one aggregation give it, for pairs without common times as well.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterable
 
-from pyspark.ml.clustering import PowerIterationClustering
 from pyspark.sql import DataFrame, functions as F
 
 from tandem.functions.ordered import chunked
 from tandem.operators.clean import clean_returns
 from tandem.operators.pairs import enumerate_pairs
+from tandem.operators.spectral import spectral_clusters
+from tandem.sources.shared import written
 
 FIELDS = ("open", "high", "low", "close")
 
@@ -49,21 +49,9 @@ def affinity(distances: DataFrame, gamma: float) -> DataFrame:
     return distances.withColumn("weight", F.exp(-gamma * F.col("d2")))
 
 
-def symbol_ids(distances: DataFrame) -> DataFrame:
-    """A stable 63-bit id per symbol (a hash, so no global sort is needed)."""
-    s = distances.select(F.col("a").alias("symbol")).unionByName(distances.select(F.col("b").alias("symbol"))).distinct()
-    return s.withColumn("id", F.xxhash64("symbol").bitwiseAND(F.lit(2 ** 62 - 1)))
-
-
-def cluster_symbols(distances: DataFrame, k: int, gamma: float = 1.0, iterations: int = 20) -> DataFrame:
-    """(symbol, cluster) by spectral clustering of the affinity graph (power iteration)."""
-    ids = symbol_ids(distances)
-    # a weight may underflow; its symbols still belong to some cluster
-    edges = (affinity(distances, gamma).withColumn("weight", F.greatest("weight", F.lit(1e-300)))
-             .join(ids.select(F.col("symbol").alias("a"), F.col("id").alias("src")), "a")
-             .join(ids.select(F.col("symbol").alias("b"), F.col("id").alias("dst")), "b").select("src", "dst", "weight"))
-    pic = PowerIterationClustering(k=k, maxIter=iterations, initMode="degree", srcCol="src", dstCol="dst", weightCol="weight")
-    return pic.assignClusters(edges).join(ids, "id").select("symbol", "cluster")
+def cluster_symbols(distances: DataFrame, k: int, gamma: float = 1.0) -> DataFrame:
+    """(symbol, cluster) by spectral clustering of the affinity graph: leading eigenvectors, then k-means."""
+    return spectral_clusters(affinity(distances, gamma), [k]).select("symbol", "cluster")
 
 
 def cluster_lists(assigned: DataFrame) -> DataFrame:
@@ -72,62 +60,64 @@ def cluster_lists(assigned: DataFrame) -> DataFrame:
 
 
 def silhouette(assigned: DataFrame, distances: DataFrame) -> DataFrame:
-    """Mean silhouette over all symbols from pair distances; a cluster of one scores zero."""
+    """Per asked_k the mean silhouette over all symbols from pair distances; a cluster of one scores zero."""
     both = distances.select("a", "b", F.sqrt("d2").alias("d")).unionByName(
         distances.select(F.col("b").alias("a"), F.col("a").alias("b"), F.sqrt("d2").alias("d")))
-    own = assigned.select(F.col("symbol").alias("a"), F.col("cluster").alias("ca"))
-    other = assigned.select(F.col("symbol").alias("b"), F.col("cluster").alias("cb"))
-    mean = both.join(own, "a").join(other, "b").groupBy("a", "ca", "cb").agg(F.avg("d").alias("m"))
-    ab = mean.groupBy("a").agg(F.max(F.when(F.col("ca") == F.col("cb"), F.col("m"))).alias("near"),
-                               F.min(F.when(F.col("ca") != F.col("cb"), F.col("m"))).alias("far"))
+    own = assigned.select("asked_k", F.col("symbol").alias("a"), F.col("cluster").alias("ca"))
+    other = assigned.select("asked_k", F.col("symbol").alias("b"), F.col("cluster").alias("cb"))
+    mean = both.join(own, "a").join(other, ["asked_k", "b"]).groupBy("asked_k", "a", "ca", "cb").agg(F.avg("d").alias("m"))
+    ab = mean.groupBy("asked_k", "a").agg(F.max(F.when(F.col("ca") == F.col("cb"), F.col("m"))).alias("near"),
+                                          F.min(F.when(F.col("ca") != F.col("cb"), F.col("m"))).alias("far"))
     s = F.when(F.col("near").isNull() | F.col("far").isNull(), 0.0).otherwise(
         (F.col("far") - F.col("near")) / F.greatest("far", "near"))
-    return ab.agg(F.avg(s).alias("silhouette"))
+    return ab.groupBy("asked_k").agg(F.avg(s).alias("silhouette"))
 
 
 def centroid_scores(assigned: DataFrame, features: DataFrame) -> DataFrame:
-    """Davies-Bouldin and Calinski-Harabasz scores in long form."""
+    """Davies-Bouldin and Calinski-Harabasz scores per asked_k."""
     cols = [f"r_{f}" for f in FIELDS]
     f = features.join(assigned, "symbol")
-    centre = f.groupBy("cluster", "ts").agg(*[F.avg(c).alias(f"m_{c}") for c in cols])
+    centre = f.groupBy("asked_k", "cluster", "ts").agg(*[F.avg(c).alias(f"m_{c}") for c in cols])
     sq = lambda left, right: sum((F.pow(F.col(left + c) - F.col(right + c), 2) for c in cols), F.lit(0.0))
-    within = (f.join(centre, ["cluster", "ts"]).groupBy("cluster", "symbol").agg(F.sum(sq("", "m_")).alias("d2")))
-    per = within.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"), F.avg(F.sqrt("d2")).alias("s"), F.sum("d2").alias("w"))
+    within = (f.join(centre, ["asked_k", "cluster", "ts"]).groupBy("asked_k", "cluster", "symbol").agg(F.sum(sq("", "m_")).alias("d2")))
+    per = within.groupBy("asked_k", "cluster").agg(F.count(F.lit(1)).alias("size"), F.avg(F.sqrt("d2")).alias("s"), F.sum("d2").alias("w"))
     whole = features.groupBy("ts").agg(*[F.avg(c).alias(f"g_{c}") for c in cols])
-    between = centre.join(whole, "ts").groupBy("cluster").agg(F.sum(sq("m_", "g_")).alias("g2"))
-    ch = per.join(between, "cluster").agg(
+    between = centre.join(whole, "ts").groupBy("asked_k", "cluster").agg(F.sum(sq("m_", "g_")).alias("g2"))
+    ch = per.join(between, ["asked_k", "cluster"]).groupBy("asked_k").agg(
         F.sum("size").alias("n"), F.count(F.lit(1)).alias("k"), F.sum("w").alias("w"),
         F.sum(F.col("size") * F.col("g2")).alias("b"))
-    ch = ch.select("k", ((F.col("b") / (F.col("k") - 1)) / (F.col("w") / (F.col("n") - F.col("k")))).alias("calinski_harabasz"))
-    i = centre.select(F.col("cluster").alias("i"), "ts", *[F.col(f"m_{c}").alias(f"i_{c}") for c in cols])
-    j = centre.select(F.col("cluster").alias("j"), "ts", *[F.col(f"m_{c}").alias(f"j_{c}") for c in cols])
-    apart = i.join(j, "ts").where("i <> j").groupBy("i", "j").agg(F.sqrt(F.sum(sq("i_", "j_"))).alias("m"))
-    ratio = (apart.join(per.select(F.col("cluster").alias("i"), F.col("s").alias("si")), "i")
-             .join(per.select(F.col("cluster").alias("j"), F.col("s").alias("sj")), "j")
-             .withColumn("r", (F.col("si") + F.col("sj")) / F.col("m")))
-    db = ratio.groupBy("i").agg(F.max("r").alias("r")).agg(F.avg("r").alias("davies_bouldin"))
-    return ch.withColumn("davies_bouldin", db.scalar())
+    ratio = F.try_divide(F.try_divide(F.col("b"), F.col("k") - 1), F.try_divide(F.col("w"), F.col("n") - F.col("k")))
+    ch = ch.select("asked_k", "k", ratio.alias("calinski_harabasz"))
+    i = centre.select("asked_k", F.col("cluster").alias("i"), "ts", *[F.col(f"m_{c}").alias(f"i_{c}") for c in cols])
+    j = centre.select("asked_k", F.col("cluster").alias("j"), "ts", *[F.col(f"m_{c}").alias(f"j_{c}") for c in cols])
+    apart = i.join(j, ["asked_k", "ts"]).where("i <> j").groupBy("asked_k", "i", "j").agg(F.sqrt(F.sum(sq("i_", "j_"))).alias("m"))
+    ratio = (apart.join(per.select("asked_k", F.col("cluster").alias("i"), F.col("s").alias("si")), ["asked_k", "i"])
+             .join(per.select("asked_k", F.col("cluster").alias("j"), F.col("s").alias("sj")), ["asked_k", "j"])
+             .withColumn("r", F.try_divide(F.col("si") + F.col("sj"), F.col("m"))))
+    db = ratio.groupBy("asked_k", "i").agg(F.max("r").alias("r")).groupBy("asked_k").agg(F.avg("r").alias("davies_bouldin"))
+    return ch.join(db, "asked_k", "left")
 
 
 def size_ratio(assigned: DataFrame) -> DataFrame:
-    """Largest cluster size over the fifth largest distinct size (or the second smallest position there is)."""
-    sizes = assigned.groupBy("cluster").agg(F.count(F.lit(1)).alias("size")).select("size").distinct()
+    """Per asked_k the largest cluster size over the fifth largest distinct size (or the last there is)."""
+    sizes = assigned.groupBy("asked_k", "cluster").agg(F.count(F.lit(1)).alias("size")).select("asked_k", "size").distinct()
     order = F.sort_array(F.collect_list("size"), asc=False)
-    d = sizes.agg(order.alias("_s"))
+    d = sizes.groupBy("asked_k").agg(order.alias("_s"))
     last = F.when(F.size("_s") >= 5, 5).otherwise(F.size("_s"))
-    return d.select((F.col("_s")[0] / F.element_at("_s", last)).alias("size_ratio"))
+    return d.select("asked_k", (F.col("_s")[0] / F.element_at("_s", last)).alias("size_ratio"))
+
+
+def scores_by_k(assigned: DataFrame, features: DataFrame, distances: DataFrame) -> DataFrame:
+    """All scores of each clustering (asked_k, symbol, cluster): one row for each asked_k."""
+    return (centroid_scores(assigned, features).join(silhouette(assigned, distances), "asked_k", "left")
+            .join(size_ratio(assigned), "asked_k"))
 
 
 def cluster_scores(assigned: DataFrame, features: DataFrame, distances: DataFrame) -> DataFrame:
     """All scores of one clustering: a single row."""
-    return centroid_scores(assigned, features).withColumns({
-        "silhouette": silhouette(assigned, distances).scalar(), "size_ratio": size_ratio(assigned).scalar()})
+    return scores_by_k(assigned.withColumn("asked_k", F.lit(0)), features, distances).drop("asked_k")
 
 
 def best_k(features: DataFrame, distances: DataFrame, ks: Iterable[int], gamma: float) -> DataFrame:
-    """Scores for each number of clusters; only the parameter is looped over on the driver."""
-    out = None
-    for k in ks:
-        row = cluster_scores(cluster_symbols(distances, k, gamma), features, distances).withColumn("asked_k", F.lit(k))
-        out = row if out is None else out.unionByName(row)
-    return out
+    """Scores for each number of clusters, all from one embedding and one pass of each score."""
+    return scores_by_k(written(spectral_clusters(affinity(distances, gamma), ks), "assigned"), features, distances)

@@ -185,4 +185,4 @@ def _(spark, sf):
 
 @query("a25_best_k")
 def _(spark, sf):
-    return cl.best_k(_features(spark, sf), _distances(spark, sf), range(2, 5), GAMMA)
+    return cl.best_k(_features(spark, sf), _distances(spark, sf), range(2, 25), GAMMA)
