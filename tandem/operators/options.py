@@ -6,11 +6,11 @@ import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
+from tandem.functions import grids
 from tandem.functions.pricing import price_european, reject_reason
 
-TIME_FLOOR = 0.01
-
 
 def join_chain(contracts: DataFrame, spot: DataFrame, vol: DataFrame, on: str = "symbol") -> DataFrame:
     """Contracts with the current spot and volatility of their underlying."""
@@ -47,6 +47,30 @@ def _price(rows: DataFrame, american: bool) -> DataFrame:
     return price_european(rows)
 
 
+def _told(legs: DataFrame, keys: Sequence[str], values, size: int, steps: bool, summed: bool, spot: str, value: str) -> DataFrame:
+    """Grids of structures, whose legs meet by the keys before there is a grid; the legs of one structure make one row."""
+    fields = [legs.schema[k] for k in keys]
+    whole = legs.groupBy(*keys).agg(F.collect_list(F.struct(*[c for c in legs.columns if c not in keys])).alias("_legs"))
+    schema = StructType(fields + ([StructField("step", IntegerType())] if steps else [])
+                        + list(StructType.fromDDL(grids.SUMMARY if summed else f"point int, {spot} double, {value} double")))
+    return whole.mapInArrow(grids.told(list(keys), values, size, steps, summed, schema.names), schema)
+
+
+def _met(legs: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Legs dealt by the keys, to several tasks a core: valuing a grid costs far more than moving its legs."""
+    spark = legs.sparkSession
+    return legs.repartition(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), *keys)
+
+
+def _scenarios(legs: DataFrame, keys: Sequence[str], width: float, points: int, fractions: int, american: bool, summed: bool) -> DataFrame:
+    names = ["option_type", "x", "sign", "kept", "stock", "fs", "t", "r", "q", "v"]
+    start = _met(legs.select(*keys, *names), keys)
+    if not american:
+        start = price_european(start).withColumnRenamed("value", "_v0").select(*keys, *names, "_v0")
+    values = grids.scenario_values(width, points, fractions, american)
+    return _told(start, keys, values, points * fractions * (20 if american else 1), True, summed, "fs", "pnl")
+
+
 def scenario_grid(legs: DataFrame, keys: Sequence[str], width: float = 0.1, points: int = 200, fractions: int = 4,
                   american: bool = False) -> DataFrame:
     """Profit of option structures over a spot grid and the time left.
@@ -55,25 +79,13 @@ def scenario_grid(legs: DataFrame, keys: Sequence[str], width: float = 0.1, poin
     is +1 bought / -1 sold, ``kept`` the share of the opening premium counted
     on top, ``stock`` the shares held with the leg.
     """
-    start = _price(legs, american).withColumnRenamed("value", "_v0").select(*legs.columns, "_v0")
-    spot = F.col("fs0") * (1 - width + 2 * width * F.col("point") / (points - 1))
-    left = F.greatest(F.col("t0") * (1 - F.col("step") / float(fractions)), F.lit(TIME_FLOOR))
-    grid = (start.withColumnsRenamed({"fs": "fs0", "t": "t0"})
-            .withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
-            .withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(fractions))))
-            .withColumn("fs", spot).withColumn("t", left))
-    priced = _price(grid, american)
-    gain = (F.col("sign") * (F.col("value") - F.col("_v0")) + F.col("kept") * F.col("_v0")
-            + F.col("stock") * (F.col("fs") - F.col("fs0")))
-    return priced.groupBy(*keys, "step", "point").agg(F.min("fs").alias("fs"), F.sum(gain).alias("pnl"))
-
-
-def grid_summary(grid: DataFrame, keys: Sequence[str], value: str = "pnl", spot: str = "fs") -> DataFrame:
-    """Best and worst outcome of a grid, its mean, at which spots, and the share of points with a profit."""
-    gains = F.avg(F.when(F.col(value) > 1e-9, 1.0).otherwise(0.0))
-    return grid.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("points"), F.max(value).alias("best"), F.min(value).alias("worst"), F.avg(value).alias("mean"), gains.alias("gains"),
-        F.max(F.when(F.col(value) > 1e-9, F.col(spot))).alias("last_gain"), F.min(F.when(F.col(value) > 1e-9, F.col(spot))).alias("first_gain"))
+    return _scenarios(legs, keys, width, points, fractions, american, False)
+
+
+def scenario_summary(legs: DataFrame, keys: Sequence[str], width: float = 0.1, points: int = 200, fractions: int = 4,
+                     american: bool = False) -> DataFrame:
+    """For each structure and step of its ``scenario_grid``: best and worst outcome, mean, share of points with a profit, and at which spots."""
+    return _scenarios(legs, keys, width, points, fractions, american, True)
 
 
 def premium_curve(chain: DataFrame, by: str, low: Column, high: Column, points: int, american: bool = False) -> DataFrame:
@@ -83,19 +95,23 @@ def premium_curve(chain: DataFrame, by: str, low: Column, high: Column, points:
     return _price(rows, american)
 
 
+def _payoffs(legs: DataFrame, keys: Sequence[str], low: Column, high: Column, points: int, summed: bool) -> DataFrame:
+    names = ["option_type", "x", "premium", "delta", "sign", "scale", "stock", "fs"]
+    rows = _met(legs.select(*keys, *names, low.alias("_low"), high.alias("_high")), keys)
+    return _told(rows, keys, grids.payoff_values(points), points, False, summed, "s", "payoff")
+
+
 def payoff_grid(legs: DataFrame, keys: Sequence[str], low: Column, high: Column, points: int = 1000) -> DataFrame:
     """Linear payoff of structures with premium and a delta multiplier.
 
     ``legs(keys, option_type, x, premium, delta, sign, scale, stock, fs)``.
     """
-    rows = (legs.withColumn("_low", low).withColumn("_high", high)
-            .withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
-            .withColumn("s", F.col("_low") + (F.col("_high") - F.col("_low")) * F.col("point") / (points - 1)))
-    call = F.col("option_type") == "c"
-    inside = F.when(call, F.col("s") - F.col("x")).otherwise(F.col("x") - F.col("s"))
-    own = F.when(inside < 0, -F.col("premium")).otherwise(inside * F.col("delta") - F.col("premium"))
-    gain = F.col("sign") * own * F.col("scale") + F.col("stock") * (F.col("s") - F.col("fs"))
-    return rows.groupBy(*keys, "point").agg(F.min("s").alias("s"), F.sum(gain).alias("payoff"))
+    return _payoffs(legs, keys, low, high, points, False)
+
+
+def payoff_summary(legs: DataFrame, keys: Sequence[str], low: Column, high: Column, points: int = 1000) -> DataFrame:
+    """For each structure of ``payoff_grid``: best and worst outcome, mean, share of points with a profit, and at which spots."""
+    return _payoffs(legs, keys, low, high, points, True)
 
 
 def business_year_fraction(spans: DataFrame, calendar: DataFrame, start: str = "start_day", end: str = "end_day") -> DataFrame:

@@ -274,7 +274,7 @@ grid AS (SELECT p_partkey, structure, option_type, x, sign, kept, stock, r, q, v
 SELECT p_partkey, structure, CAST(step AS INTEGER) AS step, CAST(point AS INTEGER) AS point, round(sum(sign * (value - v0) + kept * v0 + stock * (fs - fs0)), 6) + 0 AS pnl
 FROM priced GROUP BY 1, 2, 3, 4"""))
 def _(spark, sf):
-    d = op.scenario_grid(spread_out(structures(spark, sf)), ["p_partkey", "structure"], points=11)
+    d = op.scenario_grid(structures(spark, sf), ["p_partkey", "structure"], points=11)
     return d.select("p_partkey", "structure", "step", "point", F.round("pnl", 6).alias("pnl"))
 
 
@@ -284,7 +284,7 @@ grid AS (SELECT p_partkey, structure, option_type, x, sign, kept, stock, r, q, v
 SELECT p_partkey, structure, CAST(step AS INTEGER) AS step, CAST(point AS INTEGER) AS point, round(sum(sign * (value - v0) + kept * v0 + stock * (fs - fs0)), 5) + 0 AS pnl
 FROM amer GROUP BY 1, 2, 3, 4"""))
 def _(spark, sf):
-    d = op.scenario_grid(spread_out(structures(spark, sf)), ["p_partkey", "structure"], points=5, american=True)
+    d = op.scenario_grid(structures(spark, sf), ["p_partkey", "structure"], points=5, american=True)
     return d.select("p_partkey", "structure", "step", "point", F.round("pnl", 5).alias("pnl"))
 
 
@@ -326,8 +326,7 @@ SUMMARY_SQL = """count(*) AS points, round(max({v}), {n}) + 0 AS best, round(min
   round(min(CASE WHEN {v} > 1e-9 THEN {s} END), 6) AS first_gain"""
 
 
-def _summary(grid, keys, value, spot, n):
-    d = op.grid_summary(grid, keys, value, spot)
+def _summary(d, keys, n):
     return d.select(*keys, "points", *[(F.round(c, n) + 0).alias(c) for c in ("best", "worst", "mean")], *[F.round(c, 6).alias(c) for c in ("gains", "last_gain", "first_gain")])
 
 
@@ -338,8 +337,7 @@ grid AS (SELECT p_partkey, structure, option_type, x, sign, kept, stock, r, q, v
 pnl AS (SELECT p_partkey, structure, step, point, min(fs) AS fs, sum(sign * (value - v0) + kept * v0 + stock * (fs - fs0)) AS pnl FROM priced GROUP BY 1, 2, 3, 4)
 SELECT p_partkey, structure, CAST(step AS INTEGER) AS step, """ + SUMMARY_SQL.format(v="pnl", s="fs", n=5) + " FROM pnl GROUP BY 1, 2, 3"))
 def _(spark, sf):
-    grid = op.scenario_grid(spread_out(structures(spark, sf)), ["p_partkey", "structure"])
-    return _summary(grid, ["p_partkey", "structure", "step"], "pnl", "fs", 5)
+    return _summary(op.scenario_summary(structures(spark, sf), ["p_partkey", "structure"]), ["p_partkey", "structure", "step"], 5)
 
 
 def payoff_legs(spark, sf):
@@ -355,8 +353,8 @@ def payoff_legs(spark, sf):
 pay AS (SELECT p_partkey, structure, point, min(s) AS s, sum(sign * (CASE WHEN i < 0 THEN -premium ELSE i * delta - premium END) * scale + stock * (s - fs)) AS payoff FROM i GROUP BY 1, 2, 3)
 SELECT p_partkey, structure, """ + SUMMARY_SQL.format(v="payoff", s="s", n=8) + " FROM pay GROUP BY 1, 2")
 def _(spark, sf):
-    grid = op.payoff_grid(payoff_legs(spark, sf), ["p_partkey", "structure"], F.col("fs") * 0.8, F.col("fs") * 1.2)
-    return _summary(grid, ["p_partkey", "structure"], "payoff", "s", 8)
+    keys = ["p_partkey", "structure"]
+    return _summary(op.payoff_summary(payoff_legs(spark, sf), keys, F.col("fs") * 0.8, F.col("fs") * 1.2), keys, 8)
 
 
 @query("c09_iv_hv_report", with_(panel_sql() + _vol_sql({"a": 30, "b": 90}, 36.0) + f""",

@@ -6,9 +6,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tandem.functions import american as am
+from tandem.functions import american as am, grids, pricing as pr
 from tandem.functions.pricing import (implied_vol_european, norm_cdf, price_asian, price_european, price_spread_option,
                                       reject_reason)
+from tandem.operators import options as op
 from tandem.operators.options import mc_price_chain
 
 COLS = "option_type string, fs double, x double, t double, r double, q double, v double"
@@ -149,3 +150,67 @@ def test_norm_cdf_tails(spark):
     xs = [-40.0, -8.0, -1.0, 0.0, 1.0, 8.0, 40.0]
     got = [r[0] for r in spark.createDataFrame([(x,) for x in xs], "x double").select(norm_cdf(F.col("x"))).collect()]
     np.testing.assert_allclose(got, [0.5 * math.erfc(-x / math.sqrt(2)) for x in xs], rtol=1e-9, atol=1e-15)
+
+
+def _legs(spark):
+    rows = [("a", "c", 100.0, 1, 0, 0, 101.0, 0.5, 0.02, 0.0, 0.3), ("a", "p", 95.0, -1, 1, 1, 101.0, 0.5, 0.02, 0.01, 0.3),
+            ("b", "p", 50.0, 1, 0, 0, 49.0, 0.1, 0.02, 0.0, 0.2), ("b", "c", None, 1, 0, 0, 48.0, 0.1, 0.02, 0.0, 0.2), (None, "c", 10.0, -1, 0, 1, 10.0, 1.0, 0.0, 0.0, 0.5),
+            ("none", "c", 10.0, 1, 0, 0, 10.0, 1.0, 0.0, 0.0, None)]
+    return spark.createDataFrame(rows, "k string, option_type string, x double, sign int, kept int, stock int, fs double, t double, r double, q double, v double")
+
+
+def _plain_grid(legs, points, american):
+    """By rows of (leg, step, point), added up by Spark."""
+    price = am.price_american if american else pr.price_european
+    d = price(legs).withColumnRenamed("value", "v0").select(*legs.columns, "v0").withColumnsRenamed({"fs": "fs0", "t": "t0"})
+    d = d.withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))).withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(4))))
+    d = d.withColumn("fs", F.expr(f"fs0 * (0.9D + 0.2D * point / {points - 1})")).withColumn("t", F.expr("greatest(t0 * (1 - step / 4D), 0.01D)"))
+    gain = F.expr("sign * (value - v0) + kept * v0 + stock * (fs - fs0)")
+    return price(d).groupBy("k", "step", "point").agg(F.min("fs").alias("fs"), F.sum(gain).alias("pnl"))
+
+
+def _summed(grid, keys, value, spot):
+    won = f"{value} > 1e-9"
+    return grid.groupBy(*keys).agg(F.count(F.lit(1)).alias("points"), *[F.expr(f"{f}({value})").alias(n) for f, n in (("max", "best"), ("min", "worst"), ("avg", "mean"))],
+                                   F.expr(f"avg(CASE WHEN {won} THEN 1D ELSE 0D END)").alias("gains"), F.expr(f"max(CASE WHEN {won} THEN {spot} END)").alias("last_gain"),
+                                   F.expr(f"min(CASE WHEN {won} THEN {spot} END)").alias("first_gain"))
+
+
+def _equal(got, want, keys):
+    by = lambda d: {tuple(r[k] for k in keys): r.asDict() for r in d.collect()}
+    got, want = by(got), by(want)
+    assert got.keys() == want.keys() and got
+    for k, row in want.items():
+        assert row.keys() == got[k].keys()
+        for c, x in row.items():
+            assert got[k][c] == (pytest.approx(x, rel=1e-9, abs=1e-9) if isinstance(x, float) else x), (k, c)
+
+
+@pytest.mark.parametrize("american", [False, True])
+def test_scenario_grid_and_summary(spark, monkeypatch, american):
+    monkeypatch.setattr(grids, "AT_ONCE", 7)
+    legs, keys = _legs(spark).repartition(3), ["k", "step", "point"]
+    want = _plain_grid(legs, 9, american).cache()
+    _equal(op.scenario_grid(legs, ["k"], points=9, american=american), want, keys)
+    _equal(op.scenario_summary(legs, ["k"], points=9, american=american), _summed(want, ["k", "step"], "pnl", "fs"), ["k", "step"])
+
+
+def test_payoff_grid_and_summary(spark):
+    legs = _legs(spark).withColumns({"premium": F.lit(2.0), "delta": F.when(F.col("k") != "a", 0.5), "scale": F.lit(2.0)})
+    d = legs.withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(30)))).withColumn("s", F.expr("fs * 0.8D + (fs * 1.2D - fs * 0.8D) * point / 30"))
+    d = d.withColumn("i", F.expr("CASE WHEN option_type = 'c' THEN s - x ELSE x - s END"))
+    gain = F.expr("sign * (CASE WHEN i < 0 THEN -premium ELSE i * delta - premium END) * scale + stock * (s - fs)")
+    want = d.groupBy("k", "point").agg(F.min("s").alias("s"), F.sum(gain).alias("payoff")).cache()
+    low, high = F.col("fs") * 0.8, F.col("fs") * 1.2
+    _equal(op.payoff_grid(legs, ["k"], low, high, 31), want, ["k", "point"])
+    _equal(op.payoff_summary(legs, ["k"], low, high, 31), _summed(want, ["k"], "payoff", "s"), ["k"])
+
+
+def test_grid_points_are_not_moved(spark):
+    """Only legs are shuffled: one exchange, below the grid, and no aggregation above it."""
+    legs = _legs(spark).withColumns({"premium": F.lit(2.0), "delta": F.lit(0.5), "scale": F.lit(2.0)})
+    low, high = F.col("fs") * 0.8, F.col("fs") * 1.2
+    for d in (op.scenario_grid(legs, ["k"]), op.scenario_grid(legs, ["k"], american=True), op.scenario_summary(legs, ["k"]),
+              op.payoff_grid(legs, ["k"], low, high), op.payoff_summary(legs, ["k"], low, high)):
+        text = d._jdf.queryExecution().executedPlan().toString()
+        assert text.count("Exchange") == 1 and text.index("MapInArrow") < text.index("Aggregate") < text.index("Exchange")
