@@ -10,13 +10,19 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 ACCURACY = 2000
 MARGIN = 2.0 / ACCURACY  # twice the sketch's rank error
 GRID = 1000
 
 
+def between(low: Column, high: Column, share: Column) -> Column:
+    """low * (1 - share) + high * share, rounded as DuckDB rounds it (one fused product): ranks by distance to a quantile
+    tie often on values of two decimals, and the last bit then decides."""
+    return F.java_method(F.lit("java.lang.Math"), F.lit("fma"), low, 1 - share, high * share).cast("double")
+
+
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, qs: Sequence[float]) -> DataFrame:
     """One row per key and q: (keys, q, quantile). ``keys`` must not be empty.
 
@@ -51,6 +57,6 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, qs: Sequence
         F.max(F.when(hit(F.least(F.col("_f") + 1, F.col("_n") - 1)), F.col("_v"))).alias("_v1"),
         F.max(F.col("_h") - F.col("_f")).alias("_p"))
     missed = F.col("_v0").isNull() | F.col("_v1").isNull()
-    found = F.when(missed, F.raise_error(F.lit("a bracket misses the wanted rank"))).otherwise(
-        F.col("_v0") + F.col("_p") * (F.col("_v1") - F.col("_v0")))
+    found = F.when(missed, F.raise_error(F.lit("a bracket misses the wanted rank"))).when(F.col("_p") == 0, F.col("_v0")).otherwise(
+        between(F.col("_v0"), F.col("_v1"), F.col("_p")))
     return at.select(*keys, "q", found.alias("quantile"))
