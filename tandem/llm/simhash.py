@@ -437,11 +437,12 @@ def _sketches(n: int):
             words = [b" ".join((t or "").encode("utf-8").translate(LOWER).split()) for t in texts]
             for lo, hi in chunks(words):
                 fp = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words[lo:hi]), dtype=np.uint64, count=hi - lo)
+                sim = np.fromiter((fingerprint(t) for t in texts[lo:hi]), dtype=np.uint64, count=hi - lo)
                 value, first = shingle_sets(texts[lo:hi], n)
                 size = np.diff(np.append(first, len(value)))
                 keys = pa.FixedSizeListArray.from_arrays(pa.array(band_keys(value, first).view(np.int64).ravel()), BANDS).cast(pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], batch.column(2)[lo:hi], pa.array(fp.view(np.int64)), pa.array(size.astype(np.int64)), keys],
-                                                 names=["doc_id", "mark", "fp", "size", "keys"])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], batch.column(2)[lo:hi], pa.array(fp.view(np.int64)), pa.array(sim.view(np.int64)),
+                                                  pa.array(size.astype(np.int64)), keys], names=["doc_id", "mark", "fp", "sim", "size", "keys"])
     return rows
 
 
@@ -568,26 +569,38 @@ def crowded_links(nodes: DataFrame, roots: DataFrame, docs: DataFrame, id_col: s
     return out.df
 
 
-def _groups(docs: DataFrame, id_col: str, text_col: str, shingle: int, least: float) -> DataFrame:
+def print_links(nodes: DataFrame, radius: int, parts: int) -> DataFrame:
+    """Candidates by SimHash: each node with the first one of its fingerprint, and such first ones over the links of fingerprints."""
+    firsts = stored(nodes.groupBy("sim").agg(F.min("fp").alias("first")), "firsts")
+    same = nodes.select("sim", F.col("fp").alias("b")).join(firsts.df, "sim").select(F.col("first").alias("a"), "b")
+    ends = [firsts.df.select(F.col("sim").alias(c), F.col("first").alias(f"{c}_first")) for c in ("a", "b")]
+    links = find_links(firsts.df.select(F.col("sim").alias("fp")), radius, parts)
+    near = links.join(ends[0], "a").join(ends[1], "b").select(F.col("a_first").alias("a"), F.col("b_first").alias("b"))
+    return same.unionByName(near)
+
+
+def _groups(docs: DataFrame, id_col: str, text_col: str, shingle: int, least: float, radius: int = 4) -> DataFrame:
     """(doc_id, mark, component_id, component_mark) of all rows with an id; the last two name the component's first row."""
     spark = docs.sparkSession
     ready(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), mark_of(text_col).alias("mark")).where("doc_id is not null")
-    prints = stored(own.mapInArrow(_sketches(shingle), "doc_id long, mark long, fp long, size long, keys array<long>"), "prints")
-    nodes = stored(prints.df.groupBy("fp").agg(F.min(F.struct("doc_id", "mark")).alias("f"), F.first("size").alias("size"), F.first("keys").alias("keys"))
-                   .select("fp", F.col("f.doc_id").alias("first_doc"), F.col("f.mark").alias("first_mark"), "size", "keys"), "nodes")
+    prints = stored(own.mapInArrow(_sketches(shingle), "doc_id long, mark long, fp long, sim long, size long, keys array<long>"), "prints")
+    firsts = [F.first(c).alias(c) for c in ("sim", "size", "keys")]
+    nodes = stored(prints.df.groupBy("fp").agg(F.min(F.struct("doc_id", "mark")).alias("f"), *firsts)
+                   .select("fp", F.col("f.doc_id").alias("first_doc"), F.col("f.mark").alias("first_mark"), "sim", "size", "keys"), "nodes")
 
     def candidates(roots: DataFrame | None) -> DataFrame:
         """Verified links inside buckets; once there are roots, only between different ones."""
         own = nodes.df.withColumn("root", F.col("fp")) if roots is None else nodes.df.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
         buckets = own.select(F.explode("keys").alias("key"), "fp", "size", "root").repartition(parts, "key").sortWithinPartitions("key", "fp")
-        found = stored(one_way(buckets.mapInArrow(_bucket_pairs(least, roots is None), "a long, b long")), "found")
+        pairs = buckets.mapInArrow(_bucket_pairs(least, roots is None), "a long, b long")
+        found = stored(one_way(pairs if roots is not None else pairs.unionByName(print_links(nodes.df, radius, parts))), "found")
         links = verified(found, nodes.df, docs, id_col, text_col, shingle, least)
         found.drop()
         return links
 
-    # a few ties for each node first; what they have joined need not be compared again
+    # links of SimHash and a few ties for each node first; what they have joined need not be compared again
     links = candidates(None)
     roots = components(links)
     rest = candidates(roots.df.select("fp", "root"))
@@ -611,8 +624,8 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """(doc_id, component_id) of all rows with an id, where links are texts with a Jaccard similarity of ``least`` on
     ``shingle``-word shingles.
 
-    Nodes are texts (equal sequences of lower-cased words are one).  Candidates share a bucket in one of BANDS bands
-    of least shingles.  In the first bands the nodes of a bucket are tied to its first one; then all pairs of small buckets
+    Nodes are texts (equal sequences of lower-cased words are one).  Candidates are linked by their SimHash fingerprints
+    (``print_links``) or, since these miss pairs near ``least``, share a bucket in one of BANDS bands of least shingles.  In the first bands the nodes of a bucket are tied to its first one; then all pairs of small buckets
     that verified ties have not joined are verified, and what is left in several components in large ones is compared
     pair by pair (``crowded_links``).  Rows that repeat an id
     with different texts are nodes of their own.

@@ -395,3 +395,20 @@ def test_mixing_stage_replaces_columns_of_its_names(spark):
     got = corpus_pipeline.mix_sources(spark, d, "")
     assert got.columns == ["doc_id", "text", "lang", "source", "n_chars", "mix_epoch", "mix_block", "mix_weight"]
     assert dict(got.dtypes)["mix_weight"] == "double" and got.count() >= 10
+
+
+def test_near_dedup_goes_by_fingerprints(spark, monkeypatch):
+    """SimHash links are candidates of the pipeline's stage: enough to join all texts within the radius, and read by it."""
+    rng = np.random.default_rng(8)
+    base = [" ".join(f"w{x}" for x in rng.integers(0, 5000, 400)) for _ in range(6)]
+    texts = [b + tail for b in base for tail in ("", " end", " close")]
+    prints = [simhash.fingerprint(t) for t in texts]
+    want = components(range(len(texts)), [(a, b) for a in range(len(texts)) for b in range(a) if (prints[a] ^ prints[b]).bit_count() <= 4])
+    assert len(set(want.values())) < len(texts)
+    nodes = spark.createDataFrame([(i, int(np.uint64(p).view(np.int64))) for i, p in enumerate(prints)], "fp long, sim long")
+    links = [(r.a, r.b) for r in simhash.print_links(nodes, 4, 4).collect() if r.a != r.b]
+    assert components(range(len(texts)), links) == want
+    read, own = [], simhash.print_links
+    monkeypatch.setattr(simhash, "print_links", lambda *a: read.append(1) or own(*a))
+    kept = simhash.one_of_each(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert read and sorted(r.doc_id for r in kept) == [0, 3, 6, 9, 12, 15]
