@@ -254,7 +254,7 @@ def _push_lines(spark, sf):
         F.col("symbol").alias("code"), iso.alias("time"), F.col("value").alias("price"), F.col("size").alias("volume"), F.col("event_id").alias("sequence"))).alias("value"))
 
 
-def _pushed(spark, sf, write):
+def _pushed(spark, sf, write, shape=lambda rows: rows):
     """Two runs of one query on one checkpoint: half of the channels are there at first, the others come before the restart."""
     push.register(spark)
     path, checkpoint = fresh_path(spark, "landing"), fresh_path(spark, "landing-checkpoint")
@@ -262,7 +262,7 @@ def _pushed(spark, sf, write):
     for part in (0, 1):
         lines.where(F.col("event_id") % 2 == part).select("value").repartition(4).write.mode("append").text(path)
         stream = push.parsed(spark.readStream.format("push_feed").option("path", path).option("splitBytes", 1 << 20).load(), TICKER)
-        write(stream.drop("channel", "position").writeStream).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+        write(shape(stream.drop("channel", "position")).writeStream).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
 PUSHED_SQL = "SELECT event_type AS code, ts AS time, value AS price, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS volume, event_id AS sequence FROM events"
@@ -278,5 +278,6 @@ def _(spark, sf):
 @query("s14_push_archive", PUSHED_SQL)
 def _(spark, sf):
     out = fresh_path(spark, "archive")
-    _pushed(spark, sf, lambda w: w.format("push_archive").option("path", out).option("writer", "ticks").option("ts", "time"))
+    _pushed(spark, sf, lambda w: w.format("push_archive").option("path", out).option("writer", "ticks").option("ts", "time"),
+            lambda rows: push.by_hour(rows, "time"))
     return _ntz(push.read_archive(spark, out, TICKER), "time")

@@ -226,6 +226,11 @@ class PushArchive(DataSource):
         return ArchiveWriter(dict(self.options))
 
 
+def by_hour(rows: DataFrame, ts: str = "ts") -> DataFrame:
+    """Rows of an hour of ``ts`` in one task: an archive's files then follow its hours, not its splits times its hours."""
+    return rows.repartition(F.date_trunc("hour", ts))
+
+
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(PushFeed)
     spark.dataSource.register(PushArchive)

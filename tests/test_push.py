@@ -106,3 +106,17 @@ def test_lines_that_are_no_json_give_nulls(spark):
     d = spark.createDataFrame([("c", 0, '{"code": "A", "price": 2.5}'), ("c", 30, "{broken")], push.LINES)
     rows = push.parsed(d, "code STRING, price DOUBLE").collect()
     assert [(r.position, r.code, r.price) for r in rows] == [(0, "A", 2.5), (30, None, None)]
+
+
+def test_a_batch_writes_one_file_an_hour_however_it_is_split(spark, tmp_path):
+    landing, out = tmp_path / "landing", str(tmp_path / "archive")
+    landing.mkdir()
+    text = "".join(json.dumps({"ts": f"2024-01-02T{k % 5:02d}:00:00Z", "v": str(k)}) + "\n" for k in range(200))
+    (landing / "one").write_text(text)
+    push.register(spark)
+    lines = spark.readStream.format("push_feed").option("path", str(landing)).option("splitBytes", 500).load()
+    rows = push.by_hour(push.parsed(lines, "ts TIMESTAMP, v STRING").select("ts", "v"))
+    w = rows.writeStream.format("push_archive").option("path", out).option("writer", "w").option("checkpointLocation", str(tmp_path / "checkpoint"))
+    w.trigger(availableNow=True).start().awaitTermination()
+    assert len(text) > 10 * 500 and len([f for _, _, fs in os.walk(out) for f in fs if f.endswith(".parquet")]) == 5
+    assert sorted(int(r.v) for r in push.read_archive(spark, out, "ts TIMESTAMP, v STRING").collect()) == list(range(200))
