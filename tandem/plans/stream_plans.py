@@ -202,7 +202,8 @@ WHERE last_ts + to_seconds(gap) <= (SELECT max(ts) FROM events) - INTERVAL '10 m
 def _(spark, sf):
     order = F.struct("ts", "event_id")
     gap = F.lit(GAP_SECS) * (1 + F.ascii("symbol") % 3)
-    return _ntz(sf_.drain(sw.session_bars(tick_stream(spark, sf), gap, "10 minutes", order), "sessions"), "ts", "last_ts")
+    with sf_.sessions_by_split(spark):
+        return _ntz(sf_.drain(sw.session_bars(tick_stream(spark, sf), gap, "10 minutes", order), "sessions"), "ts", "last_ts")
 
 
 #: Every tenth tick comes after all others.
@@ -240,7 +241,8 @@ WHERE last_ts + to_seconds(gap) <= (SELECT max(ts) FROM routed WHERE NOT late) -
 def _(spark, sf):
     table = feeds.stored(spark, sf, "in-time", lambda: routed(spark, sf).where("NOT late").drop("late"))
     stream = spark.readStream.schema(table.schema).parquet(table.inputFiles()[0].rsplit("/", 1)[0])
-    got = sf_.drain(sw.session_bars(stream, F.lit(GAP_SECS) * (1 + F.ascii("symbol") % 3), "10 minutes", F.struct("ts", "event_id")), "sessions-in-time")
+    with sf_.sessions_by_split(spark):
+        got = sf_.drain(sw.session_bars(stream, F.lit(GAP_SECS) * (1 + F.ascii("symbol") % 3), "10 minutes", F.struct("ts", "event_id")), "sessions-in-time")
     return _ntz(got, "ts", "last_ts").select("symbol", "ts", "last_ts", "n", "open", "close")
 
 

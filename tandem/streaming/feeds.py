@@ -63,6 +63,21 @@ def rocks_state(spark: SparkSession):
         spark.conf.set(key, before) if before else spark.conf.unset(key)
 
 
+@contextmanager
+def sessions_by_split(spark: SparkSession):
+    """Queries started inside merge the sessions of each split before the shuffle, and splits are small: what a task sorts is
+    bounded, and a busy key brings sessions, not all its rows, to one task."""
+    want = {"spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true", "spark.sql.files.maxPartitionBytes": "16m"}
+    before = {k: spark.conf.get(k) for k in want}
+    for k, v in want.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def heartbeat(rows: DataFrame, path: str, ts: str, at, **values) -> None:
     """Append to a folder of arriving files one row that only tells the time: the watermark moves on to ``at``."""
     cells = [F.lit(at if f.name == ts else values.get(f.name)).cast(f.dataType).alias(f.name) for f in rows.schema.fields]

@@ -108,3 +108,19 @@ def test_late_rows_have_their_own_table_and_a_repeated_batch_changes_nothing(spa
     assert fresh.read("on_time", d.schema).count() == 300
     fresh.write(d.where("id = 4").withColumn("ts", F.lit(None).cast("timestamp")), 2)  # no time: never late, and the mark is carried on
     assert fresh._latest(2) == fresh._latest(1) and fresh.read("on_time", d.schema).count() == 301
+
+
+def test_sessions_are_merged_before_the_shuffle(spark):
+    """A busy key: its sessions reach the shuffle, not its rows."""
+    ticks = spark.range(20_000).select(F.lit("A").alias("symbol"), at(F.col("id") / 10 + F.floor(F.col("id") / 5000) * 600).alias("ts"), F.col("id").cast("double").alias("price"), F.lit(60).alias("gap"))
+    s = arrivals(spark, ticks, [F.lit(True)])
+    out, checkpoint = fresh_path(spark, "merged"), fresh_path(spark, "merged-checkpoint")
+    with feeds.sessions_by_split(spark), feeds._state_partitions(spark):
+        bars = sw.session_bars(s, "gap", "1000 seconds")
+        q = bars.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        q.awaitTermination()
+        plan = q._jsq.explainInternal(False)
+    assert plan.rindex("MergingSessions") > plan.rindex("Exchange")
+    got = spark.read.schema(bars.schema).parquet(out).collect()
+    assert sorted((r.n, r.open, r.close) for r in got) == [(5000, 0.0, 4999.0), (5000, 5000.0, 9999.0), (5000, 10000.0, 14999.0)]
+    assert spark.conf.get("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition") == "false"
