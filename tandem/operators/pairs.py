@@ -6,24 +6,32 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-SALTS = 8
+#: Symbols of a block of a group whose pairs are enumerated.
+BLOCK = 512
 
 
-def enumerate_pairs(universe: DataFrame, group: Sequence[str] = (), salts: int = SALTS) -> DataFrame:
+def enumerate_pairs(universe: DataFrame, group: Sequence[str] = (), block: int = BLOCK) -> DataFrame:
     """All n1 < n2 inside a group: the N(N-1)/2 candidates.
 
-    The left side is salted and the right side repeated per salt, so the pairs
-    of one large group are built by many tasks; the join stays an equi-join.
+    A group's symbols are dealt to blocks of about ``block``, and each block meets each other one and itself once:
+    however large a group is, a join key has at most about ``block`` squared pairs, and the join stays an equi-join.
     """
     one = universe.select(*group, "symbol").distinct()
     if not group:
         one = one.withColumn("_g", F.lit(0))
     keys = list(group) or ["_g"]
-    left = one.select(*keys, F.col("symbol").alias("n1"),
-                      F.pmod(F.xxhash64("symbol"), F.lit(salts)).alias("_salt"))
-    right = one.select(*keys, F.col("symbol").alias("n2"),
-                       F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))).alias("_salt"))
-    pairs = left.join(right, [*keys, "_salt"]).where("n1 < n2")
+    blocks = one.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).alias("_blocks"))
+    dealt = one.join(blocks, keys).withColumn("_own", F.pmod(F.xxhash64("symbol"), F.col("_blocks")))
+    # a pair of blocks has the lesser first, so that a pair of symbols meets once, in either order
+    others = lambda low, high: F.explode(F.sequence(low.cast("bigint"), high.cast("bigint"))).alias("_other")
+    left = dealt.select(*keys, F.col("symbol").alias("_a"), F.col("_own").alias("_i"), others(F.col("_own"), F.col("_blocks") - 1)).withColumnRenamed("_other", "_j")
+    right = dealt.select(*keys, F.col("symbol").alias("_b"), F.col("_own").alias("_j"), others(F.lit(0), F.col("_own"))).withColumnRenamed("_other", "_i")
+    if group:  # many pairs come from few rows, so sizes of the input say nothing about the tasks wanted
+        spark = universe.sparkSession
+        tasks = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        left, right = (d.repartition(tasks, *keys, "_i", "_j") for d in (left, right))
+    met = left.join(right, [*keys, "_i", "_j"]).where("_i < _j AND _a <> _b OR _i = _j AND _a < _b")
+    pairs = met.select(*group, F.least("_a", "_b").alias("n1"), F.greatest("_a", "_b").alias("n2"))
     return pairs.select(*group, F.concat_ws("_", "n1", "n2").alias("pair"), "n1", "n2")
 
 
