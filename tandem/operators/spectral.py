@@ -25,6 +25,8 @@ from tandem.sources.shared import written
 EXTRA = 16
 #: Share of the largest squared length below which a direction of a block counts as none.
 NOTHING = 1e-14
+#: Residuals below this come from the differences themselves: out of Gram matrices they are no better than the root of the rounding.
+CLOSE = 1e-6
 
 
 def normalised(weights: DataFrame) -> DataFrame:
@@ -63,6 +65,19 @@ def grams(block: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
+def residuals(block: DataFrame, value: np.ndarray, turn: np.ndarray) -> np.ndarray:
+    """Lengths of the columns of Y turn - X turn diag(value), for a block of rows (symbol, x, y)."""
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = 0.0
+        for batch in batches:
+            if batch.num_rows:
+                total = total + ((_matrix(batch.column(1)) @ turn - _matrix(batch.column(0)) @ turn * value) ** 2).sum(axis=0)
+        if not np.isscalar(total):
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], names=["j", "s"])
+    found = block.select("x", "y").mapInArrow(rows, "j long, s double").groupBy("j").agg(F.sum("s").alias("s")).collect()
+    return np.sqrt([r.s for r in sorted(found)])
+
+
 def _turned(block: DataFrame, turn: np.ndarray) -> DataFrame:
     """Rows (symbol, x): y times ``turn``."""
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,6 +119,8 @@ def embedding(weights: DataFrame, width: int, rounds: int = 100, tolerance: floa
         value, turn = np.linalg.eigh((xy + xy.T) / 2)
         value, turn = value[::-1], turn[:, ::-1]
         off = np.sqrt(np.maximum(0, np.einsum("ij,ik,kj->j", turn, yy, turn) - value ** 2))
+        if off[:width].max() <= CLOSE:
+            off = residuals(both, value, turn)
         rounds -= 1
         if off[:width].max() <= tolerance or rounds <= 0:
             break

@@ -64,6 +64,16 @@ def test_block_narrower_than_the_universe(spark, monkeypatch):
     assert v * sign == pytest.approx(want, abs=1e-6)
 
 
+def test_a_block_as_wide_as_the_universe_takes_one_product(spark, monkeypatch):
+    names, written = [], spectral.written
+    monkeypatch.setattr(spectral, "written", lambda df, name: names.append(name) or written(df, name))
+    w = affinities(25, 25, 1, 0.3)
+    got = spectral.embedding(weights_of(spark, w), 24, rounds=3).toPandas().sort_values("symbol")
+    v, want = np.array(got.v.tolist()), dense_embedding(w, 24)
+    assert v * np.sign((v * want).sum(axis=0)) == pytest.approx(want, abs=1e-6)
+    assert names.count("block") == 1
+
+
 def test_more_clusters_than_points_and_nothing(spark):
     rows = [("A", "B", 1.0), ("A", "C", 1e-9), ("B", "C", 1e-9)]
     df = spark.createDataFrame(rows, "a string, b string, weight double")
