@@ -9,6 +9,7 @@ on time and one aggregation give it, for pairs without common times as well.
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -73,6 +74,12 @@ def silhouette(assigned: DataFrame, distances: DataFrame) -> DataFrame:
     return ab.groupBy("asked_k").agg(F.avg(s).alias("silhouette"))
 
 
+def in_one_row(*scores: DataFrame) -> DataFrame:
+    """All columns in one row for each asked_k (each table has one at most); a join by a constant asked_k would have no key."""
+    d = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), scores)
+    return d.groupBy("asked_k").agg(*[F.max(c).alias(c) for c in d.columns if c != "asked_k"])
+
+
 def centroid_scores(assigned: DataFrame, features: DataFrame) -> DataFrame:
     """Davies-Bouldin and Calinski-Harabasz scores per asked_k."""
     cols = [f"r_{f}" for f in FIELDS]
@@ -95,7 +102,7 @@ def centroid_scores(assigned: DataFrame, features: DataFrame) -> DataFrame:
              .join(per.select("asked_k", F.col("cluster").alias("j"), F.col("s").alias("sj")), ["asked_k", "j"])
              .withColumn("r", F.try_divide(F.col("si") + F.col("sj"), F.col("m"))))
     db = ratio.groupBy("asked_k", "i").agg(F.max("r").alias("r")).groupBy("asked_k").agg(F.avg("r").alias("davies_bouldin"))
-    return ch.join(db, "asked_k", "left")
+    return in_one_row(ch, db)
 
 
 def size_ratio(assigned: DataFrame) -> DataFrame:
@@ -109,8 +116,7 @@ def size_ratio(assigned: DataFrame) -> DataFrame:
 
 def scores_by_k(assigned: DataFrame, features: DataFrame, distances: DataFrame) -> DataFrame:
     """All scores of each clustering (asked_k, symbol, cluster): one row for each asked_k."""
-    return (centroid_scores(assigned, features).join(silhouette(assigned, distances), "asked_k", "left")
-            .join(size_ratio(assigned), "asked_k"))
+    return in_one_row(centroid_scores(assigned, features), silhouette(assigned, distances), size_ratio(assigned)).where("k is not null")
 
 
 def cluster_scores(assigned: DataFrame, features: DataFrame, distances: DataFrame) -> DataFrame:
