@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import time
 from datetime import timedelta
 
 from pyspark.sql import functions as F
@@ -20,9 +19,14 @@ from tandem.streaming.signals import live_signals
 from tandem.sources.shared import fresh_path
 
 
+def tick_table(spark, sf):
+    """The price path as a stored table (zone-free times taken as UTC)."""
+    return feeds.stored(spark, sf, "path", lambda: feeds.price_path(spark, sf).withColumn("ts", F.col("ts").cast("timestamp")))
+
+
 def tick_stream(spark, sf):
-    """The price path as a stream of files (zone-free times taken as UTC)."""
-    table = feeds.stored(spark, sf, "path", lambda: feeds.price_path(spark, sf).withColumn("ts", F.col("ts").cast("timestamp")))
+    """The price path as a stream of files."""
+    table = tick_table(spark, sf)
     folder = table.inputFiles()[0].rsplit("/", 1)[0]
     return spark.readStream.schema(table.schema).parquet(folder)
 
@@ -214,15 +218,15 @@ routed AS (SELECT a.*, held AND ts < least AS late FROM arrived a, limits)"""
 
 
 def routed(spark, sf):
-    """The late route over ticks in three files: two halves by time without every tenth tick, then these."""
+    """The late route over ticks that come in three steps, a micro-batch each: two halves by time without every tenth tick, then these."""
     def build():
-        ticks_ = feeds.price_path(spark, sf).withColumn("ts", F.col("ts").cast("timestamp")).select("symbol", "ts", "event_id", "price")
+        ticks_ = tick_table(spark, sf).select("symbol", "ts", "event_id", "price")
         path, folder, checkpoint = (fresh_path(spark, n) for n in ("arrivals", "routed", "routed-checkpoint"))
         half = ticks_.agg(F.expr("timestamp_micros((unix_micros(min(ts)) + unix_micros(max(ts))) div 2)")).first()[0]
         held = F.col("event_id") % 10 == 0
-        sw.in_steps(ticks_, path, [~held & (F.col("ts") < F.lit(half)), ~held, F.lit(True)], lambda: time.sleep(1.1))
         route = sw.LateRoute(spark, folder, delay_secs=600)
-        route.start(spark.readStream.schema(ticks_.schema).option("maxFilesPerTrigger", 1).parquet(path), checkpoint, availableNow=True).awaitTermination()
+        sw.in_steps(ticks_, path, [~held & (F.col("ts") < F.lit(half)), ~held, F.lit(True)], lambda: route.start(
+            spark.readStream.schema(ticks_.schema).parquet(path), checkpoint, availableNow=True).awaitTermination())
         return (route.read("on_time", ticks_.schema).withColumn("late", F.lit(False))
                 .unionByName(route.read("late", ticks_.schema).withColumn("late", F.lit(True))))
     return feeds.stored(spark, sf, "routed", build)

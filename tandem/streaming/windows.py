@@ -110,10 +110,13 @@ class LateRoute:
         return self.spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(self.on_time)
 
 
-def in_steps(rows: DataFrame, path: str, steps: list[Column], pause: Callable[[], None]) -> None:
-    """Write ``rows`` as files that arrive one after the other (for replays: a row comes with the first step it meets)."""
+def in_steps(rows: DataFrame, path: str, steps: list[Column], arrived: Callable[[], None]) -> None:
+    """Write ``rows`` as files that come step by step and call ``arrived`` after each (for replays: a row comes with the first step it meets).
+
+    A step has as many files as ``rows`` has partitions.  A query that ``arrived`` runs to its end takes them as one micro-batch.
+    """
     left = F.lit(True)
     for step in steps:
-        rows.where(left & step).coalesce(1).write.mode("append").parquet(path)
+        rows.where(left & step).write.mode("append").parquet(path)
+        arrived()
         left = left & ~step
-        pause()

@@ -124,3 +124,22 @@ def test_sessions_are_merged_before_the_shuffle(spark):
     got = spark.read.schema(bars.schema).parquet(out).collect()
     assert sorted((r.n, r.open, r.close) for r in got) == [(5000, 0.0, 4999.0), (5000, 5000.0, 9999.0), (5000, 10000.0, 14999.0)]
     assert spark.conf.get("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition") == "false"
+
+
+def test_a_step_comes_from_many_tasks_and_is_one_batch(spark):
+    """Steps are written by the tasks that hold their rows; the route takes each step as a whole."""
+    d = spark.range(0, 3000, 1, 8).select(F.lit("A").alias("symbol"), at(F.col("id") * 10).alias("ts"), F.col("id"))
+    path, folder, checkpoint = (fresh_path(spark, n) for n in ("steps", "route", "route-checkpoint"))
+    route, files = sw.LateRoute(spark, folder, delay_secs=600), []
+
+    def arrived():
+        table = spark.read.schema(d.schema).parquet(path)
+        files.append(len(table.inputFiles()))
+        route.start(spark.readStream.schema(d.schema).parquet(path), checkpoint, availableNow=True).awaitTermination()
+    held = F.col("id") % 50 == 7
+    sw.in_steps(d.repartition(8, "id"), path, [~held & (F.col("id") < 1500), ~held, F.lit(True)], arrived)
+    assert files == [8, 16, 24]
+    late = sorted(r.id for r in route.read("late", d.schema).collect())
+    assert late == [i for i in range(7, 3000, 50) if i * 10 < 29990 - 600]
+    assert sorted(late + [r.id for r in route.read("on_time", d.schema).collect()]) == list(range(3000))
+    assert route._latest(2) is not None and route._latest(3) is None
