@@ -54,8 +54,8 @@ def price_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = ticks(spark, sf_dir)
     centre = t.groupBy("symbol").agg(F.expr("sum(cents) div count(*)").alias("centre"))
     moved = (t.join(centre, "symbol").withColumn("step", F.col("cents") - F.col("centre"))
-             .withColumn("_minute", F.floor(epoch_seconds("ts") / 60)))
-    walked = running_sum(moved, ["symbol"], ["ts", "event_id"], "_minute", "step", "units")
+             .withColumn("_hour", F.floor(epoch_seconds("ts") / 3600)))
+    walked = running_sum(moved, ["symbol"], ["ts", "event_id"], "_hour", "step", "units")
     return walked.select("symbol", "ts", "event_id", "units", "size",
                          (F.lit(1000.0) + F.col("units") / F.lit(100000.0)).alias("price"))
 

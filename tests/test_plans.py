@@ -122,3 +122,16 @@ def test_wide_reader_fails_on_a_time_it_cannot_read(spark, tmp_path):
     p.write_text(",AAA,AAA\n,close,volume\ndate,,\n2022-01-03 09:30:00,1.5,10\nnot a time,1.6,11\n")
     with pytest.raises(Exception):
         sb.read_bars_wide(spark, str(p)).collect()
+
+
+def test_the_price_path_is_summed_by_the_hour(spark, sf_dir, monkeypatch):
+    """One task adds up the slices of a symbol: there is one an hour at most, however many ticks there are."""
+    seen, running_sum = [], feeds.running_sum
+
+    def watched(df, keys, order, slice_col, value, out):
+        hours = (F.unix_seconds(F.max(F.col("ts").cast("timestamp"))) - F.unix_seconds(F.min(F.col("ts").cast("timestamp")))) / 3600
+        seen.append(df.agg(F.max(slice_col) - F.min(slice_col), hours).first())
+        return running_sum(df, keys, order, slice_col, value, out)
+    monkeypatch.setattr(feeds, "running_sum", watched)
+    feeds.price_path(spark, sf_dir)
+    assert len(seen) == 1 and 0 < seen[0][0] <= seen[0][1] + 1
